@@ -1,7 +1,7 @@
 """Queries and oracle SQL of this subpackage."""
 
-from wardline.llm import bpe, language_id, sharding, url_filters
+from wardline.llm import bpe, decontamination, language_id, sharding, url_filters
 
-MODULES = (language_id, bpe, url_filters, sharding)
+MODULES = (decontamination, language_id, bpe, url_filters, sharding)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in getattr(m, "ORACLE", {}).items()}
