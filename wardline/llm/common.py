@@ -87,3 +87,17 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     low = e.groupBy("a").agg(F.min("b").alias("component"))
     roots = low.select(F.col("component").alias("node")).distinct().withColumn("component", F.col("node"))
     return low.withColumnRenamed("a", "node").union(roots)
+
+
+def block_pairs(members: DataFrame, key: str, member: str, limit: int) -> DataFrame:
+    """members with own, b1, b2: each group of equal key cut into blocks of about limit members, a row for each pair of blocks.
+
+    Grouping by (key, b1, b2) then brings every two members of a group together exactly once (members of one block where
+    b1 = b2), without any task holding a large group. A group of n members gives n * n / limit rows, n if it fits.
+    """
+    big = members.groupBy(key).count().where(F.col("count") > limit)
+    nb = F.coalesce(F.ceil(F.col("count") / limit), F.lit(1)).cast("int")
+    out = members.join(big, key, "left").withColumn("nb", nb).drop("count")
+    out = out.withColumn("own", F.pmod(F.xxhash64(F.lit(5), member), F.col("nb")).cast("int"))
+    out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    return out.withColumns({"b1": F.least("own", "other"), "b2": F.greatest("own", "other")}).drop("nb", "other")

@@ -1,7 +1,7 @@
 """Queries and oracle SQL of this subpackage."""
 
-from wardline.llm import bpe, decontamination, language_id, sharding, substring_dedup, url_filters
+from wardline.llm import bpe, decontamination, jaccard_join, language_id, sharding, substring_dedup, url_filters
 
-MODULES = (decontamination, language_id, bpe, substring_dedup, url_filters, sharding)
+MODULES = (decontamination, jaccard_join, language_id, bpe, jaccard_join, substring_dedup, url_filters, sharding)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in getattr(m, "ORACLE", {}).items()}
