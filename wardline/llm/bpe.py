@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from wardline.llm.common import read, ship
 
-#: Pieces that a Python worker remembers before it starts anew.
-CACHE = 300_000
+#: Chunks and pieces that a Python worker remembers before it starts anew, and their longest length.
+CACHE, LONG = 1_000_000, 48
 _codecs: dict = {}
 
 
@@ -91,12 +91,15 @@ class Codec(dict):
         self.runs = re.compile(r"\s\s|\x00").search
 
     def __missing__(self, chunk: str) -> tuple[int, ...]:
-        out: list[int] = []
-        for p in self.pieces(chunk):
-            b = p.encode()
+        pieces = self.pieces(chunk)
+        if len(pieces) == 1:
+            b = chunk.encode()
             r = self.ranks.get(b)
-            out += merge(b, self.ranks) if r is None else (r,)
-        self[chunk] = got = tuple(out)
+            got = tuple(merge(b, self.ranks)) if r is None else (r,)
+        else:  # a piece alone is one piece again
+            got = tuple(chain.from_iterable(map(self.__getitem__, pieces)))
+        if len(chunk) <= LONG:
+            self[chunk] = got
         return got
 
     def encode(self, text: str) -> np.ndarray:
