@@ -1,7 +1,7 @@
 """Queries and oracle SQL of this subpackage."""
 
-from wardline.llm import bpe, decontamination, embedding_dedup, jaccard_join, language_id, sharding, substring_dedup, url_filters
+from wardline.llm import bpe, decontamination, embedding_dedup, jaccard_join, language_id, sharding, substring_dedup, toxicity, url_filters
 
-MODULES = (decontamination, embedding_dedup, jaccard_join, language_id, bpe, jaccard_join, substring_dedup, embedding_dedup, url_filters, sharding)
+MODULES = (decontamination, embedding_dedup, jaccard_join, language_id, bpe, toxicity, jaccard_join, substring_dedup, embedding_dedup, url_filters, sharding)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in getattr(m, "ORACLE", {}).items()}
