@@ -172,15 +172,20 @@ def ids_text(ids):
     return F.concat_ws(",", ids.cast("array<string>"))
 
 
-def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts and digests of every document, encoded and decoded again."""
+def digests(docs: DataFrame, file: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
+    """Rows (doc_id, n_tokens, ids_sha256, decoded_sha256): every document encoded by an installed rank file and decoded again."""
     import public_tokenizers as P
 
-    got = encode(read(spark, sf_dir, "documents"), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, decoded=True)
+    got = encode(docs, P.path(file), P.PATTERN, decoded=True)
     return got.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(ids_text(F.col("ids")).cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts and digests of every document, encoded and decoded again."""
+    return digests(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {"op3_byte_bpe": op3_byte_bpe}

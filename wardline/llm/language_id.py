@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wardline.llm.common import held_out, read, ship
 
@@ -135,22 +136,24 @@ def fit(labelled: DataFrame, share: float = 8e-6, near: float = 0.05, bits: int
     return Filters.build(langs, [(number[x], g) for x, g in zip(rows["lang"], rows["gram"], strict=True)], bits) if langs else Filters([], np.zeros(1, np.uint8), np.zeros(0))
 
 
-def predict(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id_col, lang_pred, score): the language with the largest corrected share of the text's grams, and that share.
+def predict(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataFrame:
+    """docs with lang_pred and score: the language with the largest corrected share of the text's grams, and that share.
 
     `und` with score 0 for a null text, one without a letter, or if no language was learned. Ties go to the language with more
-    training text. The whole text counts; rows repeat as in docs and other columns are ignored. There is no shuffle.
+    training text. The whole text counts; rows stay as they are. Columns of docs named lang_pred or score are replaced. There is
+    no shuffle.
     """
     spark = docs.sparkSession
     ship(spark)
     model = spark.sparkContext.broadcast(filters)  # 2^bits slots of 1 to 8 bytes
+    docs = docs.drop("lang_pred", "score")
 
     def work(batches):
         import regex
 
         letter, f = regex.compile(r"\p{L}").search, model.value
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(text_col).to_pylist()
             lang, score = ["und"] * len(texts), np.zeros(len(texts))
             for at, part in blocks([None if t is None else t.encode() for t in texts]) if f.langs else ():
                 share = f.share(part)
@@ -159,17 +162,16 @@ def predict(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col:
                     t = texts[at + i]
                     if t and letter(t):
                         lang[at + i], score[at + i] = f.langs[b], share[i, b]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang), pa.array(score)], [id_col, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(work, f"{id_col} {kind}, lang_pred string, score double")
+    return docs.mapInArrow(work, T.StructType([*docs.schema.fields]).add("lang_pred", "string").add("score", "double"))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the rows that are not held out."""
     docs = read(spark, sf_dir, "documents")
     filters = fit(docs.where(~held_out(F.col("doc_id"))).select("lang", "text"))
-    return predict(docs, filters).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return predict(docs.select("doc_id", "text"), filters).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
 QUERIES = {"op2_language_id": op2_language_id}

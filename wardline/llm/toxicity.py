@@ -20,12 +20,12 @@ class Settings:
     """bits: buckets of hashed subwords (a power of two); dim: of embeddings; lengths: of character n-grams; span: words of a
     stretch of text that is averaged; sample: labelled texts to train on at most; common: texts that a word must occur in to count in training; steps, rate, decay: of the training."""
 
-    bits: int = 17
-    dim: int = 8
+    bits: int = 18
+    dim: int = 4
     lengths: tuple[int, ...] = (3, 4, 5)
     span: int = 48
     sample: int = 8_000
-    common: int = 2
+    common: int = 1
     steps: int = 40
     rate: float = 0.05
     decay: float = 2e-6
