@@ -14,8 +14,10 @@ from pyspark.sql import functions as F
 
 from wardline.llm.common import read, ship
 
-#: Chunks and pieces that a Python worker remembers before it starts anew, and their longest length.
-CACHE, LONG = 1_000_000, 48
+#: Chunks and pieces in each of the two generations that a Python worker remembers, and their longest length.
+CACHE, LONG = 500_000, 48
+_BITS = [1 << i for i in range(256)]
+_STOPS = frozenset(",.;:!?)")
 _codecs: dict = {}
 
 
@@ -24,52 +26,74 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
     Tokens form a linked list over their start positions. Each rank has a bucket of starts (a heap, so that the leftmost comes
     first); a two-level bitmap (256 ranks a word, and a bit for each word) finds the lowest rank in use by find-first-set.
-    Entries whose pair has changed since are stale and skipped. A piece of n bytes takes O(n log n).
+    Entries whose pair has another rank by now are stale and skipped. A piece of n bytes takes O(n log n).
     """
-    n = len(piece)
+    n, find = len(piece), ranks.get
     end, prev = list(range(1, n + 1)), list(range(-1, n - 1))
+    pair = [find(piece[i : i + 2]) for i in range(n - 1)]  # rank of the pair that starts there
+    pair.append(None)
     buckets: dict[int, list[int]] = {}
     words: dict[int, int] = {}
-    top, find = 0, ranks.get
-    for i in range(n - 1):
-        r = find(piece[i : i + 2])
-        if r is not None:
-            if r in buckets:
-                buckets[r].append(i)
+    top = 0
+    for i, r in enumerate(pair):
+        if r in buckets:
+            buckets[r].append(i)
+        elif r is not None:
+            buckets[r] = [i]
+            w = r >> 8
+            if w in words:
+                words[w] |= _BITS[r & 255]
             else:
-                buckets[r] = [i]
-                w = r >> 8
-                words[w] = words.get(w, 0) | 1 << (r & 255)
+                words[w] = _BITS[r & 255]
                 top |= 1 << w
     while top:
         w = (top & -top).bit_length() - 1
         bits = words[w]
-        r = (w << 8) + (bits & -bits).bit_length() - 1
+        first = bits & -bits
+        r = (w << 8) + first.bit_length() - 1
         bucket = buckets[r]
-        i = heappop(bucket)
-        if not bucket:
+        if len(bucket) > 1:
+            i = heappop(bucket)
+        else:
+            i = bucket[0]
             del buckets[r]
-            bits &= bits - 1
-            words[w] = bits
-            if not bits:
+            if bits == first:
+                del words[w]
                 top &= top - 1
-        j = end[i]
-        if j <= 0 or j >= n or find(piece[i : end[j]]) != r:
+            else:
+                words[w] = bits ^ first
+        if pair[i] != r:
             continue
-        k = end[j]
-        end[i], end[j] = k, 0
+        j = end[i]
+        k = end[i] = end[j]
+        pair[i] = pair[j] = None
         if k < n:
             prev[k] = i
-        for s in (prev[i], i):
-            if s >= 0 and (e := end[s]) < n:
-                q = find(piece[s : end[e]])
-                if q is not None:
-                    if q in buckets:
-                        heappush(buckets[q], s)
+            q = pair[i] = find(piece[i : end[k]])
+            if q is not None:
+                if q in buckets:
+                    heappush(buckets[q], i)
+                else:
+                    buckets[q] = [i]
+                    v = q >> 8
+                    if v in words:
+                        words[v] |= _BITS[q & 255]
                     else:
-                        buckets[q] = [s]
-                        v = q >> 8
-                        words[v] = words.get(v, 0) | 1 << (q & 255)
+                        words[v] = _BITS[q & 255]
+                        top |= 1 << v
+        s = prev[i]
+        if s >= 0:
+            q = pair[s] = find(piece[s:k])
+            if q is not None:
+                if q in buckets:
+                    heappush(buckets[q], s)
+                else:
+                    buckets[q] = [s]
+                    v = q >> 8
+                    if v in words:
+                        words[v] |= _BITS[q & 255]
+                    else:
+                        words[v] = _BITS[q & 255]
                         top |= 1 << v
     out, i = [], 0
     while i < n:
@@ -86,18 +110,27 @@ class Codec(dict):
 
         super().__init__()
         self.ranks, self.size = ranks, size
+        self.old: dict[str, tuple[int, ...]] = {}
         self.pieces = regex.compile(pattern).findall
         self.bytes_of = dict(zip(ranks.values(), ranks.keys(), strict=True))
         self.runs = re.compile(r"\s\s|\x00").search
 
     def __missing__(self, chunk: str) -> tuple[int, ...]:
-        pieces = self.pieces(chunk)
-        if len(pieces) == 1:
-            b = chunk.encode()
-            r = self.ranks.get(b)
-            got = tuple(merge(b, self.ranks)) if r is None else (r,)
-        else:  # a piece alone is one piece again
-            got = tuple(chain.from_iterable(map(self.__getitem__, pieces)))
+        got = self.old.pop(chunk, None)
+        if got is None:
+            head = chunk[:-1]
+            if chunk.isalpha() or chunk[:1] == " " and chunk[1:].isalpha():  # one run of letters is one piece
+                pieces = (chunk,)
+            elif chunk[-1:] in _STOPS and head and (head.isalpha() or head[0] == " " and head[1:].isalpha()):
+                pieces = (head, chunk[-1])
+            else:
+                pieces = self.pieces(chunk)
+            if len(pieces) == 1:
+                b = chunk.encode()
+                r = self.ranks.get(b)
+                got = tuple(merge(b, self.ranks)) if r is None else (r,)
+            else:  # a piece alone is one piece again
+                got = tuple(chain.from_iterable(map(self.__getitem__, pieces)))
         if len(chunk) <= LONG:
             self[chunk] = got
         return got
@@ -110,6 +143,7 @@ class Codec(dict):
         else:
             chunks = text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
         if len(self) > self.size:
+            self.old = dict(self)
             self.clear()
         return np.fromiter(chain.from_iterable(map(self.__getitem__, chunks)), np.int32)
 
