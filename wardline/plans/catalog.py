@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from wardline.plans import readside, tracks
+from wardline.plans import fleetwide, readside, tracks, vehicles
 
-MODULES = (tracks, readside)
+MODULES = (tracks, readside, vehicles, fleetwide)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}
