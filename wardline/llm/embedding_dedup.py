@@ -14,6 +14,8 @@ from wardline.llm.forest import stars
 
 #: Members of a block of a bucket.
 NEAR = 1500
+#: Rows of a task's table of buckets, about.
+ROWS = 20_000
 #: Wanted chance that a pair exactly at the threshold meets in a bucket.
 RECALL = 0.995
 
@@ -73,12 +75,12 @@ class Hasher:
 
 
 def plan(dim: int, rows: int, threshold: float, seed: int = 80) -> Hasher:
-    """As deep as the rows need for buckets of some hundreds, with as many tables as RECALL at the threshold needs.
+    """As deep as the rows need for buckets of some thousands at most, with as many tables as RECALL at the threshold needs.
 
     The chance to meet in a table is measured on simulated pairs exactly at the threshold.
     """
     size = 2 * max(2, 1 << (dim - 1).bit_length())
-    depth = max(1, min(4, math.ceil(math.log(max(2, rows / 200)) / math.log(size))))
+    depth = max(1, min(4, math.ceil(math.log(max(2, rows / 4000)) / math.log(size))))
     probes = min(3, depth + 1)
     draw = np.random.default_rng(seed)
     x, y = draw.normal(size=(2, 1000, dim))
@@ -121,7 +123,7 @@ def link(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", ve
     facts = kinds.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n")).collect()  # a row for each length of vectors
     found = None
     for dim, rows in sorted(map(tuple, facts)):
-        got = _linked(kinds.where(F.size("vec") == dim), plan(dim, rows, threshold), threshold)
+        got = _linked(kinds.where(F.size("vec") == dim), rows, plan(dim, rows, threshold), threshold)
         found = got if found is None else found.union(got)
     if found is None:
         return v.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
@@ -135,7 +137,7 @@ def link(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", ve
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
-def _linked(kinds: DataFrame, hasher: Hasher, threshold: float) -> DataFrame:
+def _linked(kinds: DataFrame, kinds_rows: int, hasher: Hasher, threshold: float) -> DataFrame:
     """Rows (rep, links, root) of representatives with links, several for each."""
 
     def bucket(batches):
@@ -154,33 +156,44 @@ def _linked(kinds: DataFrame, hasher: Hasher, threshold: float) -> DataFrame:
     dealt = block_pairs(keyed.join(shared, "key"), "key", "rep", NEAR).join(kinds.select("rep", "size", "vec"), "rep")
 
     def compare(t: pa.Table) -> pa.Table:
-        own, rep, size = (t.column(c).to_numpy() for c in ("own", "rep", "size"))
-        b1, b2, bucket = t.column("b1")[0].as_py(), t.column("b2")[0].as_py(), t.column("bucket")[0].as_py()
-        x = _unit(t.column("vec"))
-        left, right = np.flatnonzero(own == b1), np.flatnonzero(own == b2)
-        close = x[left] @ x[right].T >= threshold
-        a, b = np.nonzero(np.triu(close, 1) if b1 == b2 else close)
-        a, b = left[a], right[b]
-        if len(a):
-            used = np.unique(np.concatenate([a, b]))
-            place = np.zeros(len(rep), np.int64)
-            place[used] = np.arange(len(used))
-            keys = np.sort(hasher.keys(x[used]).reshape(len(used), -1), axis=1)
-            first = np.ones(len(a), bool)
-            for at in range(0, len(a), 20_000):  # a pair counts where its smallest common bucket is this one
-                k1, k2 = keys[place[a[at : at + 20_000]]], keys[place[b[at : at + 20_000]]]
-                for j in range(k1.shape[1]):
-                    k = k1[:, j, None]
-                    first[at : at + 20_000] &= ~((k < bucket) & (k == k2)).any(axis=1)
-            tree, a, b = stars(len(rep), a, b), a[first], b[first]
-        else:
-            tree = np.arange(len(rep))
+        """Many pairs of blocks at once: links are summed and joined to trees over all of them."""
+        import pandas as pd
+
+        own, b1, b2, bucket = (t.column(c).to_numpy() for c in ("own", "b1", "b2", "bucket"))
+        rep, first_at, at = np.unique(t.column("rep").to_numpy(), return_index=True, return_inverse=True)
+        size = t.column("size").to_numpy()[first_at]
+        x = _unit(t.column("vec").take(pa.array(first_at)))
+        keys = np.sort(hasher.keys(x).reshape(len(rep), -1), axis=1)
+        groups = pd.DataFrame({"l": t.column("label").to_pandas(), "k": bucket, "i": b1, "j": b2}).groupby(["l", "k", "i", "j"], sort=False).indices
+        found, counted = [], []
+        for rows in groups.values():
+            k, i, j = bucket[rows[0]], b1[rows[0]], b2[rows[0]]
+            left, right = at[rows[own[rows] == i]], at[rows[own[rows] == j]]
+            close = x[left] @ x[right].T >= threshold
+            a, b = np.nonzero(np.triu(close, 1) if i == j else close)
+            if not len(a):
+                continue
+            a, b = left[a], right[b]
+            found.append((a, b))
+            for lo in range(0, len(a), 50_000):  # a pair counts where its smallest common bucket is this one
+                p, q = a[lo : lo + 50_000], b[lo : lo + 50_000]
+                k1, k2 = keys[p], keys[q]
+                fresh = np.ones(len(p), bool)
+                for c in range(k1.shape[1]):
+                    fresh &= ~((k1[:, c, None] < k) & (k1[:, c, None] == k2)).any(axis=1)
+                counted.append((p[fresh], q[fresh]))
+        if not found:
+            return pa.table({"rep": rep[:0], "links": size[:0], "root": rep[:0]})
+        tree = stars(len(rep), np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found]))
+        a, b = np.concatenate([a for a, _ in counted]), np.concatenate([b for _, b in counted])
         links = np.bincount(a, size[b], len(rep)) + np.bincount(b, size[a], len(rep))
-        at = np.flatnonzero((links > 0) | (tree != np.arange(len(rep))))
-        return pa.table({"rep": rep[at], "links": links[at].astype(np.int64), "root": rep[tree[at]]})
+        out = np.flatnonzero((links > 0) | (tree != np.arange(len(rep))))
+        return pa.table({"rep": rep[out], "links": links[out].astype(np.int64), "root": rep[tree[out]]})
 
+    parts = max(64, kinds_rows * hasher.tables * hasher.probes // ROWS)
     groups = dealt.select(F.col("key.label").alias("label"), F.col("key.bucket").alias("bucket"), "rep", "size", "own", "b1", "b2", "vec")
-    return groups.groupBy("label", "bucket", "b1", "b2").applyInArrow(compare, "rep bigint, links bigint, root bigint")
+    groups = groups.withColumn("part", F.pmod(F.xxhash64("label", "bucket", "b1", "b2"), F.lit(parts)).cast("int"))
+    return groups.groupBy("part").applyInArrow(compare, "rep bigint, links bigint, root bigint")
 
 
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
