@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from dataclasses import dataclass
 
@@ -20,15 +21,15 @@ class Settings:
     """bits: buckets of hashed subwords (a power of two); dim: of embeddings; lengths: of character n-grams; span: words of a
     stretch of text that is averaged; sample: labelled texts to train on at most; common: texts that a word must occur in to count in training; steps, rate, decay: of the training."""
 
-    bits: int = 18
+    bits: int = 17
     dim: int = 4
     lengths: tuple[int, ...] = (3, 4, 5)
     span: int = 48
-    sample: int = 8_000
+    sample: int = 5_000
     common: int = 1
     steps: int = 40
     rate: float = 0.05
-    decay: float = 2e-6
+    decay: float = 3e-5
     seed: int = 4
 
 
@@ -55,7 +56,7 @@ class _Sums:
         for r, c, n in ((row, col, rows), (col, row, cols)):
             order = np.argsort(r, kind="stable")
             got, at = np.unique(r[order], return_index=True)
-            self.parts.append((c[order], at, got, n))
+            self.parts.append((c[order].astype(np.int32), at, got, n))
 
     def __call__(self, x: np.ndarray, back: bool = False) -> np.ndarray:
         c, at, got, n = self.parts[back]
@@ -119,16 +120,23 @@ def train(texts: list[str | None], labels: np.ndarray, s: Settings = Settings())
     split = [tokens(t) for t in texts]
     found = Counter(w for d in split for w in set(d))
     # a word of too few texts keeps its place with no subwords
-    docs = [np.array([number.setdefault(w, len(number)) if found[w] >= s.common else -1 for w in d], np.int64) for d in split]
+    docs = [np.array([number.setdefault(w, len(number)) if found[w] >= s.common else -1 for w in d], np.int32) for d in split]
     if not number:
         return Model(np.zeros(1 << s.bits), float(np.log(labels.mean() / (1 - labels.mean()))), s)
-    subs = [subwords(w, s).astype(np.int64) for w in number]
-    per_word = np.array([len(x) for x in subs], np.float32)[:, None]
-    words = _Sums(np.repeat(np.arange(len(subs)), [len(x) for x in subs]), np.concatenate(subs), len(subs), 1 << s.bits)
+    flat_subs, lens = array("i"), array("i")
+    for w in number:
+        got = subwords(w, s)
+        flat_subs.extend(got.tolist())
+        lens.append(len(got))
+    n_words = len(number)
+    del number, split, found
+    lens = np.frombuffer(lens, np.int32)
+    per_word = lens.astype(np.float32)[:, None]
+    words = _Sums(np.repeat(np.arange(n_words, dtype=np.int32), lens), np.frombuffer(flat_subs, np.int32), n_words, 1 << s.bits)
     sizes = np.array([len(d) for d in docs])
     flat = np.concatenate(docs)
-    all_rows = np.repeat(np.arange(len(docs)), sizes)
-    whole = _Sums(all_rows[flat >= 0], flat[flat >= 0], len(docs), len(subs))
+    all_rows = np.repeat(np.arange(len(docs), dtype=np.int32), sizes)
+    whole = _Sums(all_rows[flat >= 0], flat[flat >= 0], len(docs), n_words)
     norm_all = np.maximum(sizes, s.span).astype(np.float32)[:, None]
     draw = np.random.default_rng(s.seed)
     E = draw.normal(0, 0.1, (1 << s.bits, s.dim)).astype(np.float32)
@@ -149,9 +157,9 @@ def train(texts: list[str | None], labels: np.ndarray, s: Settings = Settings())
                     k = min(k, max(0, len(d) - s.span))
                     part = d[k : k + s.span]
                     part = part[part >= 0]
-                    rows.append(np.full(len(part), i))
+                    rows.append(np.full(len(part), i, np.int32))
                     cols.append(part)
-            sums, norm = _Sums(np.concatenate(rows), np.concatenate(cols), len(docs), len(subs)), np.full((len(docs), 1), s.span, np.float32)
+            sums, norm = _Sums(np.concatenate(rows), np.concatenate(cols), len(docs), n_words), np.full((len(docs), 1), s.span, np.float32)
         D = sums(V) / norm * gain
         p = 1 / (1 + np.exp(-np.clip(D @ w + b, -30, 30)))
         g = weight * (p - y)
