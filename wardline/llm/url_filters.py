@@ -37,20 +37,26 @@ def reputation(outcomes: DataFrame, strength: float = 8.0) -> DataFrame:
     """Posterior of each host's share of bad pages: rows (host, mean, sd, labelled).
 
     outcomes: rows (host, bad), bad 1, 0 or null (not labelled). Counts are pooled from host to registered domain (last two
-    labels) to suffix (last label) to all; each level's beta prior is centred on the posterior mean of the level above with
-    `strength` pseudo-pages, so a host of few labelled pages stays near its domain and one of many goes its own way. The
-    pooled prior is uniform. Hosts of the empty name count like any other.
+    labels) to suffix (last label) to all. Each level's prior is Beta(1, 1) and as many pseudo-pages at the posterior mean of the
+    level above as that level's own n labelled pages support: strength * n / (strength + n). So a host of few labelled pages stays
+    near its domain, one of many goes its own way, and one whose domain nobody labelled stays uncertain.
     """
     hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))
     hosts = hosts.withColumn("domain", F.substring_index("host", ".", -2)).withColumn("suffix", F.substring_index("host", ".", -1))
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("dn"), F.sum("k").alias("dk"))
     suffixes = domains.groupBy("suffix").agg(F.sum("dn").alias("sn"), F.sum("dk").alias("sk"))
-    every = suffixes.agg(((F.sum("sk") + 1) / (F.sum("sn") + 2)).alias("m0"))
-    s = F.lit(float(strength))
-    suffixes = suffixes.crossJoin(every).withColumn("m1", (F.col("sk") + s * F.col("m0")) / (F.col("sn") + s))
-    domains = domains.join(suffixes, "suffix").withColumn("m2", (F.col("dk") + s * F.col("m1")) / (F.col("dn") + s)).select("domain", "m2")
+    every = suffixes.agg(F.sum("sn").alias("n0"), ((F.sum("sk") + 1) / (F.sum("sn") + 2)).alias("m0"))
+
+    def weight(n: str) -> Column:
+        return float(strength) * F.col(n) / (float(strength) + F.col(n))
+
+    def mean(k: str, n: str, m: str, above: str) -> Column:
+        return (1 + F.col(k) + weight(above) * F.col(m)) / (2 + F.col(n) + weight(above))
+
+    suffixes = suffixes.crossJoin(every).withColumn("m1", mean("sk", "sn", "m0", "n0"))  # every: one row
+    domains = domains.join(suffixes, "suffix").withColumn("m2", mean("dk", "dn", "m1", "sn")).select("domain", "m2", "dn")
     hosts = hosts.join(domains, "domain")
-    a, b = F.col("k") + s * F.col("m2"), F.col("n") - F.col("k") + s * (1 - F.col("m2"))
+    a, b = 1 + F.col("k") + weight("dn") * F.col("m2"), 1 + F.col("n") - F.col("k") + weight("dn") * (1 - F.col("m2"))
     return hosts.select("host", (a / (a + b)).alias("mean"), F.sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))).alias("sd"), F.col("n").alias("labelled"))
 
 
@@ -91,10 +97,10 @@ l AS (SELECT host, CASE x.verdict WHEN 'block' THEN 1 WHEN 'allow' THEN 0 END AS
 h AS (SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS k, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') AS dom, list_extract(string_split(host, '.'), -1) AS suf FROM l GROUP BY host),
 d AS (SELECT suf, dom, sum(n) AS dn, sum(k) AS dk FROM h GROUP BY 1, 2),
 s AS (SELECT suf, sum(dn) AS sn, sum(dk) AS sk FROM d GROUP BY 1),
-g AS (SELECT (sum(sk) + 1) / (sum(sn) + 2)::DOUBLE AS m0 FROM s),
-m1 AS (SELECT suf, (sk + 8.0 * m0) / (sn + 8.0) AS m1 FROM s, g),
-m2 AS (SELECT d.dom, (dk + 8.0 * m1) / (dn + 8.0) AS m2 FROM d JOIN m1 USING (suf)),
-ab AS (SELECT host, k + 8.0 * m2 AS a, n - k + 8.0 * (1 - m2) AS b FROM h JOIN m2 USING (dom)),
+g AS (SELECT sum(sn) AS n0, (sum(sk) + 1) / (sum(sn) + 2)::DOUBLE AS m0 FROM s),
+m1 AS (SELECT suf, sn, (1 + sk + 8.0 * n0 / (8.0 + n0) * m0) / (2 + sn + 8.0 * n0 / (8.0 + n0)) AS m1 FROM s, g),
+m2 AS (SELECT d.dom, dn, (1 + dk + 8.0 * sn / (8.0 + sn) * m1) / (2 + dn + 8.0 * sn / (8.0 + sn)) AS m2 FROM d JOIN m1 USING (suf)),
+ab AS (SELECT host, 1 + k + 8.0 * dn / (8.0 + dn) * m2 AS a, 1 + n - k + 8.0 * dn / (8.0 + dn) * (1 - m2) AS b FROM h JOIN m2 USING (dom)),
 post AS (SELECT host, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS low FROM ab)
 SELECT page_id, m.host, path, x.rule AS rule, coalesce(x.verdict, CASE WHEN low > 0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM m LEFT JOIN post USING (host)"""
 }
