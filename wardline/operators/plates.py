@@ -37,15 +37,15 @@ def consensus(reads: DataFrame, key: list[str], plate: str, order: str, min_read
 
     Only the length with most votes counts (the one seen first on a tie). Votes are pre-aggregated to distinct texts.
     """
-    votes = reads.groupBy(*key, plate).agg(F.count("*").alias("n"), F.min(order).alias("first"))
-    lengths = votes.groupBy(*key, F.length(plate).alias("len")).agg(F.sum("n").alias("reads"), F.min("first").alias("first"))
-    best = lengths.groupBy(*key).agg(F.max_by(F.struct("len", "reads"), F.struct(F.col("reads"), -F.col("first"))).alias("b")).select(*key, "b.len", "b.reads")
-    chars = votes.join(best, key).where((F.length(plate) == F.col("len")) & (F.col("reads") >= min_reads))
-    chars = chars.select(*key, "n", F.posexplode(F.split(plate, "")).alias("pos", "ch")).groupBy(*key, "pos", "ch").agg(F.sum("n").alias("n"))
-    top = chars.groupBy(*key, "pos").agg(F.max(F.struct("n", "ch")).alias("t"), F.sort_array(F.collect_list("n"), asc=False).alias("ns"))
-    top = top.withColumn("clear", (F.size("ns") == 1) | (F.get("ns", F.lit(0)) > F.get("ns", F.lit(1))))
-    merged = top.groupBy(*key).agg(F.min("clear").alias("ok"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col("t.ch").alias("ch")))), lambda x: x["ch"]), "").alias("text"))
-    return best.join(merged, key, "left").select(*key, F.when(F.col("ok"), F.col("text")).alias("consensus"), "reads")
+    votes = reads.groupBy(*key, plate).agg(F.count("*").alias("_n"), F.min(order).alias("_first"))
+    lengths = votes.groupBy(*key, F.length(plate).alias("_len")).agg(F.sum("_n").alias("_reads"), F.min("_first").alias("_first"))
+    best = lengths.groupBy(*key).agg(F.max_by(F.struct("_len", "_reads"), F.struct(F.col("_reads"), -F.col("_first"))).alias("_b")).select(*key, "_b._len", "_b._reads")
+    chars = votes.join(best, key).where((F.length(plate) == F.col("_len")) & (F.col("_reads") >= min_reads))
+    chars = chars.select(*key, "_n", F.posexplode(F.split(plate, "")).alias("_pos", "_ch")).groupBy(*key, "_pos", "_ch").agg(F.sum("_n").alias("_n"))
+    top = chars.groupBy(*key, "_pos").agg(F.max(F.struct("_n", "_ch")).alias("_t"), F.sort_array(F.collect_list("_n"), asc=False).alias("_ns"))
+    top = top.withColumn("_clear", (F.size("_ns") == 1) | (F.get("_ns", F.lit(0)) > F.get("_ns", F.lit(1))))
+    merged = top.groupBy(*key).agg(F.min("_clear").alias("_ok"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_pos", F.col("_t._ch").alias("_ch")))), lambda x: x["_ch"]), "").alias("_text"))
+    return best.join(merged, key, "left").select(*key, F.when(F.col("_ok"), F.col("_text")).alias("consensus"), F.col("_reads").alias("reads"))
 
 
 def unconfirmed(reads: DataFrame, agreed: DataFrame, key: list[str], plate: str, top: int = 3) -> DataFrame:
