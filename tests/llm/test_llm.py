@@ -157,7 +157,7 @@ def test_bayes():
 
 def brute_repeats(docs):
     first = {}
-    words = [((t or "").split(" ") if False else re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t in docs]
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in docs]
     for (i, _), w in zip(docs, words):
         for k in range(len(w) - 12):
             g = tuple(w[k : k + 13])
