@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from wardline.llm.common import read, ship
 
 #: Chunks and pieces in each of the two generations that a Python worker remembers, and their longest length.
-CACHE, LONG = 500_000, 48
+CACHE, LONG = 350_000, 48
 _BITS = [1 << i for i in range(256)]
 _STOPS = frozenset(",.;:!?)")
 _codecs: dict = {}
@@ -147,6 +147,11 @@ class Codec(dict):
             self.clear()
         return np.fromiter(chain.from_iterable(map(self.__getitem__, chunks)), np.int32)
 
+    def rest(self) -> None:
+        """Between tasks, keep one generation at most: other operators share the worker's memory."""
+        if len(self) > self.size // 2:
+            self.old = {}
+
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
@@ -181,6 +186,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 if decoded:
                     cols.append(pa.array([c.decode(x.tolist()) for x in ids], pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, [id_col, "ids", "decoded"][: len(cols)])
+        c.rest()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(work, f"{id_col} {kind}, ids array<int>" + ", decoded binary" * decoded)
