@@ -208,3 +208,38 @@ def test_stream_equals_batch(spark, tmp_path):
     assert through(p, twins.suppressed_passes, "passes") == want
     one = view(spark, sf, "fx_obs").select("camera_id", "track_id", at)
     assert sum(r[-1] for r in through(one, twins.passes, "sessions")) <= one.count()
+
+
+def test_detections_push_down(spark, tmp_path, capsys):
+    rows = [("C", 1, None, 0.1, label, conf, (1, 2, 3, 4), 1) for label, conf in (("CAR", 0.9), ("CAR", 0.2), ("DOG", 0.9))]
+    spark.createDataFrame(rows, config.DETECTIONS).write.parquet(str(tmp_path / "d"))
+    got = config.detections(spark, str(tmp_path / "d"), resolve_labels(["vehicle"]))
+    assert [r.confidence for r in got.collect()] == [0.9]
+    got.explain("formatted")
+    assert "GreaterThanOrEqual(confidence,0.4)" in capsys.readouterr().out
+
+
+def test_payload_keeps_nulls(spark):
+    from wardline.operators.alerts import payload
+
+    got = one(spark, payload(id=F.lit(1), zone=F.lit(None).cast("string"), box=F.struct(F.lit(2).alias("x1"))))[0]
+    assert json.loads(got) == {"id": 1, "zone": None, "box": {"x1": 2}}
+
+
+def test_one_shuffle_by_track(spark):
+    from wardline.plans import tracks
+
+    plan = tracks.scored(spark, "/root/testdata/sf0.001").select("event_id", "score")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 2  # the fixture's own, and the tracks'
+
+
+def test_live_summaries(spark, tmp_path):
+    rows = [("A", "HIGH", 70, 86_400 + i) for i in range(5)] + [("B", "LOW", 10, 86_400 + 90)]
+    df = spark.createDataFrame(rows, "camera_id string, severity string, score int, s long").withColumn("at", F.timestamp_seconds("s")).drop("s")
+    df.coalesce(1).write.parquet(str(tmp_path / "a"))
+    read = lambda: spark.readStream.schema(df.schema).parquet(str(tmp_path / "a"))
+    got, minutes = [], []
+    twins.run_once(twins.live_summary(read()), lambda b, e: got.extend(map(tuple, b.collect())), str(tmp_path / "c1"), "update")
+    assert sorted(got) == [("A", "HIGH", 5, 70), ("B", "LOW", 1, 10)]
+    twins.run_once(twins.per_minute(read()), lambda b, e: minutes.extend(b.collect()), str(tmp_path / "c2"))
+    assert [(r.camera_id, r.alerts) for r in minutes] == [("A", 5)]
