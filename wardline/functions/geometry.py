@@ -60,18 +60,26 @@ def distance(ax, ay, bx, by) -> Column:
     return F.sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by))
 
 
-def closest_on_polygon(x: Column, y: Column, polygon) -> Column:
-    """struct(d, i, x, y): the nearest point of the polygon, the first edge on a tie; the point itself inside."""
-    best = []
+def edge_points(x: Column, y: Column, polygon, **extra: Column) -> list[Column]:
+    """struct(d, e, x, y) for each edge: its nearest point and how far that is. Extra fields o and zone keep o before e."""
+    out = []
     for i, e in enumerate(edges(polygon)):
         px, py = nearest_on_segment(x, y, *e)
-        best.append(F.struct(distance(x, y, px, py).alias("d"), F.lit(i).alias("i"), px.alias("x"), py.alias("y")))
-    own = F.struct(F.lit(0.0).alias("d"), F.lit(-1).alias("i"), x.alias("x"), y.alias("y"))
-    return F.when(inside(x, y, polygon), own).otherwise(F.least(*best))
+        named = {"e": F.lit(i), "x": px, "y": py} | extra
+        order = ("o", "e", "zone", "x", "y")
+        out.append(F.struct(distance(x, y, px, py).alias("d"), *[named[k].alias(k) for k in order if k in named]))
+    return out
+
+
+def closest_on_polygon(x: Column, y: Column, polygon) -> Column:
+    """struct(d, e, x, y): the nearest point of the polygon, the first edge on a tie; the point itself inside."""
+    own = F.struct(F.lit(0.0).alias("d"), F.lit(-1).alias("e"), x.alias("x"), y.alias("y"))
+    return F.when(inside(x, y, polygon), own).otherwise(F.least(*edge_points(x, y, polygon)))
 
 
 def distance_to_polygon(x: Column, y: Column, polygon) -> Column:
-    return closest_on_polygon(x, y, polygon)["d"]
+    """0 inside, else the distance to the nearest edge."""
+    return F.when(inside(x, y, polygon), F.lit(0.0)).otherwise(F.least(*[distance(x, y, *nearest_on_segment(x, y, *e)) for e in edges(polygon)]))
 
 
 def centroid(x1, y1, x2, y2) -> tuple[Column, Column]:

@@ -60,7 +60,7 @@ def context(obs: DataFrame, zones: list[Zone], policy: Policy = DEFAULT, matrix:
         "_t": Z.nearest_armed(F.col("nx"), F.col("ny"), zones, policy, F.col("camera_id")),
     })
     df = df.withColumns({"target": F.col("_t.zone"), "target_d": F.col("_t.d")})
-    was = Z.distance_to_zone(F.col("fx0"), F.col("fy0"), F.col("target"), zones)
+    was = Z.distance_to_zone(F.col("fx0"), F.col("fy0"), F.col("target"), Z.armed(zones, policy))
     df = df.withColumn("approaching", F.coalesce((F.col("samples") >= 2) & (was - F.col("target_d") > policy.approach_epsilon), F.lit(False)))
     if matrix:
         (ax, ay), (bx, by) = G.project(F.col("fx0"), F.col("fy0"), matrix), G.project(F.col("nx"), F.col("ny"), matrix)

@@ -58,16 +58,20 @@ def locate(obs: DataFrame, zones: list[Zone], x: str = "nx", y: str = "ny", came
     return out.withColumns({"zone": F.when(ok, F.col("_z.zone")), "zone_kind": F.when(ok, F.col("_z.kind")), "base_risk": F.when(ok, F.col("_z.base_risk"))}).drop("_z")
 
 
+def armed(zones: list[Zone], policy: Policy = DEFAULT) -> list[Zone]:
+    return [z for z in zones if z.kind in policy.alert_kinds]
+
+
 def nearest_armed(x: Column, y: Column, zones: list[Zone], policy: Policy = DEFAULT, camera: Column | None = None) -> Column:
-    """struct(d, o, zone, x, y): the nearest armed zone, the first on a tie; null if none is armed."""
+    """struct(d, o, e, zone, x, y): the nearest armed zone and its nearest point, the first on a tie; null if none is armed."""
     cands = []
-    for i, z in enumerate(z for z in zones if z.kind in policy.alert_kinds):
-        c = G.closest_on_polygon(x, y, z.polygon)
-        s = F.struct(c["d"].alias("d"), F.lit(i).alias("o"), F.lit(z.name).alias("zone"), c["x"].alias("x"), c["y"].alias("y"))
-        cands.append(s if z.camera_id is None or camera is None else F.when(camera == z.camera_id, s))
+    for i, z in enumerate(armed(zones, policy)):
+        own = F.when(G.inside(x, y, z.polygon), F.struct(F.lit(0.0).alias("d"), F.lit(i).alias("o"), F.lit(-1).alias("e"), F.lit(z.name).alias("zone"), x.alias("x"), y.alias("y")))
+        for s in (own, *G.edge_points(x, y, z.polygon, o=F.lit(i), zone=F.lit(z.name))):
+            cands.append(s if z.camera_id is None or camera is None else F.when(camera == z.camera_id, s))
     if not cands:
-        return F.lit(None).cast("struct<d:double,o:int,zone:string,x:double,y:double>")
-    return F.least(*cands) if len(cands) > 1 else cands[0]
+        return F.lit(None).cast("struct<d:double,o:int,e:int,zone:string,x:double,y:double>")
+    return F.least(*cands)
 
 
 def distance_to_zone(x: Column, y: Column, name: Column, zones: list[Zone]) -> Column:
