@@ -27,9 +27,13 @@ def canonical_class(raw: Column) -> Column:
     return out
 
 
+def sure(confidence: Column, sharpness: Column) -> Column:
+    return (confidence >= 0.12) & (sharpness >= 45)
+
+
 def accept(reads: DataFrame, raw: str = "raw", confidence: str = "confidence", sharpness: str = "sharpness") -> DataFrame:
     """Reads that normalise (column plate), of enough confidence and sharpness."""
-    return P.normalised(reads.where((F.col(confidence) >= 0.12) & (F.col(sharpness) >= 45)), raw).where("plate is not null")
+    return P.normalised(reads.where(sure(F.col(confidence), F.col(sharpness))), raw).where("plate is not null")
 
 
 def consensus(reads: DataFrame, key: list[str], plate: str, order: str, min_reads: int = 2) -> DataFrame:

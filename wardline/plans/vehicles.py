@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from wardline.functions import geometry as G
@@ -23,6 +25,12 @@ def reads(spark, sf_dir):
     return o.where(P.plausible(F.col("plate")) & (F.col("sharpness") >= 45) & (F.col("confidence") >= 0.12))
 
 
+def accepted(spark, sf_dir):
+    """Sharp, sure reads of a valid number; plate is that number, with confused characters repaired."""
+    o = view(spark, sf_dir, "fx_ocr").withColumns({"confidence": F.col("ocr_conf_pct") / 100, "at_s": F.floor(F.col("stream_ms") / 1000)})
+    return V.accept(o)
+
+
 def plate_clean(spark, sf_dir):
     """Every raw read tidied, repaired, displayed."""
     o = P.normalised(view(spark, sf_dir, "fx_ocr"), "raw")
@@ -39,11 +47,11 @@ def plate_fragments(spark, sf_dir):
     return V.fragments(f)
 
 
-def plate_consensus(spark, sf_dir):
+def plate_consensus(spark, sf_dir, reads=reads):
     return V.consensus(reads(spark, sf_dir), ["camera_id", "track_id"], "plate", "k")
 
 
-def plate_unconfirmed(spark, sf_dir):
+def plate_unconfirmed(spark, sf_dir, reads=reads):
     r = reads(spark, sf_dir)
     return V.unconfirmed(r, V.consensus(r, ["camera_id", "track_id"], "plate", "k", 40), ["camera_id", "track_id"], "plate")
 
@@ -58,12 +66,12 @@ def plate_to_vehicle(spark, sf_dir):
     return V.in_vehicle(box.where(ok), veh)
 
 
-def fleet_plates(spark, sf_dir):
+def fleet_plates(spark, sf_dir, reads=reads):
     r = reads(spark, sf_dir).withColumn("camera_id", F.concat(F.lit("CAM-0"), (F.col("event_id") % 5 + 1).cast("string")))
     return V.fleet(r).withColumn("cameras", F.array_join("cameras", ","))
 
 
-def registry_check(spark, sf_dir):
+def registry_check(spark, sf_dir, reads=reads):
     """The first plausible plate of each track against the registry."""
     seen = reads(spark, sf_dir).groupBy("camera_id", "track_id").agg(F.min_by("plate", "k").alias("plate"), F.min_by("label", "k").alias("label"))
     return V.check_registry(seen, view(spark, sf_dir, "fx_registry")).select("camera_id", "track_id", "plate", "known", "flagged", "mismatch", "behaviour", "points", "detail")
@@ -74,17 +82,23 @@ def _sightings(spark, sf_dir):
     return o.withColumn("plate", F.when(P.plausible(F.col("plate")) & (F.col("sharpness") >= 45), F.col("plate")))
 
 
-def vehicle_passes(spark, sf_dir):
-    p = V.passes(_sightings(spark, sf_dir))
+def _accepted_sightings(spark, sf_dir):
+    """All observations; plate is the valid number of those whose read is accepted."""
+    o = P.normalised(view(spark, sf_dir, "fx_ocr").withColumn("confidence", F.col("ocr_conf_pct") / 100), "raw")
+    return o.withColumn("plate", F.when(V.sure(F.col("confidence"), F.col("sharpness")), F.col("plate")))
+
+
+def vehicle_passes(spark, sf_dir, sightings=_sightings):
+    p = V.passes(sightings(spark, sf_dir))
     return p.select("camera_id", "track_id", "pass_no", F.col("first_ms").cast("long").alias("first_ms"), F.col("last_ms").cast("long").alias("last_ms"), "frames", "plate", "confidence", "crop_event")
 
 
-def pass_suppression(spark, sf_dir):
-    s = V.suppress(V.passes(_sightings(spark, sf_dir)))
+def pass_suppression(spark, sf_dir, sightings=_sightings):
+    s = V.suppress(V.passes(sightings(spark, sf_dir)))
     return s.select("pass_key", "camera_id", "track_id", F.col("last_ms").cast("long").alias("last_ms"), "frames")
 
 
-def read_sampling(spark, sf_dir):
+def read_sampling(spark, sf_dir, reads=reads):
     r = reads(spark, sf_dir)
     return V.sample_reads(r, "veh_w", "veh_area", "k", "plate", ["camera_id", "track_id"], apart=3).select("camera_id", "track_id", "event_id", F.col("k").cast("long").alias("k"))
 
@@ -160,6 +174,9 @@ def url_redact(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (plate_clean, plate_fragments, plate_consensus, plate_unconfirmed, plate_to_vehicle, fleet_plates, registry_check, vehicle_passes, pass_suppression, read_sampling, link_changes, link_outages, link_drops, camera_integrity, chain_verify, chain_heads, camera_nearest, coverage_wedge, camera_geofences, camera_unplaced, site_map, range_height, url_redact)}
+# The same over repaired plates, which SQL cannot express; the queries above are held to SQL over the text as read.
+QUERIES |= {f"{f.__name__}_repaired": partial(f, reads=accepted) for f in (plate_consensus, plate_unconfirmed, fleet_plates, registry_check, read_sampling)}
+QUERIES |= {f"{f.__name__}_repaired": partial(f, sightings=_accepted_sightings) for f in (vehicle_passes, pass_suppression)}
 
 RD = """rd AS (SELECT *, upper(replace(raw, ' ', '')) AS plate, ocr_conf_pct / 100.0::DOUBLE AS confidence, CAST(floor(stream_ms / 1000) AS BIGINT) AS at_s FROM fx_ocr WHERE raw <> 'TAXI' AND sharpness >= 45 AND ocr_conf_pct >= 12)"""
 
