@@ -3,7 +3,10 @@
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+
 from wardline.functions import plates as P
+from wardline.operators import site
 from wardline.plans import catalog
 from wardline.plans.fixtures import view
 
@@ -105,3 +108,15 @@ def test_repaired_plates(spark):
             last[key] = end
             out.add((key, k[0], k[1], end))
     assert {(r.pass_key, r.camera_id, r.track_id, r.last_ms) for r in run("pass_suppression_repaired")} == out
+
+
+def test_nearest_of_many(spark):
+    """Above the switch by size the neighbours are those of comparing all with all: dense, sparse, polar, across the date line."""
+    rng = np.random.default_rng(5)
+    near = [(28.6 + a, 77.2 + b) for a, b in rng.normal(0, 0.01, (60, 2))]
+    far = list(zip(rng.uniform(-89.9, 89.9, 60), rng.uniform(-180, 180, 60), strict=True))
+    rest = [(80.0, 10 + i * 0.2) for i in range(6)] + [(80.5, 10.0), (0.0, 179.999), (0.0, -179.999), (0.01, 179.9), (89.99, 0.0), (89.99, 180.0)]
+    places = [(f"C{i:03d}", float(a), float(b)) for i, (a, b) in enumerate(near + far + rest)] + [("N", None, 1.0)]
+    df = spark.createDataFrame(places, "camera_id string, lat double, lon double")
+    want, got = ([tuple(r) for r in site.nearest(df, **x).orderBy("camera_id", "nth").collect()] for x in ({}, {"few": 10, "cell": 0.5}))
+    assert len(want) == 3 * (len(places) - 1) and got == want

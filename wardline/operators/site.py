@@ -2,31 +2,59 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions import geometry as G
 
 
-def nearest(cameras: DataFrame, k: int = 3, cell: float = 0.01) -> DataFrame:
+def _cut(df: DataFrame) -> DataFrame:
+    """The same rows without their lineage, in the shared checkpoint folder if there is one."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
+def nearest(cameras: DataFrame, k: int = 3, cell: float = 0.01, few: int = 20_000) -> DataFrame:
     """The k nearest other cameras of each, by great circle (ties by id): rows (camera_id, other_id, metres, nth).
 
-    Up to 20,000 placed cameras are compared with a broadcast copy of themselves. More are dealt into cells of `cell` degrees, and
-    each camera sees the cells up to three away only: choose cells so large that these hold k others.
+    Up to `few` placed cameras are compared with a broadcast copy of themselves. More are dealt into cells of `cell` degrees, and
+    each camera sees its own and the eight around it; those whose k-th neighbour may be farther than the edge of these do so
+    again with cells twice as wide. The results are the same. Each round is cut off from the last by a checkpoint.
     """
     c = cameras.where("lat is not null and lon is not null").select("camera_id", "lat", "lon")
-    if c.limit(20_001).count() <= 20_000:  # a fleet: small enough to compare with a broadcast copy of itself
-        o = c.select(F.col("camera_id").alias("other_id"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-        pairs = c.join(F.broadcast(o), F.col("camera_id") != F.col("other_id"))
-    else:
-        c = c.withColumns({"gx": F.floor(F.col("lon") / cell), "gy": F.floor(F.col("lat") / cell)})
-        ring = F.explode(F.expr("sequence(-3, 3)"))
-        o = c.select(F.col("camera_id").alias("other_id"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "gx", "gy")
-        o = o.withColumn("dx", ring).withColumn("dy", ring).withColumns({"gx": F.col("gx") + F.col("dx"), "gy": F.col("gy") + F.col("dy")}).drop("dx", "dy")
-        pairs = c.join(o, ["gx", "gy"]).where("camera_id <> other_id")
-    d = pairs.withColumn("metres", G.haversine_m(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2")))
+    metres = G.haversine_m(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))
     w = Window.partitionBy("camera_id").orderBy("metres", "other_id")
-    return d.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= k).select("camera_id", "other_id", "metres", "nth")
+    cols = ["camera_id", "other_id", "metres", "nth"]
+    o = c.select(F.col("camera_id").alias("other_id"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
+    if c.limit(few + 1).count() <= few:  # a fleet: small enough to compare with a broadcast copy of itself
+        d = c.join(F.broadcast(o), F.col("camera_id") != F.col("other_id")).withColumn("metres", metres)
+        return d.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= k).select(*cols)
+    left = c.withColumn("narrow", F.min(F.cos(F.radians("lat"))).over(Window.partitionBy("camera_id")))
+    done = []
+    while True:
+        n = max(1, int(360 // cell))  # cells around the globe, a little wider than `cell`
+        gx, gy = (lambda lon: F.pmod(F.floor((lon.cast("double") + 180) * n / 360), F.lit(n))), (lambda lat: F.floor((lat.cast("double") + 90) * n / 360))  # noqa: B023
+        around = lambda g: F.sequence(g - 1, g + 1)
+        a = left.withColumn("gx", F.explode(F.array_distinct(F.transform(around(gx(F.col("lon"))), lambda x: F.pmod(x, F.lit(n))))))  # noqa: B023
+        a = a.withColumn("gy", F.explode(around(gy(F.col("lat")))))
+        d = a.join(o.withColumns({"gx": gx(F.col("lon2")), "gy": gy(F.col("lat2"))}), ["gx", "gy"]).where("camera_id <> other_id").withColumn("metres", metres)
+        top = d.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= k)
+        if n == 1:
+            done.append(top.select(*cols))
+            break
+        # Whatever is not in the nine cells is at least one cell away in latitude or longitude; the meridian so far away is nearest
+        # where the sine of the arc is cos(lat) * sin(angle). A little less, for rounding.
+        edge = G.EARTH_M * F.asin(F.greatest(F.col("narrow"), F.lit(0.0)) * math.sin(min(math.radians(360 / n), math.pi / 2))) * (1 - 1e-9) - 1e-3
+        top = top.withColumn("sure", F.max(F.when((F.col("nth") == k) & (F.col("metres") < edge), 1).otherwise(0)).over(Window.partitionBy("camera_id"))).where("sure = 1").select(*cols)
+        top = _cut(top)
+        done.append(top)
+        left = _cut(left.join(top.select("camera_id").distinct(), "camera_id", "left_anti"))
+        if left.isEmpty():
+            break
+        cell *= 2
+    return reduce(DataFrame.unionAll, done)
 
 
 def wedge(lat: Column, lon: Column, bearing: Column, fov: Column, metres: float = 60.0, steps: int = 12) -> Column:
