@@ -12,9 +12,13 @@ from wardline.llm.common import held_out, read, ready
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages that the rows with a language teach; those without any (null, no letter) go."""
+    """Documents with a letter; null texts and those without one go. What the rows with a language teach rejects no other document,
+    so none is lost where they teach no language, or one that is named und."""
     filters = language_id.fit(docs.where(~held_out(F.col("doc_id"))).select("lang", "text"))
-    return language_id.predict(docs, filters).where("lang_pred <> 'und'").select(*docs.columns)
+    bare = "_bare"
+    while bare in docs.columns:
+        bare += "_"
+    return language_id.predict(docs, filters, rejected=bare).where(~F.col(bare)).select(*docs.columns)
 
 
 def join_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

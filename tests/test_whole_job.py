@@ -3,7 +3,9 @@
 import re
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import numpy as np
+from pyspark.sql import functions as F
 
 from wardline.functions import plates as P
 from wardline.operators import site
@@ -120,3 +122,12 @@ def test_nearest_of_many(spark):
     df = spark.createDataFrame(places, "camera_id string, lat double, lon double")
     want, got = ([tuple(r) for r in site.nearest(df, **x).orderBy("camera_id", "nth").collect()] for x in ({}, {"few": 10, "cell": 0.5}))
     assert len(want) == 3 * (len(places) - 1) and got == want
+
+
+def test_no_language(spark):
+    """Where no row has a language, or one of that name is learned, only documents without a letter go; their own columns stay."""
+    rows = [(1, "some text", None), (2, "123 --", None), (3, None, None), (4, "\u00c9t\u00e9", None)]
+    for lang in (None, "und"):
+        df = spark.createDataFrame([(i, t, lang) for i, t, _ in rows], "doc_id long, text string, lang string").withColumn("_bare", F.lit("x"))
+        got = corpus_pipeline.identify(spark, df, SF)
+        assert got.columns == df.columns and sorted((r.doc_id, r._bare) for r in got.collect()) == [(1, "x"), (4, "x")]

@@ -125,23 +125,29 @@ def fit(labelled: DataFrame, share: float = 8e-6, near: float = 0.05, bits: int
     labelled = labelled.where("lang is not null and text is not null")
     counts = gram_counts(labelled).persist()
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
-    langs = [r.lang for r in totals.orderBy(F.desc("total"), "lang").limit(65).collect()]
-    if len(langs) > 64:
-        raise ValueError("more than 64 languages")
+    langs = [r.lang for r in totals.orderBy(F.desc("total"), "lang").collect()]
     kept = counts.join(F.broadcast(totals), "lang").withColumn("rate", F.col("n") / F.col("total")).where(F.col("rate") >= share)
     best = kept.groupBy("gram").agg(F.max("rate").alias("best"))
-    rows = kept.join(best, "gram").where(F.col("rate") >= near * F.col("best")).select("lang", "gram").toArrow().to_pydict()
+    rows = kept.join(best, "gram").where(F.col("rate") >= near * F.col("best")).select("lang", "gram")
+    if len(langs) > SLICE:
+        rows = rows.persist()
+    parts = []
+    for at in range(0, len(langs), SLICE):
+        part = langs[at : at + SLICE]
+        got = (rows.where(F.col("lang").isin(part)) if len(langs) > SLICE else rows).toArrow()
+        which = pa.compute.index_in(got["lang"], pa.array(part)).to_numpy()
+        parts.append(Filters.build(part, np.stack([which.astype(np.int64), got["gram"].to_numpy()], axis=1), bits))
+    rows.unpersist()
     counts.unpersist()
-    number = {x: i for i, x in enumerate(langs)}
-    return Filters.build(langs, [(number[x], g) for x, g in zip(rows["lang"], rows["gram"], strict=True)], bits) if langs else Filters([], np.zeros(1, np.uint8), np.zeros(0))
+    return Filters.joined(parts) if parts else Filters([], np.zeros(1, np.uint8), np.zeros(0))
 
 
-def predict(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataFrame:
+def predict(docs: DataFrame, filters: Filters, text_col: str = "text", rejected: str | None = None) -> DataFrame:
     """docs with lang_pred and score: the language with the largest corrected share of the text's grams, and that share.
 
     `und` with score 0 for a null text, one without a letter, or if no language was learned. Ties go to the language with more
     training text. The whole text counts; rows stay as they are. Columns of docs named lang_pred or score are replaced. There is
-    no shuffle.
+    no shuffle. A name in `rejected` adds a boolean column: true for a null text and one without a letter, whatever was learned.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -155,16 +161,18 @@ def predict(docs: DataFrame, filters: Filters, text_col: str = "text") -> DataFr
         for batch in batches:
             texts = batch.column(text_col).to_pylist()
             lang, score = ["und"] * len(texts), np.zeros(len(texts))
+            good = [bool(t and letter(t)) for t in texts]
             for at, part in blocks([None if t is None else t.encode() for t in texts]) if f.langs else ():
                 share = f.share(part)
                 best = np.argmax(share, axis=1)
                 for i, b in enumerate(best):
-                    t = texts[at + i]
-                    if t and letter(t):
+                    if good[at + i]:
                         lang[at + i], score[at + i] = f.langs[b], share[i, b]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*batch.schema.names, "lang_pred", "score"])
+            more = [pa.array([not x for x in good], pa.bool_())] if rejected else []
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), *more], [*batch.schema.names, "lang_pred", "score", *([rejected] if rejected else [])])
 
-    return docs.mapInArrow(work, T.StructType([*docs.schema.fields]).add("lang_pred", "string").add("score", "double"))
+    schema = T.StructType([*docs.schema.fields]).add("lang_pred", "string").add("score", "double")
+    return docs.mapInArrow(work, schema.add(rejected, "boolean") if rejected else schema)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
