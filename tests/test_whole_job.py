@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from wardline.functions import plates as P
+from wardline.llm import language_id
 from wardline.operators import site
 from wardline.plans import catalog
 from wardline.plans.fixtures import view
@@ -131,3 +132,19 @@ def test_no_language(spark):
         df = spark.createDataFrame([(i, t, lang) for i, t, _ in rows], "doc_id long, text string, lang string").withColumn("_bare", F.lit("x"))
         got = corpus_pipeline.identify(spark, df, SF)
         assert got.columns == df.columns and sorted((r.doc_id, r._bare) for r in got.collect()) == [(1, "x"), (4, "x")]
+
+
+def test_many_languages(spark):
+    """150 languages: each text goes to its own, and the shares are those of one language's filter at a time."""
+    rows = [(f"l{i:03d}", " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{w}" for w in ("alpha", "bravo", "carol"))) for i in range(150)]
+    df = spark.createDataFrame(rows, "lang string, text string")
+    f = language_id.fit(df)
+    assert len(f.langs) == 150 and len(f.more) == 2
+    got = language_id.predict(df, f).collect()
+    assert all(r.lang == r.lang_pred for r in got)
+    texts = [t.encode() for _, t in rows]
+    share = f.share(texts)
+    for at in (0, 63, 64, 127, 128, 149):
+        slots = (f.slots, *f.more)[at // 64]
+        alone = language_id.Filters([f.langs[at]], (slots >> slots.dtype.type(at % 64) & slots.dtype.type(1)).astype(np.uint8), f.wrong[at : at + 1])
+        assert (alone.share(texts)[:, 0] == share[:, at]).all()

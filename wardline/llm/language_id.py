@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +18,8 @@ _FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 e
 HASHES = (0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35)
 #: Bytes of text handled at once in a task.
 BLOCK = 2_000_000
+#: Languages in one array of slots.
+SLICE = 64
 
 
 def blocks(texts: list[bytes | None]):
@@ -47,24 +50,32 @@ def grams(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Filters:
-    """One Bloom filter for each language over the same slots; a slot's bit l is language l's."""
+    """One Bloom filter for each language over the same slots; a slot's bit l is language l's. `more` has the slots of the 65th
+    language and on, 64 in each array."""
 
     langs: list[str]
     slots: np.ndarray
     wrong: np.ndarray
+    more: tuple[np.ndarray, ...] = ()
 
     @classmethod
-    def build(cls, langs: list[str], found: list[tuple[int, int]], bits: int):
-        """found: (language's number, gram's code)."""
+    def build(cls, langs: list[str], found, bits: int):
+        """found: (language's number, gram's code), as tuples or rows of an array; at most SLICE languages."""
+        found = np.asarray(found, np.int64).reshape(-1, 2)
         kind = next(t for n, t in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (64, np.uint64)) if len(langs) <= n)
         slots = np.zeros(1 << bits, kind)
-        codes, which = np.array([c for _, c in found], np.uint32), np.array([n for n, _ in found], np.int64)
+        codes, which = found[:, 1].astype(np.uint32), found[:, 0]
         for n in range(len(langs)):
             for h in HASHES:
                 slots[cls._slot(codes[which == n], h, bits)] |= kind(1 << n)
         full = np.array([np.mean(slots >> kind(n) & kind(1)) for n in range(len(langs))])
         return cls(langs, slots, full ** len(HASHES))
 
+    @classmethod
+    def joined(cls, parts: list):
+        """One of parts; all but the last have SLICE languages."""
+        return cls([x for p in parts for x in p.langs], parts[0].slots, np.concatenate([p.wrong for p in parts]), tuple(p.slots for p in parts[1:]))
+
     @staticmethod
     def _slot(codes: np.ndarray, h: int, bits: int) -> np.ndarray:
         mixed = codes ^ (codes >> np.uint32(15))
@@ -76,14 +87,17 @@ class Filters:
         """For each text and language, the share of the text's grams in its filter, false positives taken out."""
         codes, starts = grams(texts)
         bits = len(self.slots).bit_length() - 1
-        mask = self.slots[self._slot(codes, HASHES[0], bits)]
-        for h in HASHES[1:]:
-            mask &= self.slots[self._slot(codes, h, bits)]
+        places = [self._slot(codes, h, bits) for h in HASHES]
         n = np.diff(starts)
-        one, out = mask.dtype.type(1), np.zeros((len(texts), len(self.langs)))
-        for i in range(len(self.langs)):
-            hits = np.add.reduceat((mask >> mask.dtype.type(i) & one).astype(np.uint8), starts[:-1], dtype=np.int64)
-            out[:, i] = np.clip((hits / n - self.wrong[i]) / (1 - self.wrong[i]), 0, 1)
+        out = np.zeros((len(texts), len(self.langs)))
+        for at, slots in enumerate((self.slots, *self.more)):
+            mask = slots[places[0]]
+            for p in places[1:]:
+                mask &= slots[p]
+            one = mask.dtype.type(1)
+            for i in range(at * SLICE, min(at * SLICE + SLICE, len(self.langs))):
+                hits = np.add.reduceat((mask >> mask.dtype.type(i % SLICE) & one).astype(np.uint8), starts[:-1], dtype=np.int64)
+                out[:, i] = np.clip((hits / n - self.wrong[i]) / (1 - self.wrong[i]), 0, 1)
         return out
 
 
@@ -120,7 +134,7 @@ def fit(labelled: DataFrame, share: float = 8e-6, near: float = 0.05, bits: int
 
     A language's filter takes the grams that make up at least `share` of its grams (so at most 1 / share of them reach the
     driver for each language), unless some other language uses the gram more than 1 / near times as often.
-    At most 64 languages. With no labelled rows there are no languages.
+    Grams come to the driver for SLICE languages at a time. With no labelled rows there are no languages.
     """
     labelled = labelled.where("lang is not null and text is not null")
     counts = gram_counts(labelled).persist()
@@ -151,7 +165,7 @@ def predict(docs: DataFrame, filters: Filters, text_col: str = "text", rejected:
     """
     spark = docs.sparkSession
     ship(spark)
-    model = spark.sparkContext.broadcast(filters)  # 2^bits slots of 1 to 8 bytes
+    model = spark.sparkContext.broadcast(filters)  # 2^bits slots of 1 to 8 bytes for each SLICE languages
     docs = docs.drop("lang_pred", "score")
 
     def work(batches):
