@@ -1,5 +1,6 @@
 """Results that a partial job would miss, against brute force."""
 
+import hashlib
 import re
 from collections import Counter, defaultdict
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions import plates as P
 from wardline.llm import language_id
-from wardline.operators import site
+from wardline.operators import crosscam, integrity, links, site
 from wardline.plans import catalog
 from wardline.plans.fixtures import view
 
@@ -148,3 +149,36 @@ def test_many_languages(spark):
         slots = (f.slots, *f.more)[at // 64]
         alone = language_id.Filters([f.langs[at]], (slots >> slots.dtype.type(at % 64) & slots.dtype.type(1)).astype(np.uint8), f.wrong[at : at + 1])
         assert (alone.share(texts)[:, 0] == share[:, at]).all()
+
+
+def test_folds_keep_no_history(spark):
+    """Chains, link findings, subjects and tracks come in small batches with keys spread over them, and nothing gathers a key's rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = [(None if i % 4 == 3 else f"C{i % 4}", i, None if i % 5 == 0 else str(i), str(i), f"p{i}") for i in range(120)]
+        c = integrity.append(spark.createDataFrame(rows, "camera_id string, n long, event string, ts string, payload string"), ["camera_id"], "n")
+        want, heads = set(), {}
+        for k, n, *texts in rows:
+            prev, seq = heads.get(k, (integrity.GENESIS, 0))
+            h = hashlib.sha256("\x1f".join(x for x in (prev, *texts) if x is not None).encode()).hexdigest()
+            heads[k] = (h, seq + 1)
+            want.add((k, n, prev, h, seq + 1))
+        assert {(r.camera_id, r.n, r.prev_hash, r.hash, r.seq) for r in c.collect()} == want
+
+        dets = [("C", f, f * 2 + j, 0.9 - j / 10, 100 * j + f, 0, 100 * j + f + 30, 40, [0.9, 0.1] if j else [0.1, 0.9]) for f in range(40) for j in (0, 1) if not (j and 10 <= f < 30)]
+        t = crosscam.assign_tracks(spark.createDataFrame(dets, "camera_id string, frame int, det_id long, confidence double, x1 int, y1 int, x2 int, y2 int, hist array<double>"))
+        # the second is lost for 20 frames and revived by its looks
+        assert {(r.det_id, r.track_id) for r in t.collect()} == {(d[2], d[2] % 2 + 1) for d in dets}
+
+        sights = [(p, 10 * i + p, "AB"[i % 2], 100 * i, 100 * i + 5, [1.0, 0.0]) for p in range(3) for i in range(30)]
+        s = crosscam.link_subjects(spark.createDataFrame(sights, "post long, id long, camera_id string, first_s long, last_s long, hist array<double>"))
+        assert {(r.post, r.id, r.subject_id) for r in s.collect()} == {(p, i, f"S{i // 20 + 1:04d}") for p, i, *_ in sights}
+
+        states = [("C", i, 100 * i, ("RECONNECTING", "ONLINE")[i % 2]) for i in range(40)]
+        f = links.findings(spark.createDataFrame(states, "camera_id string, event_id long, at_s long, state string"))
+        assert sum(r.finding == "CAMERA LINK LOST" for r in f.collect()) == 20
+        for df in (c, t, s, f):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "MapInArrow" in plan and "FlatMapGroups" not in plan and "collect_list" not in plan
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions import vectors as V
+from wardline.operators import folds
 
 
 def near_in_time(left: DataFrame, right: DataFrame, at: str, other_at: str, window: float) -> DataFrame:
@@ -40,14 +41,17 @@ def subject_candidates(sightings: DataFrame, least=1, most=300, similarity: floa
 def link_subjects(sightings: DataFrame, least=1, most=300, similarity: float = 0.72, ttl=1800) -> DataFrame:
     """Rows (post, id, subject_id, camera_id, first_s, last_s): sightings in order of time, each given to the most similar subject
     seen `least` to `most` seconds ago that its camera has not seen (the last of equals), else to a new one. A subject looks
-    like a blend of its sightings. The posts are folded in parallel; a post keeps subjects of the last ttl seconds only."""
+    like a blend of its sightings. The posts are folded in parallel, each in order; a post keeps subjects of the last ttl seconds only."""
 
-    def work(pdf):
+    def start():
         import numpy as np
-        import pandas as pd
 
-        live, out, n = [], [], 0
-        for r in pdf.sort_values(["first_s", "id"]).itertuples():
+        live, n = [], 0
+
+        def step(r):
+            nonlocal live, n
+            if r is None:
+                return []
             live = [s for s in live if r.first_s - s["last"] <= ttl]
             hist = np.asarray(r.hist, float)
             best, score = None, similarity
@@ -65,10 +69,12 @@ def link_subjects(sightings: DataFrame, least=1, most=300, similarity: float = 0
                 best["hist"] = mixed / mixed.sum()
             best["cameras"].add(r.camera_id)
             best["last"] = max(best["last"], r.last_s)
-            out.append((r.post, r.id, best["id"], r.camera_id, r.first_s, r.last_s))
-        return pd.DataFrame(out, columns=["post", "id", "subject_id", "camera_id", "first_s", "last_s"])
+            return [(r.post, r.id, best["id"], r.camera_id, r.first_s, r.last_s)]
+
+        return step
 
-    return sightings.select("post", "id", "camera_id", F.col("first_s").cast("long"), F.col("last_s").cast("long"), "hist").groupBy("post").applyInPandas(work, "post bigint, id bigint, subject_id string, camera_id string, first_s bigint, last_s bigint")
+    rows = sightings.select("post", "id", "camera_id", F.col("first_s").cast("long"), F.col("last_s").cast("long"), "hist")
+    return folds.in_order(rows, ["post"], ["first_s", "id"], start, "post bigint, id bigint, subject_id string, camera_id string, first_s bigint, last_s bigint")
 
 
 def subject_summary(linked: DataFrame) -> DataFrame:
@@ -117,13 +123,13 @@ def assign_tracks(detections: DataFrame, key: tuple[str, ...] = ("camera_id",),
 
     In each frame detections take, surest first, the free track they overlap most (at least `iou`; the later of equals); those
     left revive a lost track that looks alike, or start a new one. A track missed in more than max_missed frames is lost, and
-    forgotten `memory` frames after it was last seen. Key by camera and day, say: each key's frames are folded in order.
+    forgotten `memory` frames after it was last seen. Each key's frames are folded in order; tracks and
+    one frame are kept.
     """
     fields = ", ".join(f"{k} {detections.schema[k].dataType.simpleString()}" for k in key)
 
-    def work(pdf):
+    def start():
         import numpy as np
-        import pandas as pd
 
         def over(a, b):
             w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
@@ -137,11 +143,13 @@ def assign_tracks(detections: DataFrame, key: tuple[str, ...] = ("camera_id",),
                 mixed = hist if t["hist"] is None else 0.7 * t["hist"] + 0.3 * hist
                 t["hist"] = mixed / mixed.sum()
 
-        live, lost, out, n = [], [], [], 0
-        pdf = pdf.sort_values(["frame", "det_id"])
-        for now, (frame, rows) in enumerate(pdf.groupby("frame", sort=True)):
-            free, open_ = list(live), []
-            for r in rows.sort_values("confidence", ascending=False, kind="stable").itertuples():
+        live, lost, rows, n, now = [], [], [], 0, -1
+
+        def frame_done():
+            nonlocal live, lost, rows, n, now
+            now += 1
+            free, open_, out = list(live), [], []
+            for r in sorted(rows, key=lambda r: (r.confidence is None, -(r.confidence or 0))):
                 box = (r.x1, r.y1, r.x2, r.y2)
                 hist = None if r.hist is None else np.asarray(r.hist, float)
                 scores = [over(box, t["box"]) for t in free]
@@ -151,7 +159,7 @@ def assign_tracks(detections: DataFrame, key: tuple[str, ...] = ("camera_id",),
                     continue
                 t = free.pop(best)
                 seen(t, box, hist, now)
-                out.append((r, frame, t["id"]))
+                out.append((r, t["id"]))
             for r, box, hist in open_:
                 scores = [0.0 if hist is None or t["hist"] is None else float(np.minimum(t["hist"], hist).sum()) for t in lost]
                 best = max(range(len(lost)), key=lambda i: (scores[i], i), default=None)  # noqa: B023
@@ -162,15 +170,25 @@ def assign_tracks(detections: DataFrame, key: tuple[str, ...] = ("camera_id",),
                     t = {"id": n, "hist": None}
                 seen(t, box, hist, now)
                 live.append(t)
-                out.append((r, frame, t["id"]))
+                out.append((r, t["id"]))
             for t in free:
                 t["missed"] += 1
             lost += [t for t in live if t["missed"] > max_missed]
             live = [t for t in live if t["missed"] <= max_missed]
             lost = [t for t in lost if now - t["last"] <= memory and t["hist"] is not None]
-        return pd.DataFrame([(*[getattr(r, k) for k in key], f, r.det_id, t) for r, f, t in out], columns=[*key, "frame", "det_id", "track_id"])
+            rows = []
+            return [(*[getattr(r, k) for k in key], r.frame, r.det_id, t) for r, t in out]
+
+        def step(r):
+            out = frame_done() if rows and (r is None or r.frame != rows[0].frame) else []
+            if r is not None:
+                rows.append(r)
+            return out
+
+        return step
 
-    return detections.select(*key, F.col("frame").cast("long"), "det_id", "confidence", "x1", "y1", "x2", "y2", "hist").groupBy(*key).applyInPandas(work, f"{fields}, frame bigint, det_id bigint, track_id bigint")
+    d = detections.select(*key, F.col("frame").cast("long"), "det_id", "confidence", "x1", "y1", "x2", "y2", "hist").where("frame is not null")
+    return folds.in_order(d, list(key), ["frame", "det_id"], start, f"{fields}, frame bigint, det_id bigint, track_id bigint")
 
 
 def newest_first(df: DataFrame, key: str, order: str) -> DataFrame:

@@ -1,9 +1,47 @@
-"""Rules whose next output depends on their last one, folded over each key's rows inside Catalyst."""
+"""Rules whose next output depends on their last one, folded over each key's rows inside Catalyst or in sorted batches."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+
+def in_order(rows: DataFrame, key: list[str], order: list[str], start, schema: str) -> DataFrame:
+    """Rows of `schema` from a fold over each key's rows in order, nulls first. start() gives a function that takes a row (a named
+    tuple of rows' columns), or None after the key's last, and returns a list of output rows.
+
+    Spark sorts the rows, on disk if need be, and they come in batches: a task holds a batch and one key's state, however
+    many rows the key has.
+    """
+    names, made = rows.columns, to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def work(batches):
+        from collections import namedtuple
+
+        kind = namedtuple("Row", names, rename=True)
+        at = [names.index(k) for k in key]
+        last = step = None
+
+        def packed(out):
+            return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * len(made), made, strict=True)], schema=made)
+
+        for batch in batches:
+            out = []
+            for r in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                now = [r[i] for i in at]
+                if step is None or now != last:
+                    if step is not None:
+                        out += step(None)
+                    last, step = now, start()
+                out += step(kind(*r))
+            yield packed(out)
+        if step is not None:
+            yield packed(step(None))
+
+    return rows.repartition(*key).sortWithinPartitions(*key, *order).mapInArrow(work, schema)
 
 
 def cooldown(rows: DataFrame, key: list[str], time: str, carry: list[str], wait, rank: str | None = None, tie: str = "event_id") -> DataFrame:

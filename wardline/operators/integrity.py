@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardline.operators import folds
+
 GENESIS = "0" * 64
 
 
@@ -13,19 +15,26 @@ def link(prev: Column, event: Column, ts: Column, payload: Column) -> Column:
 
 
 def append(rows: DataFrame, chain: list[str], order: str, head: str = GENESIS) -> DataFrame:
-    """rows (event, ts, payload as text) with prev_hash, hash and seq. Each chain is folded in order; choose chains (camera and
-    day, say) that are short enough for one array."""
-    item = F.struct(order, "event", "ts", "payload")
-    got = rows.groupBy(*chain).agg(F.array_sort(F.collect_list(item)).alias("xs"))
-    zero = F.struct(F.lit(head).alias("head"), F.array().cast("array<string>").alias("hs"))
-
-    def step(a, x):
-        h = link(a["head"], x["event"], x["ts"], x["payload"])
-        return F.struct(h.alias("head"), F.concat(a["hs"], F.array(h)).alias("hs"))
-
-    got = got.withColumn("hs", F.aggregate("xs", zero, step, lambda a: a["hs"]))
-    got = got.select(*chain, F.posexplode(F.arrays_zip("xs", "hs")).alias("i", "z"), "hs")
-    return got.select(*chain, f"z.xs.{order}", "z.xs.event", "z.xs.ts", "z.xs.payload", F.when(F.col("i") == 0, F.lit(head)).otherwise(F.get("hs", F.col("i") - 1)).alias("prev_hash"), F.col("z.hs").alias("hash"), (F.col("i") + 1).alias("seq"))
+    """rows (event, ts, payload as text) with prev_hash, hash and seq. Each chain is folded in order, with its head alone kept."""
+
+    def start():
+        from hashlib import sha256
+
+        prev, seq = head, 0
+
+        def step(r):
+            nonlocal prev, seq
+            if r is None:
+                return []
+            before, seq = prev, seq + 1
+            prev = sha256("\x1f".join(x for x in (before, r.event, r.ts, r.payload) if x is not None).encode()).hexdigest()
+            return [(*r, before, prev, seq)]
+
+        return step
+
+    rows = rows.select(*chain, order, "event", "ts", "payload")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return folds.in_order(rows, chain, [order, "event", "ts", "payload"], start, f"{schema}, prev_hash string, hash string, seq bigint")
 
 
 def verify(stored: DataFrame, chain: list[str], order: str = "seq") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardline.operators import folds
+
 # Finding and points.
 POINTS = {"CAMERA LINK LOST": 40, "CAMERA OFFLINE": 55, "REPEATED LINK LOSS": 15}
 
@@ -36,21 +38,23 @@ def findings(changed: DataFrame, at: str = "at_s", order: str = "event_id", grac
 
     A restored outage of `grace` seconds, a link given up, and `repeats` drops within `window` seconds are findings; each is
     silent for `cooldown` seconds after it was last raised. A link given up in that time leaves its outage open. The states
-    of one camera are folded; they are few.
+    of a camera are folded in order; the drops of the last `window` seconds are kept.
     """
 
-    def work(pdf):
-        import pandas as pd
+    def start():
+        down, recent, last = None, [], {}
 
-        down, recent, last, out = None, [], {}, []
-        for row in pdf.sort_values(order).itertuples():
+        def step(row):
+            nonlocal down, recent
+            if row is None:
+                return []
             now, names = getattr(row, at), []
 
             def raised(name):
-                if name in last and now - last[name] < cooldown:  # noqa: B023
+                if name in last and now - last[name] < cooldown:
                     return False
-                last[name] = now  # noqa: B023
-                names.append(name)  # noqa: B023
+                last[name] = now
+                names.append(name)
                 return True
 
             check = True
@@ -72,7 +76,9 @@ def findings(changed: DataFrame, at: str = "at_s", order: str = "event_id", grac
                 recent = [t for t in recent if now - t <= window]
                 if len(recent) >= repeats:
                     raised("REPEATED LINK LOSS")
-            out += [(row.camera_id, getattr(row, order), int(now), n, POINTS[n]) for n in names]
-        return pd.DataFrame(out, columns=["camera_id", "event_id", "at_s", "finding", "points"])
+            return [(row.camera_id, getattr(row, order), now, n, POINTS[n]) for n in names]
+
+        return step
 
-    return changed.select("camera_id", F.col(order).cast("long").alias(order), F.col(at).cast("long").alias(at), "state").groupBy("camera_id").applyInPandas(work, "camera_id string, event_id bigint, at_s bigint, finding string, points int")
+    rows = changed.select("camera_id", F.col(order).cast("long").alias(order), F.col(at).cast("long").alias(at), "state")
+    return folds.in_order(rows, ["camera_id"], [order, at, "state"], start, "camera_id string, event_id bigint, at_s bigint, finding string, points int")
