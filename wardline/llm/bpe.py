@@ -4,18 +4,31 @@ from __future__ import annotations
 
 import base64
 import re
+import sys
+from array import array
 from heapq import heappop, heappush
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm.common import read, ship
-
-#: Chunks and pieces in each of the two generations that a Python worker remembers, and their longest length.
-CACHE, LONG = 350_000, 48
+from wardline.llm.common import read, settle, ship
+
+#: Bytes of each of the two generations of chunks and pieces that a task remembers, their longest length, the bytes that an entry
+#: takes besides its text and ids, and the chunks of a text that are looked up between two looks at the room.
+ROOM, LONG, ENTRY, MANY = 50_000_000, 48, 190, 20_000
+# Letters and digits that came after Unicode 16.0, which the encoder to match goes by; the installed `regex` knows later ones.
+NEWER = (
+    "\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c-\uab6d"
+    "\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb"
+    "\U00011de0-\U00011de9\U00011df1\U0001246f\U00012475-\U0001247f\U00012550-\U00012686\U00016ea0-\U00016eb8"
+    "\U00016ebb-\U00016ed3\U00016ff2-\U00016ff6\U000187f8-\U000187ff\U00018cd6-\U00018cda\U00018d09-\U00018d20"
+    "\U00018d80-\U00018df2\U00018e00-\U00019191\U000191a0-\U000191d2\U0001b123-\U0001b128\U0001b168\U0001d6a6"
+    "\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96\U0001dfcd-\U0001dfff\U0001e6c0-\U0001e6de"
+    "\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff"
+    "\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f"
+)
 _BITS = [1 << i for i in range(256)]
 _STOPS = frozenset(",.;:!?)")
 _codecs: dict = {}
@@ -102,21 +115,44 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-class Codec(dict):
-    """Chunk of text -> its ids, filled on demand. Encodes and decodes whole texts."""
+class _Now(dict):
+    """Chunk of text -> its ids as bytes of 32-bit integers, filled on demand by a codec."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, size: int = CACHE):
-        import regex
+    __slots__ = ("codec",)
 
+    def __init__(self, codec: Codec):
         super().__init__()
-        self.ranks, self.size = ranks, size
-        self.old: dict[str, tuple[int, ...]] = {}
-        self.pieces = regex.compile(pattern).findall
+        self.codec = codec
+
+    def __missing__(self, chunk: str) -> bytes:
+        return self.codec.ids_of(chunk)
+
+
+class Codec:
+    """Encodes and decodes whole texts. Chunks seen lately are remembered in two generations of about `room` bytes each."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, room: int = ROOM):
+        import regex
+
+        self.ranks, self.room = ranks, room
+        self._pieces = regex.compile(pattern)
+        self._newer = regex.compile(f"[{NEWER}]")
         self.bytes_of = dict(zip(ranks.values(), ranks.keys(), strict=True))
         self.runs = re.compile(r"\s\s|\x00").search
+        self.forget()
+
+    def forget(self) -> None:
+        self.old, self.now, self.left = {}, _Now(self), self.room
 
-    def __missing__(self, chunk: str) -> tuple[int, ...]:
-        got = self.old.pop(chunk, None)
+    def pieces(self, text: str) -> list[str]:
+        """Matches of the pattern; characters of NEWER count as neither letters nor digits."""
+        if text.isascii() or not self._newer.search(text):
+            return self._pieces.findall(text)
+        return [text[m.start() : m.end()] for m in self._pieces.finditer(self._newer.sub("\U000f0000", text))]
+
+    def ids_of(self, chunk: str) -> bytes:
+        """Ids of a chunk that is not among the newer generation."""
+        got = self.old.get(chunk)
         if got is None:
             head = chunk[:-1]
             if chunk.isalpha() or chunk[:1] == " " and chunk[1:].isalpha():  # one run of letters is one piece
@@ -128,11 +164,12 @@ class Codec(dict):
             if len(pieces) == 1:
                 b = chunk.encode()
                 r = self.ranks.get(b)
-                got = tuple(merge(b, self.ranks)) if r is None else (r,)
+                got = array("i", merge(b, self.ranks)).tobytes() if r is None else r.to_bytes(4, sys.byteorder)
             else:  # a piece alone is one piece again
-                got = tuple(chain.from_iterable(map(self.__getitem__, pieces)))
+                got = b"".join(map(self.now.__getitem__, pieces))
         if len(chunk) <= LONG:
-            self[chunk] = got
+            self.now[chunk] = got
+            self.left -= ENTRY + len(chunk) + len(got)
         return got
 
     def encode(self, text: str) -> np.ndarray:
@@ -142,22 +179,19 @@ class Codec(dict):
             chunks = self.pieces(text)
         else:
             chunks = text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
-        if len(self) > self.size:
-            self.old = dict(self)
-            self.clear()
-        return np.fromiter(chain.from_iterable(map(self.__getitem__, chunks)), np.int32)
-
-    def rest(self) -> None:
-        """Between tasks, keep one generation at most: other operators share the worker's memory."""
-        if len(self) > self.size // 2:
-            self.old = {}
+        out = []
+        for at in range(0, len(chunks), MANY):
+            if self.left < 0:
+                self.old, self.now, self.left = self.now, _Now(self), self.room
+            out.append(b"".join(map(self.now.__getitem__, chunks[at : at + MANY])))
+        return np.frombuffer(b"".join(out), np.int32)
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
 def codec(path: str, pattern: str) -> Codec:
-    """One codec for each rank file, kept while the Python worker lives."""
+    """One codec for each rank file, whose tables are kept while the Python worker lives."""
     if (path, pattern) not in _codecs:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
@@ -186,7 +220,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 if decoded:
                     cols.append(pa.array([c.decode(x.tolist()) for x in ids], pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, [id_col, "ids", "decoded"][: len(cols)])
-        c.rest()
+        c.forget()
+        settle()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(work, f"{id_col} {kind}, ids array<int>" + ", decoded binary" * decoded)

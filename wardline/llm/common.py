@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -34,11 +35,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def ready(spark: SparkSession) -> None:
-    """Have a checkpoint folder: the cluster's shared one, or a temporary one where none is named."""
+    """Have a checkpoint folder: the cluster's shared one. In local mode, as in tests, a temporary one will do."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.match(r"local($|\[)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -52,6 +55,21 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def settle() -> None:
+    """At the end of a task: give memory that Python no longer uses back to the system, which a reused worker would keep."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the rows that no model may learn labels from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -61,43 +79,60 @@ def as_long(bits: Column) -> Column:
     return bits.cast("long")
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def _with_least(rows: DataFrame, low: DataFrame, total: int) -> DataFrame:
+    """rows (a, b) with m of low (a, m, n), n being the number of rows of a among total. What more than a thousandth of the rows share
+    is sent to all tasks (so 1,000 keys at most); only the rest is dealt out by a."""
+    many = F.col("n") > total // 1000
+    sent = F.broadcast(low.where(many).select("a", F.col("m").alias("_m")))
+    rows = rows.join(sent, "a", "left")
+    rest = rows.where("_m is null").select("a", "b").join(low.where(~many).select("a", "m"), "a")
+    return rows.where("_m is not null").select("a", "b", F.col("_m").alias("m")).union(rest)
+
+
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b): rows (node, component), component being the smallest node reachable.
 
     Alternates large-star and small-star steps: the neighbours of each node are linked to the smallest of them, until nothing
-    changes. Minima are taken by partial aggregation and joined back, so that a node of many neighbours is never gathered.
-    Each round is cut into the shared folder. Nodes without edges have no row; self-edges and repeats are allowed.
+    changes. Minima are taken by partial aggregation and joined back, those of hubs by broadcast, so that a node of many neighbours
+    is never gathered. Each round is cut into the shared folder. Nodes without edges have no row; self-edges and repeats are allowed.
     """
-    e = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
-    e = cut(e)
-    seen = None
-    for _ in range(rounds):
+
+    def size(e: DataFrame):
+        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    e = cut(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct())
+    state = size(e)
+    while state[0]:
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low2 = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low2, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = _with_least(both.where("b > a"), low, 2 * state[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = _with_least(large, low, state[0]).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         e = cut(small.where("a > b").distinct())
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        seen, state = state, size(e)
         if state == seen:
             break
-        seen = state
-    else:
-        raise RuntimeError("components did not settle")
     low = e.groupBy("a").agg(F.min("b").alias("component"))
     roots = low.select(F.col("component").alias("node")).distinct().withColumn("component", F.col("node"))
     return low.withColumnRenamed("a", "node").union(roots)
 
 
-def block_pairs(members: DataFrame, key: str, member: str, limit: int) -> DataFrame:
-    """members with own, b1, b2: each group of equal key cut into blocks of about limit members, a row for each pair of blocks.
+def named(doc: Column, text: Column) -> tuple[Column, Column]:
+    """Two numbers that stand for an id and its text, nulls included."""
+    return F.xxhash64(doc, text).alias("d1"), F.xxhash64(F.lit(1), text, doc).alias("d2")
+
+
+def block_pairs(members: DataFrame, key: str, member: str, limit: int, weight: Column | None = None) -> DataFrame:
+    """members with own, b1, b2: each group of equal key cut into blocks of about limit members (or of that total weight), a row for
+    each pair of blocks.
 
     Grouping by (key, b1, b2) then brings every two members of a group together exactly once (members of one block where
     b1 = b2), without any task holding a large group. A group of n members gives n * n / limit rows, n if it fits.
     """
-    big = members.groupBy(key).count().where(F.col("count") > limit)
-    nb = F.coalesce(F.ceil(F.col("count") / limit), F.lit(1)).cast("int")
-    out = members.join(big, key, "left").withColumn("nb", nb).drop("count")
+    size = F.count("*") if weight is None else F.sum(weight)
+    big = members.groupBy(key).agg(size.alias("_size")).where(F.col("_size") > limit)
+    nb = F.coalesce(F.ceil(F.col("_size") / limit), F.lit(1)).cast("int")
+    out = members.join(big, key, "left").withColumn("nb", nb).drop("_size")
     out = out.withColumn("own", F.pmod(F.xxhash64(F.lit(5), member), F.col("nb")).cast("int"))
     out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     return out.withColumns({"b1": F.least("own", "other"), "b2": F.greatest("own", "other")}).drop("nb", "other")

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm.common import cut, read
+from wardline.llm.common import cut, named, read
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -28,11 +28,6 @@ def shingle(ws: Column, at: Column, width: int) -> Column:
     return F.xxhash64(*[F.get(ws, at + i) for i in range(width)])
 
 
-def named(doc: Column, text: Column) -> tuple[Column, Column]:
-    """Two numbers that stand for an id and its text, nulls included."""
-    return F.xxhash64(doc, text).alias("d1"), F.xxhash64(F.lit(1), text, doc).alias("d2")
-
-
 def item_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (item, win, words, size, width): the windows of each item; win names the window's words."""
     w = items.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col)).alias("ws")).where(F.size("ws") > 0)

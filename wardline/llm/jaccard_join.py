@@ -9,18 +9,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm.common import block_pairs, components, cut, read, ship
+from wardline.llm.common import block_pairs, components, cut, named, read, settle, ship
 from wardline.llm.forest import stars
 from wardline.llm.substring_dedup import mix
 
 _U = np.uint64
-#: Bands and hashes of a band: a pair at 0.8 shares no band with probability (1 - 0.8^5)^32 = 3e-6. The first TESTED hashes are compared in steps.
-BANDS, ROWS, TESTED, STEP = 32, 5, 64, 16
+#: Wanted chance that a pair at the threshold shares no band.
+MISS = 5e-6
+#: Hashes that are compared in steps, and a step.
+TESTED, STEP = 64, 16
 #: A candidate is dropped when the chance that it reaches the threshold falls below this.
 TOLERANCE = 1e-6
-#: Text bytes handled at once, members of a block of candidates, and of a block of documents to verify.
-BLOCK, NEAR, VERIFY = 2_000_000, 1000, 400
-_COEF = np.random.default_rng(50).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * _U(2) + _U(1)
+#: Text bytes handled at once, members of a block of candidates, shingles of a block to verify, and documents of a tile of it.
+BLOCK, NEAR, VERIFY, TILE = 2_000_000, 1000, 400_000, 512
+
+
+def layout(threshold: float) -> tuple[int, int]:
+    """Bands, and hashes of a band: a pair at the threshold shares a band about once in three, and no band with probability MISS."""
+    rows = max(1, round(math.log(1 / 3) / math.log(threshold))) if 0 < threshold < 1 else 1
+    return max(1, math.ceil(math.log(MISS) / math.log(1 - min(0.999, threshold**rows)))), rows
 
 
 def shingles(texts: list[str | None], n: int) -> list[np.ndarray]:
@@ -58,51 +65,68 @@ def least_matches(threshold: float) -> list[int]:
     return out
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """Rows (doc, f1, f2, bands array<bigint>, sig binary): f1 and f2 name the set of shingles; null for texts without words."""
+def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float) -> DataFrame:
+    """Rows (doc, d1, d2, f1, f2, shingles, bands array<bigint>, sig binary): d1 and d2 name the row's id and text, f1 and f2 the set
+    of shingles; f1 and on are null for texts without words."""
     ship(docs.sparkSession)
+    bands, rows = layout(threshold)
+    hashes = max(bands * rows, TESTED)
+    coef = np.random.default_rng(50).integers(1, 1 << 63, hashes, dtype=np.uint64) * _U(2) + _U(1)
 
     def work(batches):
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1).to_pylist()
+            texts = batch.column("text").to_pylist()
             at = 0
             while at < len(texts):
                 end, size = at, 0
                 while end < len(texts) and size < BLOCK:
                     size += len(texts[end] or "")
                     end += 1
-                yield one(ids.slice(at, end - at), shingles(texts[at:end], n))
+                yield one(batch.slice(at, end - at).select(["doc", "d1", "d2"]), shingles(texts[at:end], n))
                 at = end
+        settle()
 
-    def one(ids, sets):
+    def one(names, sets):
         full = [s for s in sets if len(s)]
         some = np.array([len(s) > 0 for s in sets], bool)
         m = len(full)
         f1, f2 = (np.array([np.sum(mix(s + _U(k))) for s in full], np.uint64).view(np.int64) for k in (1, 2))
-        sig = np.zeros((m, BANDS * ROWS), np.uint64)
+        sig = np.zeros((m, hashes), np.uint64)
         if m:
             flat = np.concatenate(full)
             starts = np.concatenate([[0], np.cumsum([len(s) for s in full])])[:-1]
-            for k, c in enumerate(_COEF):
+            for k, c in enumerate(coef):
                 sig[:, k] = np.minimum.reduceat(flat * c, starts)
         sig = mix(sig)
-        bands = np.zeros((m, BANDS), np.uint64)
-        for b in range(BANDS):
+        keys = np.zeros((m, bands), np.uint64)
+        for b in range(bands):
             acc = np.full(m, b + 1, np.uint64)
-            for k in range(ROWS):
-                acc = mix(acc * _U(31) + sig[:, b * ROWS + k])
-            bands[:, b] = acc
+            for k in range(rows):
+                acc = mix(acc * _U(31) + sig[:, b * rows + k])
+            keys[:, b] = acc
         short = np.ascontiguousarray((sig[:, :TESTED] >> _U(48)).astype(np.uint16))
-        where = np.cumsum(some) - 1
-        pick = pa.array(np.where(some, where, 0), mask=~some)
-        col = lambda a: a.take(pick)
-        offsets = pa.array(np.arange(m + 1) * BANDS, pa.int32())
-        lists = pa.ListArray.from_arrays(offsets, pa.array(bands.view(np.int64).ravel(), pa.int64()))
-        cols = [ids, *(col(x) for x in (pa.array(f1), pa.array(f2), lists, pa.array([r.tobytes() for r in short], pa.binary())))] if m else [ids, *(pa.nulls(len(ids), t) for t in (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()))]
-        return pa.RecordBatch.from_arrays(cols, ["doc", "f1", "f2", "bands", "sig"])
+        pick = pa.array(np.where(some, np.cumsum(some) - 1, 0), mask=~some)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * bands, pa.int32()), pa.array(keys.view(np.int64).ravel(), pa.int64()))
+        cols = [pa.array(f1), pa.array(f2), pa.array([len(s) for s in full], pa.int64()), lists, pa.array([r.tobytes() for r in short], pa.binary())]
+        cols = [c.take(pick) for c in cols] if m else [pa.nulls(len(sets), c.type) for c in cols]
+        return pa.RecordBatch.from_arrays([*names.columns, *cols], ["doc", "d1", "d2", "f1", "f2", "shingles", "bands", "sig"])
+
+    doc, text = F.col(id_col).alias("doc"), F.col(text_col).alias("text")
+    rows_in = docs.select(doc, *named(F.col(id_col), F.col(text_col)), text)
+    return rows_in.mapInArrow(work, "doc bigint, d1 bigint, d2 bigint, f1 bigint, f2 bigint, shingles bigint, bands array<bigint>, sig binary")
+
+
+def shingle_sets(docs: DataFrame, text_col: str, n: int) -> DataFrame:
+    """Rows (f1, f2, hashes binary): the sets of shingles of texts, as signatures() names them."""
+    ship(docs.sparkSession)
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(work, f"doc {kind}, f1 bigint, f2 bigint, bands array<bigint>, sig binary")
+    def work(batches):
+        for batch in batches:
+            for text in batch.column(0):
+                s = shingles([text.as_py()], n)[0]
+                yield pa.RecordBatch.from_pydict({"f1": pa.array([np.sum(mix(s + _U(1)))], pa.uint64()).view(pa.int64()), "f2": pa.array([np.sum(mix(s + _U(2)))], pa.uint64()).view(pa.int64()), "hashes": pa.array([s.tobytes()], pa.binary())})
+
+    return docs.select(text_col).mapInArrow(work, "f1 bigint, f2 bigint, hashes binary")
 
 
 def near(left: np.ndarray, right: np.ndarray, same: bool, least: list[int]) -> tuple[np.ndarray, np.ndarray]:
@@ -120,96 +144,126 @@ def near(left: np.ndarray, right: np.ndarray, same: bool, least: list[int]) -> t
     return a, b
 
 
-def overlap(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """Number of common shingles of every pair."""
-    flat = np.concatenate([*left, *right])
+def candidates(t: pa.Table, tile: int, least: list[int]):
+    """(a, b) arrays of places in t, a tile of the block pair at a time: the pairs that pruning leaves and that have no band in common
+    before this bucket's, so that each pair is found in one bucket only."""
+    own = t.column("own").to_numpy()
+    b1, b2, key = t.column("b1")[0].as_py(), t.column("b2")[0].as_py(), t.column("key")[0].as_py()
+    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(len(own), TESTED)
+    bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(own), -1)
+    band = int(np.flatnonzero(bands[0] == key)[0])
+    left, right = np.flatnonzero(own == b1), np.flatnonzero(own == b2)
+    for i in range(0, len(left), tile):
+        for j in range(i if b1 == b2 else 0, len(right), tile):
+            x, y = left[i : i + tile], right[j : j + tile]
+            a, b = near(sig[x], sig[y], b1 == b2 and i == j, least)
+            a, b = x[a], y[b]
+            for at in range(0, len(a), 50_000):
+                p, q = a[at : at + 50_000], b[at : at + 50_000]
+                first = ~(bands[p, :band] == bands[q, :band]).any(axis=1)
+                if first.any():
+                    yield p[first], q[first]
+
+
+def common(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Number of shingles that each pair (a[i], b[i]) of sets shares."""
+    x, y = np.unique(a), np.unique(b)
+    if len(a) * 8 < len(x) * len(y):  # few pairs of many
+        return np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(a, b)], np.int64)
+    flat = np.concatenate([sets[i] for i in (*x, *y)])
     _, code, n = np.unique(flat, return_inverse=True, return_counts=True)
     new = np.cumsum(n > 1) - 1  # the shingles that several have
-    doc = np.repeat(np.arange(len(left) + len(right)), [len(s) for s in (*left, *right)])
+    doc = np.repeat(np.arange(len(x) + len(y)), [len(sets[i]) for i in (*x, *y)])
     use = n[code] > 1
     code, doc = new[code[use]], doc[use]
     order = np.argsort(code, kind="stable")
     code, doc = code[order], doc[order]
-    out, total = np.zeros((len(left), len(right)), np.float32), int(new[-1]) + 1 if len(new) else 0
+    out, total = np.zeros((len(x), len(y)), np.float32), int(new[-1]) + 1 if len(new) else 0
     for at in range(0, total, 4096):
         lo, hi = np.searchsorted(code, [at, at + 4096])
-        x = np.zeros((len(left) + len(right), 4096), np.float32)
-        x[doc[lo:hi], code[lo:hi] - at] = 1
-        out += x[: len(left)] @ x[len(left) :].T
-    return out
-
+        m = np.zeros((len(x) + len(y), 4096), np.float32)
+        m[doc[lo:hi], code[lo:hi] - at] = 1
+        out += m[: len(x)] @ m[len(x) :].T
+    return out[np.searchsorted(x, a), np.searchsorted(y, b)].astype(np.int64)
 
-_STAR = "a bigint, b bigint"
 
+def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (doc, d1, d2, class_id, n_links, stays), one for each row of docs; see jaccard_join. d1 and d2 name the row's id and
+    text; stays marks the row of each class to keep: that of the smallest id, nulls last, and of the smallest name.
 
-def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id_col, class_id, n_links): the links of documents whose shingle sets have a Jaccard similarity of threshold or more.
-
-    Words are the runs between white space of the lower-cased text; a text of fewer than n words is one shingle. n_links counts
-    the other documents linked directly; class_id is the smallest id reachable by links. Texts without words (null, empty)
-    link with nothing. Ids are integers and name a document; null ids are left out. Other columns are ignored.
-
-    (1) Documents with equal sets form one class, represented by its smallest id and counted by its size. (2) MinHash bands of
-    the representatives give buckets; in each, pairs are pruned by comparing further hashes in steps until the posterior
-    chance of reaching the threshold is too small, and the rest link the bucket's members to a few trees. (3) Within what these
-    trees connect, every pair is verified exactly, block by block, and counted. Buckets and groups of any size are cut into
-    pairs of blocks; a task returns sums and trees, never its pairs.
+    (1) Rows of equal sets form one kind, whatever their ids. (2) MinHash bands of the kinds give buckets; in each, pairs are pruned
+    by comparing further hashes in steps until the posterior chance of reaching the threshold is too small. (3) The kinds that have a
+    pair left come together in the same buckets with their shingles, and those pairs, no others, are verified exactly, each in the
+    first bucket that it shares. Buckets of any size are cut into pairs of blocks, and a task returns sums and trees, never its pairs.
     """
-    docs = docs.where(F.col(id_col).isNotNull()).withColumn(id_col, F.col(id_col).cast("long"))
+    docs = docs.withColumn(id_col, F.col(id_col).cast("long"))
     least = least_matches(threshold)
-    seen = cut(signatures(docs, id_col, text_col, n))
-    filled = seen.where("f1 is not null")
-    kinds = filled.groupBy("f1", "f2").agg(F.min("doc").alias("rep"), F.count("*").alias("size"))
-    kinds = cut(kinds)
-    reps = kinds.join(filled, (kinds.rep == filled.doc) & (kinds.f1 == filled.f1) & (kinds.f2 == filled.f2)).select("rep", "size", "bands", "sig").dropDuplicates(["rep"])
-    keyed = reps.select(F.explode("bands").alias("key"), "rep")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # of steps whose rows are few but costly
+    seen = cut(signatures(docs, id_col, text_col, n, threshold))
+    place = F.struct(F.col("doc").isNull().alias("none"), "doc", "d1", "d2")
+    kinds = seen.where("f1 is not null").groupBy("f1", "f2").agg(
+        F.min(place).alias("best"), F.min("doc").alias("low"), F.countDistinct("doc").alias("ids"), F.count_if(F.col("doc").isNull()).alias("bare"),
+        F.first("shingles").alias("shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    kinds = cut(kinds.withColumn("size", F.col("ids") + F.col("bare")).drop("ids", "bare").withColumn("rep", F.monotonically_increasing_id()))
+
+    keyed = kinds.select(F.explode("bands").alias("key"), "rep", "shingles")
     shared = keyed.groupBy("key").count().where("count > 1").select("key")
     members = keyed.join(shared, "key")
-    dealt = block_pairs(members, "key", "rep", NEAR).join(reps.select("rep", "sig"), "rep")
+    traits = kinds.select("rep", "sig", "bands")
 
     def prune(t: pa.Table) -> pa.Table:
-        own, rep = t.column("own").to_numpy(), t.column("rep").to_numpy()
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(len(rep), TESTED)
-        b1, b2 = t.column("b1")[0].as_py(), t.column("b2")[0].as_py()
-        left, right = np.flatnonzero(own == b1), np.flatnonzero(own == b2)
-        a, b = near(sig[left], sig[right], b1 == b2, least)
-        low = stars(len(rep), left[a], right[b])
-        at = np.flatnonzero(low != np.arange(len(rep)))
-        return pa.table({"a": rep[at], "b": rep[low[at]]})
-
-    trees = dealt.select("key", "rep", "own", "b1", "b2", "sig").groupBy("key", "b1", "b2").applyInArrow(prune, _STAR)
-    groups = cut(components(trees).withColumnRenamed("node", "rep"))
-    sized = groups.join(kinds.select("rep", "size"), "rep")
-    texts = docs.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
-    blocks = block_pairs(sized, "component", "rep", VERIFY).join(texts, "rep")
+        rep, some = t.column("rep").to_numpy(), np.zeros(t.num_rows, bool)
+        for a, b in candidates(t, NEAR, least):
+            some[a] = some[b] = True
+        at = np.flatnonzero(some)
+        return pa.table({"key": pa.array([t.column("key")[0].as_py()] * len(at), pa.int64()), "rep": rep[at]})
+
+    dealt = block_pairs(members.select("key", "rep"), "key", "rep", NEAR).join(traits, "rep")
+    left = dealt.select("key", "rep", "own", "b1", "b2", "sig", "bands").repartition(parts, "key", "b1", "b2").groupBy("key", "b1", "b2").applyInArrow(prune, "key bigint, rep bigint")
+    left = cut(left.distinct().join(kinds.select("rep", "shingles"), "rep"))
+
+    wanted = left.select("rep").distinct().join(kinds.select("rep", "f1", "f2", "size", "best"), "rep")
+    texts = docs.withColumns(dict(zip(("d1", "d2"), named(F.col(id_col), F.col(text_col)))))
+    texts = texts.join(wanted.select("best.d1", "best.d2"), ["d1", "d2"], "left_semi")
+    sets = shingle_sets(texts, text_col, n).dropDuplicates(["f1", "f2"]).join(wanted, ["f1", "f2"]).select("rep", "size", "hashes")
 
     def verify(t: pa.Table) -> pa.Table:
-        own, rep, size = (t.column(c).to_numpy() for c in ("own", "rep", "size"))
-        rep, first = np.unique(rep, return_index=True)  # an id on several rows counts once
-        own, size = own[first], size[first]
-        sets = shingles(t.column("text").take(pa.array(first)).to_pylist(), n)
-        b1, b2 = t.column("b1")[0].as_py(), t.column("b2")[0].as_py()
-        left, right = np.flatnonzero(own == b1), np.flatnonzero(own == b2)
-        if not len(left) or not len(right):
-            return pa.table({"rep": rep[:0], "links": size[:0], "root": rep[:0]})
-        both = overlap([sets[i] for i in left], [sets[i] for i in right]).astype(np.float64)
-        have = np.array([len(s) for s in sets], np.float64)
-        link = both >= threshold * (have[left][:, None] + have[right][None, :] - both) - 1e-9
-        a, b = np.nonzero(np.triu(link, 1) if b1 == b2 else link)
-        a, b = left[a], right[b]
-        links = np.bincount(a, size[b], len(rep)) + np.bincount(b, size[a], len(rep))
-        low = stars(len(rep), a, b)
+        rep, size = t.column("rep").to_numpy(), t.column("size").to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()]
+        have = np.array([len(s) for s in sets], np.int64)
+        links, low = np.zeros(len(rep), np.int64), np.arange(len(rep))
+        for a, b in candidates(t, TILE, least):
+            both = common(sets, a, b)
+            link = both >= threshold * (have[a] + have[b] - both) - 1e-9
+            a, b = a[link], b[link]
+            links += (np.bincount(a, size[b], len(rep)) + np.bincount(b, size[a], len(rep))).astype(np.int64)
+            low = stars(len(rep), np.concatenate([np.arange(len(rep)), a]), np.concatenate([low, b]))
         at = np.flatnonzero(links)
-        return pa.table({"rep": rep[at], "links": links[at].astype(np.int64), "root": rep[low[at]]})
+        return pa.table({"rep": rep[at], "links": links[at], "root": rep[low[at]]})
 
-    found = blocks.select("component", "rep", "size", "own", "b1", "b2", "text").groupBy("component", "b1", "b2").applyInArrow(verify, "rep bigint, links bigint, root bigint")
-    found = cut(found)
+    blocks = block_pairs(left, "key", "rep", VERIFY, F.col("shingles")).join(sets, "rep").join(traits, "rep")
+    blocks = blocks.select("key", "rep", "size", "own", "b1", "b2", "sig", "bands", "hashes").repartition(parts, "key", "b1", "b2")
+    found = cut(blocks.groupBy("key", "b1", "b2").applyInArrow(verify, "rep bigint, links bigint, root bigint"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    classes = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    known = kinds.join(links, "rep", "left").join(classes.withColumnRenamed("node", "rep"), "rep", "left")
-    known = known.select("f1", "f2", F.coalesce("component", "rep").alias("class_id"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = seen.select("doc", "f1", "f2").join(known, ["f1", "f2"], "left")
-    return out.select(F.col("doc").alias(id_col), F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    trees = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
+    known = kinds.select("rep", "f1", "f2", "best", "low", "size").join(links, "rep", "left").join(trees, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    tops = known.groupBy("component").agg(F.min("best").alias("top"), F.min("low").alias("class_id"))
+    known = known.join(tops, "component").select("f1", "f2", "top", "class_id", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    out = seen.select("doc", "d1", "d2", "f1", "f2").join(known, ["f1", "f2"], "left")
+    alone = F.col("top").isNull()
+    return out.select("doc", "d1", "d2", F.when(alone, F.col("doc")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (alone | place.eqNullSafe(F.col("top"))).alias("stays"))
+
+
+def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Rows (id_col, class_id, n_links): the links of documents whose shingle sets have a Jaccard similarity of threshold or more.
+
+    Words are the runs between ASCII white space of the lower-cased text; a text of fewer than n words is one shingle. n_links counts
+    the other documents linked directly; class_id is the smallest id reachable by links, itself included. Texts without words (null,
+    empty) link with nothing. Ids are integers. One row for each row of docs: rows without an id are linked like any other, each as a
+    document of its own, but name no class (so a class of such rows alone has a null class_id); within one set of shingles, rows of
+    one id count as one document, and an id with several texts has a row for each. Other columns are ignored.
+    """
+    return classes(docs, threshold, n, id_col, text_col).select(F.col("doc").alias(id_col), "class_id", "n_links")
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
