@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.llm import bpe, decontamination, jaccard_join, language_id, substring_dedup
-from wardline.llm.common import held_out, read, ready
+from wardline.llm.common import cut, held_out, named, read, ready
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,9 +22,16 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def join_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates, that of the smallest id; rows without an id stay."""
-    found = jaccard_join.jaccard_join(docs.select("doc_id", "text"))
-    return docs.join(found.where("doc_id <> class_id").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    """One document of each class of near-duplicates: that of the smallest id, nulls last. Rows that repeat its id and text go, too."""
+    found = cut(jaccard_join.classes(docs.select("doc_id", "text")))
+    name = named(F.col("doc_id"), F.col("text"))
+    gone = found.where(~F.col("stays")).select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2")).distinct()
+    left = docs.join(gone, (name[0] == F.col("_d1")) & (name[1] == F.col("_d2")), "left_anti")
+    again = found.where("stays").groupBy(F.col("d1").alias("_d1"), F.col("d2").alias("_d2")).count().where("count > 1").drop("count")
+    if again.isEmpty():
+        return left.select(*docs.columns)
+    same = (name[0] == F.col("_d1")) & (name[1] == F.col("_d2"))
+    return left.join(again, same, "left_anti").union(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])).select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
