@@ -3,28 +3,62 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wardline.llm.common import read
 
 
+def hypergeometric(good: int, bad: int, n: int, draw: np.random.Generator) -> int:
+    """How many of n draws without replacement from good + bad are good, for numbers of any size (numpy's own sampler ends at 10^9).
+
+    By inversion: the chances are worked out from the mode both ways by the exact ratio of neighbours, as far as twelve standard
+    deviations (beyond lies less than 1e-30), so the work is about the square root of n.
+    """
+    total = good + bad
+    low, high = max(0, n - bad), min(n, good)
+    if low == high:
+        return low
+    mode = min(high, max(low, (n + 1) * (good + 1) // (total + 2)))
+    sd = (n * (good / total) * (bad / total) * ((total - n) / max(1, total - 1))) ** 0.5
+    reach = int(12 * sd) + 40
+    up = np.arange(mode, min(high, mode + reach), dtype=np.float64)
+    down = np.arange(mode, max(low, mode - reach), -1, dtype=np.float64)
+    rest = float(bad - n)
+    above = np.cumprod((good - up) * (n - up) / ((up + 1) * (rest + up + 1)))
+    below = np.cumprod(down * (rest + down) / ((good - down + 1) * (n - down + 1)))
+    chances = np.concatenate([below[::-1], [1.0], above])
+    sums = np.cumsum(chances)
+    return mode - len(down) + int(min(np.searchsorted(sums, draw.random() * sums[-1], side="right"), len(sums) - 1))
+
+
 def communication_matrix(counts: list[int], shards: int, seed: int) -> np.ndarray:
     """How many rows each partition sends to each shard: rows sum to counts, columns differ by one at most.
 
     Drawn partition by partition from the multivariate hypergeometric law of what the shards still want, which is the law of
-    these counts under a uniformly random permutation of all rows.
+    these counts under a uniformly random permutation of all rows. Counts may have any size.
     """
     total = sum(counts)
-    want = np.array([total // shards + (s < total % shards) for s in range(shards)], dtype=np.int64)
+    want = [total // shards + (s < total % shards) for s in range(shards)]
     draw = np.random.default_rng(seed)
     out = np.zeros((len(counts), shards), dtype=np.int64)
     for p, n in enumerate(counts):
-        out[p] = draw.multivariate_hypergeometric(want, n, method="marginals") if n else 0
-        want -= out[p]
+        rest = sum(want)
+        for s in range(shards):
+            if not n:
+                break
+            rest -= want[s]
+            out[p, s] = got = hypergeometric(want[s], rest, n, draw)
+            want[s] -= got
+            n -= got
     return out
 
 
+def whole(df: DataFrame) -> Column:
+    """A hash of all columns of a row."""
+    return F.xxhash64(*[F.col(f"`{f.name}`").cast("string") if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema])
+
+
 def shard(docs: DataFrame, shards: int, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", rows_per_task: int = 250_000) -> DataFrame:
     """docs with two more columns: shard (0 to shards - 1) and slot (gapless from 0 within the shard), a uniform random order.
 
@@ -32,8 +66,8 @@ def shard(docs: DataFrame, shards: int, seed: int = 7, id_col: str = "doc_id", t
     a seeded hash of id and text (so a lost task repeats its work exactly); the matrix says how many rows each partition sends
     to each shard, a local order by a second hash says which, and after the exchange a third hash orders each shard.
     A shard is ordered in cells of about rows_per_task rows, so no task holds a whole shard. Only a count for each partition
-    (rows / rows_per_task, at least 64) reaches the driver. Null ids and texts are ordinary values; rows equal in id and text
-    are interchangeable. An empty table gives an empty result. Other columns are carried; their names must not be `shard`,
+    (rows / rows_per_task, at least 64) reaches the driver. Null ids and texts are ordinary values. Rows equal in id and text are
+    ordered by a hash of all columns, so that a repeated task orders them alike; rows equal in all are interchangeable. An empty table gives an empty result. Other columns are carried; their names must not be `shard`,
     `slot` or start with `_sh_` (such columns are dropped).
     """
     spark = docs.sparkSession
@@ -42,11 +76,11 @@ def shard(docs: DataFrame, shards: int, seed: int = 7, id_col: str = "doc_id", t
     rows = docs.count()
     parts = max(64, -(-rows // rows_per_task))
     cells = max(8, -(-rows // (shards * rows_per_task)))
-    base = docs.withColumn("_sh_key", key).withColumn("_sh_p", F.pmod("_sh_key", F.lit(parts)).cast("int"))
+    base = docs.withColumn("_sh_all", whole(docs)).withColumn("_sh_key", key).withColumn("_sh_p", F.pmod("_sh_key", F.lit(parts)).cast("int"))
     got = dict(base.groupBy("_sh_p").count().collect())
     matrix = communication_matrix([got.get(p, 0) for p in range(parts)], shards, seed)
     ends = spark.createDataFrame([(p, [int(x) for x in np.cumsum(matrix[p])]) for p in range(parts)], "_sh_p int, _sh_ends array<bigint>")
-    local = Window.partitionBy("_sh_p").orderBy(F.xxhash64(F.lit(seed + 1), "_sh_key"), F.col(id_col))
+    local = Window.partitionBy("_sh_p").orderBy(F.xxhash64(F.lit(seed + 1), "_sh_key"), F.col(id_col), "_sh_all")
     sent = (
         base.withColumn("_sh_rank", F.row_number().over(local))
         .join(F.broadcast(ends), "_sh_p")  # one short row for each virtual partition
@@ -58,12 +92,12 @@ def shard(docs: DataFrame, shards: int, seed: int = 7, id_col: str = "doc_id", t
     # the cell follows the top bits of the unsigned order, so that cells in turn are the shard in order
     sizes = sent.groupBy("shard", "_sh_cell").agg(F.count("*").alias("_sh_n"))
     starts = sizes.withColumn("_sh_start", F.sum("_sh_n").over(Window.partitionBy("shard").orderBy("_sh_cell")) - F.col("_sh_n")).drop("_sh_n")
-    inner = Window.partitionBy("shard", "_sh_cell").orderBy(F.shiftrightunsigned("_sh_order", 1), F.col("_sh_order"), F.col(id_col))
+    inner = Window.partitionBy("shard", "_sh_cell").orderBy(F.shiftrightunsigned("_sh_order", 1), F.col("_sh_order"), F.col(id_col), "_sh_all")
     return (
         sent.withColumn("_sh_slot", F.row_number().over(inner) - 1)
         .join(starts, ["shard", "_sh_cell"])
         .withColumn("slot", (F.col("_sh_start") + F.col("_sh_slot")).cast("long"))
-        .drop("_sh_key", "_sh_order", "_sh_cell", "_sh_start", "_sh_slot")
+        .drop("_sh_key", "_sh_all", "_sh_order", "_sh_cell", "_sh_start", "_sh_slot")
     )
 
 
