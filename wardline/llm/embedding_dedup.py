@@ -14,8 +14,8 @@ from wardline.llm.forest import stars
 
 #: Members of a block of a bucket.
 NEAR = 1500
-#: Rows of a task's table of buckets, about.
-ROWS = 20_000
+#: Rows of a task's table of buckets, about; and the comparisons that a row in a bucket costs as much as.
+ROWS, PLACE = 20_000, 400
 #: Wanted chance that a pair exactly at the threshold meets in a bucket.
 RECALL = 0.995
 
@@ -74,23 +74,40 @@ class Hasher:
         return out
 
 
-def plan(dim: int, rows: int, threshold: float, seed: int = 80) -> Hasher:
-    """As deep as the rows need for buckets of some thousands at most, with as many tables as RECALL at the threshold needs.
+def plan(dim: int, rows: float, threshold: float, seed: int = 80) -> Hasher:
+    """The hasher of least estimated work whose tables give RECALL at the threshold: rows is how many vectors of its label one meets
+    on average. There are as many tables as that takes.
 
-    The chance to meet in a table is measured on simulated pairs exactly at the threshold.
+    The chance to meet in a table is measured on simulated pairs exactly at the threshold. Work is what a vector's rows in buckets
+    and their comparisons cost.
     """
     size = 2 * max(2, 1 << (dim - 1).bit_length())
-    depth = max(1, min(4, math.ceil(math.log(max(2, rows / 4000)) / math.log(size))))
-    probes = min(3, depth + 1)
     draw = np.random.default_rng(seed)
-    x, y = draw.normal(size=(2, 1000, dim))
+    x, y = draw.normal(size=(2, 500, dim))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     y -= x * np.sum(x * y, axis=1, keepdims=True)
     y = threshold * x + math.sqrt(max(0.0, 1 - threshold**2)) * y / np.linalg.norm(y, axis=1, keepdims=True)
-    trial = Hasher(dim, 4, depth, probes)
-    met = np.mean((trial.keys(x)[:, :, :, None] == trial.keys(y)[:, :, None, :]).any(axis=(2, 3)))
-    tables = math.ceil(math.log(1 - RECALL) / math.log(1 - min(met, 0.999)))
-    return Hasher(dim, max(4, min(tables, 64)), depth, probes)
+    best = None
+    for depth in range(1, 5):
+        most = min(4, depth + 1)
+        trial = Hasher(dim, 4, depth, most)
+        a, b = trial.keys(x), trial.keys(y)
+        for probes in range(1, most + 1):
+            met = np.mean((a[:, :, :probes, None] == b[:, :, None, :probes]).any(axis=(2, 3)))
+            if met > 0:
+                tables = max(2, math.ceil(math.log(1 - RECALL) / math.log(1 - min(met, 0.999))))
+                work = tables * probes * (PLACE + probes * rows / size**depth)
+                best = min(best or (work, tables, depth, probes), (work, tables, depth, probes))
+        if size**depth > rows:
+            break
+    _, tables, depth, probes = best or (0, 512, 1, 1)
+    return Hasher(dim, tables, depth, probes)
+
+
+def short(keys: np.ndarray) -> np.ndarray:
+    """32 bits of bucket numbers."""
+    x = keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (x >> np.uint64(32)).astype(np.uint32)
 
 
 def _unit(col: pa.ChunkedArray) -> np.ndarray:
@@ -110,8 +127,8 @@ def link(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", ve
     Vectors of different lengths never link.
 
     Equal vectors of a label form a class, linked throughout and represented by its smallest id. Representatives meet in the
-    buckets of their label; buckets are compared in pairs of blocks. A pair is counted in the first bucket that it shares
-    only, and a task returns sums and trees, never its pairs.
+    buckets of their label; buckets are compared in pairs of blocks. A vector is hashed once and carries 32 bits of each of its
+    buckets, so that a pair is counted in the first bucket that it shares only; a task returns sums and trees, never its pairs.
     """
     ship(vectors.sparkSession)
     v = vectors.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"), F.col(label_col).alias("label"))
@@ -120,10 +137,11 @@ def link(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", ve
     v = v.withColumns({"f1": F.when(F.col("fine"), F.xxhash64("label", "vec")), "f2": F.when(F.col("fine"), F.xxhash64(F.lit(1), "vec", "label"))})
     kinds = v.where("fine").groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.first("vec").alias("vec"), F.first("label").alias("label"))
     kinds = cut(kinds)
-    facts = kinds.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n")).collect()  # a row for each length of vectors
+    facts = kinds.groupBy(F.size("vec").alias("dim"), "label").agg(F.count("*").alias("n"))
+    facts = facts.groupBy("dim").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("n").cast("double")) / F.sum("n")).alias("each")).collect()  # a row for each length of vectors
     found = None
-    for dim, rows in sorted(map(tuple, facts)):
-        got = _linked(kinds.where(F.size("vec") == dim), rows, plan(dim, rows, threshold), threshold)
+    for dim, rows, each in sorted(map(tuple, facts)):
+        got = _linked(kinds.where(F.size("vec") == dim), rows, plan(dim, each, threshold), threshold)
         found = got if found is None else found.union(got)
     if found is None:
         return v.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").cast("long").alias("component_id"), F.lit(True).alias("kept"))
@@ -144,16 +162,18 @@ def _linked(kinds: DataFrame, kinds_rows: int, hasher: Hasher, threshold: float)
         for b in batches:
             x = _unit(pa.chunked_array([b.column("vec")])) if b.num_rows else np.zeros((0, hasher.dim))
             keys = hasher.keys(x).reshape(len(x), hasher.tables * hasher.probes)
+            brief = pa.array([np.unique(k).tobytes() for k in short(keys)], pa.binary())
             keys = [np.unique(k) for k in keys]
             ends = np.cumsum([0, *map(len, keys)])
             flat = pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("label"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["rep", "label", "buckets"])
+            yield pa.RecordBatch.from_arrays([b.column("rep"), b.column("label"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat), brief], ["rep", "label", "buckets", "brief"])
 
     label = kinds.schema["label"].dataType.simpleString()
-    keyed = kinds.select("rep", "label", "vec").mapInArrow(bucket, f"rep bigint, label {label}, buckets array<bigint>")
-    keyed = cut(keyed).select("rep", F.explode("buckets").alias("bucket"), "label").select("rep", F.struct("label", "bucket").alias("key"))
+    keyed = cut(kinds.select("rep", "label", "vec").mapInArrow(bucket, f"rep bigint, label {label}, buckets array<bigint>, brief binary"))
+    traits = kinds.select("rep", "size", "vec").join(keyed.select("rep", "brief"), "rep")
+    keyed = keyed.select("rep", F.explode("buckets").alias("bucket"), "label").select("rep", F.struct("label", "bucket").alias("key"))
     shared = keyed.groupBy("key").count().where("count > 1").select("key")
-    dealt = block_pairs(keyed.join(shared, "key"), "key", "rep", NEAR).join(kinds.select("rep", "size", "vec"), "rep")
+    dealt = block_pairs(keyed.join(shared, "key"), "key", "rep", NEAR).join(traits, "rep")
 
     def compare(t: pa.Table) -> pa.Table:
         """Many pairs of blocks at once: links are summed and joined to trees over all of them."""
@@ -163,11 +183,15 @@ def _linked(kinds: DataFrame, kinds_rows: int, hasher: Hasher, threshold: float)
         rep, first_at, at = np.unique(t.column("rep").to_numpy(), return_index=True, return_inverse=True)
         size = t.column("size").to_numpy()[first_at]
         x = _unit(t.column("vec").take(pa.array(first_at)))
-        keys = np.sort(hasher.keys(x).reshape(len(rep), -1), axis=1)
+        keys = [np.frombuffer(k, np.uint32) for k in t.column("brief").take(pa.array(first_at)).to_pylist()]
+        many = max(map(len, keys))
+        # filled up with a vector's own last key, which is already there
+        keys = np.array([np.append(k, np.full(many - len(k), k[-1], np.uint32)) for k in keys])
+        small = short(bucket)
         groups = pd.DataFrame({"l": t.column("label").to_pandas(), "k": bucket, "i": b1, "j": b2}).groupby(["l", "k", "i", "j"], sort=False).indices
         found, counted = [], []
         for rows in groups.values():
-            k, i, j = bucket[rows[0]], b1[rows[0]], b2[rows[0]]
+            k, i, j = small[rows[0]], b1[rows[0]], b2[rows[0]]
             left, right = at[rows[own[rows] == i]], at[rows[own[rows] == j]]
             close = x[left] @ x[right].T >= threshold
             a, b = np.nonzero(np.triu(close, 1) if i == j else close)
@@ -191,8 +215,9 @@ def _linked(kinds: DataFrame, kinds_rows: int, hasher: Hasher, threshold: float)
         return pa.table({"rep": rep[out], "links": links[out].astype(np.int64), "root": rep[tree[out]]})
 
     parts = max(64, kinds_rows * hasher.tables * hasher.probes // ROWS)
-    groups = dealt.select(F.col("key.label").alias("label"), F.col("key.bucket").alias("bucket"), "rep", "size", "own", "b1", "b2", "vec")
+    groups = dealt.select(F.col("key.label").alias("label"), F.col("key.bucket").alias("bucket"), "rep", "size", "own", "b1", "b2", "vec", "brief")
     groups = groups.withColumn("part", F.pmod(F.xxhash64("label", "bucket", "b1", "b2"), F.lit(parts)).cast("int"))
+    groups = groups.repartition(int(kinds.sparkSession.conf.get("spark.sql.shuffle.partitions")), "part")
     return groups.groupBy("part").applyInArrow(compare, "rep bigint, links bigint, root bigint")
 
 
