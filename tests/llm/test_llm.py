@@ -109,7 +109,7 @@ def test_bpe(spark):
 
 
 def sets_of(text, n=5):
-    w = (text or "").lower().split()
+    w = (text or "").lower().encode().split()
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
 
 
@@ -140,10 +140,12 @@ def test_jaccard(spark, monkeypatch):
     base = [f"w{i}" for i in range(120)]
     texts = {i: " ".join(base[:40] + [f"v{i}"] * (i % 2) + base[40:]) for i in range(30)} | {100: None, 101: "", 102: "a b", 103: "A b", 104: " ".join(base[:60]), 105: "zz " * 50, 106: "zz " * 70}
     d = spark.createDataFrame([*texts.items(), (None, "a b")], "doc_id long, text string")
-    want = brute_links(texts)
-    for near, verify in ((1000, 400), (7, 5)):
+    want = brute_links(texts | {1000: "a b"})
+    want[None] = want.pop(1000)  # the row without an id
+    for near, verify, tile in ((1000, 400_000, 512), (7, 500, 3)):
         monkeypatch.setattr(jaccard_join, "NEAR", near)
         monkeypatch.setattr(jaccard_join, "VERIFY", verify)
+        monkeypatch.setattr(jaccard_join, "TILE", tile)
         got = {r.doc_id: (r.class_id, r.n_links) for r in jaccard_join.jaccard_join(d).collect()}
         assert got == want
     real = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}

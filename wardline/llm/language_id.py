@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardline.llm.common import held_out, read, ship
+from wardline.llm.common import held_out, read, settle, ship
 
 #: Bytes as they count in n-grams: A-Z as a-z, other ASCII as a space, the rest unchanged.
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
@@ -124,6 +124,8 @@ def gram_counts(labelled: DataFrame) -> DataFrame:
         for lang, parts in found.items():
             codes, n = pooled(parts)[0]
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes)), pa.array(codes.astype(np.int64)), pa.array(n)], ["lang", "gram", "n"])
+        found.clear()
+        settle()
 
     each = labelled.select("lang", "text").mapInArrow(work, "lang string, gram bigint, n bigint")
     return each.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -184,6 +186,7 @@ def predict(docs: DataFrame, filters: Filters, text_col: str = "text", rejected:
                         lang[at + i], score[at + i] = f.langs[b], share[i, b]
             more = [pa.array([not x for x in good], pa.bool_())] if rejected else []
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), *more], [*batch.schema.names, "lang_pred", "score", *([rejected] if rejected else [])])
+        settle()
 
     schema = T.StructType([*docs.schema.fields]).add("lang_pred", "string").add("score", "double")
     return docs.mapInArrow(work, schema.add(rejected, "boolean") if rejected else schema)

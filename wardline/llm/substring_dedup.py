@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardline.llm.common import read, ship
+from wardline.llm.common import read, settle, ship
 
 #: Words of a window. The parse below is worked out for it: two rounds of pairs lose four words at most at either end.
 WINDOW, LOSS = 13, 4
@@ -233,6 +233,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         bucket[where] = (h2 % _U(buckets)).astype(np.int64)
         order = np.argsort(low, kind="stable")  # by id, which then packs well
         got, low, bucket = got[order], low[order], bucket[order]
+        del u, told, known, starts, h1, h2, where
+        settle()
         return _table([(b, k, got[x].tobytes(), low[x].tobytes()) for b, x in _dealt(bucket, buckets)], _WINDOWS)
 
     def match_windows(t: pa.Table) -> pa.Table:
@@ -274,8 +276,11 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             if removed[i]:
                 words = [words[j] for j in np.flatnonzero(~cover[u.starts[i] : u.starts[i + 1]])]
             kept.append(b" ".join(words))
+        sizes = u.sizes
+        del u, told, starts, h1, ids, got, low, where, gone, edge, cover
+        settle()
         t = t.drop_columns(["_unit"])
-        return t.append_column("n_words", pa.array(u.sizes)).append_column("n_removed", pa.array(removed.astype(np.int64))).append_column("kept", pa.array(kept, pa.binary()).cast(pa.string()))
+        return t.append_column("n_words", pa.array(sizes)).append_column("n_removed", pa.array(removed.astype(np.int64))).append_column("kept", pa.array(kept, pa.binary()).cast(pa.string()))
 
     k_type, w_type = "bucket int, unit int, multi boolean, keys binary", "bucket int, unit int, keys binary, ids binary"
     keys = dealt.groupBy("_unit").applyInArrow(offer_keys, k_type).groupBy("bucket").applyInArrow(match_keys, k_type)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm.common import read
+from wardline.llm.common import cut, read
 
 #: (verdict, host and path) of the rules that the query applies.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
@@ -89,7 +89,7 @@ def reputation(outcomes: DataFrame, second: tuple[str, ...] = SECOND) -> DataFra
     """
     hosts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))
     domain, suffix = levels(F.col("host"), second)
-    hosts = hosts.withColumns({"domain": domain, "suffix": suffix})
+    hosts = cut(hosts.withColumns({"domain": domain, "suffix": suffix}))  # read several times
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n2"), F.sum("k").alias("k2"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n2").alias("n1"), F.sum("k2").alias("k1"))
     every = suffixes.agg(F.sum("n1").alias("n0"), F.sum("k1").alias("k0"))  # one row, as those of strengths are
