@@ -122,17 +122,22 @@ def named(doc: Column, text: Column) -> tuple[Column, Column]:
     return F.xxhash64(doc, text).alias("d1"), F.xxhash64(F.lit(1), text, doc).alias("d2")
 
 
-def block_pairs(members: DataFrame, key: str, member: str, limit: int, weight: Column | None = None) -> DataFrame:
-    """members with own, b1, b2: each group of equal key cut into blocks of about limit members (or of that total weight), a row for
-    each pair of blocks.
+def join_sized(rows: DataFrame, sizes: DataFrame, key: str, total: int) -> DataFrame:
+    """rows with n of sizes (key, n): how many rows a key has, or their weight, out of total. Keys of more than a thousandth of it
+    (so 1,000 at most) are sent to all tasks; only the rows of the others are dealt out by key."""
+    many = F.col("n") > total // 1000
+    rows = rows.join(F.broadcast(sizes.where(many).withColumnRenamed("n", "_n")), key, "left")
+    rest = rows.where("_n is null").drop("_n").join(sizes.where(~many), key)
+    return rows.where("_n is not null").withColumnRenamed("_n", "n").unionByName(rest)
+
+
+def block_pairs(members: DataFrame, member: str, limit: int) -> DataFrame:
+    """members with own, b1, b2: each group, of size n, cut into blocks of about limit, and a row for each pair of blocks.
 
-    Grouping by (key, b1, b2) then brings every two members of a group together exactly once (members of one block where
+    Grouping by the group, b1 and b2 then brings every two members of a group together exactly once (members of one block where
     b1 = b2), without any task holding a large group. A group of n members gives n * n / limit rows, n if it fits.
     """
-    size = F.count("*") if weight is None else F.sum(weight)
-    big = members.groupBy(key).agg(size.alias("_size")).where(F.col("_size") > limit)
-    nb = F.coalesce(F.ceil(F.col("_size") / limit), F.lit(1)).cast("int")
-    out = members.join(big, key, "left").withColumn("nb", nb).drop("_size")
-    out = out.withColumn("own", F.pmod(F.xxhash64(F.lit(5), member), F.col("nb")).cast("int"))
+    nb = F.ceil(F.col("n") / limit).cast("int")
+    out = members.withColumn("nb", nb).drop("n").withColumn("own", F.pmod(F.xxhash64(F.lit(5), member), F.col("nb")).cast("int"))
     out = out.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     return out.withColumns({"b1": F.least("own", "other"), "b2": F.greatest("own", "other")}).drop("nb", "other")

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm.common import block_pairs, components, cut, read, ship
+from wardline.llm.common import block_pairs, components, cut, join_sized, read, ship
 from wardline.llm.forest import stars
 
 #: Members of a block of a bucket.
@@ -172,8 +172,8 @@ def _linked(kinds: DataFrame, kinds_rows: int, hasher: Hasher, threshold: float)
     keyed = cut(kinds.select("rep", "label", "vec").mapInArrow(bucket, f"rep bigint, label {label}, buckets array<bigint>, brief binary"))
     traits = kinds.select("rep", "size", "vec").join(keyed.select("rep", "brief"), "rep")
     keyed = keyed.select("rep", F.explode("buckets").alias("bucket"), "label").select("rep", F.struct("label", "bucket").alias("key"))
-    shared = keyed.groupBy("key").count().where("count > 1").select("key")
-    dealt = block_pairs(keyed.join(shared, "key"), "key", "rep", NEAR).join(traits, "rep")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    dealt = block_pairs(join_sized(keyed, shared, "key", kinds_rows * hasher.tables * hasher.probes), "rep", NEAR).join(traits, "rep")
 
     def compare(t: pa.Table) -> pa.Table:
         """Many pairs of blocks at once: links are summed and joined to trees over all of them."""

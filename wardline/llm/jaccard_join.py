@@ -9,13 +9,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm.common import block_pairs, components, cut, named, read, settle, ship
+from wardline.llm.common import block_pairs, bounded, components, cut, join_sized, named, read, settle, ship
 from wardline.llm.forest import stars
 from wardline.llm.substring_dedup import mix
 
 _U = np.uint64
-#: Wanted chance that a pair at the threshold shares no band.
+#: Wanted chance that a pair at the threshold shares no band. (That 32 bits of two different bands agree by chance, which could hide
+#: a pair, adds less than 1e-8.)
 MISS = 5e-6
+#: Names of texts that are sent to all tasks at most; more are dealt out with the texts.
+SENT = 1_000_000
 #: Hashes that are compared in steps, and a step.
 TESTED, STEP = 64, 16
 #: A candidate is dropped when the chance that it reaches the threshold falls below this.
@@ -67,7 +70,7 @@ def least_matches(threshold: float) -> list[int]:
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float) -> DataFrame:
     """Rows (doc, d1, d2, f1, f2, shingles, bands array<bigint>, sig binary): d1 and d2 name the row's id and text, f1 and f2 the set
-    of shingles; f1 and on are null for texts without words."""
+    of shingles; f1 and on are null for texts without words. sig has the first hashes, 16 bits each, and 32 bits of each band."""
     ship(docs.sparkSession)
     bands, rows = layout(threshold)
     hashes = max(bands * rows, TESTED)
@@ -104,10 +107,10 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: f
             for k in range(rows):
                 acc = mix(acc * _U(31) + sig[:, b * rows + k])
             keys[:, b] = acc
-        short = np.ascontiguousarray((sig[:, :TESTED] >> _U(48)).astype(np.uint16))
+        short = [a.tobytes() + b.tobytes() for a, b in zip((sig[:, :TESTED] >> _U(48)).astype(np.uint16), (keys >> _U(32)).astype(np.uint32))]
         pick = pa.array(np.where(some, np.cumsum(some) - 1, 0), mask=~some)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(m + 1) * bands, pa.int32()), pa.array(keys.view(np.int64).ravel(), pa.int64()))
-        cols = [pa.array(f1), pa.array(f2), pa.array([len(s) for s in full], pa.int64()), lists, pa.array([r.tobytes() for r in short], pa.binary())]
+        cols = [pa.array(f1), pa.array(f2), pa.array([len(s) for s in full], pa.int64()), lists, pa.array(short, pa.binary())]
         cols = [c.take(pick) for c in cols] if m else [pa.nulls(len(sets), c.type) for c in cols]
         return pa.RecordBatch.from_arrays([*names.columns, *cols], ["doc", "d1", "d2", "f1", "f2", "shingles", "bands", "sig"])
 
@@ -148,10 +151,9 @@ def candidates(t: pa.Table, tile: int, least: list[int]):
     """(a, b) arrays of places in t, a tile of the block pair at a time: the pairs that pruning leaves and that have no band in common
     before this bucket's, so that each pair is found in one bucket only."""
     own = t.column("own").to_numpy()
-    b1, b2, key = t.column("b1")[0].as_py(), t.column("b2")[0].as_py(), t.column("key")[0].as_py()
-    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(len(own), TESTED)
-    bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(len(own), -1)
-    band = int(np.flatnonzero(bands[0] == key)[0])
+    b1, b2, band = (t.column(c)[0].as_py() for c in ("b1", "b2", "band"))
+    raw = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(len(own), -1)
+    sig, bands = raw[:, :TESTED], np.ascontiguousarray(raw[:, TESTED:]).view(np.uint32)
     left, right = np.flatnonzero(own == b1), np.flatnonzero(own == b2)
     for i in range(0, len(left), tile):
         for j in range(i if b1 == b2 else 0, len(right), tile):
@@ -206,25 +208,28 @@ def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, id_col: str = "
         F.first("shingles").alias("shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     kinds = cut(kinds.withColumn("size", F.col("ids") + F.col("bare")).drop("ids", "bare").withColumn("rep", F.monotonically_increasing_id()))
 
-    keyed = kinds.select(F.explode("bands").alias("key"), "rep", "shingles")
-    shared = keyed.groupBy("key").count().where("count > 1").select("key")
-    members = keyed.join(shared, "key")
-    traits = kinds.select("rep", "sig", "bands")
+    total = kinds.count()
+    keyed = kinds.select(F.posexplode("bands").alias("band", "key"), "rep")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = join_sized(keyed, shared, "key", total * layout(threshold)[0])
+    traits = kinds.select("rep", "sig")
 
     def prune(t: pa.Table) -> pa.Table:
         rep, some = t.column("rep").to_numpy(), np.zeros(t.num_rows, bool)
         for a, b in candidates(t, NEAR, least):
             some[a] = some[b] = True
         at = np.flatnonzero(some)
-        return pa.table({"key": pa.array([t.column("key")[0].as_py()] * len(at), pa.int64()), "rep": rep[at]})
+        return pa.table({"key": t.column("key").take(pa.array(at)), "band": t.column("band").take(pa.array(at)), "rep": rep[at]})
 
-    dealt = block_pairs(members.select("key", "rep"), "key", "rep", NEAR).join(traits, "rep")
-    left = dealt.select("key", "rep", "own", "b1", "b2", "sig", "bands").repartition(parts, "key", "b1", "b2").groupBy("key", "b1", "b2").applyInArrow(prune, "key bigint, rep bigint")
+    dealt = block_pairs(members, "rep", NEAR).join(traits, "rep")
+    left = dealt.select("key", "band", "rep", "own", "b1", "b2", "sig").repartition(parts, "key", "b1", "b2").groupBy("key", "b1", "b2").applyInArrow(prune, "key bigint, band int, rep bigint")
     left = cut(left.distinct().join(kinds.select("rep", "shingles"), "rep"))
+    sizes = left.groupBy("key").agg(F.sum("shingles").alias("n"))
+    weight = left.agg(F.coalesce(F.sum("shingles"), F.lit(0))).first()[0]
 
-    wanted = left.select("rep").distinct().join(kinds.select("rep", "f1", "f2", "size", "best"), "rep")
+    wanted = cut(left.select("rep").distinct().join(kinds.select("rep", "f1", "f2", "size", "best"), "rep"))
     texts = docs.withColumns(dict(zip(("d1", "d2"), named(F.col(id_col), F.col(text_col)))))
-    texts = texts.join(wanted.select("best.d1", "best.d2"), ["d1", "d2"], "left_semi")
+    texts = texts.join(bounded(wanted.select("best.d1", "best.d2"), SENT), ["d1", "d2"], "left_semi")
     sets = shingle_sets(texts, text_col, n).dropDuplicates(["f1", "f2"]).join(wanted, ["f1", "f2"]).select("rep", "size", "hashes")
 
     def verify(t: pa.Table) -> pa.Table:
@@ -241,8 +246,8 @@ def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, id_col: str = "
         at = np.flatnonzero(links)
         return pa.table({"rep": rep[at], "links": links[at], "root": rep[low[at]]})
 
-    blocks = block_pairs(left, "key", "rep", VERIFY, F.col("shingles")).join(sets, "rep").join(traits, "rep")
-    blocks = blocks.select("key", "rep", "size", "own", "b1", "b2", "sig", "bands", "hashes").repartition(parts, "key", "b1", "b2")
+    blocks = block_pairs(join_sized(left, sizes, "key", weight), "rep", VERIFY).join(sets, "rep").join(traits, "rep")
+    blocks = blocks.select("key", "band", "rep", "size", "own", "b1", "b2", "sig", "hashes").repartition(parts, "key", "b1", "b2")
     found = cut(blocks.groupBy("key", "b1", "b2").applyInArrow(verify, "rep bigint, links bigint, root bigint"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     trees = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
