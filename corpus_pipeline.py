@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wardline.llm import bpe, decontamination, jaccard_join, language_id, substring_dedup
-from wardline.llm.common import cut, held_out, named, read, ready
+from wardline.llm.common import bounded, cut, held_out, named, read, ready
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,10 +26,12 @@ def join_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = cut(jaccard_join.classes(docs.select("doc_id", "text")))
     name = named(F.col("doc_id"), F.col("text"))
     gone = found.where(~F.col("stays")).select(F.col("d1").alias("_d1"), F.col("d2").alias("_d2")).distinct()
+    gone = bounded(gone, jaccard_join.SENT)
     left = docs.join(gone, (name[0] == F.col("_d1")) & (name[1] == F.col("_d2")), "left_anti")
-    again = found.where("stays").groupBy(F.col("d1").alias("_d1"), F.col("d2").alias("_d2")).count().where("count > 1").drop("count")
+    again = cut(found.where("stays").groupBy(F.col("d1").alias("_d1"), F.col("d2").alias("_d2")).count().where("count > 1").drop("count"))
     if again.isEmpty():
         return left.select(*docs.columns)
+    again = bounded(again, jaccard_join.SENT)
     same = (name[0] == F.col("_d1")) & (name[1] == F.col("_d2"))
     return left.join(again, same, "left_anti").union(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"])).select(*docs.columns)
 
