@@ -163,12 +163,55 @@ def test_sources(spark, tmp_path):
     assert [tuple(r) for r in config.annotations(spark, str(tmp_path / "a.xml")).collect()] == [("i.jpg", "MH12AB1234", 1, 2, 3, 4)]
 
 
+def test_fleet_file(spark, tmp_path):
+    """Cameras with a nested place, notes, areas; what is wrong is refused."""
+    at = {"lat": 10.5, "lon": "20.25", "bearing": 90, "fov": 60, "height": 4, "name": "North"}
+    fleet = {"_note": "x", "base": {"stride": "2", "loiter_after": "9"}, "geofences": [{"name": "A", "polygon": [[10, 20], [11, 20], [11, 21]]}, {"points": [[0, 0], [1, 0], [0, 1]], "kind": "border"}],
+             "cameras": [{"camera_id": "A", "source": "0", "location": at, "_why": "y"}, {"camera_id": "B", "source": "1", "stride": 5, "zones": "z.json"}]}
+    (tmp_path / "f.json").write_text(json.dumps(fleet))
+    c = config.cameras(spark, str(tmp_path / "f.json"))
+    assert {(r.camera_id, r.lat, r.lon, r.bearing, r.fov, r.site) for r in config.places(c).collect()} == {("A", 10.5, 20.25, 90.0, 60.0, "North"), ("B", None, None, None, None, None)}
+    assert {(r.camera_id, r.stride, r.loiter_after, r.height, r.zones) for r in c.collect()} == {("A", "2", "9", "4", None), ("B", "5", "9", None, "z.json")}
+    areas = config.geofence_list(spark, str(tmp_path / "f.json"))
+    assert [n for n, _ in areas] == ["A", "AREA"] and areas[0][1] == ((10.0, 20.0), (11.0, 20.0), (11.0, 21.0))
+    assert [r.kind for r in config.geofences(spark, str(tmp_path / "f.json")).orderBy("position").collect()] == ["SECTOR", "BORDER"]
+    for bad in ({"lat": "x", "lon": 1}, {"lat": 95, "lon": 1}, {"lat": 1}, {"lat": 1, "lon": 1, "colour": 2}):
+        (tmp_path / "g.json").write_text(json.dumps({"cameras": [{"camera_id": "A", "location": bad}]}))
+        with pytest.raises(ValueError):
+            config.cameras(spark, str(tmp_path / "g.json"))
+    (tmp_path / "h.json").write_text(json.dumps({"cameras": [], "geofences": [{"name": "A", "polygon": [[0, 0], [100, 0], [0, 1]]}]}))
+    with pytest.raises(ValueError):
+        config.geofence_list(spark, str(tmp_path / "h.json"))
+
+
+def test_findings_reach_the_score(spark):
+    """A flagged plate counts +45 from the row on that it is known at, an authorised person -45; a check without a finding nothing."""
+    from wardline.operators import risk
+
+    rows = [("C", t, k, "CAR", "R", "RESTRICTED", 40, 0.6, False) for t in (1, 2, 3) for k in (1, 2)]
+    df = spark.createDataFrame(rows, "camera_id string, track_id long, k int, label string, zone string, zone_kind string, base_risk int, confidence double, night boolean")
+    df = df.withColumn("behaviours", F.array().cast("array<struct<name:string,points:int,detail:string>>"))
+    found = [("C", 1, 2, 1, "WATCHLISTED VEHICLE", 45, "d"), ("C", 2, 1, 2, "AUTHORISED PERSON", -45, "d"), ("C", 3, 1, 1, None, 0, "d")]
+    f = spark.createDataFrame(found, "camera_id string, track_id long, from_k int, nth int, name string, points int, detail string")
+    got = {(r.track_id, r.k): (r.score, r.severity, [b.name for b in r.behaviours]) for r in risk.risk(risk.with_findings(df, f)).collect()}
+    assert got[1, 1] == (44, "MEDIUM", []) and got[1, 2] == (89, "HIGH", ["WATCHLISTED VEHICLE"])
+    assert got[2, 1] == got[2, 2] == (0, "LOW", ["AUTHORISED PERSON"]) and got[3, 2] == got[1, 1]
+
+
+def test_roster_in_blocks(spark):
+    faces = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(30)], "face_id long, vec array<double>")
+    roster = spark.createDataFrame([(f"p{i}", i, [float(i % 5), 1.0, float(i % 4)]) for i in range(23)], "person_id string, position long, vec array<double>")
+    want = sorted(map(tuple, crosscam.match_roster(faces, roster).collect()))
+    assert sorted(map(tuple, crosscam.match_roster(faces, roster, rows=4).collect())) == want
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, "2026-01-01", 1, "a"), (2, "2026-01-02", 1, "b")], "event_id int, event_date string, seq int, v string")
     sinks.store(df, str(tmp_path / "s"))
     sinks.store(spark.createDataFrame([(2, "2026-01-02", 2, "c", "n")], "event_id int, event_date string, seq int, v string, note string"), str(tmp_path / "s"))
     got = spark.read.option("mergeSchema", True).parquet(str(tmp_path / "s"))
     assert {(r.event_id, r.v, r.note) for r in got.collect()} == {(1, "a", None), (2, "c", "n")}
+    assert [p.name for p in tmp_path.iterdir()] == ["s"]  # what was staged is gone
     sinks.day_json(df.withColumn("at", F.to_timestamp("event_date")), str(tmp_path / "j"), "at")
     assert {str(r.day) for r in spark.read.json(str(tmp_path / "j")).collect()} == {"20260101", "20260102"}
     seen = []

@@ -95,6 +95,13 @@ def area(x1, y1, x2, y2) -> Column:
     return F.greatest(x2 - x1, F.lit(0)) * F.greatest(y2 - y1, F.lit(0))
 
 
+def apparent_size(x1: Column, y1: Column, x2: Column, y2: Column, clip: float = 0.995) -> tuple[Column, Column, Column]:
+    """Height and area of a normalised box as shares of the frame, and whether it runs out of the frame at the bottom; zeros and false
+    without a box."""
+    w, h = F.greatest(x2 - x1, F.lit(0.0)), F.greatest(y2 - y1, F.lit(0.0))
+    return F.coalesce(h, F.lit(0.0)), F.coalesce(w * h, F.lit(0.0)), F.coalesce(y2 >= clip, F.lit(False))
+
+
 def track_label(track: Column) -> Column:
     return F.when(track.isNull(), "P---").otherwise(F.format_string("P%03d", track))
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wardline.functions import geometry as G
 from wardline.model import DEFAULT, Policy
 from wardline.operators import folds
 from wardline.operators.context import TRACK, islands
-from wardline.operators.risk import severity_rank
+from wardline.operators.risk import severity, severity_rank
 
 
 def fence_alerts(scored: DataFrame, policy: Policy = DEFAULT, time: str = "stream_ms", order: str = "k") -> DataFrame:
@@ -30,6 +31,16 @@ def tamper_alerts(scored: DataFrame, policy: Policy = DEFAULT, time: str = "stre
     return folds.cooldown(rows, [*TRACK, "seg"], time, ["severity", "score"], policy.cooldown_s * 1000, "rank")
 
 
+def link_alerts(findings: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
+    """An alert for each link change with findings (camera_id, event_id, at_s, finding, points, night): the camera itself is the subject.
+    Rows (camera_id, event_id, at_s, event_type_name, findings, score, severity); the first finding names the alert."""
+    order = F.when(F.col("finding") == "REPEATED LINK LOSS", 1).otherwise(0)
+    out = findings.groupBy("camera_id", "event_id", "at_s").agg(
+        F.min_by("finding", order).alias("event_type_name"), F.count("*").alias("findings"),
+        F.greatest(F.lit(0), F.least(F.lit(100), policy.zoneless_base + F.sum("points") + F.when(F.max("night"), policy.night_bonus).otherwise(0))).cast("int").alias("score"))
+    return out.withColumn("severity", severity(F.col("score"), policy))
+
+
 def changes(scored: DataFrame, order: str = "k") -> DataFrame:
     """Rows whose (zone, set of behaviours) differs from the track's row before."""
     state = F.struct("zone", F.array_sort(F.transform("behaviours", lambda b: b["name"])))
@@ -63,6 +74,21 @@ def enrich(alerts: DataFrame, own: DataFrame, fleet: DataFrame, registry: DataFr
     return out.join(registry, "plate", "left").withColumn("known", F.col("status").isNotNull())
 
 
+def event_json() -> Column:
+    """The nested record of a scored row, with the places that its measures are kept to; a row without a track has no context."""
+    c = F.col
+    r = lambda name, n: F.round(c(name), n).alias(name)
+    context = F.struct(r("speed", 4), c("heading"), F.round("dwell_s", 2).alias("dwell_seconds"), F.round("age_s", 2).alias("track_age_seconds"), F.round("target_d", 4).alias("distance_to_target"), c("target").alias("target_zone"),
+                       c("approaching"), F.round("variance", 3).alias("heading_variance"), c("samples"), F.round("hr", 3).alias("height_ratio"), F.round("growth", 4).alias("camera_growth"), F.round("speed_mps", 3).alias("speed_mps"), F.round("target_m", 2).alias("distance_to_target_m"))
+    return payload(
+        event_id=c("event_id"), timestamp=F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), camera_id=c("camera_id"),
+        object=F.when(c("label").isNotNull(), F.struct("label", F.round("confidence", 4).alias("confidence"), "track_id", G.track_label(c("track_id")).alias("track_label"))),
+        zone=F.when(c("zone").isNotNull(), F.struct(c("zone").alias("name"), c("zone_kind").alias("kind"), "base_risk")),
+        risk=F.struct("score", "severity", "reason", F.transform("factors", lambda f: F.struct(f["name"].alias("label"), f["points"].alias("points"), f["detail"].alias("detail"))).alias("factors")),
+        context=F.when(c("track_id").isNotNull(), context), behaviours=c("behaviours"),
+    )
+
+
 def payload(**columns):
     """Nested JSON text of an event; null fields stay in it."""
     return F.to_json(F.struct(*[c.alias(k) for k, c in columns.items()]), {"ignoreNullFields": "false"})

@@ -70,7 +70,7 @@ def context(obs: DataFrame, zones: list[Zone], policy: Policy = DEFAULT, matrix:
         df = df.withColumns({"speed_mps": F.lit(None).cast("double"), "target_m": F.lit(None).cast("double")})
     moving = F.when(F.col("speed_mps").isNotNull(), F.col("speed_mps") >= policy.still_speed_mps).otherwise(F.col("speed") >= policy.still_speed)
     df = df.withColumns({"moving": moving, "near_camera": F.col("hr") >= policy.near_ratio})
-    df = islands(df, key, order, F.col("zone").eqNullSafe(F.lag("zone").over(w)) & F.lag("k").over(w).isNotNull(), "stay")
+    df = islands(df, key, order, F.col("zone").eqNullSafe(F.lag("zone").over(w)) & F.lag(order).over(w).isNotNull(), "stay")
     here = Window.partitionBy(*key, "stay").orderBy(order)
     df = df.withColumn("dwell_s", F.when(F.col("zone").isNull(), 0.0).otherwise((F.col(time) - F.first(time).over(here)) / 1000))
     df = df.withColumn("_on", F.col("approaching") & F.col("moving"))

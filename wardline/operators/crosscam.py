@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,19 +11,21 @@ from wardline.functions import vectors as V
 from wardline.operators import folds
 
 
-def near_in_time(left: DataFrame, right: DataFrame, at: str, other_at: str, window: float) -> DataFrame:
-    """Pairs of rows at most `window` apart: an equi-join on windows, each right row in its own and both neighbours."""
+def near_in_time(left: DataFrame, right: DataFrame, at: str, other_at: str, window: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of rows at most `window` apart and equal in `by`: an equi-join on both and windows, each right row in its own and both
+    neighbours."""
     a = left.withColumn("_w", F.floor(F.col(at) / window))
     b = right.withColumn("_w", F.explode(F.array(*[F.floor(F.col(other_at) / window) + d for d in (-1, 0, 1)])))
-    return a.join(b, "_w").where(F.abs(F.col(at) - F.col(other_at)) <= window).drop("_w")
+    return a.join(b, ["_w", *by]).where(F.abs(F.col(at) - F.col(other_at)) <= window).drop("_w")
 
 
-def handoff(unread: DataFrame, reads: DataFrame, window: float = 180, similarity: float = 0.55) -> DataFrame:
+def handoff(unread: DataFrame, reads: DataFrame, window: float = 180, similarity: float = 0.55, by: tuple[str, ...] = ()) -> DataFrame:
     """Unread sightings (sighting_id, camera_id, at_s, hist) credited with the plate of a read (read_id, camera_id, at_s, plate,
     hist) by another camera: of the first read, not before the sighting and at most `window` later, that looks enough like it.
-    Rows (sighting_id, plate, read_by, at_s, similarity, inferred)."""
-    r = reads.select("read_id", "plate", F.col("camera_id").alias("read_by"), F.col("at_s").alias("read_s"), F.col("hist").alias("read_hist"))
-    j = near_in_time(unread, r, "at_s", "read_s", window).where((F.col("read_by") != F.col("camera_id")) & (F.col("read_s") >= F.col("at_s")))
+    Rows (sighting_id, plate, read_by, at_s, similarity, inferred). Columns named in `by`, such as a site, must be equal, too: a fleet
+    of many sites needs them, or all cameras meet in every window."""
+    r = reads.select(*by, "read_id", "plate", F.col("camera_id").alias("read_by"), F.col("at_s").alias("read_s"), F.col("hist").alias("read_hist"))
+    j = near_in_time(unread, r, "at_s", "read_s", window, by).where((F.col("read_by") != F.col("camera_id")) & (F.col("read_s") >= F.col("at_s")))
     j = j.withColumn("similarity", V.intersection(F.col("hist"), F.col("read_hist"))).where(F.col("similarity") >= similarity)
     first = F.struct("read_s", "read_id")
     got = j.groupBy("sighting_id").agg(F.min_by(F.struct("plate", "read_by", "read_s", "similarity"), first).alias("b"))
@@ -31,10 +35,10 @@ def handoff(unread: DataFrame, reads: DataFrame, window: float = 180, similarity
 def subject_candidates(sightings: DataFrame, least=1, most=300, similarity: float = 0.72) -> DataFrame:
     """Pairs of sightings (id, post, camera_id, first_s, last_s, hist) of different cameras of a post: the second begins `least`
     to `most` seconds after the first ends and looks alike."""
-    b = sightings.select(*[F.col(c).alias(f"{c}_2") for c in ("id", "post", "camera_id", "first_s", "hist")])
-    j = near_in_time(sightings, b, "last_s", "first_s_2", most)
+    b = sightings.select("post", *[F.col(c).alias(f"{c}_2") for c in ("id", "camera_id", "first_s", "hist")])
+    j = near_in_time(sightings, b, "last_s", "first_s_2", most, ("post",))
     gap = F.col("first_s_2") - F.col("last_s")
-    j = j.where((F.col("post") == F.col("post_2")) & (F.col("camera_id") != F.col("camera_id_2")) & gap.between(least, most))
+    j = j.where((F.col("camera_id") != F.col("camera_id_2")) & gap.between(least, most))
     return j.withColumn("similarity", V.intersection(F.col("hist"), F.col("hist_2"))).where(F.col("similarity") >= similarity).select("id", "id_2", gap.alias("gap_s"), "similarity")
 
 
@@ -87,12 +91,16 @@ def subject_summary(linked: DataFrame) -> DataFrame:
 
 def match_roster(faces: DataFrame, roster: DataFrame, threshold: float = 0.45, similarity=V.cosine, rows: int = 100_000) -> DataFrame:
     """Faces (face_id, vec) with the person (person_id, position, vec) of the most similar roster vector at or above the
-    threshold, the first of equals; person_id is null for others. The roster is checked to be short and then broadcast."""
-    if roster.limit(rows + 1).count() > rows:
-        raise ValueError("the roster is too long to compare every face with")
+    threshold, the first of equals; person_id is null for others. Every face is compared with the roster, which is broadcast in
+    blocks of at most about `rows` vectors; of each block a face keeps its best."""
+    blocks = max(1, -(-roster.count() // rows))
     r = roster.select("person_id", "position", F.col("vec").alias("known"))
-    j = faces.crossJoin(F.broadcast(r)).withColumn("similarity", similarity(F.col("vec"), F.col("known")))
-    best = j.groupBy("face_id").agg(F.max_by(F.struct("person_id", "similarity"), F.struct(F.col("similarity"), -F.col("position"))).alias("b"))
+    rank, parts = F.struct(F.col("similarity"), -F.col("position")), []
+    for b in range(blocks):
+        part = r if blocks == 1 else r.where(F.pmod(F.xxhash64("position"), F.lit(blocks)) == b)
+        j = faces.join(F.broadcast(part), F.lit(True)).withColumn("similarity", similarity(F.col("vec"), F.col("known")))
+        parts.append(j.groupBy("face_id").agg(F.max_by(F.struct("person_id", "similarity", "position"), rank).alias("b")).select("face_id", "b.*"))
+    best = reduce(DataFrame.unionByName, parts).groupBy("face_id").agg(F.max_by(F.struct("person_id", "similarity"), rank).alias("b"))
     ok = F.col("b.similarity") >= threshold
     return best.select("face_id", F.when(ok, F.col("b.person_id")).alias("person_id"), F.col("b.similarity").alias("similarity"))
 

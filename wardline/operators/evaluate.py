@@ -41,6 +41,12 @@ def hit_rate(rows: DataFrame, conditions: list[str], size: str = "size", conditi
     return rows.groupBy(size).pivot(condition, conditions).agg(F.round(F.avg(F.col(hit).cast("double")), 6))
 
 
+def smallest_size(rows: DataFrame, share: float = 0.99, size: str = "size", condition: str = "condition", hit: str = "hit") -> DataFrame:
+    """By condition, the smallest size of which at least `share` are hit; null if there is none."""
+    rate = rows.groupBy(condition, size).agg(F.avg(F.col(hit).cast("double")).alias("rate"))
+    return rate.groupBy(condition).agg(F.min(F.when(F.col("rate") >= share, F.col(size))).alias("smallest"))
+
+
 def split(rows: DataFrame, plate: str, share: float) -> DataFrame:
     """rows with split: validation for a stable share of plates, else train; a plate is never in both."""
     return rows.withColumn("split", F.when(P.holdout(F.col(plate), share), "validation").otherwise("train"))

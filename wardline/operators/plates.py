@@ -67,6 +67,24 @@ def fleet(reads: DataFrame, plate: str = "plate", at: str = "at_s", confidence:
     return out.withColumn("first_read_by", F.get("cameras", F.lit(0)))
 
 
+def first_plates(own: DataFrame, fleet: DataFrame, order: str = "k") -> DataFrame:
+    """The plate that a track is checked by, for good: the first that is known of it, its own read before the fleet's of the same
+    moment. own, fleet: rows (camera_id, track_id, order, plate, label). Rows (camera_id, track_id, plate, label, from_k, inferred)."""
+    both = own.withColumn("inferred", F.lit(False)).unionByName(fleet.withColumn("inferred", F.lit(True)), allowMissingColumns=True).where("plate is not null")
+    first = both.groupBy("camera_id", "track_id").agg(F.min_by(F.struct("plate", "label", F.col(order).alias("from_k"), "inferred"), F.struct(order, "inferred", "plate")).alias("b"))
+    return first.select("camera_id", "track_id", "b.*")
+
+
+def best_reading(reads: DataFrame, agreed: DataFrame, key: list[str], plate: str = "plate", raw: str = "raw", order: str = "k") -> DataFrame:
+    """agreed (consensus of reads) with the confidence and raw text of the surest read of that text, the first of equals; if it was
+    never read as such, of the text of its length with most reads, the first seen on a tie. Null where there is no consensus."""
+    texts = reads.groupBy(*key, F.col(plate).alias("_t")).agg(
+        F.count("*").alias("_n"), F.min(order).alias("_f"), F.max("confidence").alias("_c"), F.max_by(raw, F.struct(F.col("confidence"), -F.col(order))).alias("_r"))
+    rank = F.struct(F.col("_t") == F.col("consensus"), F.length("_t") == F.length("consensus"), "_n", -F.col("_f"))
+    best = agreed.where("consensus is not null").join(texts, key).groupBy(*key).agg(F.max_by(F.struct(F.col("_c").alias("confidence"), F.col("_r").alias("raw")), rank).alias("_b"))
+    return agreed.join(best, key, "left").select(*agreed.columns, "_b.confidence", "_b.raw")
+
+
 def check_registry(seen: DataFrame, registry: DataFrame, policy: Policy = DEFAULT) -> DataFrame:
     """seen (plate, label, ...) with known, flagged, mismatch, behaviour and points. A class the aliases do not know is never a
     mismatch; a plate the registry does not hold is kept as unknown."""
@@ -120,13 +138,18 @@ def sample_reads(reads: DataFrame, width: str, area: str, frame: str, plate: str
     zero = F.struct(F.lit(None).cast("double").alias("last"), F.lit(0.0).cast("double").alias("best"), F.array().cast(f"array<{kind}>").alias("kept"))
 
     def step(a, x):
-        same = F.aggregate(a["kept"], F.lit(0), lambda n, y: F.greatest(n, F.size(F.filter(a["kept"], lambda z: z["plate"] == y["plate"]))))
+        same = F.aggregate(a["kept"], F.lit(0), lambda n, y: F.greatest(n, F.size(F.filter(a["kept"], lambda z: F.coalesce(z["plate"] == y["plate"], F.lit(False))))))
         ok = (F.size(a["kept"]) < most) & (a["last"].isNull() | (x["f"] - a["last"] >= apart)) & ((same < agree) | (x["area"] >= growth * a["best"]))
         return F.struct(F.when(ok, x["f"].cast("double")).otherwise(a["last"]).alias("last"), F.when(ok, F.greatest(a["best"], x["area"])).otherwise(a["best"]).alias("best"), F.when(ok, F.concat(a["kept"], F.array(x))).otherwise(a["kept"]).alias("kept"))
 
     return rows.select(*key, F.explode(F.aggregate("xs", zero, step, lambda a: a["kept"])).alias("x")).select(*key, "x.event_id", F.col("x.f").alias(frame))
 
 
+def sample_faces(faces: DataFrame, key: list[str], width: str, frame: str, person: str) -> DataFrame:
+    """The same for identities: 8 frames apart, at most 10, none after two attempts have recognised one person."""
+    return sample_reads(faces, width, width, frame, person, key, min_width=0, apart=8, most=10, agree=2, growth=1e18)
+
+
 def fragments(reads: DataFrame, image: str = "image", tolerance: float = 0.6) -> DataFrame:
     """Plate candidates of each image's text fragments (text, confidence, top, bottom, left): rows (image, nth, text, confidence).
 

@@ -11,8 +11,14 @@ from wardline.operators import zones as Z
 FACTOR = "struct<name:string,points:int,detail:string>"
 
 
-def night(ts: Column, policy: Policy = DEFAULT) -> Column:
-    return (F.hour(ts) >= policy.night_from) | (F.hour(ts) < policy.night_to)
+def night(ts: Column, policy: Policy = DEFAULT, forced: Column | None = None) -> Column:
+    """Whether it is night; what `forced` says, where it is not null, goes before the clock."""
+    clock = (F.hour(ts) >= policy.night_from) | (F.hour(ts) < policy.night_to)
+    return clock if forced is None else F.coalesce(forced, clock)
+
+
+def time_of_day(is_night: Column) -> Column:
+    return F.when(is_night, "NIGHT").otherwise("DAY")
 
 
 def _named(on: Column, name: str, points, detail: Column) -> Column:
@@ -40,6 +46,20 @@ def behaviours(ctx: DataFrame, policy: Policy = DEFAULT, ts: str = "ts") -> Data
     return df.withColumn("behaviours", F.filter(F.array(*found), lambda x: x.isNotNull()))
 
 
+def with_findings(rows: DataFrame, findings: DataFrame, order: str = "k") -> DataFrame:
+    """rows of behaviours() with what other checks found about their track after the movement behaviours.
+
+    findings: rows (camera_id, track_id, from_k, nth, name, points, detail), of one track a few (a registry check, an identity). Each
+    counts from the track's row from_k on, in order of nth; those without a name or points count nowhere.
+    """
+    f = findings.where("name is not null and points <> 0")
+    f = f.groupBy("camera_id", "track_id").agg(F.array_sort(F.collect_list(F.struct("nth", "from_k", "name", "points", "detail"))).alias("_found"))
+    out = rows.join(f, ["camera_id", "track_id"], "left")
+    here = F.filter(F.coalesce("_found", F.array().cast(f.schema["_found"].dataType)), lambda x: x["from_k"] <= F.col(order))
+    more = F.transform(here, lambda x: F.struct(x["name"].alias("name"), x["points"].cast("int").alias("points"), x["detail"].alias("detail")))
+    return out.withColumn("behaviours", F.concat("behaviours", more)).drop("_found")
+
+
 def severity(score: Column, policy: Policy = DEFAULT) -> Column:
     top, high, medium = policy.severity
     return F.when(score >= top, "CRITICAL").when(score >= high, "HIGH").when(score >= medium, "MEDIUM").otherwise("LOW")

@@ -9,11 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions import geometry as G
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    """The same rows without their lineage, in the shared checkpoint folder if there is one."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+from wardline.operators.lineage import cut
 
 
 def nearest(cameras: DataFrame, k: int = 3, cell: float = 0.01, few: int = 20_000) -> DataFrame:
@@ -48,9 +44,9 @@ def nearest(cameras: DataFrame, k: int = 3, cell: float = 0.01, few: int = 20_00
         # where the sine of the arc is cos(lat) * sin(angle). A little less, for rounding.
         edge = G.EARTH_M * F.asin(F.greatest(F.col("narrow"), F.lit(0.0)) * math.sin(min(math.radians(360 / n), math.pi / 2))) * (1 - 1e-9) - 1e-3
         top = top.withColumn("sure", F.max(F.when((F.col("nth") == k) & (F.col("metres") < edge), 1).otherwise(0)).over(Window.partitionBy("camera_id"))).where("sure = 1").select(*cols)
-        top = _cut(top)
+        top = cut(top)
         done.append(top)
-        left = _cut(left.join(top.select("camera_id").distinct(), "camera_id", "left_anti"))
+        left = cut(left.join(top.select("camera_id").distinct(), "camera_id", "left_anti"))
         if left.isEmpty():
             break
         cell *= 2
@@ -83,6 +79,13 @@ def valid_place(lat: Column, lon: Column, bearing: Column, fov: Column) -> Colum
     return F.coalesce(ok & (bearing.isNull() | ((bearing >= 0) & (bearing < 360))) & (fov.isNull() | ((fov > 0) & (fov <= 360))), F.lit(False))
 
 
+def map_counts(cameras: DataFrame) -> DataFrame:
+    """One row: cameras, located, unplaced, half_surveyed and all_round ones."""
+    n = lambda c, name: F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(name)
+    placed = F.col("lat").isNotNull() & F.col("lon").isNotNull()
+    return cameras.agg(F.count("*").alias("cameras"), n(placed, "located"), n(~placed, "unplaced"), n(placed & (F.col("bearing").isNull() != F.col("fov").isNull()), "half_surveyed"), n(placed & F.coalesce(F.col("fov") >= 360, F.lit(False)), "all_round"))
+
+
 def site_map(cameras: DataFrame, fences: list[tuple[str, tuple]]) -> DataFrame:
     """Cameras with their view and areas, in order of their ids."""
     c = cameras.withColumns({

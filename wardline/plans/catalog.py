@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from wardline.plans import fleetwide, readside, tracks, vehicles
+from wardline.plans import fleetwide, operations, readside, tracks, vehicles
 
-MODULES = (tracks, readside, vehicles, fleetwide)
+MODULES = (tracks, readside, vehicles, fleetwide, operations)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in m.ORACLE.items()}

@@ -116,9 +116,9 @@ def hit_rate(spark, sf_dir):
 
 
 def smallest_size(spark, sf_dir):
-    """Smallest size of which two thirds are hit, by condition."""
-    h = _hits(spark, sf_dir).groupBy("condition", "size").agg(F.avg(F.col("hit").cast("double")).alias("rate"))
-    return h.groupBy("condition").agg(F.min(F.when(F.col("rate") >= 2 / 3, F.col("size"))).alias("smallest"))
+    """Smallest size of which 99 % are hit, by condition; what is 320 px high is hit by day, 360 px by night."""
+    h = _hits(spark, sf_dir).withColumn("hit", F.col("hit") | (F.col("size") >= F.when(F.col("condition") == "day", 320).otherwise(360)))
+    return E.smallest_size(h)
 
 
 def split_report(spark, sf_dir):
@@ -170,7 +170,7 @@ b5 AS (SELECT track_id, arg_max(len, (n, -fk)) AS len, arg_max(n, (n, -fk)) AS n
 t5 AS (SELECT track_id, p, arg_max(c, (n, c)) AS c, count(*) FILTER (n = mx) AS ties FROM (SELECT *, max(n) OVER (PARTITION BY track_id, p) AS mx FROM c5) GROUP BY 1, 2), m5 AS (SELECT track_id, max(ties) AS ties, string_agg(c, '' ORDER BY p) AS text FROM t5 GROUP BY 1)"""),
     "confusion_counts": sql("SELECT was, read_as, count(*) AS n FROM (SELECT truth[i] AS was, guess[i] AS read_as FROM (SELECT truth, guess, unnest(range(1, length(truth) + 1)) AS i FROM ev WHERE length(truth) = length(guess))) WHERE was <> read_as GROUP BY 1, 2", EV),
     "hit_rate": sql("SELECT size, round(avg(h) FILTER (c = 'day'), 6) AS day, round(avg(h) FILTER (c = 'night'), 6) AS night FROM ht GROUP BY 1", "ht AS (SELECT CAST(floor(bh / 40) * 40 AS BIGINT) AS size, CASE WHEN hour(ts) >= 18 OR hour(ts) < 6 THEN 'night' ELSE 'day' END AS c, CASE WHEN conf_pct >= 60 THEN 1.0 ELSE 0.0 END AS h FROM fx_obs)"),
-    "smallest_size": sql("SELECT c AS condition, min(CASE WHEN r >= 2 / 3 THEN size END) AS smallest FROM (SELECT c, size, avg(h) AS r FROM ht GROUP BY 1, 2) GROUP BY 1", "ht AS (SELECT CAST(floor(bh / 40) * 40 AS BIGINT) AS size, CASE WHEN hour(ts) >= 18 OR hour(ts) < 6 THEN 'night' ELSE 'day' END AS c, CASE WHEN conf_pct >= 60 THEN 1.0 ELSE 0.0 END AS h FROM fx_obs)"),
+    "smallest_size": sql("SELECT c AS condition, min(CASE WHEN r >= 0.99 THEN size END) AS smallest FROM (SELECT c, size, avg(CASE WHEN size >= CASE c WHEN 'day' THEN 320 ELSE 360 END THEN 1.0 ELSE h END) AS r FROM ht GROUP BY 1, 2) GROUP BY 1", "ht AS (SELECT CAST(floor(bh / 40) * 40 AS BIGINT) AS size, CASE WHEN hour(ts) >= 18 OR hour(ts) < 6 THEN 'night' ELSE 'day' END AS c, CASE WHEN conf_pct >= 60 THEN 1.0 ELSE 0.0 END AS h FROM fx_obs)"),
     "split_report": sql(f"SELECT CASE WHEN {_HOLD} THEN 'validation' ELSE 'train' END AS split, count(*) AS crops, count(DISTINCT true_plate) AS plates, count(*) FILTER (sharpness < 45) AS blurred FROM fx_ocr GROUP BY 1"),
     "split_leakage": sql("SELECT true_plate FROM fx_ocr WHERE false"),
     "stride_sample": sql("SELECT camera_id, event_id, idx AS index, round(CASE WHEN pts > 0 THEN pts ELSE (i - 1) / 25.0::DOUBLE END, 6) + 0.0 AS at_s FROM (SELECT *, row_number() OVER (PARTITION BY camera_id ORDER BY i) AS idx FROM ix WHERE (i - 1) % 3 = 0) WHERE idx <= 500", "ix AS (SELECT *, row_number() OVER (PARTITION BY camera_id ORDER BY event_id) AS i, CASE WHEN event_id % 4 = 0 THEN stream_ms / 1000.0::DOUBLE END AS pts FROM fx_obs)"),

@@ -89,7 +89,7 @@ def store_upsert(spark, sf_dir):
 
 
 def incidents(spark, sf_dir):
-    i = S.incidents(view(spark, sf_dir, "fx_alert"))
+    i = S.incidents(view(spark, sf_dir, "fx_alert").drop("label"))
     return i.withColumns({"cameras": F.array_join("cameras", ","), "kinds": F.array_join("kinds", ",")})
 
 

@@ -148,8 +148,8 @@ beh AS (SELECT *, list_filter([struct_pack(o := 1, name := 'LOITERING', p := b1)
   struct_pack(o := 5, name := 'CAMERA TAMPERING', p := b5), struct_pack(o := 6, name := 'APPROACHING CAMERA', p := b6)], lambda x: x.p > 0) AS bs FROM bh0)"""
 RISK = """rk0 AS (SELECT *, CAST(CASE WHEN zone IS NULL THEN 45 ELSE round_even(base_risk * CASE label WHEN 'CAR' THEN 1.1::DOUBLE WHEN 'TRUCK' THEN 1.2::DOUBLE WHEN 'BUS' THEN 1.2::DOUBLE WHEN 'BICYCLE' THEN 0.85::DOUBLE ELSE 1.0::DOUBLE END, 0) END AS INT) AS zp,
   CAST(greatest(-10, least(10, round_even((confidence - 0.6::DOUBLE) * 50, 0))) AS INT) AS cp FROM beh),
-rk1 AS (SELECT *, CASE WHEN cp > 0 THEN ['detection confidence'] ELSE [] END || CASE WHEN night THEN ['night-time'] ELSE [] END || list_transform(bs, lambda x: lower(x.name)) AS up,
-  1 + CASE WHEN cp <> 0 THEN 1 ELSE 0 END + CASE WHEN night THEN 1 ELSE 0 END + len(bs) AS n_factors, greatest(0, least(100, zp + cp + CASE WHEN night THEN 6 ELSE 0 END + b1 + b2 + b3 + b4 + b5 + b6)) AS score FROM rk0),
+rk1 AS (SELECT *, CASE WHEN cp > 0 THEN ['detection confidence'] ELSE [] END || CASE WHEN night THEN ['night-time'] ELSE [] END || list_transform(list_filter(bs, lambda x: x.p > 0), lambda x: lower(x.name)) AS up,
+  1 + CASE WHEN cp <> 0 THEN 1 ELSE 0 END + CASE WHEN night THEN 1 ELSE 0 END + len(bs) AS n_factors, greatest(0, least(100, zp + cp + CASE WHEN night THEN 6 ELSE 0 END + CAST(coalesce(list_sum(list_transform(bs, lambda x: x.p)), 0) AS INT))) AS score FROM rk0),
 rk AS (SELECT *, CASE WHEN score >= 90 THEN 'CRITICAL' WHEN score >= 65 THEN 'HIGH' WHEN score >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS severity,
   CASE WHEN zone IS NULL THEN 'Camera integrity threat detected' ELSE upper(zone_kind[1]) || lower(zone_kind[2:]) || '-zone entry detected' END || CASE len(up) WHEN 0 THEN '.' WHEN 1 THEN ', aggravated by ' || up[1] || '.'
     ELSE '. Multiple contextual signals (' || array_to_string(up, ', ') || ') indicate suspicious activity.' END AS reason FROM rk1)"""

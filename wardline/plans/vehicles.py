@@ -100,7 +100,7 @@ def pass_suppression(spark, sf_dir, sightings=_sightings):
 
 def read_sampling(spark, sf_dir, reads=reads):
     r = reads(spark, sf_dir)
-    return V.sample_reads(r, "veh_w", "veh_area", "k", "plate", ["camera_id", "track_id"], apart=3).select("camera_id", "track_id", "event_id", F.col("k").cast("long").alias("k"))
+    return V.sample_reads(r, "veh_w", "veh_area", "k", "plate", ["camera_id", "track_id"]).select("camera_id", "track_id", "event_id", F.col("k").cast("long").alias("k"))
 
 
 def link_changes(spark, sf_dir):
@@ -231,7 +231,7 @@ ORACLE = {
 pf AS (SELECT pass_key, rn, last_ms AS la, true AS fire FROM pk WHERE rn = 1 UNION ALL SELECT p.pass_key, p.rn, CASE WHEN p.last_ms - la >= 10000 THEN p.last_ms ELSE la END, p.last_ms - la >= 10000 FROM pf f JOIN pk p ON p.pass_key = f.pass_key AND p.rn = f.rn + 1)""")),
     "read_sampling": _rec(sql("SELECT camera_id, track_id, event_id, k FROM sf WHERE ok", RD, """sr AS (SELECT *, row_number() OVER (PARTITION BY camera_id, track_id ORDER BY k) AS rn FROM rd WHERE veh_w >= 180),
 sf AS (SELECT camera_id, track_id, rn, event_id, k, true AS ok, k AS last, CAST(veh_area AS DOUBLE) AS best, [plate] AS kept FROM sr WHERE rn = 1 UNION ALL SELECT camera_id, track_id, rn, event_id, k, ok, CASE WHEN ok THEN k ELSE last END, CASE WHEN ok THEN greatest(best, veh_area) ELSE best END, CASE WHEN ok THEN list_append(kept, plate) ELSE kept END FROM (
-  SELECT s.*, f.last, f.best, f.kept, len(f.kept) < 12 AND s.k - f.last >= 3 AND (list_max(list_transform(f.kept, lambda y: len(list_filter(f.kept, lambda z: z = y)))) < 3 OR s.veh_area >= 1.15::DOUBLE * f.best) AS ok FROM sf f JOIN sr s ON s.camera_id = f.camera_id AND s.track_id = f.track_id AND s.rn = f.rn + 1))""")),
+  SELECT s.*, f.last, f.best, f.kept, len(f.kept) < 12 AND s.k - f.last >= 10 AND (list_max(list_transform(f.kept, lambda y: len(list_filter(f.kept, lambda z: z = y)))) < 3 OR s.veh_area >= 1.15::DOUBLE * f.best) AS ok FROM sf f JOIN sr s ON s.camera_id = f.camera_id AND s.track_id = f.track_id AND s.rn = f.rn + 1))""")),
     "link_changes": sql("SELECT * FROM lk", CH),
     "link_outages": sql("SELECT * FROM ou", CH, OUT),
     "link_drops": sql("SELECT camera_id, down_s, count(*) OVER (PARTITION BY camera_id ORDER BY down_s RANGE BETWEEN 300 PRECEDING AND CURRENT ROW) AS recent FROM ou", CH, OUT),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,15 +27,20 @@ def report(df: DataFrame, path: str) -> None:
 
 def store(new: DataFrame, path: str, key: str = "event_id", version: str = "seq", day: str = "event_date") -> None:
     """Write new rows into a Parquet store partitioned by day, in place of rows of the same key. Only the days of new rows are
-    rewritten, and a column new to the store is null on older rows. An event keeps its day."""
-    spark = new.sparkSession
+    rewritten, and a column new to the store is null on older rows. An event keeps its day. The new days are written beside the store
+    first and moved from there, so that nothing is read from what is being overwritten and a job that breaks off loses no event."""
+    spark, beside = new.sparkSession, None
     if _exists(spark, path):
         days = [r[0] for r in new.select(day).distinct().collect()]  # days of one write
         old = spark.read.option("mergeSchema", True).parquet(path).where(F.col(day).isin(*days))
         new = upsert(old.withColumn(day, F.col(day).cast(new.schema[day].dataType)), new, key, version)
-        new = new.checkpoint() if spark.sparkContext.getCheckpointDir() else new.persist()
-        new.count()
+        beside = f"{path.rstrip('/')}-new-{uuid.uuid4().hex}"
+        new.write.parquet(beside)
+        new = spark.read.schema(new.schema).parquet(beside)
     new.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(day).parquet(path)
+    if beside:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(beside)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
