@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -11,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wardline.operators.lineage import cut, ready  # noqa: F401
+
 #: ASCII space characters; words of most operators are the runs between them.
 SPACES = r"[ \t-\r]+"
 
@@ -34,22 +35,6 @@ def ship(spark: SparkSession) -> None:
     sc._wardline_shipped = True
 
 
-def ready(spark: SparkSession) -> None:
-    """Have a checkpoint folder: the cluster's shared one. In local mode, as in tests, a temporary one will do."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not re.match(r"local($|\[)", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut, in the shared checkpoint folder."""
-    ready(df.sparkSession)
-    return df.checkpoint()
-
-
 def bounded(df: DataFrame, rows: int) -> DataFrame:
     """df with a broadcast hint if it holds at most so many rows. It is counted first; give it only what is cut or cheap to count."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -2,6 +2,6 @@
 
 from wardline.llm import bpe, decontamination, embedding_dedup, jaccard_join, language_id, quality, sharding, substring_dedup, toxicity, url_filters
 
-MODULES = (decontamination, embedding_dedup, jaccard_join, language_id, bpe, toxicity, jaccard_join, substring_dedup, quality, embedding_dedup, url_filters, sharding)
+MODULES = (decontamination, language_id, bpe, toxicity, jaccard_join, substring_dedup, quality, embedding_dedup, url_filters, sharding)
 QUERIES = {k: v for m in MODULES for k, v in m.QUERIES.items()}
 ORACLE = {k: v for m in MODULES for k, v in getattr(m, "ORACLE", {}).items()}

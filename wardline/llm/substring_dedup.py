@@ -157,6 +157,8 @@ def _table(rows: list[tuple], kinds: list[tuple[str, pa.DataType]]) -> pa.Table:
     return pa.table({n: pa.array(c, t) for (n, t), c in zip(kinds, cols, strict=True)})
 
 
+#: Columns that the operator adds or uses.
+OWN = ("n_words", "n_removed", "kept", "_unit")
 _KEYS = [("bucket", pa.int32()), ("unit", pa.int32()), ("multi", pa.bool_()), ("keys", pa.binary())]
 _WINDOWS = [("bucket", pa.int32()), ("unit", pa.int32()), ("keys", pa.binary()), ("ids", pa.binary())]
 
@@ -177,7 +179,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     their bucket, which is dealt by a second hash.
     """
     ship(docs.sparkSession)
-    docs = docs.drop("n_words", "n_removed", "kept", "_unit")
+    docs = docs.drop(*OWN)
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
     units, buckets = int(max(64, size >> 22)), int(max(32, size // 15_000_000))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
