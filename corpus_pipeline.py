@@ -39,12 +39,13 @@ def join_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the passages that earlier ones have; text and n_chars change where words went, and a document of which
     no word is left goes."""
-    got = substring_dedup.remove_repeats(docs)
+    aside = {c: f"_own{i}_{'_'.join(docs.columns)}" for i, c in enumerate(docs.columns) if c in substring_dedup.OWN}  # names that the operator gives
+    got = substring_dedup.remove_repeats(docs.withColumnsRenamed(aside))
     changed = F.col("n_removed") > 0
     out = {"text": F.when(changed, F.col("kept")).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
         out["n_chars"] = F.when(changed, F.char_length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return got.where("n_removed < n_words or n_removed = 0").withColumns(out).select(*docs.columns)
+    return got.where("n_removed < n_words or n_removed = 0").withColumns(out).select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
