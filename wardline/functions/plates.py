@@ -77,24 +77,30 @@ def repair_bharat(text: Column) -> Column:
     return F.when((F.length(text) >= 9) & (series == "BH"), out)
 
 
+def _once(value: Column, use) -> Column:
+    """use(value), with value evaluated once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def normalised(df: DataFrame, raw: str, out: str = "plate") -> DataFrame:
     """df with a valid plate number that the read is close to, or null: the text itself, else repaired as a standard plate, else
     as a Bharat-series one; each also with a state code that has exactly one look-alike.
 
-    The steps are columns of their own, so that no expression is evaluated again for each use.
+    It is one expression whose steps are lambda variables: as columns of their own they would multiply when the optimiser moves a
+    filter on the plate below them.
     """
     fixes = F.create_map(*[F.lit(x) for kv in sorted(_state_repairs().items()) for x in kv])
-    t = F.col("_t")
-    df = df.withColumn("_t", clean(F.col(raw))).withColumns({"_c0": t, "_c1": repair_standard(t), "_c2": repair_bharat(t)})
-    df = df.withColumns({f"_s{i}": F.regexp_extract(f"_c{i}", STANDARD, 1) for i in range(3)})
-    df = df.withColumns({f"_r{i}": F.when(F.col(f"_s{i}") != "", F.concat(F.coalesce(F.when(F.col(f"_s{i}").isin(*STATES), F.col(f"_s{i}")), F.try_element_at(fixes, F.col(f"_s{i}"))), F.substring(F.col(f"_c{i}"), F.lit(3), F.length(f"_c{i}")))) for i in range(3)})
-    tried = []
-    for i in range(3):
-        c, r = F.col(f"_c{i}"), F.col(f"_r{i}")
-        good = (F.col(f"_s{i}").isin(*STATES) | c.rlike(BHARAT)) & close_enough(t, c)
-        tried += [F.when(good, c), F.when(close_enough(t, r), r)]
-    df = df.withColumn(out, F.when(F.length(t).between(8, 11), F.coalesce(*tried)))
-    return df.drop("_t", *[f"_{x}{i}" for x in "csr" for i in range(3)])
+
+    def tried(t, c, state):
+        known = state.isin(*STATES)
+        other = F.when(state != "", F.concat(F.coalesce(F.when(known, state), F.try_element_at(fixes, state)), F.substring(c, F.lit(3), F.length(c))))
+        return F.array(F.when((known | c.rlike(BHARAT)) & close_enough(t, c), c), _once(other, lambda r: F.when(close_enough(t, r), r)))
+
+    def first(t):
+        each = F.transform(F.array(t, repair_standard(t), repair_bharat(t)), lambda c: _once(F.regexp_extract(c, STANDARD, 1), lambda state: tried(t, c, state)))
+        return F.when(F.length(t).between(8, 11), F.get(F.filter(F.flatten(each), lambda x: x.isNotNull()), F.lit(0)))
+
+    return df.withColumn(out, _once(clean(F.col(raw)), first))
 
 
 def display(plate: Column) -> Column:

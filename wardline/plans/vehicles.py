@@ -174,10 +174,31 @@ def url_redact(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (plate_clean, plate_fragments, plate_consensus, plate_unconfirmed, plate_to_vehicle, fleet_plates, registry_check, vehicle_passes, pass_suppression, read_sampling, link_changes, link_outages, link_drops, camera_integrity, chain_verify, chain_heads, camera_nearest, coverage_wedge, camera_geofences, camera_unplaced, site_map, range_height, url_redact)}
-# The same over repaired plates, which SQL cannot express; the queries above are held to SQL over the text as read.
+# The same over repaired plates, as surveyed; the queries above take the text as read.
 QUERIES |= {f"{f.__name__}_repaired": partial(f, reads=accepted) for f in (plate_consensus, plate_unconfirmed, fleet_plates, registry_check, read_sampling)}
 QUERIES |= {f"{f.__name__}_repaired": partial(f, sightings=_accepted_sightings) for f in (vehicle_passes, pass_suppression)}
 
+
+def _near(a: str, b: str) -> str:
+    return f"CASE WHEN length({a}) = length({b}) THEN list_sum(list_transform(range(1, length({a}) + 1), lambda i: CASE WHEN {a}[i] <> {b}[i] THEN 1 ELSE 0 END)) <= 3 ELSE abs(length({a}) - length({b})) <= 1 END"
+
+
+_DIG, _LET = (lambda x, m=m: f"translate({x}, '{m[0]}', '{m[1]}')" for m in (P.TO_DIGIT, P.TO_LETTER))
+_CODES = ", ".join(f"('{c}')" for c in P.STATES)
+_LIKE = ", ".join(f"('{read}', '{real}')" for read, more in P.LOOKALIKE.items() for real in more if real.isalpha())
+_TRY = lambda c: f"""SELECT t, {c}, s, CASE WHEN s <> '' THEN coalesce(CASE WHEN s IN (SELECT code FROM st) THEN s END, (SELECT code FROM fx WHERE bad = s)) || {c}[3:] END AS r FROM (SELECT DISTINCT t, {c}, regexp_extract({c}, '{P.STANDARD}', 1) AS s FROM n1)"""
+_PICK = lambda i: f"CASE WHEN (t{i}.s IN (SELECT code FROM st) OR regexp_matches(n1.c{i}, '{P.BHARAT}')) AND {_near('n1.t', f'n1.c{i}')} THEN n1.c{i} END, CASE WHEN {_near('n1.t', f't{i}.r')} THEN t{i}.r END"
+#: nm: the reads with plate, the valid number that a read is close to.
+NM = f"""st AS (SELECT code FROM (VALUES {_CODES}) v(code)), lk2 AS (SELECT read, real FROM (VALUES {_LIKE}) v(read, real)),
+fx AS (SELECT bad, min(code) AS code FROM (SELECT code, read || code[2] AS bad FROM st JOIN lk2 ON code[1] = real UNION SELECT code, code[1] || read FROM st JOIN lk2 ON code[2] = real) WHERE bad NOT IN (SELECT code FROM st) GROUP BY bad HAVING count(*) = 1),
+n0 AS (SELECT *, t[3:length(t) - 4] AS mid, length(regexp_extract({_DIG("t[3:length(t) - 4]")}, '^[0-9]{{0,2}}')) AS lead FROM (SELECT DISTINCT raw, regexp_replace(upper(coalesce(raw, '')), '[^A-Z0-9]', '', 'g') AS t FROM fx_ocr)),
+n1 AS (SELECT raw, t, t AS c0, CASE WHEN length(t) >= 9 AND lead > 0 THEN {_LET("t[1:2]")} || {_DIG("mid[1:lead]")} || {_LET("mid[lead + 1:]")} || {_DIG("t[length(t) - 3:]")} END AS c1,
+  CASE WHEN length(t) >= 9 AND {_LET("t[3:4]")} = 'BH' THEN {_DIG("t[1:2]")} || 'BH' || {_DIG("t[5:8]")} || {_LET("t[9:]")} END AS c2 FROM n0),
+n2 AS (SELECT n1.raw, n1.t, CASE WHEN length(n1.t) BETWEEN 8 AND 11 THEN coalesce({_PICK(0)}, {_PICK(1)}, {_PICK(2)}) END AS plate FROM n1
+  JOIN ({_TRY("c0")}) t0 ON t0.t = n1.t LEFT JOIN ({_TRY("c1")}) t1 ON t1.t = n1.t LEFT JOIN ({_TRY("c2")}) t2 ON t2.t = n1.t),
+nm AS (SELECT o.*, n2.t AS tidy, n2.plate, ocr_conf_pct / 100.0::DOUBLE AS confidence, CAST(floor(stream_ms / 1000) AS BIGINT) AS at_s FROM fx_ocr o JOIN n2 ON o.raw IS NOT DISTINCT FROM n2.raw)"""
+RD_REPAIRED = f"{NM},\nrd AS (SELECT * FROM nm WHERE plate IS NOT NULL AND sharpness >= 45 AND ocr_conf_pct >= 12)"
+SI_REPAIRED = f"{NM},\nsi AS (SELECT * REPLACE (CASE WHEN sharpness >= 45 AND ocr_conf_pct >= 12 THEN plate END AS plate) FROM nm)"
 RD = """rd AS (SELECT *, upper(replace(raw, ' ', '')) AS plate, ocr_conf_pct / 100.0::DOUBLE AS confidence, CAST(floor(stream_ms / 1000) AS BIGINT) AS at_s FROM fx_ocr WHERE raw <> 'TAXI' AND sharpness >= 45 AND ocr_conf_pct >= 12)"""
 
 
@@ -248,3 +269,13 @@ sf AS (SELECT camera_id, track_id, rn, event_id, k, true AS ok, k AS last, CAST(
     "site_map": sql("SELECT camera_id, true AS located, coalesce(fov >= 360, false) AS all_round, (bearing IS NULL) <> (fov IS NULL) AS half_surveyed, true AS fine, CAST(CASE WHEN bearing IS NULL OR fov IS NULL THEN 0 ELSE 15 END AS INT) AS view_points, coalesce(areas, '') AS areas FROM cm LEFT JOIN (SELECT camera_id, string_agg(area, ',' ORDER BY o) AS areas FROM ar GROUP BY 1) USING (camera_id)", NEAR, AREA),
     "url_redact": "SELECT page_id, CASE WHEN contains(url, '?') THEN regexp_replace(url, '#.*$', '') || CASE WHEN contains(url, '#') THEN regexp_extract(url, '#.*$') ELSE '' END || '&token=***' ELSE url END AS url FROM pages",
 }
+ORACLE |= {f"{k}_repaired": ORACLE[k].replace(RD, RD_REPAIRED) for k in ("plate_consensus", "plate_unconfirmed", "fleet_plates", "registry_check", "read_sampling")}
+ORACLE |= {f"{k}_repaired": ORACLE[k].replace(SI, SI_REPAIRED) for k in ("vehicle_passes", "pass_suppression")}
+ORACLE["plate_clean"] = sql(f"""SELECT event_id, tidy, plate, CASE WHEN plate[1:2] IN (SELECT code FROM st) AND regexp_matches(plate, '{P.STANDARD}') THEN plate[1:2] END AS state,
+  CASE WHEN regexp_matches(plate, '{P.STANDARD}') THEN trim(regexp_replace(regexp_replace(plate, '{P.STANDARD}', '\\1 \\2 \\3 \\4'), ' +', ' ', 'g')) ELSE plate END AS display FROM nm""", NM)
+ORACLE["plate_fragments"] = r"""
+SELECT image, CAST(row_number() OVER (PARTITION BY image ORDER BY length(text) NOT BETWEEN 8 AND 11, confidence DESC, text) AS INT) AS nth, text, confidence FROM (
+  SELECT image, unnest([a, b, a || b]) AS text, unnest([c, c - 0.01::DOUBLE, c - 0.01::DOUBLE]) AS confidence FROM (
+    SELECT event_id AS image, regexp_replace(upper(raw[1:4]), '[^A-Z0-9]', '', 'g') AS a, regexp_replace(upper(raw[5:24]), '[^A-Z0-9]', '', 'g') AS b, ocr_conf_pct / 100.0::DOUBLE AS c FROM fx_ocr))
+WHERE length(text) BETWEEN 4 AND 13 AND regexp_matches(text, '[0-9]') AND regexp_matches(text, '[A-Z]')"""
+ORACLE["plate_fragments"] = sql(ORACLE["plate_fragments"])
