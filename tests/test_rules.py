@@ -247,7 +247,7 @@ def test_stream_equals_batch(spark, tmp_path):
     assert through(state, twins.link_changes, "links") == sorted(map(tuple, links.changes(state).select("camera_id", "event_id", "state").collect()))
     p = plates.passes(vehicles._sightings(spark, sf)).withColumn("pass_key", F.coalesce("plate", F.concat_ws("#", "camera_id", F.col("track_id").cast("string"))))
     p = p.select("pass_key", F.col("first_ms").cast("long").alias("first_ms"), F.col("last_ms").cast("long").alias("last_ms"), F.timestamp_seconds(F.col("last_ms") / 1000 + day).alias("at"))
-    want = sorted(map(tuple, vehicles.pass_suppression(spark, sf).select("pass_key", "last_ms").collect()))
+    want = sorted(map(tuple, vehicles.pass_suppression(spark, sf, vehicles._sightings).select("pass_key", "last_ms").collect()))
     assert through(p, twins.suppressed_passes, "passes") == want
     one = view(spark, sf, "fx_obs").select("camera_id", "track_id", at)
     assert sum(r[-1] for r in through(one, twins.passes, "sessions")) <= one.count()

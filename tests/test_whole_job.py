@@ -69,20 +69,20 @@ def test_repaired_plates(spark):
         tracks[r.camera_id, r.track_id].append((r, p))
 
     votes = {k: voted([p for _, p in v]) for k, v in tracks.items()}
-    assert {(r.camera_id, r.track_id): (r.consensus, r.reads) for r in run("plate_consensus_repaired")} == votes
+    assert {(r.camera_id, r.track_id): (r.consensus, r.reads) for r in run("plate_consensus")} == votes
     # a track has a consensus of 40 reads or its three most frequent plates
     unsure = {(*k, p, n) for k, v in tracks.items() if votes[k][0] is None or votes[k][1] < 40 for p, n in sorted(Counter(p for _, p in v).items(), key=lambda x: (-x[1], x[0]))[:3]}
-    assert {(r.camera_id, r.track_id, r.plate, r.n) for r in run("plate_unconfirmed_repaired")} == unsure
+    assert {(r.camera_id, r.track_id, r.plate, r.n) for r in run("plate_unconfirmed")} == unsure
 
     registry = {r.plate: r for r in view(spark, SF, "fx_registry").collect()}
     first = {k: (v[0][1], v[0][1] in registry, getattr(registry.get(v[0][1]), "status", "") == "STOLEN") for k, v in tracks.items()}
-    checked = run("registry_check_repaired")
+    checked = run("registry_check")
     assert {(r.camera_id, r.track_id): (r.plate, r.known, r.flagged) for r in checked} == first
-    raw = {(r.camera_id, r.track_id): r.known for r in run("registry_check")}
+    raw = {(r.camera_id, r.track_id): r.known for r in run("registry_check_as_read")}
     assert sum(r.known for r in checked if r.plate in registry) > sum(raw.values())
 
     fleet = {p: (n, max(r.ocr_conf_pct / 100 for r, q in good if q == p)) for p, n in Counter(p for _, p in good).items()}
-    assert {r.plate: (r.reads, r.confidence) for r in run("fleet_plates_repaired")} == fleet
+    assert {r.plate: (r.reads, r.confidence) for r in run("fleet_plates")} == fleet
 
     passes = defaultdict(list)
     seen, nth = {}, Counter()
@@ -92,7 +92,7 @@ def test_repaired_plates(spark):
         seen[k] = r.stream_ms
         passes[(*k, nth[k])].append((r, p if r.sharpness >= 45 and r.ocr_conf_pct >= 12 else None))
     best = {k: max(((r.ocr_conf_pct, r.k, p) for r, p in v if p), default=(0, 0, None))[2] for k, v in passes.items()}
-    assert {(r.camera_id, r.track_id, r.pass_no): r.plate for r in run("vehicle_passes_repaired")} == best
+    assert {(r.camera_id, r.track_id, r.pass_no): r.plate for r in run("vehicle_passes")} == best
 
     kept = defaultdict(list)
     for k, v in tracks.items():
@@ -100,7 +100,7 @@ def test_repaired_plates(spark):
             s = kept[k]
             if r.veh_w >= 180 and (not s or len(s) < 12 and r.k - s[-1][0].k >= 10 and (max(Counter(q for _, q in s).values()) < 3 or r.veh_area >= 1.15 * max(x.veh_area for x, _ in s))):
                 s.append((r, p))
-    assert {r.event_id for r in run("read_sampling_repaired")} == {r.event_id for s in kept.values() for r, _ in s}
+    assert {r.event_id for r in run("read_sampling")} == {r.event_id for s in kept.values() for r, _ in s}
 
     last, out = {}, set()
     ends = sorted((v[-1][0].stream_ms, v[0][0].stream_ms, k, best[k] or f"{k[0]}#{k[1]}") for k, v in passes.items())
@@ -108,7 +108,7 @@ def test_repaired_plates(spark):
         if key not in last or end - last[key] >= 10_000:
             last[key] = end
             out.add((key, k[0], k[1], end))
-    assert {(r.pass_key, r.camera_id, r.track_id, r.last_ms) for r in run("pass_suppression_repaired")} == out
+    assert {(r.pass_key, r.camera_id, r.track_id, r.last_ms) for r in run("pass_suppression")} == out
 
 
 def test_nearest_of_many(spark):

@@ -47,11 +47,11 @@ def plate_fragments(spark, sf_dir):
     return V.fragments(f)
 
 
-def plate_consensus(spark, sf_dir, reads=reads):
+def plate_consensus(spark, sf_dir, reads=accepted):
     return V.consensus(reads(spark, sf_dir), ["camera_id", "track_id"], "plate", "k")
 
 
-def plate_unconfirmed(spark, sf_dir, reads=reads):
+def plate_unconfirmed(spark, sf_dir, reads=accepted):
     r = reads(spark, sf_dir)
     return V.unconfirmed(r, V.consensus(r, ["camera_id", "track_id"], "plate", "k", 40), ["camera_id", "track_id"], "plate")
 
@@ -66,13 +66,13 @@ def plate_to_vehicle(spark, sf_dir):
     return V.in_vehicle(box.where(ok), veh)
 
 
-def fleet_plates(spark, sf_dir, reads=reads):
+def fleet_plates(spark, sf_dir, reads=accepted):
     r = reads(spark, sf_dir).withColumn("camera_id", F.concat(F.lit("CAM-0"), (F.col("event_id") % 5 + 1).cast("string")))
     return V.fleet(r).withColumn("cameras", F.array_join("cameras", ","))
 
 
-def registry_check(spark, sf_dir, reads=reads):
-    """The first plausible plate of each track against the registry."""
+def registry_check(spark, sf_dir, reads=accepted):
+    """The first plate of each track against the registry."""
     seen = reads(spark, sf_dir).groupBy("camera_id", "track_id").agg(F.min_by("plate", "k").alias("plate"), F.min_by("label", "k").alias("label"))
     return V.check_registry(seen, view(spark, sf_dir, "fx_registry")).select("camera_id", "track_id", "plate", "known", "flagged", "mismatch", "behaviour", "points", "detail")
 
@@ -88,17 +88,17 @@ def _accepted_sightings(spark, sf_dir):
     return o.withColumn("plate", F.when(V.sure(F.col("confidence"), F.col("sharpness")), F.col("plate")))
 
 
-def vehicle_passes(spark, sf_dir, sightings=_sightings):
+def vehicle_passes(spark, sf_dir, sightings=_accepted_sightings):
     p = V.passes(sightings(spark, sf_dir))
     return p.select("camera_id", "track_id", "pass_no", F.col("first_ms").cast("long").alias("first_ms"), F.col("last_ms").cast("long").alias("last_ms"), "frames", "plate", "confidence", "crop_event")
 
 
-def pass_suppression(spark, sf_dir, sightings=_sightings):
+def pass_suppression(spark, sf_dir, sightings=_accepted_sightings):
     s = V.suppress(V.passes(sightings(spark, sf_dir)))
     return s.select("pass_key", "camera_id", "track_id", F.col("last_ms").cast("long").alias("last_ms"), "frames")
 
 
-def read_sampling(spark, sf_dir, reads=reads):
+def read_sampling(spark, sf_dir, reads=accepted):
     r = reads(spark, sf_dir)
     return V.sample_reads(r, "veh_w", "veh_area", "k", "plate", ["camera_id", "track_id"]).select("camera_id", "track_id", "event_id", F.col("k").cast("long").alias("k"))
 
@@ -174,9 +174,9 @@ def url_redact(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (plate_clean, plate_fragments, plate_consensus, plate_unconfirmed, plate_to_vehicle, fleet_plates, registry_check, vehicle_passes, pass_suppression, read_sampling, link_changes, link_outages, link_drops, camera_integrity, chain_verify, chain_heads, camera_nearest, coverage_wedge, camera_geofences, camera_unplaced, site_map, range_height, url_redact)}
-# The same over repaired plates, as surveyed; the queries above take the text as read.
-QUERIES |= {f"{f.__name__}_repaired": partial(f, reads=accepted) for f in (plate_consensus, plate_unconfirmed, fleet_plates, registry_check, read_sampling)}
-QUERIES |= {f"{f.__name__}_repaired": partial(f, sightings=_accepted_sightings) for f in (vehicle_passes, pass_suppression)}
+# The same over plates as read: tidied, not repaired.
+QUERIES |= {f"{f.__name__}_as_read": partial(f, reads=reads) for f in (plate_consensus, plate_unconfirmed, fleet_plates, registry_check, read_sampling)}
+QUERIES |= {f"{f.__name__}_as_read": partial(f, sightings=_sightings) for f in (vehicle_passes, pass_suppression)}
 
 
 def _near(a: str, b: str) -> str:
@@ -269,8 +269,9 @@ sf AS (SELECT camera_id, track_id, rn, event_id, k, true AS ok, k AS last, CAST(
     "site_map": sql("SELECT camera_id, true AS located, coalesce(fov >= 360, false) AS all_round, (bearing IS NULL) <> (fov IS NULL) AS half_surveyed, true AS fine, CAST(CASE WHEN bearing IS NULL OR fov IS NULL THEN 0 ELSE 15 END AS INT) AS view_points, coalesce(areas, '') AS areas FROM cm LEFT JOIN (SELECT camera_id, string_agg(area, ',' ORDER BY o) AS areas FROM ar GROUP BY 1) USING (camera_id)", NEAR, AREA),
     "url_redact": "SELECT page_id, CASE WHEN contains(url, '?') THEN regexp_replace(url, '#.*$', '') || CASE WHEN contains(url, '#') THEN regexp_extract(url, '#.*$') ELSE '' END || '&token=***' ELSE url END AS url FROM pages",
 }
-ORACLE |= {f"{k}_repaired": ORACLE[k].replace(RD, RD_REPAIRED) for k in ("plate_consensus", "plate_unconfirmed", "fleet_plates", "registry_check", "read_sampling")}
-ORACLE |= {f"{k}_repaired": ORACLE[k].replace(SI, SI_REPAIRED) for k in ("vehicle_passes", "pass_suppression")}
+for _k in [k for k in ORACLE if f"{k}_as_read" in QUERIES]:
+    ORACLE[f"{_k}_as_read"] = ORACLE[_k]
+    ORACLE[_k] = ORACLE[_k].replace(RD, RD_REPAIRED).replace(SI, SI_REPAIRED)
 ORACLE["plate_clean"] = sql(f"""SELECT event_id, tidy, plate, CASE WHEN plate[1:2] IN (SELECT code FROM st) AND regexp_matches(plate, '{P.STANDARD}') THEN plate[1:2] END AS state,
   CASE WHEN regexp_matches(plate, '{P.STANDARD}') THEN trim(regexp_replace(regexp_replace(plate, '{P.STANDARD}', '\\1 \\2 \\3 \\4'), ' +', ' ', 'g')) ELSE plate END AS display FROM nm""", NM)
 ORACLE["plate_fragments"] = r"""
