@@ -26,7 +26,7 @@ def _fleet_plates(spark, sf_dir):
 
 
 def _checked(spark, sf_dir):
-    own = H.reads(spark, sf_dir).select("camera_id", "track_id", "k", "plate", "label")
+    own = H.accepted(spark, sf_dir).select("camera_id", "track_id", "k", "plate", "label")
     return V.check_registry(V.first_plates(own, _fleet_plates(spark, sf_dir)), view(spark, sf_dir, "fx_registry"))
 
 
@@ -122,7 +122,7 @@ def event_json(spark, sf_dir):
 
 def plate_best(spark, sf_dir):
     """The plate that each track's reads agree on, with the confidence and text of the read that stands for it."""
-    r = H.reads(spark, sf_dir)
+    r = H.accepted(spark, sf_dir)
     key = ["camera_id", "track_id"]
     return V.best_reading(r, V.consensus(r, key, "plate", "k"), key)
 
@@ -149,7 +149,7 @@ ck AS (SELECT camera_id, track_id, f.plate, CAST(from_k AS BIGINT) AS from_k, in
 SETTLED = "idn AS (SELECT DISTINCT track_id FROM (" + W.ORACLE["identity_settled"].rpartition("\nSELECT ")[2].join(("SELECT ", "")) + "))"
 FOUND = """beh2 AS (SELECT beh.* REPLACE (bs || CASE WHEN ck.points > 0 AND beh.k >= from_k THEN [struct_pack(o := 7, name := ck.behaviour, p := ck.points)] ELSE [] END
   || CASE WHEN idn.track_id IS NOT NULL AND beh.label = 'PERSON' THEN [struct_pack(o := 8, name := 'AUTHORISED PERSON', p := -45)] ELSE [] END AS bs) FROM beh LEFT JOIN ck USING (camera_id, track_id) LEFT JOIN idn ON idn.track_id = beh.track_id)"""
-FINDINGS = (*T.TO_CTX, T.BEH, H.RD, ONCE, W.MT, SETTLED, FOUND, T.RISK.replace("FROM beh)", "FROM beh2)"))
+FINDINGS = (*T.TO_CTX, T.BEH, H.RD_REPAIRED, ONCE, W.MT, SETTLED, FOUND, T.RISK.replace("FROM beh)", "FROM beh2)"))
 LINK = """la AS (SELECT f.camera_id, f.event_id, f.at_s, CASE WHEN f1 THEN 'CAMERA LINK LOST' WHEN f2 THEN 'CAMERA OFFLINE' ELSE 'REPEATED LINK LOSS' END AS event_type_name, f1::BIGINT + f2::BIGINT + f3::BIGINT AS findings,
   CAST(least(100, 45 + f1::INT * 40 + f2::INT * 55 + f3::INT * 15 + CASE WHEN hour(ts) >= 18 OR hour(ts) < 6 THEN 6 ELSE 0 END) AS INT) AS score FROM fs f JOIN fx_obs USING (event_id) WHERE f1 OR f2 OR f3),
 lk2 AS (SELECT *, CASE WHEN score >= 90 THEN 'CRITICAL' WHEN score >= 65 THEN 'HIGH' WHEN score >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS severity FROM la)"""
@@ -160,7 +160,7 @@ ROLL = ("fa AS (SELECT a.*, rk.zone, rk.bs FROM fx_alert a JOIN rk USING (event_
         "ib AS (SELECT ky, i, at_s, event_id, unnest(list_transform(bs, lambda x: x.name)) AS b, unnest(range(len(bs))) AS bn FROM ig)",
         _FIRSTS("camera_id", "l1", "(at_s, event_id)").format("ig"), _FIRSTS("event_type_name", "l2", "(at_s, event_id)").format("ig"), _FIRSTS("zone", "l3", "(at_s, event_id)").format("ig"), _FIRSTS("b", "l4", "(at_s, event_id, bn)").format("ib"))
 ORACLE = {
-    "registry_once": sql("SELECT * FROM ck", H.RD, ONCE),
+    "registry_once": sql("SELECT * FROM ck", H.RD_REPAIRED, ONCE),
     "risk_with_findings": sql("SELECT event_id, score, severity, CAST(n_factors AS INT) AS n_factors, reason FROM rk", *FINDINGS),
     "finding_effect": sql("SELECT behaviour, count(*) AS n, min(score) AS lowest, max(score) AS highest FROM (SELECT score, unnest(list_transform(list_filter(bs, lambda x: x.o >= 7), lambda x: x.name)) AS behaviour FROM rk) GROUP BY 1", *FINDINGS),
     "link_alerts": _rec(sql("SELECT * FROM lk2", H.CH, H.FIND, LINK)),
@@ -175,7 +175,7 @@ ORACLE = {
     "time_of_day": sql("SELECT camera_id, CASE WHEN camera_id = 'CAM-03' OR hour(ts) >= 18 OR hour(ts) < 6 THEN 'NIGHT' ELSE 'DAY' END AS time_of_day, count(*) AS n FROM fx_obs GROUP BY 1, 2"),
     "event_json": sql("SELECT event_id, label, round(confidence, 4) AS confidence, format('P{:03d}', track_id) AS track_label, zone, zone IS NULL AS no_zone, score, severity, round(speed, 4) + 0.0 AS speed, round(dwell_s, 2) + 0.0 AS dwell_seconds, round(variance, 3) + 0.0 AS heading_variance, round(hr, 3) + 0.0 AS height_ratio, true AS uncalibrated, CAST(len(bs) AS INT) AS n_behaviours FROM rk", *Q.SCORED),
     "plate_best": sql("""SELECT cn.*, b.confidence, b.raw FROM cn LEFT JOIN (SELECT camera_id, track_id, arg_max(c, (t, l, n, -f)) AS confidence, arg_max(r, (t, l, n, -f)) AS raw FROM (SELECT x.*, (x.plate = consensus)::INT AS t, (length(x.plate) = length(consensus))::INT AS l FROM cn
-  JOIN (SELECT camera_id, track_id, plate, count(*) AS n, min(k) AS f, max(confidence) AS c, arg_max(raw, (confidence, -k)) AS r FROM rd GROUP BY 1, 2, 3) x USING (camera_id, track_id) WHERE consensus IS NOT NULL) GROUP BY 1, 2) b USING (camera_id, track_id)""", H.RD, H._cons(2)),
+  JOIN (SELECT camera_id, track_id, plate, count(*) AS n, min(k) AS f, max(confidence) AS c, arg_max(raw, (confidence, -k)) AS r FROM rd GROUP BY 1, 2, 3) x USING (camera_id, track_id) WHERE consensus IS NOT NULL) GROUP BY 1, 2) b USING (camera_id, track_id)""", H.RD_REPAIRED, H._cons(2)),
     "face_sampling": _rec(sql("SELECT track_id, face_id FROM sf WHERE ok", W.MT, """sr AS (SELECT CAST(floor(face_id / 60) AS BIGINT) AS track_id, face_id, face_id * 3 AS k, person_id, row_number() OVER (PARTITION BY floor(face_id / 60) ORDER BY face_id) AS rn FROM mt),
 sf AS (SELECT track_id, rn, face_id, true AS ok, k AS last, [person_id] AS kept FROM sr WHERE rn = 1 UNION ALL SELECT track_id, rn, face_id, ok, CASE WHEN ok THEN k ELSE last END, CASE WHEN ok THEN list_append(kept, person_id) ELSE kept END FROM (
   SELECT s.*, f.last, f.kept, len(f.kept) < 10 AND s.k - f.last >= 8 AND coalesce(list_max(list_transform(f.kept, lambda y: len(list_filter(f.kept, lambda z: coalesce(z = y, false))))), 0) < 2 AS ok FROM sf f JOIN sr s ON s.track_id = f.track_id AND s.rn = f.rn + 1))""")),

@@ -186,11 +186,11 @@ def _near(a: str, b: str) -> str:
 _DIG, _LET = (lambda x, m=m: f"translate({x}, '{m[0]}', '{m[1]}')" for m in (P.TO_DIGIT, P.TO_LETTER))
 _CODES = ", ".join(f"('{c}')" for c in P.STATES)
 _LIKE = ", ".join(f"('{read}', '{real}')" for read, more in P.LOOKALIKE.items() for real in more if real.isalpha())
-_TRY = lambda c: f"""SELECT t, {c}, s, CASE WHEN s <> '' THEN coalesce(CASE WHEN s IN (SELECT code FROM st) THEN s END, (SELECT code FROM fx WHERE bad = s)) || {c}[3:] END AS r FROM (SELECT DISTINCT t, {c}, regexp_extract({c}, '{P.STANDARD}', 1) AS s FROM n1)"""
-_PICK = lambda i: f"CASE WHEN (t{i}.s IN (SELECT code FROM st) OR regexp_matches(n1.c{i}, '{P.BHARAT}')) AND {_near('n1.t', f'n1.c{i}')} THEN n1.c{i} END, CASE WHEN {_near('n1.t', f't{i}.r')} THEN t{i}.r END"
+_TRY = lambda c: f"""SELECT t, {c}, s, CASE WHEN s <> '' THEN coalesce(CASE WHEN s IN (SELECT code FROM pl_st) THEN s END, (SELECT code FROM pl_fx WHERE bad = s)) || {c}[3:] END AS r FROM (SELECT DISTINCT t, {c}, regexp_extract({c}, '{P.STANDARD}', 1) AS s FROM n1)"""
+_PICK = lambda i: f"CASE WHEN (t{i}.s IN (SELECT code FROM pl_st) OR regexp_matches(n1.c{i}, '{P.BHARAT}')) AND {_near('n1.t', f'n1.c{i}')} THEN n1.c{i} END, CASE WHEN {_near('n1.t', f't{i}.r')} THEN t{i}.r END"
 #: nm: the reads with plate, the valid number that a read is close to.
-NM = f"""st AS (SELECT code FROM (VALUES {_CODES}) v(code)), lk2 AS (SELECT read, real FROM (VALUES {_LIKE}) v(read, real)),
-fx AS (SELECT bad, min(code) AS code FROM (SELECT code, read || code[2] AS bad FROM st JOIN lk2 ON code[1] = real UNION SELECT code, code[1] || read FROM st JOIN lk2 ON code[2] = real) WHERE bad NOT IN (SELECT code FROM st) GROUP BY bad HAVING count(*) = 1),
+NM = f"""pl_st AS (SELECT code FROM (VALUES {_CODES}) v(code)), pl_lk AS (SELECT read, real FROM (VALUES {_LIKE}) v(read, real)),
+pl_fx AS (SELECT bad, min(code) AS code FROM (SELECT code, read || code[2] AS bad FROM pl_st JOIN pl_lk ON code[1] = real UNION SELECT code, code[1] || read FROM pl_st JOIN pl_lk ON code[2] = real) WHERE bad NOT IN (SELECT code FROM pl_st) GROUP BY bad HAVING count(*) = 1),
 n0 AS (SELECT *, t[3:length(t) - 4] AS mid, length(regexp_extract({_DIG("t[3:length(t) - 4]")}, '^[0-9]{{0,2}}')) AS lead FROM (SELECT DISTINCT raw, regexp_replace(upper(coalesce(raw, '')), '[^A-Z0-9]', '', 'g') AS t FROM fx_ocr)),
 n1 AS (SELECT raw, t, t AS c0, CASE WHEN length(t) >= 9 AND lead > 0 THEN {_LET("t[1:2]")} || {_DIG("mid[1:lead]")} || {_LET("mid[lead + 1:]")} || {_DIG("t[length(t) - 3:]")} END AS c1,
   CASE WHEN length(t) >= 9 AND {_LET("t[3:4]")} = 'BH' THEN {_DIG("t[1:2]")} || 'BH' || {_DIG("t[5:8]")} || {_LET("t[9:]")} END AS c2 FROM n0),
@@ -272,7 +272,7 @@ sf AS (SELECT camera_id, track_id, rn, event_id, k, true AS ok, k AS last, CAST(
 for _k in [k for k in ORACLE if f"{k}_as_read" in QUERIES]:
     ORACLE[f"{_k}_as_read"] = ORACLE[_k]
     ORACLE[_k] = ORACLE[_k].replace(RD, RD_REPAIRED).replace(SI, SI_REPAIRED)
-ORACLE["plate_clean"] = sql(f"""SELECT event_id, tidy, plate, CASE WHEN plate[1:2] IN (SELECT code FROM st) AND regexp_matches(plate, '{P.STANDARD}') THEN plate[1:2] END AS state,
+ORACLE["plate_clean"] = sql(f"""SELECT event_id, tidy, plate, CASE WHEN plate[1:2] IN (SELECT code FROM pl_st) AND regexp_matches(plate, '{P.STANDARD}') THEN plate[1:2] END AS state,
   CASE WHEN regexp_matches(plate, '{P.STANDARD}') THEN trim(regexp_replace(regexp_replace(plate, '{P.STANDARD}', '\\1 \\2 \\3 \\4'), ' +', ' ', 'g')) ELSE plate END AS display FROM nm""", NM)
 ORACLE["plate_fragments"] = r"""
 SELECT image, CAST(row_number() OVER (PARTITION BY image ORDER BY length(text) NOT BETWEEN 8 AND 11, confidence DESC, text) AS INT) AS nth, text, confidence FROM (
