@@ -46,39 +46,41 @@ def link_subjects(sightings: DataFrame, least=1, most=300, similarity: float = 0
     """Rows (post, id, subject_id, camera_id, first_s, last_s): sightings in order of time, each given to the most similar subject
     seen `least` to `most` seconds ago that its camera has not seen (the last of equals), else to a new one. A subject looks
     like a blend of its sightings. The posts are folded in parallel, each in order; a post keeps subjects of the last ttl seconds only."""
-
-    def start():
-        import numpy as np
-
-        live, n = [], 0
-
-        def step(r):
-            nonlocal live, n
-            if r is None:
-                return []
-            live = [s for s in live if r.first_s - s["last"] <= ttl]
-            hist = np.asarray(r.hist, float)
-            best, score = None, similarity
-            for s in live:
-                if r.camera_id not in s["cameras"] and least <= r.first_s - s["last"] <= most:
-                    got = float(np.minimum(s["hist"], hist).sum())
-                    if got >= score:
-                        best, score = s, got
-            if best is None:
-                n += 1
-                best = {"id": f"S{n:04d}", "cameras": set(), "hist": hist, "last": r.last_s}
-                live.append(best)
-            else:
-                mixed = 0.7 * best["hist"] + 0.3 * hist
-                best["hist"] = mixed / mixed.sum()
-            best["cameras"].add(r.camera_id)
-            best["last"] = max(best["last"], r.last_s)
-            return [(r.post, r.id, best["id"], r.camera_id, r.first_s, r.last_s)]
-
-        return step
-
     rows = sightings.select("post", "id", "camera_id", F.col("first_s").cast("long"), F.col("last_s").cast("long"), "hist")
-    return folds.in_order(rows, ["post"], ["first_s", "id"], start, "post bigint, id bigint, subject_id string, camera_id string, first_s bigint, last_s bigint")
+    return folds.in_order(rows, ["post"], ["first_s", "id"], linked(least, most, similarity, ttl), LINKED)
+
+
+LINKED = "post bigint, id bigint, subject_id string, camera_id string, first_s bigint, last_s bigint"
+
+
+def linked(least=1, most=300, similarity: float = 0.72, ttl=1800):
+    """The step of a post's fold over its sightings (post, id, camera_id, first_s, last_s, hist)."""
+    import numpy as np
+
+    def step(held, r):
+        if r is None:
+            return []
+        live = [s for s in held.get("live", []) if r.first_s - s["last"] <= ttl]
+        hist = np.asarray(r.hist, float)
+        best, score = None, similarity
+        for s in live:
+            if r.camera_id not in s["cameras"] and least <= r.first_s - s["last"] <= most:
+                got = float(np.minimum(s["hist"], hist).sum())
+                if got >= score:
+                    best, score = s, got
+        if best is None:
+            held["n"] = held.get("n", 0) + 1
+            best = {"id": f"S{held['n']:04d}", "cameras": set(), "hist": hist, "last": r.last_s}
+            live.append(best)
+        else:
+            mixed = 0.7 * best["hist"] + 0.3 * hist
+            best["hist"] = mixed / mixed.sum()
+        best["cameras"].add(r.camera_id)
+        best["last"] = max(best["last"], r.last_s)
+        held["live"] = live
+        return [(r.post, r.id, best["id"], r.camera_id, r.first_s, r.last_s)]
+
+    return step
 
 
 def subject_summary(linked: DataFrame) -> DataFrame:
@@ -134,69 +136,89 @@ def assign_tracks(detections: DataFrame, key: tuple[str, ...] = ("camera_id",),
     forgotten `memory` frames after it was last seen. Each key's frames are folded in order; tracks and
     one frame are kept.
     """
-    fields = ", ".join(f"{k} {detections.schema[k].dataType.simpleString()}" for k in key)
-
-    def start():
-        import numpy as np
-
-        def over(a, b):
-            w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-            if w <= 0 or h <= 0:
-                return 0.0
-            return w * h / ((a[2] - a[0]) * (a[3] - a[1]) + (b[2] - b[0]) * (b[3] - b[1]) - w * h)
-
-        def seen(t, box, hist, now):
-            t |= {"box": box, "missed": 0, "last": now}
-            if hist is not None:
-                mixed = hist if t["hist"] is None else 0.7 * t["hist"] + 0.3 * hist
-                t["hist"] = mixed / mixed.sum()
-
-        live, lost, rows, n, now = [], [], [], 0, -1
-
-        def frame_done():
-            nonlocal live, lost, rows, n, now
-            now += 1
-            free, open_, out = list(live), [], []
-            for r in sorted(rows, key=lambda r: (r.confidence is None, -(r.confidence or 0))):
-                box = (r.x1, r.y1, r.x2, r.y2)
-                hist = None if r.hist is None else np.asarray(r.hist, float)
-                scores = [over(box, t["box"]) for t in free]
-                best = max(range(len(free)), key=lambda i: (scores[i], i), default=None)  # noqa: B023
-                if best is None or scores[best] < iou:
-                    open_.append((r, box, hist))
-                    continue
-                t = free.pop(best)
-                seen(t, box, hist, now)
-                out.append((r, t["id"]))
-            for r, box, hist in open_:
-                scores = [0.0 if hist is None or t["hist"] is None else float(np.minimum(t["hist"], hist).sum()) for t in lost]
-                best = max(range(len(lost)), key=lambda i: (scores[i], i), default=None)  # noqa: B023
-                if best is not None and scores[best] >= revive:
-                    t = lost.pop(best)
-                else:
-                    n += 1
-                    t = {"id": n, "hist": None}
-                seen(t, box, hist, now)
-                live.append(t)
-                out.append((r, t["id"]))
-            for t in free:
-                t["missed"] += 1
-            lost += [t for t in live if t["missed"] > max_missed]
-            live = [t for t in live if t["missed"] <= max_missed]
-            lost = [t for t in lost if now - t["last"] <= memory and t["hist"] is not None]
-            rows = []
-            return [(*[getattr(r, k) for k in key], r.frame, r.det_id, t) for r, t in out]
-
-        def step(r):
-            out = frame_done() if rows and (r is None or r.frame != rows[0].frame) else []
-            if r is not None:
-                rows.append(r)
-            return out
-
-        return step
-
-    d = detections.select(*key, F.col("frame").cast("long"), "det_id", "confidence", "x1", "y1", "x2", "y2", "hist").where("frame is not null")
-    return folds.in_order(d, list(key), ["frame", "det_id"], start, f"{fields}, frame bigint, det_id bigint, track_id bigint")
+    d = boxes(detections, key)
+    return folds.in_order(d, list(key), ["frame", "det_id"], tracked(key, iou, max_missed, revive, memory), tracks_of(d, key))
+
+
+def boxes(detections: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """What the tracker needs of detections; those without a frame belong to no track."""
+    return detections.select(*key, F.col("frame").cast("long"), "det_id", "confidence", "x1", "y1", "x2", "y2", "hist").where("frame is not null")
+
+
+def tracks_of(detections: DataFrame, key: tuple[str, ...]) -> str:
+    """The schema of tracked detections."""
+    return ", ".join([*[f"{k} {detections.schema[k].dataType.simpleString()}" for k in key], "frame bigint, det_id bigint, track_id bigint"])
+
+
+def tracked(key: tuple[str, ...] = ("camera_id",), iou: float = 0.3, max_missed: int = 15, revive: float = 0.55, memory: int = 150):
+    """The step of a camera's fold over its detections in order of frames. A frame's rows are given back when the next frame begins.
+    Held are the live and lost tracks, the lost ones' descriptors as rows of a matrix, and the frame's rows so far."""
+    import numpy as np
+
+    def last_best(scores, least):
+        """Place of the greatest score, the last of equals, or None below `least`."""
+        if not len(scores):
+            return None
+        best = len(scores) - 1 - int(np.argmax(scores[::-1]))
+        return best if scores[best] >= least else None
+
+    def seen(t, box, hist, now):
+        t |= {"box": box, "missed": 0, "last": now}
+        if hist is not None:
+            mixed = hist if t["hist"] is None else 0.7 * t["hist"] + 0.3 * hist
+            t["hist"] = mixed / mixed.sum()
+
+    def overlaps(box, at, areas):
+        w = np.minimum(at[:, 2], box[2]) - np.maximum(at[:, 0], box[0])
+        h = np.minimum(at[:, 3], box[3]) - np.maximum(at[:, 1], box[1])
+        both = np.where((w > 0) & (h > 0), w * h, 0.0)
+        return np.divide(both, areas + (box[2] - box[0]) * (box[3] - box[1]) - both, out=np.zeros(len(at)), where=both > 0)
+
+    def frame_done(held):
+        now = held["now"] = held.get("now", -1) + 1
+        live, lost, looks = held.get("live", []), held.get("lost", []), held.get("looks")
+        at = np.array([t["box"] for t in live], float).reshape(-1, 4)
+        areas = (at[:, 2] - at[:, 0]) * (at[:, 3] - at[:, 1])
+        free, still, open_, out = np.ones(len(live), bool), np.ones(len(lost), bool), [], []
+        for r in sorted(held["rows"], key=lambda r: (r[3] is None, -(r[3] or 0))):
+            box, hist = r[4:8], None if r[8] is None else np.asarray(r[8], float)
+            best = last_best(np.where(free, overlaps(box, at, areas), -1.0), iou)
+            if best is None:
+                open_.append((r, box, hist))
+                continue
+            free[best] = False
+            seen(live[best], box, hist, now)
+            out.append((r, live[best]["id"]))
+        missed = [t for t, f in zip(live, free, strict=True) if f]
+        for r, box, hist in open_:
+            best = None if hist is None or not lost else last_best(np.where(still, np.minimum(looks, hist).sum(axis=1), -1.0), revive)
+            if best is None:
+                held["n"] = held.get("n", 0) + 1
+                t = {"id": held["n"], "hist": None}
+            else:
+                still[best], t = False, lost[best]
+            seen(t, box, hist, now)
+            live.append(t)
+            out.append((r, t["id"]))
+        for t in missed:
+            t["missed"] += 1
+        still &= np.array([now - t["last"] <= memory for t in lost], bool)
+        gone = [t for t in live if t["missed"] > max_missed and t["hist"] is not None and now - t["last"] <= memory]
+        if gone or not still.all():
+            kept = [looks[still]] if still.any() else []
+            looks = np.concatenate([*kept, *([np.array([t["hist"] for t in gone])] if gone else [])]) if kept or gone else None
+            lost = [t for t, s in zip(lost, still, strict=True) if s] + gone
+        held |= {"live": [t for t in live if t["missed"] <= max_missed], "lost": lost, "looks": looks, "rows": []}
+        return [(*r[0], r[1], r[2], t) for r, t in out]
+
+    def step(held, r):
+        rows = held.setdefault("rows", [])
+        out = frame_done(held) if rows and (r is None or r.frame != rows[0][1]) else []
+        if r is not None:
+            held["rows"].append((tuple(getattr(r, k) for k in key), r.frame, r.det_id, r.confidence, r.x1, r.y1, r.x2, r.y2, r.hist))
+        return out
+
+    return step
 
 
 def newest_first(df: DataFrame, key: str, order: str) -> DataFrame:

@@ -9,9 +9,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
-def in_order(rows: DataFrame, key: list[str], order: list[str], start, schema: str) -> DataFrame:
-    """Rows of `schema` from a fold over each key's rows in order, nulls first. start() gives a function that takes a row (a named
-    tuple of rows' columns), or None after the key's last, and returns a list of output rows.
+def in_order(rows: DataFrame, key: list[str], order: list[str], step, schema: str) -> DataFrame:
+    """Rows of `schema` from a fold over each key's rows in order, nulls first. step(held, row) takes the key's state, a dict that is
+    empty at first, and a row (a named tuple of rows' columns), or None after the key's last, and returns a list of output rows.
 
     Spark sorts the rows, on disk if need be, and they come in batches: a task holds a batch and one key's state, however
     many rows the key has.
@@ -23,7 +23,7 @@ def in_order(rows: DataFrame, key: list[str], order: list[str], start, schema: s
 
         kind = namedtuple("Row", names, rename=True)
         at = [names.index(k) for k in key]
-        last = step = None
+        last = held = None
 
         def packed(out):
             return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out, strict=True) if out else [[]] * len(made), made, strict=True)], schema=made)
@@ -32,14 +32,14 @@ def in_order(rows: DataFrame, key: list[str], order: list[str], start, schema: s
             out = []
             for r in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 now = [r[i] for i in at]
-                if step is None or now != last:
-                    if step is not None:
-                        out += step(None)
-                    last, step = now, start()
-                out += step(kind(*r))
+                if held is None or now != last:
+                    if held is not None:
+                        out += step(held, None)
+                    last, held = now, {}
+                out += step(held, kind(*r))
             yield packed(out)
-        if step is not None:
-            yield packed(step(None))
+        if held is not None:
+            yield packed(step(held, None))
 
     return rows.repartition(*key).sortWithinPartitions(*key, *order).mapInArrow(work, schema)
 

@@ -16,25 +16,29 @@ def link(prev: Column, event: Column, ts: Column, payload: Column) -> Column:
 
 def append(rows: DataFrame, chain: list[str], order: str, head: str = GENESIS) -> DataFrame:
     """rows (event, ts, payload as text) with prev_hash, hash and seq. Each chain is folded in order, with its head alone kept."""
+    rows = rows.select(*chain, order, "event", "ts", "payload")
+    return folds.in_order(rows, chain, [order, "event", "ts", "payload"], appended(head), chained(rows))
 
-    def start():
-        from hashlib import sha256
 
-        prev, seq = head, 0
+def chained(rows: DataFrame) -> str:
+    """The schema of rows of a chain."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+    return f"{schema}, prev_hash string, hash string, seq bigint"
 
-        def step(r):
-            nonlocal prev, seq
-            if r is None:
-                return []
-            before, seq = prev, seq + 1
-            prev = sha256("\x1f".join(x for x in (before, r.event, r.ts, r.payload) if x is not None).encode()).hexdigest()
-            return [(*r, before, prev, seq)]
 
-        return step
+def appended(head: str = GENESIS):
+    """The step of a chain's fold: the row with the head before it and its own hash."""
+    from hashlib import sha256
 
-    rows = rows.select(*chain, order, "event", "ts", "payload")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return folds.in_order(rows, chain, [order, "event", "ts", "payload"], start, f"{schema}, prev_hash string, hash string, seq bigint")
+    def step(held, r):
+        if r is None:
+            return []
+        before, seq = held.get("prev", head), held.get("seq", 0) + 1
+        mine = sha256("\x1f".join(x for x in (before, r.event, r.ts, r.payload) if x is not None).encode()).hexdigest()
+        held |= {"prev": mine, "seq": seq}
+        return [(*r, before, mine, seq)]
+
+    return step
 
 
 def verify(stored: DataFrame, chain: list[str], order: str = "seq") -> DataFrame:

@@ -33,6 +33,9 @@ def drops(found: DataFrame, window_s: int = 300) -> DataFrame:
     return found.withColumn("recent", F.count("*").over(w))
 
 
+FOUND = "camera_id string, event_id bigint, at_s bigint, finding string, points int"
+
+
 def findings(changed: DataFrame, at: str = "at_s", order: str = "event_id", grace=10, window=300, repeats=3, cooldown=60) -> DataFrame:
     """Rows (camera_id, event_id, at_s, finding, points) that the link states of each camera give rise to.
 
@@ -40,45 +43,43 @@ def findings(changed: DataFrame, at: str = "at_s", order: str = "event_id", grac
     silent for `cooldown` seconds after it was last raised. A link given up in that time leaves its outage open. The states
     of a camera are folded in order; the drops of the last `window` seconds are kept.
     """
-
-    def start():
-        down, recent, last = None, [], {}
-
-        def step(row):
-            nonlocal down, recent
-            if row is None:
-                return []
-            now, names = getattr(row, at), []
-
-            def raised(name):
-                if name in last and now - last[name] < cooldown:
-                    return False
-                last[name] = now
-                names.append(name)
-                return True
-
-            check = True
-            if row.state == "RECONNECTING":
-                if down is None:
-                    down = now
-                    recent.append(now)
-            elif row.state == "ONLINE":
-                check = down is not None
-                if check and now - down >= grace:
-                    raised("CAMERA LINK LOST")
-                down = None
-            elif row.state == "OFFLINE":
-                check = raised("CAMERA OFFLINE")
-                down = None if check else down
-            else:
-                check = False
-            if check:
-                recent = [t for t in recent if now - t <= window]
-                if len(recent) >= repeats:
-                    raised("REPEATED LINK LOSS")
-            return [(row.camera_id, getattr(row, order), now, n, POINTS[n]) for n in names]
-
-        return step
-
-    rows = changed.select("camera_id", F.col(order).cast("long").alias(order), F.col(at).cast("long").alias(at), "state")
-    return folds.in_order(rows, ["camera_id"], [order, at, "state"], start, "camera_id string, event_id bigint, at_s bigint, finding string, points int")
+    rows = changed.select("camera_id", F.col(order).cast("long").alias("event_id"), F.col(at).cast("long").alias("at_s"), "state")
+    return folds.in_order(rows, ["camera_id"], ["event_id", "at_s", "state"], found(grace, window, repeats, cooldown), FOUND)
+
+
+def found(grace=10, window=300, repeats=3, cooldown=60):
+    """The step of a camera's fold over its link states (camera_id, event_id, at_s, state)."""
+    points = dict(POINTS)
+
+    def step(held, row):
+        if row is None:
+            return []
+        now, names, last, down, drops = row.at_s, [], held.setdefault("last", {}), held.get("down"), held.get("drops", [])
+
+        def raised(name):
+            if name in last and now - last[name] < cooldown:
+                return False
+            last[name] = now
+            names.append(name)
+            return True
+
+        counts = row.state in ("RECONNECTING", "ONLINE", "OFFLINE")
+        if row.state == "RECONNECTING" and down is None:
+            down = now
+            drops = [*drops, now]
+        elif row.state == "ONLINE":
+            counts = down is not None
+            if counts and now - down >= grace:
+                raised("CAMERA LINK LOST")
+            down = None
+        elif row.state == "OFFLINE":
+            counts = raised("CAMERA OFFLINE")
+            down = None if counts else down
+        if counts:
+            drops = [t for t in drops if now - t <= window]
+            if len(drops) >= repeats:
+                raised("REPEATED LINK LOSS")
+        held |= {"down": down, "drops": drops}
+        return [(row.camera_id, row.event_id, now, n, points[n]) for n in names]
+
+    return step

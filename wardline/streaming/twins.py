@@ -2,84 +2,182 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wardline.operators import crosscam, integrity, links
+
 RANKS = {"LOW": 0, "MEDIUM": 1, "HIGH": 2, "CRITICAL": 3}
+DAY_S = 86_400
 
 
-def fold(stream: DataFrame, key: list[str], step: Callable[[dict, dict], list[tuple]], out: str, order: list[str], at: str, late: str = "10 seconds", ttl_s: int = 60) -> DataFrame:
-    """Rows that step(state, row) returns, called for each key's rows of a batch in order. The state is a small JSON value; it goes
-    when the watermark of `at` (a timestamp) has passed the key's last row by ttl_s. Late rows are dropped."""
+def fold(stream: DataFrame, key: list[str], step: Callable[[dict, object], list[tuple]], out: str, order: list[str], at: str, late: str = "10 seconds", ttl_s: int = 60) -> DataFrame:
+    """Rows that step(held, row) returns, called for each key's rows of a batch in order, nulls first. The steps are those of
+    `folds.in_order`: held is the key's state, a dict of plain values and arrays, and step(held, None) gives what is left when the
+    watermark of `at` (a timestamp) has passed the key's last row by ttl_s and the state goes. Late rows are dropped."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
-    names = [p.strip().split()[0] for p in out.split(",")]
+    names = [p.strip().split()[0].strip("`") for p in out.split(",")]
 
     def work(k, frames: Iterator, state):
+        import pickle
+
         import pandas as pd
 
+        held = pickle.loads(state.get[0]) if state.exists else {}
         if state.hasTimedOut:
             state.remove()
+            yield pd.DataFrame(step(held, None), columns=names)
             return
-        held = json.loads(state.get[0]) if state.exists else {}
-        pdf = pd.concat(list(frames)).sort_values(order)
-        rows = [r for row in pdf.to_dict("records") for r in step(held, row)]
-        state.update((json.dumps(held),))
-        state.setTimeoutTimestamp(max(int(pdf[at].max().timestamp() * 1000) + ttl_s * 1000, state.getCurrentWatermarkMs() + 1))
+        pdf = pd.concat(list(frames)).sort_values(order, na_position="first", kind="stable")
+        last = int(pdf[at].max().timestamp() * 1000)
+        rows = [r for row in pdf.astype(object).where(pdf.notna(), None).itertuples(index=False) for r in step(held, row)]
+        state.update((pickle.dumps(held),))
+        state.setTimeoutTimestamp(max(last + ttl_s * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(rows, columns=names)
 
-    return stream.withWatermark(at, late).groupBy(*key).applyInPandasWithState(work, out, "held string", "append", GroupStateTimeout.EventTimeTimeout)
+    return stream.withWatermark(at, late).groupBy(*key).applyInPandasWithState(work, out, "held binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def link_changes(stream: DataFrame, at: str = "at") -> DataFrame:
     """Link states (camera_id, event_id, state, at) that differ from the camera's last."""
 
     def step(held, row):
-        same = held.get("state") == row["state"]
-        held["state"] = row["state"]
-        return [] if same else [(row["camera_id"], int(row["event_id"]), row["state"])]
+        if row is None or held.get("state", "") == row.state:
+            return []
+        held["state"] = row.state
+        return [(row.camera_id, row.event_id, row.state)]
 
-    return fold(stream, ["camera_id"], step, "camera_id string, event_id bigint, state string", ["event_id"], at, ttl_s=86_400)
+    return fold(stream, ["camera_id"], step, "camera_id string, event_id bigint, state string", ["event_id"], at, ttl_s=DAY_S)
 
 
-def fence_alerts(stream: DataFrame, kinds=("RESTRICTED",), confirm: int = 3, cooldown_ms: int = 30_000, forget_ms: int = 60_000, at: str = "at") -> DataFrame:
-    """Alerts of scored rows (camera_id, track_id, event_id, k, stream_ms, zone, zone_kind, severity, at), as in batch."""
+def link_findings(stream: DataFrame, at: str = "at", late: str = "10 seconds", **limits) -> DataFrame:
+    """Findings of changed link states (camera_id, event_id, at_s, state, at), as `links.findings`."""
+    return fold(stream, ["camera_id"], links.found(**limits), links.FOUND, ["event_id", "at_s", "state"], at, late, DAY_S)
+
+
+def _alerts(stream: DataFrame, place: Callable, confirm: int, cooldown_ms: int, forget_ms: int, at: str) -> DataFrame:
+    """Alerts of tracks: place(row) is where the track is watched, or None; the confirm-th row in a row there fires, then those after
+    the cooldown or of a higher severity than last fired."""
+    ranks = dict(RANKS)
 
     def step(held, row):
-        now, zone = int(row["stream_ms"]), row["zone"]
+        if row is None:
+            return []
+        now, here = int(row.stream_ms), place(row)
         if held and now - held["seen"] > forget_ms:
             held.clear()
-        held.setdefault("fired", {})
-        held["run"] = held.get("run", 0) + 1 if held.get("zone") == zone and "seen" in held else 1
-        held |= {"seen": now, "zone": zone}
-        if zone is None or row["zone_kind"] not in kinds or held["run"] < confirm:
+        fired = held.setdefault("fired", {})
+        held["run"] = held.get("run", 0) + 1 if held.get("here") == here and "seen" in held else 1
+        held |= {"seen": now, "here": here}
+        if here is None or held["run"] < confirm:
             return []
-        last = held["fired"].get(zone)
-        rank = RANKS[row["severity"]]
-        if last and now - last[0] < cooldown_ms and rank <= last[1]:
+        last, rank = fired.get(here[-1]), ranks[row.severity]
+        if not here[0] or last and now - last[0] < cooldown_ms and rank <= last[1]:
             return []
-        held["fired"][zone] = [now, rank]
-        return [(row["camera_id"], int(row["track_id"]), int(row["event_id"]), now, row["severity"])]
+        fired[here[-1]] = (now, rank)
+        return [(row.camera_id, row.track_id, row.event_id, now, row.severity)]
 
     return fold(stream, ["camera_id", "track_id"], step, "camera_id string, track_id bigint, event_id bigint, stream_ms bigint, severity string", ["k"], at)
 
 
+def fence_alerts(stream: DataFrame, kinds=("RESTRICTED",), confirm: int = 3, cooldown_ms: int = 30_000, forget_ms: int = 60_000, at: str = "at") -> DataFrame:
+    """Alerts of scored rows (camera_id, track_id, event_id, k, stream_ms, zone, zone_kind, severity, at), as in batch."""
+    return _alerts(stream, lambda r: None if r.zone is None else (r.zone_kind in kinds, r.zone), confirm, cooldown_ms, forget_ms, at)
+
+
+def tamper_alerts(stream: DataFrame, confirm: int = 3, cooldown_ms: int = 30_000, forget_ms: int = 60_000, at: str = "at") -> DataFrame:
+    """The same for rows (camera_id, track_id, event_id, k, stream_ms, tampering, severity, at) that tamper with the camera."""
+    return _alerts(stream, lambda r: (True, "") if r.tampering else None, confirm, cooldown_ms, forget_ms, at)
+
+
 def suppressed_passes(stream: DataFrame, window_ms: int = 10_000, at: str = "at") -> DataFrame:
     """Passes (pass_key, first_ms, last_ms, at) worth writing: none within window_ms of the last one written of its key."""
 
     def step(held, row):
-        last = int(row["last_ms"])
-        if "last" in held and last - held["last"] < window_ms:
+        if row is None or "last" in held and row.last_ms - held["last"] < window_ms:
             return []
-        held["last"] = last
-        return [(row["pass_key"], last)]
+        held["last"] = row.last_ms
+        return [(row.pass_key, row.last_ms)]
 
     return fold(stream, ["pass_key"], step, "pass_key string, last_ms bigint", ["last_ms", "first_ms"], at)
 
 
+def track_assign(stream: DataFrame, key: tuple[str, ...] = ("camera_id",), at: str = "at", late: str = "10 seconds", ttl_s: int = 60, **limits) -> DataFrame:
+    """Tracks of detections, as `crosscam.assign_tracks`, with a timestamp `at`. A frame comes out when a later one is there or the
+    camera has been silent for ttl_s; after such a silence its tracks are numbered from 1 again."""
+    d = crosscam.boxes(stream.withColumn("_at", F.col(at)), (*key, "_at"))
+    return fold(d, list(key), crosscam.tracked(key, **limits), crosscam.tracks_of(d, key), ["frame", "det_id"], "_at", late, ttl_s)
+
+
+def link_subjects(stream: DataFrame, at: str = "at", late: str = "10 seconds", **limits) -> DataFrame:
+    """Subjects of sightings, as `crosscam.link_subjects`, with a timestamp `at` of their begin."""
+    return fold(stream, ["post"], crosscam.linked(**limits), crosscam.LINKED, ["first_s", "id"], at, late, DAY_S)
+
+
+def chain(stream: DataFrame, keys: list[str], order: str, at: str = "at", late: str = "10 seconds", days: int = 36_500) -> DataFrame:
+    """Rows (event, ts, payload, at) linked to their chains' heads, as `integrity.append`; a head is kept for `days`."""
+    rows = stream.select(*keys, order, "event", "ts", "payload")
+    linked = integrity.appended()
+
+    def step(held, row):
+        return [(*r[:-4], *r[-3:]) for r in linked(held, row)]  # without `at`, which is a row's last column
+
+    return fold(stream.select(*rows.columns, at), keys, step, integrity.chained(rows), [order, "event", "ts", "payload"], at, late, days * DAY_S)
+
+
+def handoff(unread: DataFrame, reads: DataFrame, by: list[str], window: float = 180, similarity: float = 0.55, at: str = "at", late: str = "10 seconds") -> DataFrame:
+    """Unread sightings credited with the plate of a later read by another camera, as `crosscam.handoff`; both streams carry the
+    columns `by`, such as a site, and a timestamp `at`. A site's sightings of the last `window` seconds are held."""
+    kind = "double"
+    a = unread.select(*by, F.col("at_s").cast(kind), F.lit(0).alias("kind"), F.col("sighting_id").cast("long").alias("id"), "camera_id", F.lit(None).cast("string").alias("plate"), "hist", at)
+    b = reads.select(*by, F.col("at_s").cast(kind), F.lit(1).alias("kind"), F.col("read_id").cast("long").alias("id"), "camera_id", "plate", "hist", at)
+
+    def step(held, r):
+        if r is None:
+            return []
+        waiting, out = [s for s in held.get("waiting", []) if r.at_s - s[1] <= window], []
+        if not r.kind:
+            waiting.append((r.id, r.at_s, r.camera_id, r.hist))
+        else:
+            left = []
+            for s in waiting:
+                known = s[3] is not None and r.hist is not None and len(s[3]) == len(r.hist)
+                like = float(sum(map(min, s[3], r.hist))) if known else 0.0
+                if s[2] != r.camera_id and like >= similarity:
+                    out.append((s[0], r.plate, r.camera_id, r.at_s, like, True))
+                else:
+                    left.append(s)
+            waiting = left
+        held["waiting"] = waiting
+        return out
+
+    out = "sighting_id bigint, plate string, read_by string, at_s double, similarity double, inferred boolean"
+    return fold(a.unionByName(b), by, step, out, ["at_s", "kind", "id"], at, late, int(window) + 1)
+
+
+def clip_frames(alerts: DataFrame, frames: DataFrame, pre: int = 40, post_ms: int = 4000, at: str = "at", late: str = "10 seconds") -> DataFrame:
+    """Clips of alerts (camera_id, event_id, at_ms, at), as `alerts.clip_frames`: a clip comes out with the first frame (camera_id,
+    frame_no, at_ms, at) at least post_ms later, or with the camera's last when it falls silent."""
+    f = frames.select("camera_id", F.col("at_ms").cast("long"), F.lit(0).alias("kind"), F.col("frame_no").cast("long").alias("id"), at)
+    a = alerts.select("camera_id", F.col("at_ms").cast("long"), F.lit(1).alias("kind"), F.col("event_id").cast("long").alias("id"), at)
+
+    def step(held, r):
+        waiting = held.get("waiting", [])
+        if r is not None and r.kind:
+            held["waiting"] = [*waiting, (r.camera_id, r.id, r.at_ms, max(held["frame"] - (pre - 1), 1))]
+            return []
+        if r is not None:
+            held["frame"] = r.id
+        done = [r is None or r.at_ms >= w[2] + post_ms for w in waiting]
+        held["waiting"] = [w for w, d in zip(waiting, done, strict=True) if not d]
+        return [(*w, held["frame"]) for w, d in zip(waiting, done, strict=True) if d]
+
+    return fold(f.unionByName(a), ["camera_id"], step, "camera_id string, event_id bigint, at_ms bigint, first_frame bigint, last_frame bigint", ["at_ms", "kind", "id"], at, late, post_ms // 1000 + 1)
+
+
 def passes(stream: DataFrame, at: str = "at", gap: str = "2 seconds", late: str = "10 seconds") -> DataFrame:
     """Passes of each track: sessions without a longer gap."""
     s = stream.withWatermark(at, late).groupBy("camera_id", "track_id", F.session_window(at, gap).alias("w"))
