@@ -94,17 +94,38 @@ def stretches(v: np.ndarray, span: int) -> np.ndarray:
     return (c[at + span] - c[at]) / span
 
 
+class Grams(dict):
+    """Subword -> weight of its bucket. Words share most of theirs, so few need hashing."""
+
+    def __init__(self, model: Model, size: int = 300_000):
+        from xxhash import xxh3_64_intdigest
+
+        super().__init__()
+        self.weights, self.shift, self.size, self.digest = model.weights, 64 - model.settings.bits, size, xxh3_64_intdigest
+
+    def __missing__(self, gram: str) -> float:
+        if len(self) > self.size:
+            self.clear()
+        self[gram] = got = self.of(gram)
+        return got
+
+    def of(self, gram: str) -> float:
+        return float(self.weights[self.digest(gram) >> self.shift])
+
+
 class Seen(dict):
-    """Word -> its share of the score, kept while a Python worker lives."""
+    """Word -> its share of the score, the average over its subwords, kept while a task lasts."""
 
     def __init__(self, model: Model, size: int = 400_000):
         super().__init__()
-        self.model, self.size = model, size
+        self.lengths, self.size, self.grams = model.settings.lengths, size, Grams(model)
 
     def __missing__(self, word: str) -> float:
         if len(self) > self.size:
             self.clear()
-        self[word] = got = float(self.model.weights[subwords(word, self.model.settings)].mean())
+        w, grams = f"<{word}>", self.grams
+        found = [grams[w[i : i + n]] for n in self.lengths for i in range(len(w) - n + 1)]
+        self[word] = got = (grams.of(w) + sum(found)) / (1 + len(found))
         return got
 
 
