@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -35,6 +36,15 @@ def ship(spark: SparkSession) -> None:
     sc._wardline_shipped = True
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df written as a table into the shared checkpoint folder and read again, so that it is computed once. The folder is the cluster's
+    to clear, as the checkpoints in it are: results that are not yet written may still be read from it."""
+    ready(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def bounded(df: DataFrame, rows: int) -> DataFrame:
     """df with a broadcast hint if it holds at most so many rows. It is counted first; give it only what is cut or cheap to count."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
