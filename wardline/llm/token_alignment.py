@@ -110,6 +110,7 @@ class Pair:
         self.sizes = [np.fromiter(map(len, x), np.int64, len(x)) for x in (self.a_bytes, self.b_bytes)]
         comma, semi, bar = ([f"{c}{k}" for k in range(max(map(len, self.sizes)))] for c in ",;|")
         self.named = [*comma, *semi, *bar]  # an id after each of the signs
+        self.kind = np.uint16 if max(map(len, self.sizes)) <= 1 << 16 else np.uint32  # of stored ids
         self.blank = re.compile(rf"\s{{{BLANK}}}")
 
     def encode_a(self, text: str) -> list[int]:
@@ -153,7 +154,8 @@ def installed() -> tuple[str, str, str, str]:
 
 
 def encoded(docs: DataFrame, files: tuple[str, str, str, str], id_col: str, text_col: str) -> DataFrame:
-    """Rows (uid, id_col, a, b), written into the shared folder: ids by both tokenizers, as binary of 32 bits each; uid is the row's own."""
+    """Rows (uid, id_col, a, b), written into the shared folder: ids by both tokenizers, as binary of 16 bits each (32
+    if a vocabulary needs them); uid is the row's own."""
     ship(docs.sparkSession)
 
     def work(batches):
@@ -162,7 +164,7 @@ def encoded(docs: DataFrame, files: tuple[str, str, str, str], id_col: str, text
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 got = [p.encode(t.as_py()) for t in part.column(1)]
-                cols = [pa.array([np.array(x[k], np.int32).tobytes() for x in got], pa.binary()) for k in (0, 1)]
+                cols = [pa.array([np.array(x[k], p.kind).tobytes() for x in got], pa.binary()) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *cols], [id_col, "a", "b"])
         settle()
 
@@ -174,12 +176,12 @@ def encoded(docs: DataFrame, files: tuple[str, str, str, str], id_col: str, text
 class Aligned:
     """Documents of a batch: their tokens side by side, and where the ends of tokens of A and of B meet."""
 
-    def __init__(self, a: pa.Array, b: pa.Array, sizes: list[np.ndarray]):
+    def __init__(self, a: pa.Array, b: pa.Array, p: Pair):
         self.ids, self.n, ends = [], [], []
-        for col, size in zip((a, b), sizes, strict=True):
+        for col, size in zip((a, b), p.sizes, strict=True):
             raw = [x.as_py() for x in col]
-            self.ids.append(np.frombuffer(b"".join(raw), np.int32))
-            self.n.append(np.fromiter(map(len, raw), np.int64, len(raw)) // 4)
+            self.ids.append(np.frombuffer(b"".join(raw), p.kind).astype(np.int64))
+            self.n.append(np.fromiter(map(len, raw), np.int64, len(raw)) // p.kind().itemsize)
             ends.append(np.cumsum(size[self.ids[-1]]))  # both of a document's sides have the same bytes, so it goes on from the last one's end
         mark = np.zeros(int(max([e[-1] for e in ends if len(e)], default=0)) + 1, bool)
         mark[ends[0]] = True
@@ -222,7 +224,7 @@ def linked(tokens: DataFrame, files: tuple[str, str, str, str]) -> DataFrame:
     """Rows (key, n), written into the shared folder: how often each task has linked a pair. A task holds HELD distinct pairs."""
 
     def work(batches):
-        sizes = pair(files).sizes
+        p = pair(files)
         keys, n, waiting, rows = np.zeros(0, _U), np.zeros(0, np.int64), [], 0
 
         def summed():
@@ -230,7 +232,7 @@ def linked(tokens: DataFrame, files: tuple[str, str, str, str]) -> DataFrame:
             return k, np.bincount(inv, weights=np.concatenate([n, np.ones(rows)]), minlength=len(k)).astype(np.int64)
 
         for part in in_parts(batches):
-            got = Aligned(part.column("a"), part.column("b"), sizes).keys
+            got = Aligned(part.column("a"), part.column("b"), p).keys
             waiting.append(got)
             rows += len(got)
             if rows > HELD:
@@ -365,7 +367,7 @@ def looked_up(tokens: DataFrame, counts: DataFrame, files: tuple[str, str, str,
             p, (top, raw) = pair(files), sent.value
             known = {b: (Hash.unpack(h), np.frombuffer(k, _U), np.frombuffer(n, np.int64)) for b, (h, k, n) in raw.items()}
             for part in in_parts(batches):
-                x = Aligned(part.column("a"), part.column("b"), p.sizes)
+                x = Aligned(part.column("a"), part.column("b"), p)
                 n, n_best = np.zeros(len(x.keys), np.int64), np.zeros(len(x.keys), np.int64)
                 for b, at in dealt_out(bucket_of(x.keys, buckets)):
                     if b in known:
