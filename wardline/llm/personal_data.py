@@ -289,7 +289,8 @@ def listed(spans):
 def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document: base spans counted and digested, and all spans; n_added of these are the method's."""
     got = extract(read(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    of = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long")
+    counts = [of(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return got.select("doc_id", *counts, F.sha2(listed("base").cast("binary"), 256).alias("base_sha256"), listed(F.array_sort(F.concat("base", "added"))).alias("spans"), F.size("added").cast("long").alias("n_added"))
 
 
