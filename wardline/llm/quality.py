@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from wardline.llm.common import read, ship
 from wardline.llm.language_id import blocks
 
+#: Bytes of text that the scorer is fitted on at most, besides the number of documents.
+BYTES = 32 << 20
 #: (name, feature, bad below, good from, good to, bad above): 1 between the good bounds, -1 outside the bad ones, else no vote.
 LABELLERS = (
     ("shouting", "upper", -1.0, 0.0, 0.10, 0.30),
@@ -54,8 +56,9 @@ def features(texts: list[bytes | None]) -> dict[str, np.ndarray]:
     words = [t.split() for t in data]
     n = np.array([len(w) for w in words], float)
     short = np.array([sum(map((3).__ge__, map(len, w))) for w in words], float)
-    last = _END[raw[:-1]] & _SPACE[raw[1:]] if len(raw) > 1 else np.zeros(0, bool)
-    ends = count(np.append(last, True)[: len(raw)])
+    after = np.append(_SPACE[raw[1:]], True)[: len(raw)]
+    after[starts[1:][sizes > 0] - 1] = True  # the end of a text, whatever the next one begins with
+    ends = count(_END[raw] & after)
     lines = [[x for x in t.split(b"\n") if x] for t in data]
     safe = lambda a, b: np.divide(a, b, out=np.full(len(a), np.nan), where=b > 0)
     return {
@@ -184,13 +187,18 @@ def vote_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 4000, seed: int = 7) -> tuple[Labellers, Scorer]:
     """Labeller accuracies from the votes on all documents (a row for each vote pattern reaches the driver: 3^9 at most), and
-    the scorer from the posterior labels of at most `sample` documents, those whose ids hash lowest."""
-    got = vote_table(docs, id_col, text_col).groupBy(*NAMES).count().toPandas()
+    the scorer from the posterior labels of at most `sample` documents and BYTES bytes of text: those whose id and text hash lowest,
+    rows equal in both counting once. Null ids are ids like others."""
+    got = vote_table(docs, id_col, text_col).groupBy(*NAMES).count().toPandas().sort_values(list(NAMES))
     patterns, counts = got[list(NAMES)].to_numpy(np.int64), got["count"].to_numpy(float)
     labellers = Labellers.fit(patterns, counts)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    chosen = rows.select("id").orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(sample)
-    texts = rows.join(F.broadcast(chosen.distinct()), "id").limit(sample).select("text").toArrow().column("text").cast(pa.binary()).to_pylist()
+    rows = docs.select(F.xxhash64(F.lit(seed), id_col, text_col).alias("h"), F.col(text_col).alias("text"))
+    first = rows.groupBy("h").agg(F.first(F.coalesce(F.octet_length("text"), F.lit(0))).alias("n")).orderBy("h").limit(sample).collect()
+    fits = int(np.searchsorted(np.cumsum([r.n for r in first]), BYTES, side="right"))
+    texts = []
+    if fits:
+        got = rows.where(F.col("h") <= first[fits - 1].h).groupBy("h").agg(F.first("text").alias("text"))
+        texts = got.orderBy("h").select("text").toArrow().column("text").cast(pa.binary()).to_pylist()
     target = labellers.posterior(votes(texts).astype(np.int64)) if texts else np.zeros(0)
     return labellers, Scorer.fit(texts, target)
 
