@@ -29,8 +29,8 @@ def shingle(ws: Column, at: Column, width: int) -> Column:
 
 
 def item_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows (item, win, words, size, width): the windows of each item; win names the window's words."""
-    w = items.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col)).alias("ws")).where(F.size("ws") > 0)
+    """Rows (item, win, words, size, width): the windows of each item, with an id or without; win names the window's words."""
+    w = items.select(F.col(id_col).cast("string").alias("item"), words(F.col(text_col)).alias("ws")).where(F.size("ws") > 0)
     w = w.withColumn("size", F.least(F.size("ws"), F.lit(WINDOW)))
     w = w.select("item", "ws", "size", F.explode(F.sequence(F.lit(1), F.size("ws") - F.col("size") + 1)).alias("s"))
     w = w.select("item", F.slice("ws", F.col("s"), F.col("size")).alias("words"), "size")
@@ -48,8 +48,8 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     """Rows (doc, n_words, spans array<struct<start, end>>, items array<string>, d1, d2), one for each row of docs; d1 and d2 name its id and text.
 
     spans: the occurrences in the document, in order, of windows of 10 consecutive words of an item (of fewer words: the whole
-    item); items: the ids of the items they belong to, as strings in order. Null texts have no words; null item ids and
-    items without words are left out; rows of docs that repeat give equal rows. Other columns are ignored.
+    item); items: the ids of the items they belong to, as strings in order, without those of items that have none
+    (whose windows count like any other). Null texts have no words; items without words have no windows; rows of docs that repeat give equal rows. Other columns are ignored.
 
     Containment of a whole window needs any one of its shingles, so the prefix is its rarest shingle over all documents, the
     only one joined. A candidate must fit the document's length at that position, and is then compared word by word.
@@ -92,7 +92,7 @@ def hits(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
         F.first("doc", True).alias("doc"), F.max("n").alias("n_words"), F.count("n").alias("rows"),
         F.array_sort(F.collect_set(F.when(F.col("win").isNotNull(), F.struct("start", "end")))).alias("spans"), F.collect_set("win").alias("wins"),
     )
-    of = spans.select("d1", "d2", F.explode("wins").alias("win")).join(wins.select("win", "item").distinct(), "win")
+    of = spans.select("d1", "d2", F.explode("wins").alias("win")).join(wins.where("item is not null").select("win", "item").distinct(), "win")
     of = of.groupBy("d1", "d2").agg(F.array_sort(F.collect_set("item")).alias("items"))
     out = spans.drop("wins").join(of, ["d1", "d2"], "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
     return out.select("doc", F.col("n_words").cast("long").alias("n_words"), "spans", "items", "d1", "d2", F.explode(F.sequence(F.lit(1), F.col("rows"))).alias("_r")).drop("_r")
@@ -128,14 +128,14 @@ _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRS
 ORACLE = {
     "op1_decontaminate": rf"""
 WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents),
-i AS (SELECT item_id, {_WORDS} AS ws FROM benchmark WHERE item_id IS NOT NULL),
+i AS (SELECT item_id, {_WORDS} AS ws FROM benchmark),
 iw AS (SELECT DISTINCT item_id, size, array_to_string(ws[s : s + size - 1], ' ') AS win FROM (
   SELECT item_id, ws, least(len(ws), 10) AS size, unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS s FROM i WHERE len(ws) > 0)),
 dw AS (SELECT doc_id, s, size, array_to_string(ws[s : s + size - 1], ' ') AS win FROM (
   SELECT doc_id, ws, size, unnest(range(1, len(ws) - size + 2)) AS s FROM d, (SELECT DISTINCT size FROM iw) WHERE len(ws) >= size)),
 m AS (SELECT doc_id, s, dw.size, item_id FROM dw JOIN iw USING (win)),
 h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + size)) AS p FROM m) GROUP BY 1),
-x AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m) GROUP BY 1)
+x AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM m WHERE item_id IS NOT NULL) GROUP BY 1)
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN x USING (doc_id)"""
 }
