@@ -74,7 +74,7 @@ def as_long(bits: Column) -> Column:
     return bits.cast("long")
 
 
-def _with_least(rows: DataFrame, low: DataFrame, total: int) -> DataFrame:
+def with_least(rows: DataFrame, low: DataFrame, total: int) -> DataFrame:
     """rows (a, b) with m of low (a, m, n), n being the number of rows of a among total. What more than a thousandth of the rows share
     is sent to all tasks (so 1,000 keys at most); only the rest is dealt out by a."""
     many = F.col("n") > total // 1000
@@ -100,9 +100,9 @@ def components(edges: DataFrame) -> DataFrame:
     while state[0]:
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
-        large = _with_least(both.where("b > a"), low, 2 * state[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = with_least(both.where("b > a"), low, 2 * state[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        small = _with_least(large, low, state[0]).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        small = with_least(large, low, state[0]).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
         e = cut(small.where("a > b").distinct())
         seen, state = state, size(e)
         if state == seen:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm.common import block_pairs, components, cut, join_sized, read, ship
+from wardline.llm.common import block_pairs, components, cut, join_sized, read, ship, with_least
 from wardline.llm.forest import stars
 
 #: Members of a block of a bucket.
@@ -100,7 +100,9 @@ def plan(dim: int, rows: float, threshold: float, seed: int = 80) -> Hasher:
                 best = min(best or (work, tables, depth, probes), (work, tables, depth, probes))
         if size**depth > rows:
             break
-    _, tables, depth, probes = best or (0, 512, 1, 1)
+    if best is None:
+        raise ValueError(f"no simulated pair at {threshold} shares a bucket: vectors of {dim} dimensions at this threshold need another method")
+    _, tables, depth, probes = best
     return Hasher(dim, tables, depth, probes)
 
 
@@ -124,9 +126,10 @@ def link(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", ve
     Vectors of one (not null) label link at a cosine of threshold or more, in double precision. Null or zero vectors, ones with
     a null or non-finite component and ones without a label link with nothing. n_links: other vectors linked directly;
     component_id: the smallest id reachable; kept: id = component_id. Null ids link with nothing. Other columns are ignored.
-    Vectors of different lengths never link.
+    Vectors of different lengths never link. Each row is a vector of its own: rows that repeat an id with other vectors or labels
+    are not linked by it, and rows equal in all link with each other.
 
-    Equal vectors of a label form a class, linked throughout and represented by its smallest id. Representatives meet in the
+    Equal vectors of a label form a class, linked throughout, with a number of its own. Representatives meet in the
     buckets of their label; buckets are compared in pairs of blocks. A vector is hashed once and carries 32 bits of each of its
     buckets, so that a pair is counted in the first bucket that it shares only; a task returns sums and trees, never its pairs.
     """
@@ -135,8 +138,8 @@ def link(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", ve
     fine = F.col("label").isNotNull() & F.col("id").isNotNull() & F.forall("vec", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vec", lambda x: x != 0)
     v = v.withColumn("fine", F.coalesce(fine, F.lit(False)))
     v = v.withColumns({"f1": F.when(F.col("fine"), F.xxhash64("label", "vec")), "f2": F.when(F.col("fine"), F.xxhash64(F.lit(1), "vec", "label"))})
-    kinds = v.where("fine").groupBy("f1", "f2").agg(F.min("id").alias("rep"), F.count("*").alias("size"), F.first("vec").alias("vec"), F.first("label").alias("label"))
-    kinds = cut(kinds)
+    kinds = v.where("fine").groupBy("f1", "f2").agg(F.min("id").alias("low"), F.count("*").alias("size"), F.first("vec").alias("vec"), F.first("label").alias("label"))
+    kinds = cut(kinds.withColumn("rep", F.monotonically_increasing_id()))
     facts = kinds.groupBy(F.size("vec").alias("dim"), "label").agg(F.count("*").alias("n"))
     facts = facts.groupBy("dim").agg(F.sum("n").alias("n"), (F.sum(F.col("n") * F.col("n").cast("double")) / F.sum("n")).alias("each")).collect()  # a row for each length of vectors
     found = None
@@ -148,11 +151,15 @@ def link(vectors: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", ve
     found = cut(found)
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     trees = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
-    known = kinds.select("f1", "f2", "rep", "size").join(links, "rep", "left").join(trees, "rep", "left")
-    known = known.select("f1", "f2", F.coalesce("component", "rep").alias("component_id"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = v.select("id", "f1", "f2").join(known, ["f1", "f2"], "left")
-    component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    trees = cut(trees.join(kinds.select("rep", "low"), "rep"))
+    lowest = trees.groupBy(F.col("component").alias("a")).agg(F.min("low").alias("m"), F.count("*").alias("n"))
+    trees = with_least(trees.select(F.col("component").alias("a"), F.col("rep").alias("b")), lowest, trees.count()).select(F.col("b").alias("rep"), F.col("m").alias("component_id"))
+    known = kinds.select("f1", "f2", "rep", "low", "size").join(links, "rep", "left").join(trees, "rep", "left")
+    known = known.select(F.col("f1").alias("k1"), F.col("f2").alias("k2"), F.coalesce("component_id", "low").alias("component_id"), (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    own = v.select("id", "f1", "f2")
+    out = own.where("f1 is not null").join(known, (F.col("f1") == F.col("k1")) & (F.col("f2") == F.col("k2"))).select("id", "n_links", "component_id")
+    out = out.union(own.where("f1 is null").select("id", F.lit(0).cast("long"), "id"))  # apart, or they would all be one task's
+    return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def _linked(kinds: DataFrame, kinds_rows: int, hasher: Hasher, threshold: float) -> DataFrame:
