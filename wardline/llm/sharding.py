@@ -6,7 +6,10 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wardline.llm.common import read
+from wardline.llm.common import bounded, cut, read
+
+#: Hashes of rows with copies that are sent to all tasks at most; more are joined by exchange.
+SENT = 200_000
 
 
 def hypergeometric(good: int, bad: int, n: int, draw: np.random.Generator) -> int:
@@ -59,28 +62,45 @@ def whole(df: DataFrame) -> Column:
     return F.xxhash64(*[F.col(f"`{f.name}`").cast("string") if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in df.schema])
 
 
+def numbered(docs: DataFrame, key: Column) -> DataFrame:
+    """docs with _sh_key, a hash of key and, of rows that are equal in all columns, of each copy's number. Copies are counted by their
+    hashes; only they are brought together, as one row each, and told apart again by counting up to their number."""
+    a, b = whole(docs), F.xxhash64(F.lit(1), whole(docs), key)
+    rows = docs.withColumns({"_sh_a": a, "_sh_b": b, "_sh_key": key})
+    many = cut(rows.groupBy("_sh_a", "_sh_b").agg(F.count("*").alias("n")).where("n > 1").drop("n"))
+    if many.isEmpty():
+        return rows.drop("_sh_a", "_sh_b")
+    many = bounded(many, SENT)
+    row = F.struct(*[F.col(f"`{c}`") for c in (*docs.columns, "_sh_key")])
+    copies = rows.join(many, ["_sh_a", "_sh_b"], "left_semi").groupBy("_sh_a", "_sh_b").agg(F.first(row).alias("_sh_row"), F.count("*").alias("_sh_n"))
+    copies = copies.select("_sh_row.*", F.explode(F.sequence(F.lit(1).cast("long"), "_sh_n")).alias("_sh_copy"))
+    copies = copies.withColumn("_sh_key", F.xxhash64("_sh_key", "_sh_copy")).drop("_sh_copy")
+    return rows.join(many, ["_sh_a", "_sh_b"], "left_anti").drop("_sh_a", "_sh_b").unionByName(copies)
+
+
 def shard(docs: DataFrame, shards: int, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", rows_per_task: int = 250_000) -> DataFrame:
     """docs with two more columns: shard (0 to shards - 1) and slot (gapless from 0 within the shard), a uniform random order.
 
     Law: `rows`; shard counts differ by one at most, whatever the sizes of the rows. Rows are dealt into virtual partitions by
     a seeded hash of id and text (so a lost task repeats its work exactly); the matrix says how many rows each partition sends
-    to each shard, a local order by a second hash says which, and after the exchange a third hash orders each shard.
+    to each shard, a local order by a second hash says which, and after the exchange a third hash orders each shard. Of rows
+    that are equal in all columns, each copy has a number of its own that is hashed, too, so that copies are dealt like other rows.
     A shard is ordered in cells of about rows_per_task rows, so no task holds a whole shard. Only a count for each partition
-    (rows / rows_per_task, at least 64) reaches the driver. Null ids and texts are ordinary values. Rows equal in id and text are
-    ordered by a hash of all columns, so that a repeated task orders them alike; rows equal in all are interchangeable. An empty table gives an empty result. Other columns are carried; their names must not be `shard`,
-    `slot` or start with `_sh_` (such columns are dropped).
+    (rows / rows_per_task, at least 64) reaches the driver. Null ids and texts are ordinary values. An empty table gives an
+    empty result. Other columns are carried, and take part in the hash; their names must not be `shard`, `slot` or start with
+    `_sh_` (such columns are dropped).
     """
     spark = docs.sparkSession
     docs = docs.drop("shard", "slot", *[c for c in docs.columns if c.startswith("_sh_")])
-    key = F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("\x00")), F.coalesce(F.col(text_col), F.lit("\x00null")))
+    key = F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("\x00")), F.coalesce(F.col(text_col), F.lit("\x00null")), whole(docs))
     rows = docs.count()
     parts = max(64, -(-rows // rows_per_task))
     cells = max(8, -(-rows // (shards * rows_per_task)))
-    base = docs.withColumn("_sh_all", whole(docs)).withColumn("_sh_key", key).withColumn("_sh_p", F.pmod("_sh_key", F.lit(parts)).cast("int"))
+    base = numbered(docs, key).withColumn("_sh_p", F.pmod("_sh_key", F.lit(parts)).cast("int"))
     got = dict(base.groupBy("_sh_p").count().collect())
     matrix = communication_matrix([got.get(p, 0) for p in range(parts)], shards, seed)
     ends = spark.createDataFrame([(p, [int(x) for x in np.cumsum(matrix[p])]) for p in range(parts)], "_sh_p int, _sh_ends array<bigint>")
-    local = Window.partitionBy("_sh_p").orderBy(F.xxhash64(F.lit(seed + 1), "_sh_key"), F.col(id_col), "_sh_all")
+    local = Window.partitionBy("_sh_p").orderBy(F.xxhash64(F.lit(seed + 1), "_sh_key"), "_sh_key")
     sent = (
         base.withColumn("_sh_rank", F.row_number().over(local))
         .join(F.broadcast(ends), "_sh_p")  # one short row for each virtual partition
@@ -92,12 +112,12 @@ def shard(docs: DataFrame, shards: int, seed: int = 7, id_col: str = "doc_id", t
     # the cell follows the top bits of the unsigned order, so that cells in turn are the shard in order
     sizes = sent.groupBy("shard", "_sh_cell").agg(F.count("*").alias("_sh_n"))
     starts = sizes.withColumn("_sh_start", F.sum("_sh_n").over(Window.partitionBy("shard").orderBy("_sh_cell")) - F.col("_sh_n")).drop("_sh_n")
-    inner = Window.partitionBy("shard", "_sh_cell").orderBy(F.shiftrightunsigned("_sh_order", 1), F.col("_sh_order"), F.col(id_col), "_sh_all")
+    inner = Window.partitionBy("shard", "_sh_cell").orderBy(F.shiftrightunsigned("_sh_order", 1), F.col("_sh_order"), "_sh_key")
     return (
         sent.withColumn("_sh_slot", F.row_number().over(inner) - 1)
         .join(starts, ["shard", "_sh_cell"])
         .withColumn("slot", (F.col("_sh_start") + F.col("_sh_slot")).cast("long"))
-        .drop("_sh_key", "_sh_all", "_sh_order", "_sh_cell", "_sh_start", "_sh_slot")
+        .drop("_sh_key", "_sh_order", "_sh_cell", "_sh_start", "_sh_slot")
     )
 
 
