@@ -253,10 +253,11 @@ def classes(docs: DataFrame, threshold: float = 0.8, n: int = 5, id_col: str = "
     trees = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
     known = kinds.select("rep", "f1", "f2", "best", "low", "size").join(links, "rep", "left").join(trees, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     tops = known.groupBy("component").agg(F.min("best").alias("top"), F.min("low").alias("class_id"))
-    known = known.join(tops, "component").select("f1", "f2", "top", "class_id", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    out = seen.select("doc", "d1", "d2", "f1", "f2").join(known, ["f1", "f2"], "left")
-    alone = F.col("top").isNull()
-    return out.select("doc", "d1", "d2", F.when(alone, F.col("doc")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), (alone | place.eqNullSafe(F.col("top"))).alias("stays"))
+    known = known.join(tops, "component").select(F.col("f1").alias("k1"), F.col("f2").alias("k2"), "top", "class_id", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    own = seen.select("doc", "d1", "d2", "f1", "f2")
+    out = own.where("f1 is not null").join(known, (F.col("f1") == F.col("k1")) & (F.col("f2") == F.col("k2"))).select("doc", "d1", "d2", "class_id", F.col("n_links").cast("long").alias("n_links"), place.eqNullSafe(F.col("top")).alias("stays"))
+    # texts without words apart, or they would all be one task's
+    return out.union(own.where("f1 is null").select("doc", "d1", "d2", F.col("doc").alias("class_id"), F.lit(0).cast("long"), F.lit(True)))
 
 
 def jaccard_join(docs: DataFrame, threshold: float = 0.8, n: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
