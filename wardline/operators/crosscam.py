@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions import vectors as V
 from wardline.operators import folds
+from wardline.operators.lineage import cut
 
 
 def near_in_time(left: DataFrame, right: DataFrame, at: str, other_at: str, window: float, by: tuple[str, ...] = ()) -> DataFrame:
@@ -45,16 +46,25 @@ def subject_candidates(sightings: DataFrame, least=1, most=300, similarity: floa
 def link_subjects(sightings: DataFrame, least=1, most=300, similarity: float = 0.72, ttl=1800) -> DataFrame:
     """Rows (post, id, subject_id, camera_id, first_s, last_s): sightings in order of time, each given to the most similar subject
     seen `least` to `most` seconds ago that its camera has not seen (the last of equals), else to a new one. A subject looks
-    like a blend of its sightings. The posts are folded in parallel, each in order; a post keeps subjects of the last ttl seconds only."""
-    rows = sightings.select("post", "id", "camera_id", F.col("first_s").cast("long"), F.col("last_s").cast("long"), "hist")
-    return folds.in_order(rows, ["post"], ["first_s", "id"], linked(least, most, similarity, ttl), LINKED)
+    like a blend of its sightings. Sightings without a time have no subject. A post is cut where nothing seen before is within reach (`most`
+    seconds); the pieces are folded in parallel, each in order, and subjects are counted through afterwards."""
+    rows = sightings.select("post", "id", "camera_id", F.col("first_s").cast("long"), F.col("last_s").cast("long"), "hist").where("first_s is not null and last_s is not null")
+    rows = folds.segments(rows, ["post"], "first_s", "last_s", most)
+    got = cut(folds.in_order(rows, ["post", "segment_"], ["first_s", "id"], linked(least, most, similarity, ttl, ("segment_",)), LINKED.replace("subject_id string", "subject bigint") + ", segment_ bigint"))
+    got = folds.numbered(got, ["post"], "subject")
+    return got.select("post", "id", subject_name(F.col("subject")).alias("subject_id"), "camera_id", "first_s", "last_s")
 
 
 LINKED = "post bigint, id bigint, subject_id string, camera_id string, first_s bigint, last_s bigint"
 
 
-def linked(least=1, most=300, similarity: float = 0.72, ttl=1800):
-    """The step of a post's fold over its sightings (post, id, camera_id, first_s, last_s, hist)."""
+def subject_name(number: Column) -> Column:
+    return F.concat(F.lit("S"), F.lpad(number.cast("string"), F.greatest(F.lit(4), F.length(number.cast("string"))), F.lit("0")))
+
+
+def linked(least=1, most=300, similarity: float = 0.72, ttl=1800, carry: tuple[str, ...] | None = None):
+    """The step of a post's fold over its sightings (post, id, camera_id, first_s, last_s, hist). With carry, subjects are numbers, and
+    the columns of carry follow."""
     import numpy as np
 
     def step(held, r):
@@ -70,7 +80,7 @@ def linked(least=1, most=300, similarity: float = 0.72, ttl=1800):
                     best, score = s, got
         if best is None:
             held["n"] = held.get("n", 0) + 1
-            best = {"id": f"S{held['n']:04d}", "cameras": set(), "hist": hist, "last": r.last_s}
+            best = {"id": held["n"] if carry is not None else f"S{held['n']:04d}", "cameras": set(), "hist": hist, "last": r.last_s}
             live.append(best)
         else:
             mixed = 0.7 * best["hist"] + 0.3 * hist
@@ -78,7 +88,7 @@ def linked(least=1, most=300, similarity: float = 0.72, ttl=1800):
         best["cameras"].add(r.camera_id)
         best["last"] = max(best["last"], r.last_s)
         held["live"] = live
-        return [(r.post, r.id, best["id"], r.camera_id, r.first_s, r.last_s)]
+        return [(r.post, r.id, best["id"], r.camera_id, r.first_s, r.last_s, *(getattr(r, c) for c in carry or ()))]
 
     return step
 
@@ -133,11 +143,16 @@ def assign_tracks(detections: DataFrame, key: tuple[str, ...] = ("camera_id",),
 
     In each frame detections take, surest first, the free track they overlap most (at least `iou`; the later of equals); those
     left revive a lost track that looks alike, or start a new one. A track missed in more than max_missed frames is lost, and
-    forgotten `memory` frames after it was last seen. Each key's frames are folded in order; tracks and
-    one frame are kept.
+    forgotten when `memory` frames have passed since it was last seen. Frames without detections have no rows, but pass all the same.
+
+    A key's frames are cut where so many are empty that no track outlasts them; the pieces are folded in parallel, each in
+    order, keeping tracks and one frame, and tracks are counted through afterwards.
     """
     d = boxes(detections, key)
-    return folds.in_order(d, list(key), ["frame", "det_id"], tracked(key, iou, max_missed, revive, memory), tracks_of(d, key))
+    d = folds.segments(d, list(key), "frame", "frame", max(max_missed, memory) + 1)
+    own = (*key, "segment_")
+    got = cut(folds.in_order(d, list(own), ["frame", "det_id"], tracked(own, iou, max_missed, revive, memory), tracks_of(d, own)))
+    return folds.numbered(got, list(key), "track_id").select(*key, "frame", "det_id", "track_id")
 
 
 def boxes(detections: DataFrame, key: tuple[str, ...]) -> DataFrame:
@@ -163,7 +178,7 @@ def tracked(key: tuple[str, ...] = ("camera_id",), iou: float = 0.3, max_missed:
         return best if scores[best] >= least else None
 
     def seen(t, box, hist, now):
-        t |= {"box": box, "missed": 0, "last": now}
+        t |= {"box": box, "last": now}
         if hist is not None:
             mixed = hist if t["hist"] is None else 0.7 * t["hist"] + 0.3 * hist
             t["hist"] = mixed / mixed.sum()
@@ -174,9 +189,20 @@ def tracked(key: tuple[str, ...] = ("camera_id",), iou: float = 0.3, max_missed:
         both = np.where((w > 0) & (h > 0), w * h, 0.0)
         return np.divide(both, areas + (box[2] - box[0]) * (box[3] - box[1]) - both, out=np.zeros(len(at)), where=both > 0)
 
-    def frame_done(held):
-        now = held["now"] = held.get("now", -1) + 1
+    def passed(held, now):
+        """Live and lost tracks at a frame, however many frames after the last one with detections it is."""
         live, lost, looks = held.get("live", []), held.get("lost", []), held.get("looks")
+        gone = sorted((t for t in live if now - t["last"] > max_missed + 1), key=lambda t: t["last"])  # in the order in which they were lost
+        gone = [t for t in gone if t["hist"] is not None]
+        still = np.array([now - t["last"] <= memory + 1 for t in (*lost, *gone)], bool)
+        if gone or not still.all():
+            looks = np.concatenate([*([looks] if lost else []), *([np.array([t["hist"] for t in gone])] if gone else [])])[still]
+            lost = [t for t, s in zip((*lost, *gone), still, strict=True) if s]
+        return [t for t in live if now - t["last"] <= max_missed + 1], lost, looks
+
+    def frame_done(held):
+        now = held["rows"][0][1]
+        live, lost, looks = passed(held, now)
         at = np.array([t["box"] for t in live], float).reshape(-1, 4)
         areas = (at[:, 2] - at[:, 0]) * (at[:, 3] - at[:, 1])
         free, still, open_, out = np.ones(len(live), bool), np.ones(len(lost), bool), [], []
@@ -189,7 +215,6 @@ def tracked(key: tuple[str, ...] = ("camera_id",), iou: float = 0.3, max_missed:
             free[best] = False
             seen(live[best], box, hist, now)
             out.append((r, live[best]["id"]))
-        missed = [t for t, f in zip(live, free, strict=True) if f]
         for r, box, hist in open_:
             best = None if hist is None or not lost else last_best(np.where(still, np.minimum(looks, hist).sum(axis=1), -1.0), revive)
             if best is None:
@@ -200,15 +225,9 @@ def tracked(key: tuple[str, ...] = ("camera_id",), iou: float = 0.3, max_missed:
             seen(t, box, hist, now)
             live.append(t)
             out.append((r, t["id"]))
-        for t in missed:
-            t["missed"] += 1
-        still &= np.array([now - t["last"] <= memory for t in lost], bool)
-        gone = [t for t in live if t["missed"] > max_missed and t["hist"] is not None and now - t["last"] <= memory]
-        if gone or not still.all():
-            kept = [looks[still]] if still.any() else []
-            looks = np.concatenate([*kept, *([np.array([t["hist"] for t in gone])] if gone else [])]) if kept or gone else None
-            lost = [t for t, s in zip(lost, still, strict=True) if s] + gone
-        held |= {"live": [t for t in live if t["missed"] <= max_missed], "lost": lost, "looks": looks, "rows": []}
+        if not still.all():
+            lost, looks = [t for t, s in zip(lost, still, strict=True) if s], looks[still]
+        held |= {"live": live, "lost": lost, "looks": looks, "rows": []}
         return [(*r[0], r[1], r[2], t) for r, t in out]
 
     def step(held, r):

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -44,6 +47,33 @@ def in_order(rows: DataFrame, key: list[str], order: list[str], step, schema: st
     return rows.repartition(*key).sortWithinPartitions(*key, *order).mapInArrow(work, schema)
 
 
+def segments(rows: DataFrame, key: list[str], at: str, until: str, reach: int, name: str = "segment_") -> DataFrame:
+    """rows with the number of their segment: a key's rows in order of `at` are cut where all before ended (`until`, not before `at`)
+    more than `reach` ago. What a fold remembers for no longer than that does not cross a cut, so segments are folded in parallel.
+
+    No cut falls between rows that are within `reach` of each other, so rows are first summed to one a stretch of that width, and
+    only those, a few numbers each, are ordered by key.
+    """
+    width = max(1, reach)
+    rows = rows.withColumn("_cell", F.floor(F.col(at) / width))
+    cells = rows.groupBy(*key, "_cell").agg(F.min(at).alias("_first"), F.max(F.greatest(at, until)).alias("_last"))
+    w = Window.partitionBy(*key).orderBy("_cell")
+    before = F.max("_last").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    cells = cells.withColumn("_cut", F.when(F.col("_first") - before > reach, 1).otherwise(0)).withColumn(name, F.sum("_cut").over(w))
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*key, "_cell")]
+    return rows.alias("l").join(cells.alias("r"), reduce(and_, same)).select(*[F.col(f"l.{c}") for c in rows.columns if c != "_cell"], F.col(f"r.{name}").alias(name))
+
+
+def numbered(folded: DataFrame, key: list[str], number: str, name: str = "segment_") -> DataFrame:
+    """Rows of a fold over segments, each of which counted from 1, with `number` counted through over all of a key: each segment goes
+    on from the sum of those before it. folded is read twice, so pass it in cut."""
+    w = Window.partitionBy(*key).orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
+    sums = folded.groupBy(*key, name).agg(F.max(number).alias("_most")).withColumn("_before", F.coalesce(F.sum("_most").over(w), F.lit(0)))
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*key, name)]
+    got = folded.alias("l").join(sums.alias("r"), reduce(and_, same))
+    return got.select(*[(F.col(f"l.{c}") + F.col("r._before")).alias(c) if c == number else F.col(f"l.{c}") for c in folded.columns if c != name])
+
+
 def cooldown(rows: DataFrame, key: list[str], time: str, carry: list[str], wait, rank: str | None = None, tie: str = "event_id") -> DataFrame:
     """The rows that fire, with key, time and carry: a key's first row, then every row at least `wait` after its last fire, or
     of a higher rank than that fire had. Rows of equal time go by tie. The rank remembered is that of the last fire, whatever it
