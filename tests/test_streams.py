@@ -1,5 +1,7 @@
 """Streaming forms of the folds, held against the batch forms: the same rows, in two files that are read one after the other."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,20 +85,64 @@ def test_chain(spark, flow):
     assert flow.got(twins.chain(flow(df.withColumn("at", at("n")), "n"), ["camera_id"], "n")) == rows(integrity.append(df, ["camera_id"], "n"))
 
 
+def closing(df, **far):
+    """df and a last row, a day on, by which the watermark passes all others."""
+    last = df.limit(1)
+    for c, v in far.items():
+        last = last.withColumn(c, v)
+    return df.unionByName(last)
+
+
 def test_handoff(spark, flow):
+    """An interval join of two streams under watermarks gives what the batch join gives."""
     looks = [[0.6, 0.4, 0.0], [0.0, 0.5, 0.5], [0.3, 0.3, 0.4], None]
     made = [(f"S{i % 2}", i, "ABC"[i % 3], float(7 * i), f"P{i % 11}", looks[i % 4]) for i in range(200)]
-    df = spark.createDataFrame(made, "site string, id long, camera_id string, at_s double, plate string, hist array<double>").withColumn("at", at("at_s"))
+    df = spark.createDataFrame(made, "site string, id long, camera_id string, at_s double, plate string, hist array<double>")
     seen, read = df.where("id % 3 = 0").withColumnRenamed("id", "sighting_id").drop("plate"), df.where("id % 3 > 0").withColumnRenamed("id", "read_id")
-    want = rows(crosscam.handoff(seen.drop("at"), read.drop("at"), by=("site",)).selectExpr("sighting_id", "plate", "read_by", "at_s", "round(similarity, 9)", "inferred"))
-    got = twins.handoff(flow(seen, "at_s"), flow(read, "at_s"), ["site"], late="1 hour")
-    assert len(want) > 20 and flow.got(got.withColumn("similarity", F.round("similarity", 9))) == want
+    want = rows(crosscam.handoff(seen, read, by=("site",)).selectExpr("sighting_id", "plate", "read_by", "at_s", "round(similarity, 9)", "inferred"))
+    far = {"site": F.lit("far"), "at_s": F.lit(90_000.0)}
+    a, b = (flow(closing(x, **far).withColumn("at", at("at_s")), "at_s") for x in (seen, read))
+    assert len(want) > 20 and flow.got(twins.handoff(a, b, ["site"]).withColumn("similarity", F.round("similarity", 9))) == want
 
 
 def test_clips(spark, flow):
-    frames = spark.createDataFrame([(f"C{c}", i + 1, 500 * i + c) for c in range(2) for i in range(200)], "camera_id string, frame_no long, at_ms long")
+    frames = spark.createDataFrame([(f"C{c}", i + 1, 500 * i + c + 2000 * (i > 150)) for c in range(2) for i in range(200)], "camera_id string, frame_no long, at_ms long")
     fired = frames.where("frame_no % 37 = 5").selectExpr("camera_id", "frame_no * 10 as event_id", "at_ms")
     want = rows(alerts.clip_frames(fired, frames).select("camera_id", "event_id", "at_ms", "first_frame", "last_frame"))
+    far = {"camera_id": F.lit("far"), "at_ms": F.lit(90_000_000).cast("long")}
     stamp = F.timestamp_millis(F.col("at_ms") + DAY * 1000)
-    got = twins.clip_frames(flow(fired.withColumn("at", stamp), "at_ms"), flow(frames.withColumn("at", stamp), "at_ms"), late="1 hour")
-    assert want and flow.got(got) == want
+    a, f = (flow(closing(x, **far).withColumn("at", stamp), "at_ms") for x in (fired, frames))
+    assert want and flow.got(twins.clip_frames(a, f)) == want
+
+
+def test_clips_of_sparse_frames(spark):
+    """Frames far apart, before the first and after the last, against a scan of all frames."""
+    draw, frames, fired = random.Random(6), [], []
+    for c in range(3):
+        t = 0
+        for n in range(1, 80):
+            t += draw.choice([40, 100, 3999, 4000, 4001, 59_999, 60_000, 200_000])
+            frames.append((f"C{c}", n, t))
+        fired += [(f"C{c}", 100 * c + k, draw.randint(0, t + 9000)) for k in range(60)]
+    want = []
+    for c, e, t in fired:
+        mine = [x for x in frames if x[0] == c]
+        upto, since = [n for _, n, f in mine if f <= t], [n for _, n, f in mine if f >= t + 4000]
+        if upto:
+            want.append((c, e, t, max(1, max(upto) - 39), min(since, default=79)))
+    got = alerts.clip_frames(spark.createDataFrame(fired, "camera_id string, event_id long, at_ms long"), spark.createDataFrame(frames, "camera_id string, frame_no long, at_ms long"))
+    assert got.columns == ["camera_id", "event_id", "at_ms", "first_frame", "last_frame"] and rows(got) == sorted(want, key=str)
+
+
+def test_state_is_written_by_the_change(spark, flow):
+    """Of a key's many entries, a batch that changes one writes one."""
+    df = spark.createDataFrame([("C", i % 500, i, float(i)) for i in range(500)] + [("C", 7, 500, 500.0)], "camera_id string, zone long, n long, at_s double").withColumn("at", at("at_s"))
+
+    def step(held, r):
+        if r is not None:
+            held["seen"][r.zone] = (held["seen"].get(r.zone, (0,))[0] + 1,)
+        return [] if r is None or r.n < 500 else [(r.camera_id, len(held["seen"]), held["seen"][7][0])]
+
+    kept = twins.Kept((), {"seen": ("zone bigint", "times bigint")})
+    folder = flow(df, "n")
+    assert flow.got(twins.fold(folder, ["camera_id"], step, "camera_id string, zones bigint, times bigint", ["n"], "at", kept, ttl_s=10_000)) == [("C", 500, 2)]

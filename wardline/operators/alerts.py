@@ -51,11 +51,31 @@ def changes(scored: DataFrame, order: str = "k") -> DataFrame:
 def clip_frames(alerts: DataFrame, frames: DataFrame, pre: int = 40, post_ms: int = 4000) -> DataFrame:
     """alerts (camera_id, at_ms, ...) with first_frame, last_frame: up to `pre` frames that end with the alert's, and those after
     it through the first one at least post_ms later (the camera's last if none is). frames: (camera_id, frame_no, at_ms), where
-    frame_no counts up without gaps in each camera and every alert has a frame of its time."""
-    w = Window.partitionBy("camera_id").orderBy("at_ms")
-    later = frames.select("camera_id", "at_ms", "frame_no", F.min("frame_no").over(w.rangeBetween(post_ms, Window.unboundedFollowing)).alias("end_no"), F.max("frame_no").over(Window.partitionBy("camera_id")).alias("top_no"))
-    out = alerts.join(later, ["camera_id", "at_ms"])
-    return out.withColumns({"first_frame": F.greatest(F.col("frame_no") - (pre - 1), F.lit(1)), "last_frame": F.coalesce("end_no", "top_no")}).drop("frame_no", "end_no", "top_no")
+    frame_no counts up without gaps in each camera, in order of at_ms. An alert before its camera's first frame has no clip."""
+    sides = [F.struct(F.lit(n).alias("side"), (F.col("at_ms") + add).alias("t")) for n, add in (("pre", 0), ("post", post_ms))]
+    probes = alerts.select("camera_id", "at_ms").distinct().select("camera_id", "at_ms", F.explode(F.array(*sides)).alias("p")).select("camera_id", "at_ms", "p.*")
+    near = nearest_frames(probes, frames).groupBy("camera_id", "at_ms").agg(
+        F.max(F.when(F.col("side") == "pre", F.col("upto"))).alias("own"), F.max(F.when(F.col("side") == "post", F.coalesce("since", "upto"))).alias("last_frame"))
+    out = alerts.join(near, ["camera_id", "at_ms"]).where("own is not null")
+    return out.withColumn("first_frame", F.greatest(F.col("own") - (pre - 1), F.lit(1))).select(*alerts.columns, "first_frame", "last_frame")
+
+
+def nearest_frames(probes: DataFrame, frames: DataFrame, cell_ms: int = 60_000) -> DataFrame:
+    """probes (camera_id, t, ...) with upto, the last frame at t or before, and since, the first at t or after, as frame numbers; null where
+    there is none. A range join by cells of time: a probe meets the frames of its own cell, and beyond that only the ends of its
+    camera's cells, of which there are few. Only those are ordered by camera."""
+    cell = lambda c: F.floor(F.col(c) / cell_ms).alias("cell")
+    probes = probes.withColumn("cell", cell("t"))
+    f = frames.select("camera_id", cell("at_ms"), F.col("at_ms").alias("f_ms"), "frame_no")
+    ends = f.groupBy("camera_id", "cell").agg(F.max("frame_no").alias("high"), F.min("frame_no").alias("low"))
+    empty = probes.select("camera_id", "cell").distinct().join(ends, ["camera_id", "cell"], "left_anti").select("camera_id", "cell", F.lit(None).cast("long").alias("high"), F.lit(None).cast("long").alias("low"))
+    w = Window.partitionBy("camera_id").orderBy("cell")
+    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
+    beyond = ends.unionByName(empty).select("camera_id", "cell", F.max("high").over(before).alias("before"), F.min("low").over(after).alias("after"))
+    here = probes.select("camera_id", "cell", "t").distinct().join(f, ["camera_id", "cell"]).groupBy("camera_id", "t").agg(
+        F.max(F.when(F.col("f_ms") <= F.col("t"), F.col("frame_no"))).alias("upto"), F.min(F.when(F.col("f_ms") >= F.col("t"), F.col("frame_no"))).alias("since"))
+    out = probes.join(here, ["camera_id", "t"], "left").join(beyond, ["camera_id", "cell"])
+    return out.select(*[c for c in probes.columns if c != "cell"], F.coalesce("upto", "before").alias("upto"), F.coalesce("since", "after").alias("since"))
 
 
 def evidence_name(at, camera, event, suffix: str = ""):
