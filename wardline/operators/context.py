@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wardline.functions import geometry as G
 from wardline.model import DEFAULT, Policy, Zone
 from wardline.operators import zones as Z
+from wardline.operators.zone_index import ZoneIndex, distance
 
 TRACK = ("camera_id", "track_id")
 
@@ -25,14 +26,16 @@ def islands(df: DataFrame, key: list[str], order: str, same: Column, name: str)
     return df.withColumn("_n", F.when(same, 0).otherwise(1)).withColumn(name, F.sum("_n").over(w)).drop("_n")
 
 
-def context(obs: DataFrame, zones: list[Zone], policy: Policy = DEFAULT, matrix: tuple[float, ...] | None = None, order: str = "k", time: str = "stream_ms") -> DataFrame:
+def context(obs: DataFrame, zones: list[Zone] | ZoneIndex, policy: Policy = DEFAULT, matrix: tuple[float, ...] | None = None, order: str = "k", time: str = "stream_ms") -> DataFrame:
     """Located observations with the track's measures; the first and last of up to `history` points count.
 
     Needs nx, ny (ground point) and hr (box height), all normalised, and label. Adds seg, zone, samples, age_s, speed,
     heading, dwell_s, variance, growth, target, target_d, approaching, moving, near_camera, streak; speed_mps and target_m are
-    null without a calibration matrix. One shuffle by track serves all windows.
+    null without a calibration matrix. One shuffle by track serves all windows. A short list of zones unrolls into the plan; an index
+    of them, for large fleets, is joined once.
     """
-    df = segments(Z.locate(obs, zones), policy, time, order)
+    indexed = isinstance(zones, ZoneIndex)
+    df = segments(zones.place(obs, nearest="_t") if indexed else Z.locate(obs, zones), policy, time, order)
     key = [*TRACK, "seg"]
     w = Window.partitionBy(*key).orderBy(order)
     last = w.rowsBetween(-(policy.history - 1), 0)
@@ -57,10 +60,10 @@ def context(obs: DataFrame, zones: list[Zone], policy: Policy = DEFAULT, matrix:
     df = df.withColumns({
         "heading": F.when(F.col("speed") < policy.still_speed, "-").otherwise(G.compass(mx, my)),
         "growth": F.when(fine, (F.col("hr") - F.col("fh0")) / F.col("age_s")).otherwise(F.lit(0.0)),
-        "_t": Z.nearest_armed(F.col("nx"), F.col("ny"), zones, policy, F.col("camera_id")),
+        **({} if indexed else {"_t": Z.nearest_armed(F.col("nx"), F.col("ny"), zones, policy, F.col("camera_id"))}),
     })
     df = df.withColumns({"target": F.col("_t.zone"), "target_d": F.col("_t.d")})
-    was = Z.distance_to_zone(F.col("fx0"), F.col("fy0"), F.col("target"), Z.armed(zones, policy))
+    was = distance(F.col("fx0"), F.col("fy0"), F.col("_t.edges")) if indexed else Z.distance_to_zone(F.col("fx0"), F.col("fy0"), F.col("target"), Z.armed(zones, policy))
     df = df.withColumn("approaching", F.coalesce((F.col("samples") >= 2) & (was - F.col("target_d") > policy.approach_epsilon), F.lit(False)))
     if matrix:
         (ax, ay), (bx, by) = G.project(F.col("fx0"), F.col("fy0"), matrix), G.project(F.col("nx"), F.col("ny"), matrix)

@@ -10,6 +10,7 @@ from wardline.model import Zone
 from wardline.operators import context as C
 from wardline.operators import risk as R
 from wardline.operators import zones as Z
+from wardline.operators.zone_index import ZoneIndex, zone_table
 from wardline.plans.fixtures import ctes, view
 
 ZONES = [
@@ -118,7 +119,28 @@ def severity_by_zone(spark, sf_dir):
     return s.agg(F.count("*").alias("observations"), F.countDistinct("track_id").alias("tracks"), F.max("score").alias("peak_score"))
 
 
-QUERIES = {f.__name__: f for f in (zone_locate, zone_nearest, class_weight, iou_edges, region_boxes, track_context, metric_speed, dwell, heading_variance, approach_streak, behaviours, risk_score, severity_by_zone)}
+def _index(spark, grid=8):
+    return ZoneIndex.build(zone_table(spark, ZONES), grid)
+
+
+def zone_locate_indexed(spark, sf_dir):
+    """The same zones as a joined table of cells."""
+    o = _index(spark).place(observations(spark, sf_dir))
+    return o.select("event_id", "camera_id", G.track_label(F.col("track_id")).alias("track"), "zone", "zone_kind", "base_risk", G.denormalize(F.col("nx"), 960).cast("long").alias("px"))
+
+
+def zone_nearest_indexed(spark, sf_dir):
+    o = _index(spark, 16).place(observations(spark, sf_dir))
+    return o.select("event_id", F.col("nearest.zone").alias("target"), r6(F.col("nearest.d")).alias("distance"))
+
+
+def severity_by_zone_indexed(spark, sf_dir):
+    """The whole chain to risk over indexed zones."""
+    s = R.risk(R.behaviours(C.context(observations(spark, sf_dir), _index(spark)))).where("zone is not null").groupBy("zone", "severity")
+    return s.agg(F.count("*").alias("observations"), F.countDistinct("track_id").alias("tracks"), F.max("score").alias("peak_score"))
+
+
+QUERIES = {f.__name__: f for f in (zone_locate_indexed, zone_nearest_indexed, severity_by_zone_indexed, zone_locate, zone_nearest, class_weight, iou_edges, region_boxes, track_context, metric_speed, dwell, heading_variance, approach_streak, behaviours, risk_score, severity_by_zone)}
 
 O = """o AS (SELECT *, fx / 960.0 AS nx, fy / 540.0 AS ny, bh / 540.0 AS hr, conf_pct / 100.0::DOUBLE AS confidence, CASE WHEN label = 'PERSON' THEN 'PERSON' ELSE 'VEHICLE' END AS category FROM fx_obs)"""
 PIP = """pz AS (SELECT event_id, zone_name, (max(CASE WHEN abs((x2-x1)*(ny-y1)-(y2-y1)*(nx-x1)) <= 1e-9 AND nx BETWEEN least(x1,x2)-1e-9 AND greatest(x1,x2)+1e-9 AND ny BETWEEN least(y1,y2)-1e-9 AND greatest(y1,y2)+1e-9 THEN 1 ELSE 0 END) = 1
@@ -187,3 +209,4 @@ ORACLE = {
     "risk_score": sql("SELECT event_id, score, severity, CAST(n_factors AS INT) AS n_factors, reason FROM rk", *TO_CTX, BEH, RISK),
     "severity_by_zone": sql("SELECT zone, severity, count(*) AS observations, count(DISTINCT track_id) AS tracks, max(score) AS peak_score FROM rk WHERE zone IS NOT NULL GROUP BY 1, 2", *TO_CTX, BEH, RISK),
 }
+ORACLE |= {f"{q}_indexed": ORACLE[q] for q in ("zone_locate", "zone_nearest", "severity_by_zone")}
