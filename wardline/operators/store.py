@@ -6,16 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def upsert(stored: DataFrame, new: DataFrame, key: str = "event_id", version: str = "seq") -> DataFrame:
-    """stored with new rows in place of those of the same key (the highest version wins). A column that only one side has is
-    null on the other's rows, and is never filled in."""
-    both = stored.unionByName(new, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy(F.desc(version))
-    return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+def upsert(stored: DataFrame | None, new: DataFrame, key: str = "event_id", version: str = "seq", replace: bool = True) -> DataFrame:
+    """stored with new rows in place of those of the same key. Of several new rows the highest version wins, of equal versions the one
+    whose columns hash highest, the same at each try. A new row replaces a stored one whatever its version; with replace=False only
+    if its version is not lower. A column that only one side has is null on the other's rows, and is never filled in."""
+    new = new.withColumn("_new", F.lit(1))
+    both = new if stored is None else stored.withColumn("_new", F.lit(0)).unionByName(new, allowMissingColumns=True)
+    first = ["_new", version] if replace else [version, "_new"]
+    w = Window.partitionBy(key).orderBy(*map(F.desc, first), F.desc(F.xxhash64(*[F.to_json(F.struct(F.col(c))) for c in both.columns if c != "_new"])))
+    return both.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_new")
 
 
 def search(events: DataFrame, camera: str | None = None, severity: str | None = None, since=None, plate: str | None = None, limit: int = 50, at: str = "at_s") -> DataFrame:
-    """Newest events first, at most `limit` (clamped to 1..500)."""
+    """Newest events first, at most `limit` (clamped to 1..500). Of a store with days, `since` (seconds) reads only those from it on."""
+    if since is not None and "event_date" in events.columns:
+        events = events.where(F.col("event_date") >= F.to_date(F.timestamp_seconds(F.lit(since))))
     if camera is not None:
         events = events.where(F.col("camera_id") == camera)
     if severity is not None:

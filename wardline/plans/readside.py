@@ -88,6 +88,13 @@ def store_upsert(spark, sf_dir):
     return S.upsert(a, again).select("event_id", "camera_id", "score", "seq", "note")
 
 
+def store_upsert_any_version(spark, sf_dir):
+    """New rows replace stored ones of an equal or a higher version."""
+    a = view(spark, sf_dir, "fx_alert").select("event_id", "camera_id", "score", F.lit(2).alias("seq"))
+    again = a.where("event_id % 3 < 2").select("event_id", "camera_id", (F.col("score") + 1).alias("score"), (2 - F.col("event_id") % 3).cast("int").alias("seq"))
+    return S.upsert(a, again)
+
+
 def incidents(spark, sf_dir):
     i = S.incidents(view(spark, sf_dir, "fx_alert").drop("label"))
     return i.withColumns({"cameras": F.array_join("cameras", ","), "kinds": F.array_join("kinds", ",")})
@@ -105,7 +112,7 @@ def alerts_per_minute(spark, sf_dir):
     return a.groupBy("camera_id", F.window("at", "1 minute")).agg(F.count("*").alias("alerts")).select("camera_id", F.unix_timestamp("window.start").alias("minute_s"), "alerts")
 
 
-QUERIES = {f.__name__: f for f in (fence_alerts, tamper_alerts, all_alerts, change_log, confirm_window, alert_enriched, clip_manifest, recent_events, vehicle_history, store_summary, behaviour_counts, plates_seen, store_upsert, incidents, event_by_id, alerts_per_minute)}
+QUERIES = {f.__name__: f for f in (fence_alerts, tamper_alerts, all_alerts, change_log, confirm_window, alert_enriched, clip_manifest, recent_events, vehicle_history, store_summary, behaviour_counts, plates_seen, store_upsert, store_upsert_any_version, incidents, event_by_id, alerts_per_minute)}
 
 SCORED = (*T.TO_CTX, T.BEH, T.RISK)
 _RANK = "CASE severity WHEN 'CRITICAL' THEN 3 WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 1 ELSE 0 END"
@@ -138,6 +145,7 @@ ORACLE = {
     "store_summary": sql("SELECT 'total' AS kind, NULL AS value, count(*) AS events, max(at_s) AS latest FROM fx_alert UNION ALL SELECT 'severity', severity, count(*), max(at_s) FROM fx_alert GROUP BY 2 UNION ALL SELECT 'camera', camera_id, count(*), max(at_s) FROM fx_alert GROUP BY 2"),
     "behaviour_counts": sql("SELECT x.name AS behaviour, count(*) AS n FROM (SELECT unnest(bs) AS x FROM beh) GROUP BY 1", *T.TO_CTX, T.BEH),
     "plates_seen": sql("SELECT plate, count(*) AS n FROM fx_alert WHERE plate IS NOT NULL GROUP BY 1"),
+    "store_upsert_any_version": sql("SELECT event_id, camera_id, CASE WHEN event_id % 3 < 2 THEN score + 1 ELSE score END AS score, CAST(CASE WHEN event_id % 3 = 1 THEN 1 ELSE 2 END AS INT) AS seq FROM fx_alert"),
     "store_upsert": sql("SELECT event_id, camera_id, CASE WHEN event_id % 3 = 0 THEN score + 1 ELSE score END AS score, CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END AS seq, CASE WHEN event_id % 3 = 0 THEN 'review' END AS note FROM fx_alert"),
     "incidents": sql("""SELECT arg_min(event_id, (at_s, event_id)) AS incident_id, min(at_s) AS started, max(at_s) AS ended, count(*) AS events, any_value(plate) AS plate, max(score) AS peak_score, arg_max(severity, (score, -at_s, -event_id)) AS peak_severity, arg_max(event_id, (score, -at_s, -event_id)) AS peak_event_id,
   array_to_string(list_distinct_in(list(camera_id ORDER BY at_s, event_id)), ',') AS cameras, array_to_string(list_distinct_in(list(event_type_name ORDER BY at_s, event_id)), ',') AS kinds FROM g GROUP BY ky, i""".replace("list_distinct_in(list(camera_id ORDER BY at_s, event_id))", "list_filter(list(camera_id ORDER BY at_s, event_id), lambda x, j: list_position(list(camera_id ORDER BY at_s, event_id), x) = j)").replace("list_distinct_in(list(event_type_name ORDER BY at_s, event_id))", "list_filter(list(event_type_name ORDER BY at_s, event_id), lambda x, j: list_position(list(event_type_name ORDER BY at_s, event_id), x) = j)"),
