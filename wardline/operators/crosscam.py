@@ -101,22 +101,61 @@ def subject_summary(linked: DataFrame) -> DataFrame:
     return out.withColumn("inferred", F.size("cameras") > 1)
 
 
-def match_roster(faces: DataFrame, roster: DataFrame, threshold: float = 0.45, similarity=V.cosine, rows: int = 100_000) -> DataFrame:
+def match_roster(faces: DataFrame, roster: DataFrame, threshold: float = 0.45, similarity=None, rows: int = 100_000) -> DataFrame:
     """Faces (face_id, vec) with the person (person_id, position, vec) of the most similar roster vector at or above the
-    threshold, the first of equals; person_id is null for others. Every face is compared with the roster, which is broadcast in
-    blocks of at most about `rows` vectors; of each block a face keeps its best."""
-    blocks = max(1, -(-roster.count() // rows))
-    r = roster.select("person_id", "position", F.col("vec").alias("known"))
+    threshold, the first of equals; person_id is null for others. Similarity is the cosine, or a function of two columns.
+
+    The roster is sent to all tasks in parts of about `rows` vectors, of each of which a face keeps its best. With cosines a part is
+    held in blocks about pivots, and a face is compared with the blocks in which the angles to the pivots leave room for a better
+    one (`roster.Known`), as products of matrices; vectors of another length than the face's are not compared. Another similarity
+    is worked out for each pair.
+    """
+    parts_n = max(1, -(-roster.count() // rows))
+    r = roster.select("person_id", F.col("position").cast("long").alias("position"), F.col("vec").cast("array<double>").alias("vec")).where("vec is not null")
     rank, parts = F.struct(F.col("similarity"), -F.col("position")), []
-    for b in range(blocks):
-        part = r if blocks == 1 else r.where(F.pmod(F.xxhash64("position"), F.lit(blocks)) == b)
-        j = faces.join(F.broadcast(part), F.lit(True)).withColumn("similarity", similarity(F.col("vec"), F.col("known")))
-        parts.append(j.groupBy("face_id").agg(F.max_by(F.struct("person_id", "similarity", "position"), rank).alias("b")).select("face_id", "b.*"))
+    kinds = f"face_id {faces.schema['face_id'].dataType.simpleString()}, person_id {roster.schema['person_id'].dataType.simpleString()}"
+    for b in range(parts_n):
+        part = r if parts_n == 1 else r.where(F.pmod(F.xxhash64("position"), F.lit(parts_n)) == b)
+        if similarity is None:
+            sent = roster.sparkSession.sparkContext.broadcast(part.orderBy("position").toArrow())
+            parts.append(faces.select("face_id", F.col("vec").cast("array<double>").alias("vec")).mapInArrow(_matched(sent), f"{kinds}, similarity double, position bigint"))
+        else:
+            j = faces.join(F.broadcast(part.withColumnRenamed("vec", "known")), F.lit(True)).withColumn("similarity", similarity(F.col("vec"), F.col("known")))
+            parts.append(j.groupBy("face_id").agg(F.max_by(F.struct("person_id", "similarity", "position"), rank).alias("b")).select("face_id", "b.*"))
     best = reduce(DataFrame.unionByName, parts).groupBy("face_id").agg(F.max_by(F.struct("person_id", "similarity"), rank).alias("b"))
     ok = F.col("b.similarity") >= threshold
     return best.select("face_id", F.when(ok, F.col("b.person_id")).alias("person_id"), F.col("b.similarity").alias("similarity"))
 
 
+def _matched(sent):
+    """Faces with the best of a broadcast part of the roster."""
+
+    def work(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        from wardline.operators.roster import Known
+
+        t, known = sent.value, {}
+        sizes = np.array([len(v) for v in t.column("vec")], np.int64)
+        for n in np.unique(sizes):
+            at = np.flatnonzero(sizes == n)
+            known[int(n)] = at, Known.of(np.array(t.column("vec").take(pa.array(at)).to_pylist(), float).reshape(len(at), n))
+        for batch in batches:
+            vecs = batch.column("vec").to_pylist()
+            size, row, score = np.array([-1 if v is None else len(v) for v in vecs]), np.full(len(vecs), -1, np.int64), np.zeros(len(vecs))
+            for n, (at, some) in known.items():
+                mine = np.flatnonzero(size == n)
+                if mine.size:
+                    got, score[mine], _ = some.nearest(np.array([vecs[i] for i in mine], float).reshape(len(mine), n))
+                    row[mine] = at[got]
+            pick = pa.array(np.where(row < 0, 0, row), mask=row < 0)
+            person, position = (t.column(c).combine_chunks().take(pick) for c in ("person_id", "position"))
+            yield pa.RecordBatch.from_arrays([batch.column("face_id"), person, pa.array(score, mask=row < 0), position], ["face_id", "person_id", "similarity", "position"])
+
+    return work
+
+
 def settle_identity(matches: DataFrame, key: str, least: int = 2, order: str = "face_id") -> DataFrame:
     """Rows (key, person_id, votes): the person most of a track's recognised faces agree on (the one seen first on a tie), if at
     least `least` do and the best single match is that person's."""
