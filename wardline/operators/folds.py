@@ -6,7 +6,7 @@ from functools import reduce
 from operator import and_
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -47,9 +47,9 @@ def in_order(rows: DataFrame, key: list[str], order: list[str], step, schema: st
     return rows.repartition(*key).sortWithinPartitions(*key, *order).mapInArrow(work, schema)
 
 
-def segments(rows: DataFrame, key: list[str], at: str, until: str, reach: int, name: str = "segment_") -> DataFrame:
+def segments(rows: DataFrame, key: list[str], at: str, until: str, reach: int, name: str = "segment_", touch: bool = False) -> DataFrame:
     """rows with the number of their segment: a key's rows in order of `at` are cut where all before ended (`until`, not before `at`)
-    more than `reach` ago. What a fold remembers for no longer than that does not cross a cut, so segments are folded in parallel.
+    more than `reach` ago (with touch, `reach` or more). What a fold remembers for no longer than that does not cross a cut, so segments are folded in parallel.
 
     No cut falls between rows that are within `reach` of each other, so rows are first summed to one a stretch of that width, and
     only those, a few numbers each, are ordered by key.
@@ -59,7 +59,7 @@ def segments(rows: DataFrame, key: list[str], at: str, until: str, reach: int, n
     cells = rows.groupBy(*key, "_cell").agg(F.min(at).alias("_first"), F.max(F.greatest(at, until)).alias("_last"))
     w = Window.partitionBy(*key).orderBy("_cell")
     before = F.max("_last").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    cells = cells.withColumn("_cut", F.when(F.col("_first") - before > reach, 1).otherwise(0)).withColumn(name, F.sum("_cut").over(w))
+    cells = cells.withColumn("_cut", F.when(F.col("_first") - before >= reach if touch else F.col("_first") - before > reach, 1).otherwise(0)).withColumn(name, F.sum("_cut").over(w))
     same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*key, "_cell")]
     return rows.alias("l").join(cells.alias("r"), reduce(and_, same)).select(*[F.col(f"l.{c}") for c in rows.columns if c != "_cell"], F.col(f"r.{name}").alias(name))
 
@@ -74,22 +74,56 @@ def numbered(folded: DataFrame, key: list[str], number: str, name: str = "segmen
     return got.select(*[(F.col(f"l.{c}") + F.col("r._before")).alias(c) if c == number else F.col(f"l.{c}") for c in folded.columns if c != name])
 
 
-def cooldown(rows: DataFrame, key: list[str], time: str, carry: list[str], wait, rank: str | None = None, tie: str = "event_id") -> DataFrame:
+def cooldown(rows: DataFrame, key: list[str], time: str, carry: list[str], wait, rank: str | None = None, tie: str = "event_id", split: bool = False) -> DataFrame:
     """The rows that fire, with key, time and carry: a key's first row, then every row at least `wait` after its last fire, or
-    of a higher rank than that fire had. Rows of equal time go by tie. The rank remembered is that of the last fire, whatever it
-    was. One array of a key's rows is folded, so pass in rows that may fire only, keyed finely."""
+    of a higher rank than that fire had. Rows of equal time go by tie; rows without a time never fire. The rank remembered is that
+    of the last fire, whatever it was.
+
+    The rows of a key are sorted by Spark and come in batches, of which a task holds one and the key's last fire; from each fire it
+    goes on to the next, over the rows between. With split, a key is cut where nothing happened for `wait`, after which a row
+    fires whatever came before, and the pieces are worked on in parallel.
+    """
     cols = list(dict.fromkeys([time, tie, *carry, *([rank] if rank else [])]))
-    item = F.struct(*[F.col(c) for c in cols])
-    kind = rows.select(item.alias("x")).schema["x"].dataType.simpleString()
-    zero = F.struct(F.lit(None).cast("double").alias("at"), F.lit(0).alias("rank"), F.array().cast(f"array<{kind}>").alias("fired"))
-    level = (lambda x: x[rank].cast("int")) if rank else (lambda x: F.lit(0))
-
-    def step(a: Column, x: Column) -> Column:
-        fire = a["at"].isNull() | (x[time] - a["at"] >= wait) | (level(x) > a["rank"])
-        return F.struct(
-            F.when(fire, x[time].cast("double")).otherwise(a["at"]).alias("at"), F.when(fire, level(x)).otherwise(a["rank"]).alias("rank"),
-            F.when(fire, F.concat(a["fired"], F.array(x))).otherwise(a["fired"]).alias("fired"),
-        )
-
-    got = rows.groupBy(*key).agg(F.array_sort(F.collect_list(item)).alias("xs"))
-    return got.select(*key, F.explode(F.aggregate("xs", zero, step, lambda a: a["fired"])).alias("x")).select(*key, *[F.col(f"x.{c}").alias(c) for c in cols if c not in key])
+    rows = rows.select(*key, *[c for c in cols if c not in key]).where(F.col(time).isNotNull())
+    own = list(key)
+    if split:
+        rows, own = segments(rows, key, time, time, wait, touch=True), [*key, "segment_"]
+    names, made = rows.columns, rows.schema
+
+    def work(batches):
+        import numpy as np
+        import pyarrow.compute as pc
+
+        last = at = level = None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            new = np.zeros(n, bool)
+            for k in own:
+                c = batch.column(k)
+                a, b = c.slice(1), c.slice(0, n - 1)
+                new[1:] |= pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(a.is_null(), b.is_null())).to_numpy(zero_copy_only=False)
+            first = [batch.column(k)[0].as_py() for k in own]
+            new[0] = last is None or first != last
+            last = [batch.column(k)[n - 1].as_py() for k in own]
+            times = batch.column(time).cast(pa.float64()).to_numpy(zero_copy_only=False)
+            ranks = batch.column(rank).fill_null(-1).to_numpy(zero_copy_only=False) if rank else None
+            starts, fired = np.flatnonzero(new).tolist(), []
+            for s, e in zip(starts if new[0] else [0, *starts], [*(starts[1:] if new[0] else starts), n], strict=True):
+                i = s
+                if new[s]:
+                    fired.append(s)
+                    at, level, i = times[s], ranks[s] if rank else 0, s + 1
+                while i < e:
+                    j = i + int(np.searchsorted(times[i:e], at + wait))
+                    if rank and (up := np.flatnonzero(ranks[i:j] > level)[:1]).size:
+                        j = i + int(up[0])
+                    if j < e:
+                        fired.append(j)
+                        at, level = times[j], ranks[j] if rank else 0
+                    i = j + 1
+            yield batch.take(pa.array(fired, pa.int64()))
+
+    out = rows.repartition(*own).sortWithinPartitions(*own, time, tie).mapInArrow(work, made)
+    return out.select(*[c for c in names if c != "segment_"])

@@ -126,7 +126,7 @@ def suppress(rows: DataFrame, window_ms: int = 10_000) -> DataFrame:
     """Passes worth writing: of one plate (else camera and track) none that ends within window_ms of the last one written."""
     key = F.coalesce("plate", F.concat_ws("#", "camera_id", F.col("track_id").cast("string")))
     rows = rows.withColumn("pass_key", key).withColumn("event_id", F.col("first_ms"))
-    return folds.cooldown(rows, ["pass_key"], "last_ms", ["camera_id", "track_id", "pass_no", "frames"], window_ms, tie="first_ms")
+    return folds.cooldown(rows, ["pass_key"], "last_ms", ["camera_id", "track_id", "pass_no", "frames"], window_ms, tie="first_ms", split=True)
 
 
 def sample_reads(reads: DataFrame, width: str, area: str, frame: str, plate: str, key: list[str], min_width=180, apart=10, most=12, agree=3, growth=1.15) -> DataFrame:
