@@ -83,15 +83,24 @@ def evidence_name(at, camera, event, suffix: str = ""):
     return F.concat(F.date_format(at, "yyyyMMdd-HHmmss"), F.lit("_"), camera, F.lit("_"), event.cast("string"), F.lit(suffix))
 
 
-def enrich(alerts: DataFrame, own: DataFrame, fleet: DataFrame, registry: DataFrame) -> DataFrame:
-    """Alerts with the plate of their track (its own reads before the fleet's) and that plate's registry row, if any.
+def enrich(alerts: DataFrame, own: DataFrame, fleet: DataFrame, registry: DataFrame, identities: DataFrame | None = None, subjects: DataFrame | None = None) -> DataFrame:
+    """Alerts with the plate of their track (its own reads before the fleet's) and that plate's registry row, if any; with who the
+    track is, and with the subject it was linked to and the cameras that have seen it.
 
-    own, fleet: (camera_id, track_id, plate), one row for each track; registry: (plate, vehicle_class, status).
+    own, fleet: (camera_id, track_id, plate); identities: (camera_id, track_id, person_id); subjects: (camera_id, track_id, subject_id,
+    cameras), a row for each track; registry: (plate, vehicle_class, status). A link over several cameras is inferred
+    (subject_inferred). Vectors stay where they are.
     """
     keys = ["camera_id", "track_id"]
     out = alerts.join(own.withColumnRenamed("plate", "own_plate"), keys, "left").join(fleet.withColumnRenamed("plate", "fleet_plate"), keys, "left")
     out = out.withColumn("plate", F.coalesce("own_plate", "fleet_plate")).withColumn("inferred", F.col("own_plate").isNull() & F.col("fleet_plate").isNotNull())
-    return out.join(registry, "plate", "left").withColumn("known", F.col("status").isNotNull())
+    out = out.join(registry, "plate", "left").withColumn("known", F.col("status").isNotNull())
+    if identities is not None:
+        out = out.join(identities.select(*keys, "person_id"), keys, "left").withColumn("identified", F.col("person_id").isNotNull())
+    if subjects is not None:
+        out = out.join(subjects.select(*keys, "subject_id", F.col("cameras").alias("subject_cameras")), keys, "left")
+        out = out.withColumn("subject_inferred", F.coalesce(F.size("subject_cameras") > 1, F.lit(False)))
+    return out
 
 
 def event_json() -> Column:

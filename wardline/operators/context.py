@@ -85,3 +85,9 @@ def context(obs: DataFrame, zones: list[Zone] | ZoneIndex, policy: Policy = DEFA
 
 def speed_label(policy_unit: str = "m") -> Column:
     return F.when(F.col("speed_mps").isNotNull(), F.format_string(f"%.2f {policy_unit}/s", "speed_mps")).otherwise(F.format_string("%.2f w/s", "speed"))
+
+
+def distance_label(unit: str = "m") -> Column:
+    """How far the target is, in the camera's unit where it is calibrated, else in widths; null without a target."""
+    metres = F.when(F.col("target_m").isNotNull(), F.format_string(f"%.1f {unit}", "target_m"))
+    return F.coalesce(metres, F.when(F.col("target_d").isNotNull(), F.format_string("%.2f w", "target_d")))

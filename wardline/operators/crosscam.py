@@ -170,6 +170,20 @@ def identity_points(person: Column, faces: Column, authorised: int = -45, unreco
     return F.when(person.isNotNull(), authorised).when(faces > 0, unrecognised).otherwise(0)
 
 
+def identity_behaviours(identities: DataFrame, authorised: int = -45, unrecognised: int = 0, nth: int = 50) -> DataFrame:
+    """Findings for `risk.with_findings` (camera_id, track_id, from_k, nth, name, points, detail) of tracks with faces: identities has
+    camera_id, track_id, from_k, person_id (null if none is recognised), label, role, similarity. A person of the roster is
+    AUTHORISED PERSON; a face that is not on it is UNRECOGNISED PERSON, if points are set for that."""
+    known = F.col("person_id").isNotNull()
+    who = F.coalesce("label", F.col("person_id").cast("string"))
+    role = F.when(F.coalesce("role", F.lit("")) != "", F.concat(F.lit(", "), "role")).otherwise("")
+    detail = F.when(known, F.format_string("recognised as %s%s (%.2f)", who, role, F.col("similarity"))).otherwise("face not on the roster for this post")
+    out = identities.where(known | F.lit(unrecognised != 0))
+    return out.select(
+        "camera_id", "track_id", "from_k", F.lit(nth).alias("nth"), F.when(known, "AUTHORISED PERSON").otherwise("UNRECOGNISED PERSON").alias("name"),
+        F.when(known, authorised).otherwise(unrecognised).alias("points"), detail.alias("detail"))
+
+
 def upsert_roster(roster: DataFrame, new: DataFrame) -> DataFrame:
     """roster without the persons of new, and new; persons without vectors are skipped."""
     new = new.where("vec is not null and size(vec) > 0")

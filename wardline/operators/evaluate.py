@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wardline.functions import plates as P
@@ -56,3 +56,12 @@ def leakage(rows: DataFrame, plate: str) -> DataFrame:
     """Plates that are in both splits."""
     part = lambda s: rows.where(F.col("split") == s).select(plate)
     return part("train").intersect(part("validation"))
+
+
+def split_outcomes(rows: DataFrame, plate: str, share: float, width: str, min_width: int, unreadable: Column | None = None, area: str | None = None) -> DataFrame:
+    """Rows (outcome, crops, plates): what becomes of annotated plates, by split or by the first reason to skip them: the photograph is
+    unreadable, the box too small, or nothing of it lies within the photograph (area, in pixels). Skipped ones count no plates."""
+    reasons = [(unreadable, "unreadable photograph"), (F.col(width) < min_width, "too small"), (F.col(area) <= 0 if area else None, "empty crop")]
+    skipped = F.coalesce(*[F.when(c, name) for c, name in reasons if c is not None])
+    got = split(rows, plate, share).withColumn("outcome", F.coalesce(skipped, "split"))
+    return got.groupBy("outcome").agg(F.count("*").alias("crops"), F.countDistinct(F.when(F.col("outcome") == F.col("split"), F.col(plate))).alias("plates"))

@@ -122,6 +122,19 @@ def passes(sightings: DataFrame, gap_ms: int = 2000) -> DataFrame:
     )
 
 
+def pass_log(passes: DataFrame, start) -> DataFrame:
+    """Rows of the pass log of `passes`, for `sinks.day_json` by `at`: at, camera_id, track_id, vehicle, plate, display, confidence (of a
+    plate only), plate_read, seconds_in_view, frames, crop. start: the time at which the footage began, a timestamp column.
+    A pass whose plate was not read says so."""
+    at = F.timestamp_millis(F.unix_millis(start) + F.col("first_ms").cast("long"))
+    crop = F.concat_ws("-", F.lit("pass"), "camera_id", F.col("track_id").cast("string"))
+    return passes.select(
+        F.date_trunc("second", at).alias("at"), "camera_id", "track_id", F.col("label").alias("vehicle"), "plate", P.display(F.col("plate")).alias("display"),
+        F.when(F.col("plate").isNotNull(), F.bround("confidence", 3)).alias("confidence"), F.col("plate").isNotNull().alias("plate_read"),
+        F.bround((F.col("last_ms") - F.col("first_ms")).cast("double") / 1000, 1).alias("seconds_in_view"), "frames", F.when(F.col("crop_event").isNotNull(), crop).alias("crop"),
+    )
+
+
 def suppress(rows: DataFrame, window_ms: int = 10_000) -> DataFrame:
     """Passes worth writing: of one plate (else camera and track) none that ends within window_ms of the last one written."""
     key = F.coalesce("plate", F.concat_ws("#", "camera_id", F.col("track_id").cast("string")))

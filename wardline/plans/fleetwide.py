@@ -131,6 +131,25 @@ def split_leakage(spark, sf_dir):
     return E.leakage(E.split(view(spark, sf_dir, "fx_ocr"), "true_plate", 0.2), "true_plate")
 
 
+def split_outcomes(spark, sf_dir):
+    """What becomes of annotated plates: a split, or the reason to skip them."""
+    return E.split_outcomes(view(spark, sf_dir, "fx_ocr"), "true_plate", 0.2, "veh_w", 250, unreadable=F.col("raw") == "TAXI")
+
+
+def split_leakage_found(spark, sf_dir):
+    """Plates in both splits, where crops are split without regard to plates."""
+    o = view(spark, sf_dir, "fx_ocr").withColumn("split", F.when(F.col("event_id") % 5 == 0, "validation").otherwise("train"))
+    return E.leakage(o, "true_plate")
+
+
+def identity_behaviours(spark, sf_dir):
+    """Faces of tracks as behaviours: people of the roster, and others, for which points are set here."""
+    m = _matches(spark, sf_dir).withColumn("track_id", F.floor(F.col("face_id") / 6))
+    faces = m.groupBy("track_id").agg(F.count("*").alias("faces")).join(C.settle_identity(m, "track_id").select("track_id", "person_id"), "track_id", "left")
+    people = faces.select(F.lit("CAM-01").alias("camera_id"), "track_id", F.lit(1).alias("from_k"), "person_id", F.lit(None).cast("string").alias("label"), F.lit("guard").alias("role"), F.lit(0.5).alias("similarity"))
+    return C.identity_behaviours(people, unrecognised=12).select("track_id", "name", "points", "detail")
+
+
 def stride_sample(spark, sf_dir):
     """Every third frame of a camera, at most 500, with its footage time."""
     o = view(spark, sf_dir, "fx_obs").withColumn("raw_index", F.row_number().over(Window.partitionBy("camera_id").orderBy("event_id")))
@@ -146,7 +165,7 @@ def blend_drift(spark, sf_dir):
     return s.join(n, "vec_id").select("vec_id", r6(X.intersection(X.blend(F.col("hist"), F.col("next")), F.col("hist"))).alias("kept"))
 
 
-QUERIES = {f.__name__: f for f in (handoff, subject_candidates, subjects, subjects_on_several, roster_match, identity_settled, face_to_person, track_assign, read_accuracy, consensus_metrics, confusion_counts, hit_rate, smallest_size, split_report, split_leakage, stride_sample, blend_drift)}
+QUERIES = {f.__name__: f for f in (split_outcomes, split_leakage_found, identity_behaviours, handoff, subject_candidates, subjects, subjects_on_several, roster_match, identity_settled, face_to_person, track_assign, read_accuracy, consensus_metrics, confusion_counts, hit_rate, smallest_size, split_report, split_leakage, stride_sample, blend_drift)}
 
 SI = """s0 AS (SELECT *, list_transform(raw_vec, lambda x: abs(CAST(x AS DOUBLE))) AS r FROM fx_sight), si AS (SELECT *, list_transform(r, lambda x: x / list_sum(r)) AS h FROM s0)"""
 _SIM = lambda a, b: f"list_sum(list_transform(list_zip({a}, {b}), lambda z: least(z[1], z[2])))"
@@ -176,3 +195,13 @@ t5 AS (SELECT track_id, p, arg_max(c, (n, c)) AS c, count(*) FILTER (n = mx) AS
     "stride_sample": sql("SELECT camera_id, event_id, idx AS index, round(CASE WHEN pts > 0 THEN pts ELSE (i - 1) / 25.0::DOUBLE END, 6) + 0.0 AS at_s FROM (SELECT *, row_number() OVER (PARTITION BY camera_id ORDER BY i) AS idx FROM ix WHERE (i - 1) % 3 = 0) WHERE idx <= 500", "ix AS (SELECT *, row_number() OVER (PARTITION BY camera_id ORDER BY event_id) AS i, CASE WHEN event_id % 4 = 0 THEN stream_ms / 1000.0::DOUBLE END AS pts FROM fx_obs)"),
     "blend_drift": sql(f"SELECT a.vec_id, round({_SIM('list_transform(list_zip(a.h, b.h), lambda z: (z[1] * 0.7::DOUBLE + z[2] * 0.3::DOUBLE))', 'a.h')}, 6) + 0.0 AS kept FROM si a JOIN si b ON b.vec_id = a.vec_id + 1", SI),
 }
+_SETTLED = ORACLE["identity_settled"].rpartition("\nSELECT ")
+ORACLE |= {
+    "split_outcomes": sql(f"SELECT outcome, count(*) AS crops, count(DISTINCT CASE WHEN outcome = s THEN true_plate END) AS plates FROM (SELECT *, CASE WHEN raw = 'TAXI' THEN 'unreadable photograph' WHEN veh_w < 250 THEN 'too small' ELSE s END AS outcome FROM (SELECT *, CASE WHEN {_HOLD} THEN 'validation' ELSE 'train' END AS s FROM fx_ocr)) GROUP BY 1"),
+    "split_leakage_found": sql("SELECT true_plate FROM fx_ocr GROUP BY 1 HAVING count(*) FILTER (event_id % 5 = 0) > 0 AND count(*) FILTER (event_id % 5 <> 0) > 0"),
+    "identity_behaviours": f"""{_SETTLED[0]},
+st AS (SELECT {_SETTLED[2]})
+SELECT f.track_id, CASE WHEN person_id IS NULL THEN 'UNRECOGNISED PERSON' ELSE 'AUTHORISED PERSON' END AS name, CAST(CASE WHEN person_id IS NULL THEN 12 ELSE -45 END AS INT) AS points,
+  CASE WHEN person_id IS NULL THEN 'face not on the roster for this post' ELSE 'recognised as ' || person_id || ', guard (0.50)' END AS detail
+FROM (SELECT DISTINCT CAST(floor(face_id / 6) AS BIGINT) AS track_id FROM mt) f LEFT JOIN st USING (track_id)""",
+}

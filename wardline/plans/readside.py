@@ -49,6 +49,19 @@ def alert_enriched(spark, sf_dir):
     return e.select("event_id", "plate", "inferred", "known", "vehicle_class", "status", "score")
 
 
+def alert_people(spark, sf_dir):
+    """Alerts with who their track is and the subject that it was linked to."""
+    a, o = view(spark, sf_dir, "fx_alert"), view(spark, sf_dir, "fx_obs")
+    tracks = o.select("camera_id", "track_id").distinct()
+    none = a.where("false").select("camera_id", "track_id", "plate")
+    who = tracks.where("track_id % 9 = 0").withColumn("person_id", F.col("track_id") % 8)
+    group = (F.col("track_id") % 40).alias("g")
+    cameras = tracks.where("track_id % 4 = 0").select(group, "camera_id").groupBy("g").agg(F.array_sort(F.collect_set("camera_id")).alias("cameras"))
+    subjects = tracks.where("track_id % 4 = 0").select("*", group).join(cameras, "g").withColumn("subject_id", F.format_string("S%04d", "g"))
+    e = A.enrich(a.drop("plate"), none, none, view(spark, sf_dir, "fx_registry"), who, subjects)
+    return e.select("event_id", "person_id", "identified", "subject_id", F.array_join("subject_cameras", ",").alias("subject_cameras"), "subject_inferred")
+
+
 def clip_manifest(spark, sf_dir):
     """Frames of each alert's clip, and its evidence name."""
     o = view(spark, sf_dir, "fx_obs")
@@ -112,7 +125,7 @@ def alerts_per_minute(spark, sf_dir):
     return a.groupBy("camera_id", F.window("at", "1 minute")).agg(F.count("*").alias("alerts")).select("camera_id", F.unix_timestamp("window.start").alias("minute_s"), "alerts")
 
 
-QUERIES = {f.__name__: f for f in (fence_alerts, tamper_alerts, all_alerts, change_log, confirm_window, alert_enriched, clip_manifest, recent_events, vehicle_history, store_summary, behaviour_counts, plates_seen, store_upsert, store_upsert_any_version, incidents, event_by_id, alerts_per_minute)}
+QUERIES = {f.__name__: f for f in (fence_alerts, tamper_alerts, all_alerts, change_log, confirm_window, alert_enriched, alert_people, clip_manifest, recent_events, vehicle_history, store_summary, behaviour_counts, plates_seen, store_upsert, store_upsert_any_version, incidents, event_by_id, alerts_per_minute)}
 
 SCORED = (*T.TO_CTX, T.BEH, T.RISK)
 _RANK = "CASE severity WHEN 'CRITICAL' THEN 3 WHEN 'HIGH' THEN 2 WHEN 'MEDIUM' THEN 1 ELSE 0 END"
@@ -138,6 +151,9 @@ ORACLE = {
     "confirm_window": sql("SELECT * FROM (SELECT *, round(3 * seconds / frames, 6) AS confirm_s FROM (SELECT camera_id, count(*) AS frames, count(DISTINCT track_id) AS tracks, CAST(floor(epoch(max(ts))) - floor(epoch(min(ts))) AS BIGINT) AS seconds FROM fx_obs GROUP BY 1)) WHERE frames >= 40 AND confirm_s >= 1.5"),
     "alert_enriched": sql("""SELECT a.event_id, coalesce(a.plate, f.plate) AS plate, a.plate IS NULL AND f.plate IS NOT NULL AS inferred, r.status IS NOT NULL AS known, r.vehicle_class, r.status, a.score FROM fx_alert a
   LEFT JOIN (SELECT DISTINCT camera_id, track_id, true_plate AS plate FROM fx_obs JOIN fx_plate USING (track_id) WHERE track_id % 6 = 3) f ON a.camera_id = f.camera_id AND a.track_id = f.track_id LEFT JOIN fx_registry r ON r.plate = coalesce(a.plate, f.plate)"""),
+    "alert_people": sql("""SELECT a.event_id, CASE WHEN a.track_id % 9 = 0 THEN a.track_id % 8 END AS person_id, a.track_id % 9 = 0 AS identified, CASE WHEN a.track_id % 4 = 0 THEN format('S{:04d}', a.track_id % 40) END AS subject_id,
+  CASE WHEN a.track_id % 4 = 0 THEN s.cams END AS subject_cameras, coalesce(a.track_id % 4 = 0 AND s.n > 1, false) AS subject_inferred FROM fx_alert a
+  LEFT JOIN (SELECT track_id % 40 AS g, string_agg(DISTINCT camera_id, ',' ORDER BY camera_id) AS cams, count(DISTINCT camera_id) AS n FROM fx_obs WHERE track_id % 4 = 0 GROUP BY 1) s ON a.track_id % 40 = s.g"""),
     "clip_manifest": sql("""SELECT a.event_id, CAST(greatest(f.n - 39, 1) AS INT) AS first_frame, CAST(coalesce((SELECT min(g.n) FROM fr g WHERE g.camera_id = f.camera_id AND g.at_ms >= f.at_ms + 4000), f.top) AS INT) AS last_frame, strftime(f.ts, '%Y%m%d-%H%M%S') || '_' || a.camera_id || '_' || a.event_id || '.mp4' AS clip
   FROM fx_alert a JOIN fr f USING (event_id)""", "fr AS (SELECT event_id, camera_id, ts, event_id * 100 AS at_ms, row_number() OVER (PARTITION BY camera_id ORDER BY event_id) AS n, count(*) OVER (PARTITION BY camera_id) AS top FROM fx_obs)"),
     "recent_events": sql("SELECT event_id, at_s, severity, score FROM fx_alert WHERE camera_id = 'CAM-02' AND severity = 'CRITICAL' AND at_s >= 100 ORDER BY at_s DESC, event_id DESC LIMIT 100"),

@@ -93,6 +93,12 @@ def vehicle_passes(spark, sf_dir, sightings=_accepted_sightings):
     return p.select("camera_id", "track_id", "pass_no", F.col("first_ms").cast("long").alias("first_ms"), F.col("last_ms").cast("long").alias("last_ms"), "frames", "plate", "confidence", "crop_event")
 
 
+def pass_log(spark, sf_dir):
+    """The pass log's rows."""
+    p = V.pass_log(V.passes(_accepted_sightings(spark, sf_dir)), F.timestamp_seconds(F.lit(86_400)))
+    return p.select("camera_id", "track_id", F.unix_seconds("at").alias("at_s"), "vehicle", "plate", "plate_read", "seconds_in_view", "frames", "crop")
+
+
 def pass_suppression(spark, sf_dir, sightings=_accepted_sightings):
     s = V.suppress(V.passes(sightings(spark, sf_dir)))
     return s.select("pass_key", "camera_id", "track_id", F.col("last_ms").cast("long").alias("last_ms"), "frames")
@@ -173,7 +179,7 @@ def url_redact(spark, sf_dir):
     return p.select("page_id", X.redact(F.concat(F.col("url"), F.when(F.col("url").contains("?"), "&token=abc").otherwise(""))).alias("url"))
 
 
-QUERIES = {f.__name__: f for f in (plate_clean, plate_fragments, plate_consensus, plate_unconfirmed, plate_to_vehicle, fleet_plates, registry_check, vehicle_passes, pass_suppression, read_sampling, link_changes, link_outages, link_drops, camera_integrity, chain_verify, chain_heads, camera_nearest, coverage_wedge, camera_geofences, camera_unplaced, site_map, range_height, url_redact)}
+QUERIES = {f.__name__: f for f in (pass_log, plate_clean, plate_fragments, plate_consensus, plate_unconfirmed, plate_to_vehicle, fleet_plates, registry_check, vehicle_passes, pass_suppression, read_sampling, link_changes, link_outages, link_drops, camera_integrity, chain_verify, chain_heads, camera_nearest, coverage_wedge, camera_geofences, camera_unplaced, site_map, range_height, url_redact)}
 # The same over plates as read: tidied, not repaired.
 QUERIES |= {f"{f.__name__}_as_read": partial(f, reads=reads) for f in (plate_consensus, plate_unconfirmed, fleet_plates, registry_check, read_sampling)}
 QUERIES |= {f"{f.__name__}_as_read": partial(f, sightings=_sightings) for f in (vehicle_passes, pass_suppression)}
@@ -280,3 +286,9 @@ SELECT image, CAST(row_number() OVER (PARTITION BY image ORDER BY length(text) N
     SELECT event_id AS image, regexp_replace(upper(raw[1:4]), '[^A-Z0-9]', '', 'g') AS a, regexp_replace(upper(raw[5:24]), '[^A-Z0-9]', '', 'g') AS b, ocr_conf_pct / 100.0::DOUBLE AS c FROM fx_ocr))
 WHERE length(text) BETWEEN 4 AND 13 AND regexp_matches(text, '[0-9]') AND regexp_matches(text, '[A-Z]')"""
 ORACLE["plate_fragments"] = sql(ORACLE["plate_fragments"])
+_PASSES = ORACLE["vehicle_passes"].rpartition("\nSELECT ")
+ORACLE["pass_log"] = f"""{_PASSES[0]},
+ps AS (SELECT {_PASSES[2]}),
+lb AS (SELECT DISTINCT camera_id, track_id, label FROM fx_ocr)
+SELECT camera_id, track_id, 86400 + CAST(floor(first_ms / 1000) AS BIGINT) AS at_s, label AS vehicle, plate, plate IS NOT NULL AS plate_read, round_even((last_ms - first_ms) / 1000.0::DOUBLE, 1) AS seconds_in_view, frames,
+  'pass-' || camera_id || '-' || track_id AS crop FROM ps JOIN lb USING (camera_id, track_id)"""
