@@ -131,6 +131,14 @@ def _chain(spark, sf_dir):
     return I.append(a.select("camera_id", "event_id", F.col("event_id").cast("string").alias("event"), F.col("at_s").cast("string").alias("ts"), F.concat_ws("|", "event_type_name", F.col("score").cast("string"), "severity").alias("payload")), ["camera_id"], "event_id")
 
 
+def chain_verify_days(spark, sf_dir):
+    """Breaks in a log chained by camera and day, of which a row in fifty was changed and another removed."""
+    a = view(spark, sf_dir, "fx_alert").select("camera_id", F.floor(F.col("at_s") / 600).cast("long").alias("day"), F.col("event_id").alias("n"), F.col("event_id").cast("string").alias("event"), F.col("at_s").cast("string").alias("ts"), F.col("score").cast("string").alias("payload"))
+    linked, heads = I.append_days(a, ["camera_id"], "day", "n")
+    bad = linked.where("n % 50 <> 12").withColumn("payload", F.when(F.col("n") % 50 == 8, F.concat("payload", F.lit("0"))).otherwise(F.col("payload")))
+    return I.verify_days(bad, heads, ["camera_id"], "day")
+
+
 def chain_verify(spark, sf_dir):
     """Breaks of a chain in which some rows were edited and others removed."""
     c = _chain(spark, sf_dir).where("event_id % 31 <> 7").withColumn("payload", F.when(F.col("event_id") % 53 == 0, "edited").otherwise(F.col("payload")))
@@ -179,7 +187,7 @@ def url_redact(spark, sf_dir):
     return p.select("page_id", X.redact(F.concat(F.col("url"), F.when(F.col("url").contains("?"), "&token=abc").otherwise(""))).alias("url"))
 
 
-QUERIES = {f.__name__: f for f in (pass_log, plate_clean, plate_fragments, plate_consensus, plate_unconfirmed, plate_to_vehicle, fleet_plates, registry_check, vehicle_passes, pass_suppression, read_sampling, link_changes, link_outages, link_drops, camera_integrity, chain_verify, chain_heads, camera_nearest, coverage_wedge, camera_geofences, camera_unplaced, site_map, range_height, url_redact)}
+QUERIES = {f.__name__: f for f in (pass_log, chain_verify_days, plate_clean, plate_fragments, plate_consensus, plate_unconfirmed, plate_to_vehicle, fleet_plates, registry_check, vehicle_passes, pass_suppression, read_sampling, link_changes, link_outages, link_drops, camera_integrity, chain_verify, chain_heads, camera_nearest, coverage_wedge, camera_geofences, camera_unplaced, site_map, range_height, url_redact)}
 # The same over plates as read: tidied, not repaired.
 QUERIES |= {f"{f.__name__}_as_read": partial(f, reads=reads) for f in (plate_consensus, plate_unconfirmed, fleet_plates, registry_check, read_sampling)}
 QUERIES |= {f"{f.__name__}_as_read": partial(f, sightings=_sightings) for f in (vehicle_passes, pass_suppression)}
@@ -292,3 +300,8 @@ ps AS (SELECT {_PASSES[2]}),
 lb AS (SELECT DISTINCT camera_id, track_id, label FROM fx_ocr)
 SELECT camera_id, track_id, 86400 + CAST(floor(first_ms / 1000) AS BIGINT) AS at_s, label AS vehicle, plate, plate IS NOT NULL AS plate_read, round_even((last_ms - first_ms) / 1000.0::DOUBLE, 1) AS seconds_in_view, frames,
   'pass-' || camera_id || '-' || track_id AS crop FROM ps JOIN lb USING (camera_id, track_id)"""
+ORACLE["chain_verify_days"] = sql("""SELECT camera_id, day, event, "break" FROM (
+  SELECT camera_id, day, CAST(event_id AS VARCHAR) AS event, unnest(list_filter([CASE WHEN before % 50 = 12 THEN 'previous changed or removed' END, CASE WHEN event_id % 50 = 8 THEN 'contents changed' END], lambda x: x IS NOT NULL)) AS "break"
+  FROM (SELECT camera_id, CAST(floor(at_s / 600) AS BIGINT) AS day, event_id, lag(event_id) OVER (PARTITION BY camera_id, floor(at_s / 600) ORDER BY event_id) AS before FROM fx_alert) WHERE event_id % 50 <> 12)
+UNION ALL SELECT camera_id, CAST(floor(at_s / 600) AS BIGINT) AS day, NULL AS event, CASE WHEN count(*) = count(*) FILTER (event_id % 50 = 12) THEN 'day removed' ELSE 'day does not end as its head says' END AS "break"
+  FROM fx_alert GROUP BY 1, 2 HAVING count(*) FILTER (event_id % 50 = 12) > 0""")
