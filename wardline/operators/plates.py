@@ -169,33 +169,27 @@ def fragments(reads: DataFrame, image: str = "image", tolerance: float = 0.6) ->
     Fragments whose middles are close are a row, read left to right; single fragments, whole rows and each row with the one below
     it are candidates. Lengths 8 to 11 come first, then the surer.
     """
-    schema = f"{image} {reads.schema[image].dataType.simpleString()}, nth int, text string, confidence double"
-
-    def candidates(items):
-        items.sort(key=lambda b: ((b["top"] + b["bottom"]) / 2, b["left"]))
-        rows: list[list[dict]] = []
-        for b in items:
-            mid, height = (b["top"] + b["bottom"]) / 2, max(1.0, b["bottom"] - b["top"])
-            home = next((r for r in rows if abs((r[0]["top"] + r[0]["bottom"]) / 2 - mid) <= tolerance * height), None)
-            if home is None:
-                rows.append([b])
-            else:
-                home.append(b)
-        rows = [sorted(r, key=lambda b: b["left"]) for r in rows]
-        groups = [[b] for r in rows for b in r] + [r for r in rows if len(r) > 1] + [a + b for a, b in zip(rows, rows[1:])]
-        out = [("".join(b["text"] for b in g), min(b["confidence"] for b in g)) for g in groups]
-        out = [c for c in out if 4 <= len(c[0]) <= 13 and any(x.isdigit() for x in c[0]) and any(x.isalpha() for x in c[0])]
-        return sorted(out, key=lambda c: (not 8 <= len(c[0]) <= 11, -c[1], c[0]))
-
-    def work(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            out = [(key, i + 1, *c) for key, items in zip(pdf[image], pdf["items"]) for i, c in enumerate(candidates([x.asDict() if hasattr(x, "asDict") else dict(x) for x in items]))]
-            yield pd.DataFrame(out, columns=[image, "nth", "text", "confidence"])
-
-    tidy = F.struct(P.clean(F.col("text")).alias("text"), *[F.col(c).cast("double").alias(c) for c in ("confidence", "top", "bottom", "left")])
-    return reads.groupBy(image).agg(F.collect_list(tidy).alias("items")).mapInPandas(work, schema)
+    mid, height = (F.col("top") + F.col("bottom")) / 2, F.greatest(F.lit(1.0), F.col("bottom") - F.col("top"))
+    item = F.struct(mid.cast("double").alias("mid"), F.col("left").cast("double").alias("left"), P.clean(F.col("text")).alias("text"), F.col("confidence").cast("double").alias("confidence"), height.cast("double").alias("height"))
+    got = reads.groupBy(image).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    kind = got.schema["items"].dataType.elementType.simpleString()
+
+    def placed(rows, x):
+        """rows with a fragment in the first whose first fragment is close, or in one of its own."""
+        close = F.transform(rows, lambda r: F.abs(r[0]["mid"] - x["mid"]) <= tolerance * x["height"])
+        home = F.array_position(close, True)
+        return F.when(home == 0, F.concat(rows, F.array(F.array(x)))).otherwise(F.transform(rows, lambda r, i: F.when(i + 1 == home, F.concat(r, F.array(x))).otherwise(r)))
+
+    rows = F.aggregate("items", F.array().cast(f"array<array<{kind}>>"), placed)
+    left = lambda r: F.array_sort(F.transform(r, lambda b: F.struct(b["left"].alias("left"), b["mid"].alias("mid"), b["text"].alias("text"), b["confidence"].alias("confidence"))))
+    got = got.select(image, F.transform(rows, left).alias("rows"))
+    whole = lambda r: F.struct(F.array_join(F.transform(r, lambda b: b["text"]), "").alias("text"), F.array_min(F.transform(r, lambda b: b["confidence"])).alias("confidence"))
+    one = F.transform(F.flatten("rows"), lambda b: F.struct(b["text"].alias("text"), b["confidence"].alias("confidence")))
+    joined = F.transform(F.filter("rows", lambda r: F.size(r) > 1), whole)
+    below = F.transform(F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0))), lambda r, i: whole(F.concat(F.col("rows")[i], r)))
+    fits = F.filter(F.concat(one, joined, below), lambda c: F.length(c["text"]).between(4, 13) & c["text"].rlike("[0-9]") & c["text"].rlike("[A-Z]"))
+    order = F.array_sort(F.transform(fits, lambda c: F.struct((~F.length(c["text"]).between(8, 11)).alias("odd"), (-c["confidence"]).alias("last"), c["text"].alias("text"), c["confidence"].alias("confidence"))))
+    return got.select(image, F.posexplode(order).alias("at", "c")).select(image, (F.col("at") + 1).alias("nth"), "c.text", "c.confidence")
 
 
 def in_vehicle(boxes: DataFrame, vehicles: DataFrame, upper_half: bool = False) -> DataFrame:
