@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from wardline.llm.common import held_out, read, ship
 
 _WORD = r"[^\W_]+"
+#: Letters of words that a task remembers at most, and the bytes that an entry takes besides two for each letter.
+LONG, ENTRY = 48, 150
 
 
 @dataclass(frozen=True)
@@ -114,18 +116,27 @@ class Grams(dict):
 
 
 class Seen(dict):
-    """Word -> its share of the score, the average over its subwords, kept while a task lasts."""
+    """Word -> its share of the score, the average over its subwords, kept while a task lasts in about `room` bytes; words longer than LONG
+    are worked out anew each time."""
 
-    def __init__(self, model: Model, size: int = 400_000):
+    def __init__(self, model: Model, room: int = 60_000_000):
         super().__init__()
-        self.lengths, self.size, self.grams = model.settings.lengths, size, Grams(model)
+        self.lengths, self.room, self.left, self.grams = model.settings.lengths, room, room, Grams(model)
 
     def __missing__(self, word: str) -> float:
-        if len(self) > self.size:
-            self.clear()
         w, grams = f"<{word}>", self.grams
-        found = [grams[w[i : i + n]] for n in self.lengths for i in range(len(w) - n + 1)]
-        self[word] = got = (grams.of(w) + sum(found)) / (1 + len(found))
+        n_found, total = 1, grams.of(w)
+        for n in self.lengths:
+            for i in range(len(w) - n + 1):
+                total += grams[w[i : i + n]]
+            n_found += max(0, len(w) - n + 1)
+        got = total / n_found
+        if len(word) <= LONG:
+            if self.left < 0:
+                self.clear()
+                self.left = self.room
+            self[word] = got
+            self.left -= ENTRY + 2 * len(word)
         return got
 
 
