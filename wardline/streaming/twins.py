@@ -68,7 +68,7 @@ def fold(stream: DataFrame, key: list[str], step: Callable[[dict, object], list[
                 for k in old.keys() - new.keys():
                     m.removeKey((k,))
 
-        def handleInputRows(self, key, rows, timers):
+        def handleInputRows(self, key, rows, timerValues):
             import pandas as pd
 
             pdf = pd.concat(list(rows)).sort_values(order, na_position="first", kind="stable")
@@ -79,10 +79,10 @@ def fold(stream: DataFrame, key: list[str], step: Callable[[dict, object], list[
             self.write(before, pack(held))
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t)
-            self.handle.registerTimer(max(last + ttl_s * 1000, timers.getCurrentWatermarkInMs() + 1))
+            self.handle.registerTimer(max(last + ttl_s * 1000, timerValues.getCurrentWatermarkInMs() + 1))
             yield pd.DataFrame(got, columns=names)
 
-        def handleExpiredTimer(self, key, timers, info):
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             import pandas as pd
 
             got = step(unpack(self.read() | {"key_": key}), None)
