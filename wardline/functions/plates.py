@@ -54,8 +54,8 @@ def valid(plate: Column) -> Column:
     return F.coalesce(state_of(plate).isNotNull() | plate.rlike(BHARAT), F.lit(False))
 
 
-def close_enough(read: Column, repaired: Column) -> Column:
-    """Few enough changes: at most three of equal length, or a length that differs by one."""
+def slight(read: Column, repaired: Column) -> Column:
+    """Whether a repair changes so little of what was read that it counts: three characters at most, or one more or less."""
     pairs = F.zip_with(F.split(read, ""), F.split(repaired, ""), lambda a, b: (a != b).cast("int"))
     changed = F.aggregate(pairs, F.lit(0), lambda s, x: s + x)
     return F.when(F.length(read) == F.length(repaired), changed <= MAX_REPAIRS).otherwise(F.abs(F.length(read) - F.length(repaired)) <= 1)
@@ -94,7 +94,7 @@ def normalised(df: DataFrame, raw: str, out: str = "plate") -> DataFrame:
     def tried(t, c, state):
         known = state.isin(*STATES)
         other = F.when(state != "", F.concat(F.coalesce(F.when(known, state), F.try_element_at(fixes, state)), F.substring(c, F.lit(3), F.length(c))))
-        return F.array(F.when((known | c.rlike(BHARAT)) & close_enough(t, c), c), _once(other, lambda r: F.when(close_enough(t, r), r)))
+        return F.array(F.when((known | c.rlike(BHARAT)) & slight(t, c), c), _once(other, lambda r: F.when(slight(t, r), r)))
 
     def first(t):
         each = F.transform(F.array(t, repair_standard(t), repair_bharat(t)), lambda c: _once(F.regexp_extract(c, STANDARD, 1), lambda state: tried(t, c, state)))

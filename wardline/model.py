@@ -45,6 +45,7 @@ class Zone:
 class Policy:
     """Thresholds of context, behaviour, risk and alerts."""
 
+    # The defaults are those that results are compared at.
     history: int = 24
     forget_s: float = 60.0
     still_speed: float = 0.01
