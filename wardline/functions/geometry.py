@@ -25,24 +25,35 @@ def _any(cols):
 
 
 def even_odd(x: Column, y: Column, polygon) -> Column:
-    """Even-odd rule; points on the boundary may fall either way."""
+    """Even-odd rule; points on the boundary may fall either way. Terms that are zero on an upright edge are left out: generated methods
+    above 8,000 bytes are not compiled to machine code, so the shorter the better."""
     if len(polygon) < 3:
         return F.lit(False)
     n = F.lit(0)
     for x1, y1, x2, y2 in edges(polygon):
         if y1 != y2:
-            cross = ((F.lit(y1) > y) != (F.lit(y2) > y)) & (x < x1 + (y - y1) / (y2 - y1) * (x2 - x1))
+            cross = ((F.lit(y1) > y) != (F.lit(y2) > y)) & (x < (x1 if x1 == x2 else x1 + (y - y1) / (y2 - y1) * (x2 - x1)))
             n = n + F.when(cross, 1).otherwise(0)
     return n % 2 == 1
 
 
 def on_boundary(x: Column, y: Column, polygon) -> Column:
+    def off(x1, y1, x2, y2):
+        if y1 == y2:
+            return (x2 - x1) * (y - y1)
+        return (y2 - y1) * (x - x1) if x1 == x2 else (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)
+
     return _any(
-        (F.abs((x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)) <= EPS) & x.between(min(x1, x2) - EPS, max(x1, x2) + EPS) & y.between(min(y1, y2) - EPS, max(y1, y2) + EPS)
+        (F.abs(off(x1, y1, x2, y2)) <= EPS) & x.between(min(x1, x2) - EPS, max(x1, x2) + EPS) & y.between(min(y1, y2) - EPS, max(y1, y2) + EPS)
         for x1, y1, x2, y2 in edges(polygon)
     )
 
 
+def solid(v: Column) -> Column:
+    """v, or NaN where it is null: arithmetic over columns without nulls generates a fraction of the code. NaN is inside nothing."""
+    return F.coalesce(v, F.lit(float("nan")))
+
+
 def inside(x: Column, y: Column, polygon) -> Column:
     """Even-odd rule, with the boundary inside; false for fewer than three vertices."""
     return F.lit(False) if len(polygon) < 3 else on_boundary(x, y, polygon) | even_odd(x, y, polygon)
@@ -52,8 +63,9 @@ def nearest_on_segment(x: Column, y: Column, x1, y1, x2, y2) -> tuple[Column, Co
     dx, dy = x2 - x1, y2 - y1
     if dx == 0 and dy == 0:
         return F.lit(float(x1)), F.lit(float(y1))
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - x1) * dx + (y - y1) * dy) / (dx * dx + dy * dy)))
-    return x1 + t * dx, y1 + t * dy
+    along = (x - x1) * dx if dy == 0 else (y - y1) * dy if dx == 0 else (x - x1) * dx + (y - y1) * dy
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along / (dx * dx + dy * dy)))
+    return F.lit(float(x1)) if dx == 0 else x1 + t * dx, F.lit(float(y1)) if dy == 0 else y1 + t * dy
 
 
 def distance(ax, ay, bx, by) -> Column:

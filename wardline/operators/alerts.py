@@ -8,27 +8,36 @@ from pyspark.sql import functions as F
 from wardline.functions import geometry as G
 from wardline.model import DEFAULT, Policy
 from wardline.operators import folds
-from wardline.operators.context import TRACK, islands
+from wardline.operators.context import TRACK
 from wardline.operators.risk import severity, severity_rank
 
 
+def confirmed(scored: DataFrame, policy: Policy, order: str) -> DataFrame:
+    """scored with rank, fence and tamper: whether a row is at least the confirm-th consecutive one of its track in an armed zone, or of
+    camera tampering. All of it looks at a track's segment in order, as the windows before it did, so nothing is sorted again."""
+    n, w = max(policy.confirm, 1), Window.partitionBy(*TRACK, "seg").orderBy(order)
+    rows = scored.withColumns({"bad": F.exists("behaviours", lambda b: b["name"] == "CAMERA TAMPERING"), "rank": severity_rank(F.col("severity"))})
+    rows = rows.withColumns({"_then": F.lag("stay", n - 1).over(w), "_bad": F.sum(F.col("bad").cast("int")).over(w.rowsBetween(1 - n, 0))})
+    fence = F.col("zone").isNotNull() & (F.col("_then") == F.col("stay")) & F.col("zone_kind").isin(*policy.alert_kinds)
+    return rows.withColumns({"fence": F.coalesce(fence, F.lit(False)), "tamper": F.coalesce(F.col("_bad") == n, F.lit(False))}).drop("_then", "_bad")
+
+
 def fence_alerts(scored: DataFrame, policy: Policy = DEFAULT, time: str = "stream_ms", order: str = "k") -> DataFrame:
     """Alerts of tracks in armed zones: from the confirm-th consecutive observation in the zone, then after the cooldown or at a
     higher severity than last reported. Leaving the zone resets the count, not the cooldown; a forgotten track resets both."""
-    w = Window.partitionBy(*TRACK, "seg", "stay").orderBy(order)
-    rows = scored.where(F.col("zone").isNotNull()).withColumn("run", F.row_number().over(w))
-    rows = rows.where((F.col("run") >= policy.confirm) & F.col("zone_kind").isin(*policy.alert_kinds)).withColumn("rank", severity_rank(F.col("severity")))
-    return folds.cooldown(rows, [*TRACK, "seg", "zone"], time, ["severity", "score"], policy.cooldown_s * 1000, "rank")
+    return folds.cooldown(confirmed(scored, policy, order).where("fence"), [*TRACK, "seg", "zone"], time, ["severity", "score"], policy.cooldown_s * 1000, "rank")
 
 
 def tamper_alerts(scored: DataFrame, policy: Policy = DEFAULT, time: str = "stream_ms", order: str = "k") -> DataFrame:
     """The same for consecutive observations of camera tampering, wherever the track is."""
-    rows = scored.withColumn("bad", F.exists("behaviours", lambda b: b["name"] == "CAMERA TAMPERING"))
-    w = Window.partitionBy(*TRACK, "seg").orderBy(order)
-    rows = islands(rows, [*TRACK, "seg"], order, F.col("bad") & F.coalesce(F.lag("bad").over(w), F.lit(False)), "bout").where("bad")
-    rows = rows.withColumn("run", F.row_number().over(Window.partitionBy(*TRACK, "seg", "bout").orderBy(order)))
-    rows = rows.where(F.col("run") >= policy.confirm).withColumn("rank", severity_rank(F.col("severity")))
-    return folds.cooldown(rows, [*TRACK, "seg"], time, ["severity", "score"], policy.cooldown_s * 1000, "rank")
+    return folds.cooldown(confirmed(scored, policy, order).where("tamper"), [*TRACK, "seg"], time, ["severity", "score"], policy.cooldown_s * 1000, "rank")
+
+
+def track_alerts(scored: DataFrame, policy: Policy = DEFAULT, time: str = "stream_ms", order: str = "k") -> DataFrame:
+    """fence_alerts and tamper_alerts (column kind: fence, tamper) from one pass over the scored rows; each has a cooldown of its own."""
+    kinds = F.array_compact(F.array(F.when(F.col("fence"), "fence"), F.when(F.col("tamper"), "tamper")))
+    rows = confirmed(scored, policy, order).where("fence or tamper").withColumn("kind", F.explode(kinds)).withColumn("zone", F.when(F.col("kind") == "fence", F.col("zone")))
+    return folds.cooldown(rows, ["kind", *TRACK, "seg", "zone"], time, ["severity", "score"], policy.cooldown_s * 1000, "rank")
 
 
 def link_alerts(findings: DataFrame, policy: Policy = DEFAULT) -> DataFrame:

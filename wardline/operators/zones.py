@@ -47,15 +47,15 @@ def locate(obs: DataFrame, zones: list[Zone], x: str = "nx", y: str = "ny", came
     """obs with zone, zone_kind, base_risk: the zone of the highest (priority, base risk) that holds the point, the first in
     order on a tie; null if the winner does not apply to the object's category. Zones are a short configured list."""
     cands = [
-        F.when(_here(z, F.col(camera)) & G.inside(F.col(x), F.col(y), z.polygon), F.struct(
+        F.when(_here(z, F.col(camera)) & G.inside(F.col("_x"), F.col("_y"), z.polygon), F.struct(
             F.lit(z.priority).alias("p"), F.lit(z.base_risk).alias("base_risk"), F.lit(-i).alias("o"), F.lit(z.name).alias("zone"), F.lit(z.kind).alias("kind"),
             F.array(*map(F.lit, z.objects)).alias("objects")))
         for i, z in enumerate(zones)
     ]
     best = F.greatest(*cands) if len(cands) > 1 else cands[0]
-    out = obs.withColumn("_z", best)
+    out = obs.withColumns({"_x": G.solid(F.col(x)), "_y": G.solid(F.col(y))}).withColumn("_z", best)
     ok = F.array_contains("_z.objects", category(F.col(label)))
-    return out.withColumns({"zone": F.when(ok, F.col("_z.zone")), "zone_kind": F.when(ok, F.col("_z.kind")), "base_risk": F.when(ok, F.col("_z.base_risk"))}).drop("_z")
+    return out.withColumns({"zone": F.when(ok, F.col("_z.zone")), "zone_kind": F.when(ok, F.col("_z.kind")), "base_risk": F.when(ok, F.col("_z.base_risk"))}).drop("_z", "_x", "_y")
 
 
 def armed(zones: list[Zone], policy: Policy = DEFAULT) -> list[Zone]:
@@ -74,9 +74,19 @@ def nearest_armed(x: Column, y: Column, zones: list[Zone], policy: Policy = DEFA
     return F.least(*cands)
 
 
-def distance_to_zone(x: Column, y: Column, name: Column, zones: list[Zone]) -> Column:
-    out = None
-    for z in zones:
-        d = G.distance_to_polygon(x, y, z.polygon)
-        out = F.when(name == z.name, d) if out is None else out.when(name == z.name, d)
-    return out
+def distances(df: DataFrame, zones: list[Zone], policy: Policy = DEFAULT, name: str = "distances", x: str = "nx", y: str = "ny", camera: str = "camera_id") -> DataFrame:
+    """df with an array of how far the point is from each armed zone, 0 inside, null for another camera's; null without a point."""
+    each = [F.when(_here(z, F.col(camera)), G.distance_to_polygon(F.col("_x"), F.col("_y"), z.polygon)) for z in armed(zones, policy)]
+    out = df.withColumns({"_x": G.solid(F.col(x)), "_y": G.solid(F.col(y))})
+    return out.withColumn(name, F.when(F.col(x).isNotNull() & F.col(y).isNotNull(), F.array(*each).cast("array<double>"))).drop("_x", "_y")
+
+
+def nearest_of(distances: Column, zones: list[Zone], policy: Policy = DEFAULT, camera: Column | None = None) -> tuple[Column, Column, Column]:
+    """Place, name and distance of the nearest armed zone, the first on a tie, by distances(); a row without a point has the first one's
+    name and no distance."""
+    some = armed(zones, policy)
+    d = F.array_min(distances)
+    place = F.array_position(distances, d).cast("int")
+    names = F.array(*[F.lit(z.name) for z in some]).cast("array<string>")
+    first = F.coalesce(*[F.when(F.lit(True) if camera is None else _here(z, camera), F.lit(z.name)) for z in some], F.lit(None).cast("string"))
+    return place, F.coalesce(F.get(names, place - 1), first), d

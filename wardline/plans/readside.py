@@ -26,8 +26,7 @@ def tamper_alerts(spark, sf_dir):
 
 def all_alerts(spark, sf_dir):
     """Fence and tampering alerts together."""
-    s = T.scored(spark, sf_dir)
-    return _fired(A.fence_alerts(s)).withColumn("kind", F.lit("fence")).unionByName(_fired(A.tamper_alerts(s)).withColumn("kind", F.lit("tamper"))).groupBy("camera_id", "kind", "severity").agg(F.count("*").alias("n"), F.max("score").alias("peak"))
+    return A.track_alerts(T.scored(spark, sf_dir)).groupBy("camera_id", "kind", "severity").agg(F.count("*").alias("n"), F.max("score").alias("peak"))
 
 
 def change_log(spark, sf_dir):
