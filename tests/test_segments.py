@@ -141,3 +141,14 @@ def test_more_tasks_than_cameras(spark):
     assert len(n) == 200
     got = {r.det_id: r.track_id for r in crosscam.assign_tracks(spark.createDataFrame(rows, BOX)).collect()}
     assert got == {k: k + 1 for k in range(200)}
+
+
+def test_columns_as_values():
+    """A batch's columns become plain values; lists of doubles stay arrays, and nulls nulls."""
+    import pyarrow as pa
+
+    assert folds.values(pa.array([1, 2])) == [1, 2] and type(folds.values(pa.array([1, 2]))[0]) is int
+    assert folds.values(pa.array([1, None])) == [1, None] and folds.values(pa.array(["a", None])) == ["a", None]
+    got = folds.values(pa.array([[0.5, 1.5], None, [], [2.5, None]]).slice(0, 4))
+    assert got[0].tolist() == [0.5, 1.5] and got[1] is None and len(got[2]) == 0 and got[3][0] == 2.5 and got[3][1] != got[3][1]
+    assert folds.values(pa.array([[9.0], [0.5, 1.5]]).slice(1))[0].tolist() == [0.5, 1.5]

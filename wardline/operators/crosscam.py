@@ -234,51 +234,66 @@ def tracked(key: tuple[str, ...] = ("camera_id",), iou: float = 0.3, max_missed:
         t |= {"box": box, "last": now}
         if hist is not None:
             mixed = hist if t["hist"] is None else 0.7 * t["hist"] + 0.3 * hist
-            t["hist"] = mixed / mixed.sum()
+            t["hist"] = mixed / np.add.reduce(mixed)
 
-    def overlaps(box, at, areas):
-        w = np.minimum(at[:, 2], box[2]) - np.maximum(at[:, 0], box[0])
-        h = np.minimum(at[:, 3], box[3]) - np.maximum(at[:, 1], box[1])
-        both = np.where((w > 0) & (h > 0), w * h, 0.0)
-        return np.divide(both, areas + (box[2] - box[0]) * (box[3] - box[1]) - both, out=np.zeros(len(at)), where=both > 0)
+    def overlaps(boxes, at):
+        """Of each box with each live track."""
+        b = boxes[:, None]
+        size = np.minimum(at[:, 2:], b[..., 2:]) - np.maximum(at[:, :2], b[..., :2])
+        both = np.where((size > 0).all(axis=2), size[..., 0] * size[..., 1], 0.0)
+        areas, own = (at[:, 2] - at[:, 0]) * (at[:, 3] - at[:, 1]), (boxes[:, 2] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 1])
+        return np.divide(both, areas + own[:, None] - both, out=np.zeros(both.shape), where=both > 0)
 
     def passed(held, now):
         """Live and lost tracks at a frame, however many frames after the last one with detections it is."""
         live, lost, looks = held.get("live", []), held.get("lost", []), held.get("looks")
+        if now < held.get("look", now):  # nothing can be lost or forgotten before
+            return live, lost, looks
         gone = sorted((t for t in live if now - t["last"] > max_missed + 1), key=lambda t: t["last"])  # in the order in which they were lost
         gone = [t for t in gone if t["hist"] is not None]
         still = np.array([now - t["last"] <= memory + 1 for t in (*lost, *gone)], bool)
         if gone or not still.all():
             looks = np.concatenate([*([looks] if lost else []), *([np.array([t["hist"] for t in gone])] if gone else [])])[still]
             lost = [t for t, s in zip((*lost, *gone), still, strict=True) if s]
-        return [t for t in live if now - t["last"] <= max_missed + 1], lost, looks
+        live = [t for t in live if now - t["last"] <= max_missed + 1]
+        held["look"] = min([now + 2 + min(max_missed, memory), *[t["last"] + max_missed + 2 for t in live], *[t["last"] + memory + 2 for t in lost]])
+        return live, lost, looks
 
     def frame_done(held):
         now = held["rows"][0][1]
         live, lost, looks = passed(held, now)
-        at = np.array([t["box"] for t in live], float).reshape(-1, 4)
-        areas = (at[:, 2] - at[:, 0]) * (at[:, 3] - at[:, 1])
-        free, still, open_, out = np.ones(len(live), bool), np.ones(len(lost), bool), [], []
-        for r in sorted(held["rows"], key=lambda r: (r[3] is None, -(r[3] or 0))):
-            box, hist = r[4:8], None if r[8] is None else np.asarray(r[8], float)
-            best = last_best(np.where(free, overlaps(box, at, areas), -1.0), iou)
-            if best is None:
-                open_.append((r, box, hist))
-                continue
-            free[best] = False
-            seen(live[best], box, hist, now)
-            out.append((r, live[best]["id"]))
-        for r, box, hist in open_:
-            best = None if hist is None or not lost else last_best(np.where(still, np.minimum(looks, hist).sum(axis=1), -1.0), revive)
+        rows = sorted(held["rows"], key=lambda r: (r[3] is None, -(r[3] or 0)))
+        out, open_, taken, still = [], range(len(rows)), {}, None
+        if live:
+            shared = overlaps(np.array([r[4:8] for r in rows], float), np.array([t["box"] for t in live], float))
+            # of each row the tracks that overlap enough, best first, the later of equals; most have a few at most
+            near, open_ = [[] for _ in rows], []
+            for i, j in np.argwhere(shared >= iou).tolist():
+                near[i].append((shared[i, j], j))
+            for i, r in enumerate(rows):
+                best = max((x for x in near[i] if x[1] not in taken), default=None)
+                if best is None:
+                    open_.append(i)
+                    continue
+                t = live[best[1]]
+                taken[best[1]] = True
+                seen(t, r[4:8], None if r[8] is None else np.asarray(r[8], float), now)
+                out.append((r, t["id"]))
+        for i in open_:
+            r = rows[i]
+            hist, best = None if r[8] is None else np.asarray(r[8], float), None
+            if hist is not None and lost:
+                still = np.ones(len(lost), bool) if still is None else still
+                best = last_best(np.where(still, np.add.reduce(np.minimum(looks, hist), axis=1), -1.0), revive)
             if best is None:
                 held["n"] = held.get("n", 0) + 1
                 t = {"id": held["n"], "hist": None}
             else:
                 still[best], t = False, lost[best]
-            seen(t, box, hist, now)
+            seen(t, r[4:8], hist, now)
             live.append(t)
             out.append((r, t["id"]))
-        if not still.all():
+        if still is not None and not still.all():
             lost, looks = [t for t, s in zip(lost, still, strict=True) if s], looks[still]
         held |= {"live": live, "lost": lost, "looks": looks, "rows": []}
         return [(*r[0], r[1], r[2], t) for r, t in out]

@@ -33,7 +33,7 @@ def in_order(rows: DataFrame, key: list[str], order: list[str], step, schema: st
 
         for batch in batches:
             out = []
-            for r in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for r in zip(*map(values, batch.columns), strict=True):
                 now = [r[i] for i in at]
                 if held is None or now != last:
                     if held is not None:
@@ -47,6 +47,18 @@ def in_order(rows: DataFrame, key: list[str], order: list[str], step, schema: st
     return rows.repartition(*key).sortWithinPartitions(*key, *order).mapInArrow(work, schema)
 
 
+def values(column: pa.Array):
+    """A column's values as Python ones; lists of doubles as arrays, with NaN for null. Whole columns are turned at once where they can be,
+    which takes a fraction of the time."""
+    t = column.type
+    if not column.null_count and (pa.types.is_integer(t) or pa.types.is_floating(t)):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    if pa.types.is_list(t) and pa.types.is_float64(t.value_type):
+        flat, ends = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy().tolist()
+        return [flat[a:b] if ok else None for a, b, ok in zip(ends, ends[1:], column.is_valid().to_pylist())]
+    return column.to_pylist()
+
+
 def segments(rows: DataFrame, key: list[str], at: str, until: str, reach: int, name: str = "segment_", touch: bool = False) -> DataFrame:
     """rows with the number of their segment: a key's rows in order of `at` are cut where all before ended (`until`, not before `at`)
     more than `reach` ago (with touch, `reach` or more). What a fold remembers for no longer than that does not cross a cut, so segments are folded in parallel.
