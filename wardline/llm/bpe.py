@@ -138,6 +138,7 @@ class Codec:
         self._pieces = regex.compile(pattern)
         self._newer = regex.compile(f"[{NEWER}]")
         self.bytes_of = dict(zip(ranks.values(), ranks.keys(), strict=True))
+        self.entries = None
         self.runs = re.compile(r"\s\s|\x00").search
         self.forget()
 
@@ -189,6 +190,20 @@ class Codec:
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
+    def decoded(self, flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """What the ids of texts that end at `ends` (0 first) decode to: entries of the vocabulary are laid one behind the other, whole batch
+        at once, and cut where texts end."""
+        if self.entries is None:
+            top = max(self.bytes_of) + 1
+            self.entries = pa.array([self.bytes_of.get(i) for i in range(top)], pa.large_binary())
+        got = self.entries.take(pa.array(flat))
+        if got.null_count:
+            raise KeyError("an id outside the vocabulary")
+        _, offsets, data = got.buffers()
+        at = np.frombuffer(offsets, np.int64, len(got) + 1) if len(got) else np.zeros(1, np.int64)
+        texts = pa.Array.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(at[ends]), data if data is not None else pa.py_buffer(b"")])
+        return texts.cast(pa.binary())
+
 
 def codec(path: str, pattern: str) -> Codec:
     """One codec for each rank file, whose tables are kept while the Python worker lives."""
@@ -218,7 +233,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
                 cols = [part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))]
                 if decoded:
-                    cols.append(pa.array([c.decode(x.tolist()) for x in ids], pa.binary()))
+                    cols.append(c.decoded(flat, ends))
                 yield pa.RecordBatch.from_arrays(cols, [id_col, "ids", "decoded"][: len(cols)])
         c.forget()
         settle()
