@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from wardline.llm.common import read, settle, ship
 
 #: Bytes of each of the two generations of chunks and pieces that a task remembers, their longest length, the bytes that an entry
-#: takes besides its text and ids, and the chunks of a text that are looked up between two looks at the room.
-ROOM, LONG, ENTRY, MANY = 50_000_000, 48, 190, 20_000
+#: takes besides its text and ids, and about how many chunks are looked up at once, between two looks at the room.
+ROOM, LONG, ENTRY, MANY = 50_000_000, 48, 190, 50_000
+#: Pieces whose queues run side by side, and the most bytes such a piece may have.
+SIDE, SHORT = 2048, 64
 # Letters and digits that came after Unicode 16.0, which the encoder to match goes by; the installed `regex` knows later ones.
 NEWER = (
     "\u0558\u058b-\u058c\u088f\u0c5c\u0cdc\u208f\u209d-\u209f\ua7ce-\ua7cf\ua7d2\ua7d4\ua7dd\ua7e2\ua7f1\uab6c-\uab6d"
@@ -30,6 +32,7 @@ NEWER = (
     "\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f"
 )
 _BITS = [1 << i for i in range(256)]
+_BIT, _ONE = np.uint64(1) << np.arange(64, dtype=np.uint64), np.uint64(1)
 _STOPS = frozenset(",.;:!?)")
 _codecs: dict = {}
 
@@ -115,6 +118,116 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+class Queues:
+    """Rank queues of many short pieces, side by side: what `merge` does to one piece, a step of all pieces at a time.
+
+    Each piece has a hierarchical bitmap of its own over the ranks: words of 64 bits, a bit of the level above for each word that is
+    not 0, and one word on top. Find-first-set from the top down gives a piece's lowest rank in use, and the leftmost pair of that rank is
+    merged. A bit whose pairs are gone is cleared when it comes up. The bitmaps are all 0 again when the pieces are done.
+    """
+
+    def __init__(self, ranks: dict[bytes, int], side: int = SIDE):
+        self.side, find = side, ranks.get
+        pairs = {}  # two tokens whose bytes together have a rank: pairs of ids say as much as pairs of texts, as all parts are tokens
+        for text, r in ranks.items():
+            for i in range(1, len(text)):
+                a, b = find(text[:i]), find(text[i:])
+                if a is not None and b is not None:
+                    pairs[a << 32 | b] = r
+        self.keys = np.array(sorted(pairs), np.int64)
+        self.rank = np.array([pairs[k] for k in self.keys.tolist()] + [-1], np.int32)
+        self.keys = np.append(self.keys, np.iinfo(np.int64).max)
+        self.single = np.array([find(bytes([b]), -1) for b in range(256)], np.int32)
+        self.whole = bool((self.single >= 0).all())
+        two = np.array([find(bytes([a, b]), -1) for a in range(256) for b in range(256)], np.int32)
+        self.two = two
+        self.levels, n = [], max(ranks.values(), default=0) + 1
+        while not self.levels or n > 1:
+            n = -(-n // 64)
+            self.levels.append((n, np.zeros(side * n, np.uint64)))
+
+    def paired(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank of each pair of ids, -1 where it has none; an id of -1 has none with any."""
+        key = (left.astype(np.int64) << 32) + right
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.rank[at], -1)
+
+    def put(self, rows: np.ndarray, ranks: np.ndarray) -> None:
+        """A rank for each of some different pieces; -1 is none."""
+        some = ranks >= 0
+        rows, q = rows[some], ranks[some].astype(np.int64)
+        for n, words in self.levels:
+            words[rows * n + (q >> 6)] |= _BIT[q & 63]
+            q >>= 6
+
+    def drop(self, rows: np.ndarray, q: np.ndarray) -> None:
+        for n, words in self.levels:
+            at = rows * n + (q >> 6)
+            left = words[at] & ~_BIT[q & 63]
+            words[at] = left
+            empty = left == 0
+            rows, q = rows[empty], q[empty] >> 6
+
+    def lowest(self, rows: np.ndarray) -> np.ndarray:
+        q = np.zeros(len(rows), np.int64)
+        for n, words in reversed(self.levels):
+            x = words[rows * n + q]
+            q = (q << 6) + np.bitwise_count((x & (~x + _ONE)) - _ONE)
+        return q
+
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of each piece as bytes of 32-bit integers. Pieces must not be empty."""
+        out = [b""] * len(pieces)
+        order = sorted(range(len(pieces)), key=lambda i: len(pieces[i]))
+        for at in range(0, len(order), self.side):
+            part = order[at : at + self.side]
+            for i, got in zip(part, self._merge([pieces[i] for i in part]), strict=True):
+                out[i] = got
+        return out
+
+    def _merge(self, pieces: list[bytes]) -> list[bytes]:
+        length = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        width = int(length.max()) + 1  # a place behind the last byte is always free
+        live = np.arange(width) < length[:, None]
+        text = np.zeros(live.shape, np.int64)
+        text[live] = np.frombuffer(b"".join(pieces), np.uint8)
+        pair = np.full(live.shape, -1, np.int32)
+        pair[:, :-1] = np.where(live[:, 1:], self.two[text[:, :-1] << 8 | text[:, 1:]], -1)
+        rows = np.arange(len(pieces))
+        for column in pair.T[: width - 1]:
+            self.put(rows, column)
+        ids = np.where(live, self.single[text], -1).ravel()
+        live, ranks = live.ravel(), pair.ravel()
+        end = np.arange(1, len(ids) + 1)
+        prev = np.arange(-1, len(ids) - 1)
+        prev[::width] = -1  # the last place of all, which is free
+        top = self.levels[-1][1]
+        rows = rows[top[rows] != 0]
+        while len(rows):
+            r = self.lowest(rows)
+            same = pair[rows] == r[:, None]
+            count = np.count_nonzero(same, axis=1)
+            i = rows * width + same.argmax(axis=1)
+            last = count <= 1
+            self.drop(rows[last], r[last])
+            due = count > 0
+            mine, i, r = rows[due], i[due], r[due].astype(np.int32)
+            j = end[i]
+            k = end[j]
+            s = prev[i]
+            end[i], ids[i], live[j], ranks[j], prev[k] = k, r, False, -1, i
+            q = np.where(k < (mine + 1) * width, self.paired(r, ids[k]), -1)
+            ranks[i] = q
+            self.put(mine, q)
+            q = self.paired(ids[s], r)
+            ranks[s] = q
+            self.put(mine, q)
+            rows = rows[top[rows] != 0]
+        ends = np.cumsum(np.count_nonzero(live.reshape(-1, width), axis=1) * 4).tolist()
+        blob = ids[live].astype(np.int32).tobytes()
+        return [blob[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
 class _Now(dict):
     """Chunk of text -> its ids as bytes of 32-bit integers, filled on demand by a codec."""
 
@@ -138,7 +251,7 @@ class Codec:
         self._pieces = regex.compile(pattern)
         self._newer = regex.compile(f"[{NEWER}]")
         self.bytes_of = dict(zip(ranks.values(), ranks.keys(), strict=True))
-        self.entries = None
+        self.entries, self.queues = None, None
         self.runs = re.compile(r"\s\s|\x00").search
         self.forget()
 
@@ -151,17 +264,24 @@ class Codec:
             return self._pieces.findall(text)
         return [text[m.start() : m.end()] for m in self._pieces.finditer(self._newer.sub("\U000f0000", text))]
 
+    def split(self, chunk: str) -> tuple[str, ...] | list[str]:
+        """The pieces of a chunk."""
+        head = chunk[:-1]
+        if chunk.isalpha() or chunk[:1] == " " and chunk[1:].isalpha():  # one run of letters is one piece
+            return (chunk,)
+        if chunk[-1:] in _STOPS and head and (head.isalpha() or head[0] == " " and head[1:].isalpha()):
+            return head, chunk[-1]
+        return self.pieces(chunk)
+
+    def keep(self, chunk: str, ids: bytes) -> None:
+        self.now[chunk] = ids
+        self.left -= ENTRY + len(chunk) + len(ids)
+
     def ids_of(self, chunk: str) -> bytes:
         """Ids of a chunk that is not among the newer generation."""
         got = self.old.get(chunk)
         if got is None:
-            head = chunk[:-1]
-            if chunk.isalpha() or chunk[:1] == " " and chunk[1:].isalpha():  # one run of letters is one piece
-                pieces = (chunk,)
-            elif chunk[-1:] in _STOPS and head and (head.isalpha() or head[0] == " " and head[1:].isalpha()):
-                pieces = (head, chunk[-1])
-            else:
-                pieces = self.pieces(chunk)
+            pieces = self.split(chunk)
             if len(pieces) == 1:
                 b = chunk.encode()
                 r = self.ranks.get(b)
@@ -169,23 +289,82 @@ class Codec:
             else:  # a piece alone is one piece again
                 got = b"".join(map(self.now.__getitem__, pieces))
         if len(chunk) <= LONG:
-            self.now[chunk] = got
-            self.left -= ENTRY + len(chunk) + len(got)
+            self.keep(chunk, got)
         return got
 
-    def encode(self, text: str) -> np.ndarray:
+    def learn(self, chunks: set[str]) -> None:
+        """Bring chunks that are not in the newer generation into it, but long ones; pieces seen in neither are merged side by side."""
+        now, old, ranks = self.now, self.old.get, self.ranks.get
+        joined, fresh = [], set()
+        for chunk in chunks:
+            if len(chunk) > LONG:
+                continue
+            got = old(chunk)
+            if got is not None:
+                self.keep(chunk, got)
+                continue
+            pieces = self.split(chunk)
+            if len(pieces) == 1:
+                fresh.add(chunk)
+            else:
+                joined.append((chunk, pieces))
+                fresh.update(pieces)
+        many = {}
+        for piece in fresh:
+            if piece not in now:
+                b = piece.encode()
+                r = ranks(b)
+                if r is not None:
+                    self.keep(piece, r.to_bytes(4, sys.byteorder))
+                elif 0 < len(b) <= SHORT:
+                    many[piece] = b
+        if many:
+            self.queues = self.queues or Queues(self.ranks)
+            if self.queues.whole:
+                for piece, got in zip(many, self.queues.merge(list(many.values())), strict=True):
+                    self.keep(piece, got)
+        for chunk, pieces in joined:
+            self.keep(chunk, b"".join(map(now.__getitem__, pieces)))
+
+    def chunks(self, text: str) -> list[str]:
         """A text where no two white-space characters meet is cut before each space and around each newline: no pre-token
         reaches over such a cut, so the chunks' ids in turn are the text's."""
         if self.runs(text):
-            chunks = self.pieces(text)
-        else:
-            chunks = text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
-        out = []
-        for at in range(0, len(chunks), MANY):
-            if self.left < 0:
-                self.old, self.now, self.left = self.now, _Now(self), self.room
-            out.append(b"".join(map(self.now.__getitem__, chunks[at : at + MANY])))
-        return np.frombuffer(b"".join(out), np.int32)
+            return self.pieces(text)
+        return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_all([text])[0]
+
+    def looked_up(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk."""
+        if self.left < 0:
+            self.old, self.now, self.left = self.now, _Now(self), self.room
+        got = list(map(self.now.get, chunks))
+        missing = [i for i, x in enumerate(got) if x is None]
+        self.learn({chunks[i] for i in missing})
+        for i in missing:
+            got[i] = self.now[chunks[i]]
+        return got
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text. Chunks of short texts are looked up together, those of long ones in parts."""
+        out, group, n = [], [], 0
+        for i, text in enumerate(texts):
+            group.append(self.chunks(text))
+            n += len(group[-1])
+            if n < MANY and i + 1 < len(texts):
+                continue
+            ids = []
+            flat = [c for chunks in group for c in chunks]
+            for at in range(0, n, MANY):
+                ids += self.looked_up(flat[at : at + MANY])
+            at = 0
+            for chunks in group:
+                out.append(np.frombuffer(b"".join(ids[at : at + len(chunks)]), np.int32))
+                at += len(chunks)
+            group, n = [], 0
+        return out
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -228,7 +407,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
-                ids = [c.encode(t or "") for t in part.column(1).to_pylist()]
+                ids = c.encode_all([t or "" for t in part.column(1).to_pylist()])
                 ends = np.cumsum([0, *map(len, ids)])
                 flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
                 cols = [part.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))]
