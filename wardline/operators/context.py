@@ -29,6 +29,7 @@ def context(obs: DataFrame, zones: list[Zone] | ZoneIndex, policy: Policy = DEFA
     of them, for large fleets, is joined once.
     """
     indexed = isinstance(zones, ZoneIndex)
+    # of an index, rows carry their nearest zone's name through the sorts; its edges are looked up behind them
     df = segments(zones.place(obs, nearest="_t") if indexed else Z.locate(obs, zones), policy, time, order)
     df = df if indexed else Z.distances(df, zones, policy, "_ds")
     key = [*TRACK, "seg"]
@@ -62,8 +63,8 @@ def context(obs: DataFrame, zones: list[Zone] | ZoneIndex, policy: Policy = DEFA
         "growth": F.when(fine, (F.col("hr") - F.col("fh0")) / F.col("age_s")).otherwise(F.lit(0.0)),
     })
     if indexed:
-        df = df.withColumns({"target": F.col("_t.zone"), "target_d": F.col("_t.d")})
-        was = distance(F.col("fx0"), F.col("fy0"), F.col("_t.edges"))
+        df = zones.outlined(df.withColumns({"target": F.col("_t.zone"), "target_d": F.col("_t.d")}), "_t", "_edges")
+        was = distance(F.col("fx0"), F.col("fy0"), F.col("_edges"))
     else:  # the oldest point's own distance from the zone that is now the nearest
         place, name, d = Z.nearest_of(F.col("_ds"), zones, policy, F.col("camera_id"))
         df = df.withColumns({"target": name, "target_d": d})
@@ -82,7 +83,7 @@ def context(obs: DataFrame, zones: list[Zone] | ZoneIndex, policy: Policy = DEFA
     df = df.withColumn("_on", F.coalesce(F.col("approaching") & F.col("moving"), F.lit(False)))
     off = F.last(F.when(~F.col("_on"), F.col("_n")), ignorenulls=True).over(upto)
     df = df.withColumn("streak", F.when(F.col("_on"), F.col("_n") - F.coalesce(off, F.lit(0))).otherwise(0).cast("long"))
-    return df.drop("dx", "dy", "step", "sx", "sy", "sn", "fx0", "fy0", "fh0", "ft0", "_t", "_on", "_n", "_p", "_0", "_stays", "_since", "_ds")
+    return df.drop("dx", "dy", "step", "sx", "sy", "sn", "fx0", "fy0", "fh0", "ft0", "_t", "_on", "_n", "_p", "_0", "_stays", "_since", "_ds", "_edges")
 
 
 def speed_label(policy_unit: str = "m") -> Column:

@@ -17,8 +17,8 @@ from wardline.operators.zones import category
 ZONE = "ordinal int, camera_id string, name string, kind string, priority int, base_risk int, objects array<string>, edges array<struct<x1:double,y1:double,x2:double,y2:double>>"
 _EDGES = "array<struct<x1:double,y1:double,x2:double,y2:double>>"
 CELLS = f"camera_id string, cell int, holds array<struct<p:int,base_risk:int,o:int,zone:string,kind:string,objects:array<string>,whole:boolean,edges:{_EDGES}>>, near array<struct<o:int,zone:string,edges:{_EDGES}>>"
-#: The cell of points outside the unit square.
-OUTSIDE = -1
+#: The cell of points outside the unit square, and the edges up to which cells or outlines are sent to all tasks (32 bytes each, and some).
+OUTSIDE, SENT = -1, 200_000
 
 
 def zone_table(spark: SparkSession, zones: list[Zone]) -> DataFrame:
@@ -65,11 +65,11 @@ def distance(x: Column, y: Column, edges: Column) -> Column:
     return F.when(inside(x, y, edges), 0.0).otherwise(F.array_min(F.transform(edges, lambda e: G.distance(x, y, *on_edge(x, y, e)))))
 
 
-def nearest_point(x: Column, y: Column, z: Column) -> Column:
-    """struct(d, o, e, zone, x, y, edges) of a zone: its nearest point, of the first edge on a tie; the point itself inside."""
+def nearest_point(x: Column, y: Column, z: Column, shared: bool) -> Column:
+    """struct(d, o, e, zone, x, y, shared) of a zone: its nearest point, of the first edge on a tie; the point itself inside."""
 
     def of(d, e, px, py):
-        return F.struct(d.alias("d"), z["o"].alias("o"), e.alias("e"), z["zone"].alias("zone"), px.alias("x"), py.alias("y"), z["edges"].alias("edges"))
+        return F.struct(d.alias("d"), z["o"].alias("o"), e.alias("e"), z["zone"].alias("zone"), px.alias("x"), py.alias("y"), F.lit(shared).alias("shared"))
 
     def edge(e, i):
         px, py = on_edge(x, y, e)
@@ -78,6 +78,12 @@ def nearest_point(x: Column, y: Column, z: Column) -> Column:
     return F.when(inside(x, y, z["edges"]), of(F.lit(0.0), F.lit(-1), x, y)).otherwise(F.array_min(F.transform(z["edges"], edge)))
 
 
+def sent(table: DataFrame, edges: Column) -> DataFrame:
+    """table with a broadcast hint if it is small, going by its rows and the edges in it. It is read for that; give it what is cut."""
+    n = table.agg(F.count("*") + F.coalesce(F.sum(edges), F.lit(0))).first()[0]
+    return F.broadcast(table) if n <= SENT else table
+
+
 def _cells(grid: int, armed: tuple[str, ...]):
     """The cells of one camera's zones (or of those for all cameras), as rows of CELLS."""
     c = (np.arange(grid) + 0.5) / grid
@@ -140,11 +146,21 @@ class ZoneIndex:
     @classmethod
     def build(cls, zones: DataFrame, grid: int = 16, policy: Policy = DEFAULT) -> ZoneIndex:
         """zones: rows of ZONE. Each camera's zones are one group, as they are one frame's plan."""
-        return cls(cut(zones.groupBy("camera_id").applyInArrow(_cells(grid, tuple(policy.alert_kinds)), CELLS)), grid)
+        cells = cut(zones.groupBy("camera_id").applyInArrow(_cells(grid, tuple(policy.alert_kinds)), CELLS))
+        each = lambda zones: F.aggregate(zones, F.lit(0).cast("long"), lambda n, z: n + 1 + F.size(z["edges"]))
+        return cls(sent(cells, each(F.col("holds")) + each(F.col("near"))), grid)
+
+    def outlined(self, rows: DataFrame, nearest: str, name: str, camera: str = "camera_id") -> DataFrame:
+        """rows with the edges (column name) of the zone that is their `nearest` by place()."""
+        some = self.cells.select("camera_id", F.explode("near").alias("z")).groupBy("camera_id", "z.o", "z.zone").agg(F.first("z.edges").alias(name))
+        some = some.select(F.col("camera_id").alias("_camera"), F.col("o").alias("_o"), F.col("zone").alias("_zone"), name)
+        some = sent(cut(some), F.size(name))
+        at = F.when(~F.col(f"{nearest}.shared"), F.col(camera))
+        return rows.join(some, F.col("_camera").eqNullSafe(at) & (F.col("_o") == F.col(f"{nearest}.o")) & (F.col("_zone") == F.col(f"{nearest}.zone")), "left").drop("_camera", "_o", "_zone")
 
     def place(self, obs: DataFrame, x: str = "nx", y: str = "ny", camera: str = "camera_id", label: str = "label", nearest: str = "nearest") -> DataFrame:
-        """obs with zone, zone_kind, base_risk, as `zones.locate`, and `nearest`, as `zones.nearest_armed` and the zone's edges. Two joins on
-        (camera, cell) serve any number of zones; each observation gives one row."""
+        """obs with zone, zone_kind, base_risk, as `zones.locate`, and `nearest`, as `zones.nearest_armed`, and whether that
+        zone is one for all cameras (shared); `outlined` gives its edges. Two joins on (camera, cell) serve any number of zones; each observation gives one row."""
         px, py = F.col(x), F.col(y)
         at = lambda v: F.least(F.floor(v * self.grid), F.lit(self.grid - 1))
         unit = px.between(0, 1) & py.between(0, 1)
@@ -156,10 +172,10 @@ class ZoneIndex:
         def first(zones: str) -> Column:
             return F.get(F.filter(zones, lambda z: z["whole"] | inside(px, py, z["edges"])), F.lit(0))
 
-        def closest(zones: str) -> Column:
-            return F.array_min(F.transform(zones, lambda z: nearest_point(px, py, z)))
+        def closest(zones: str, shared: bool) -> Column:
+            return F.array_min(F.transform(zones, lambda z: nearest_point(px, py, z, shared)))
 
-        out = out.withColumns({"best_": F.greatest(first("holds1_"), first("holds2_")), nearest: F.least(closest("near1_"), closest("near2_"))})
+        out = out.withColumns({"best_": F.greatest(first("holds1_"), first("holds2_")), nearest: F.least(closest("near1_", False), closest("near2_", True))})
         ok = F.array_contains("best_.objects", category(F.col(label)))
         out = out.withColumns({"zone": F.when(ok, F.col("best_.zone")), "zone_kind": F.when(ok, F.col("best_.kind")), "base_risk": F.when(ok, F.col("best_.base_risk"))})
         return out.drop("cell_", "camera_", "cell1_", "holds1_", "near1_", "cell2_", "holds2_", "near2_", "best_")

@@ -63,6 +63,8 @@ SELECT concat('CAM-', lpad(CAST(s_suppkey AS STRING),3,'0')) AS camera_id, 28.60
 SELECT vec_id, concat('CAM-0', CAST(vec_id % 5 + 1 AS STRING)) AS camera_id, vec_id AS track_id, vec_id * 2 AS first_s, vec_id * 2 + vec_id % 7 AS last_s, embedding AS raw_vec, label AS cluster FROM embeddings""",
 }
 BASE = ("events", "embeddings", "supplier")
+#: Observations a task sorts at most. Shuffled they take a tenth of their size in memory, so adaptive execution would give a task too many.
+ROWS = 250_000
 
 
 def needed(sql: str) -> list[str]:
@@ -83,10 +85,20 @@ def ctes(sql: str) -> str:
     return ",\n".join(f"{n} AS ({VIEWS[n].strip()})" for n in needed(sql))
 
 
+def by_track(events: DataFrame, rows: int = ROWS) -> DataFrame:
+    """events dealt out by track, as the view of observations and all windows on it need them, into parts of about `rows` rows: one
+    shuffle, as without it. Few events are left to adaptive execution."""
+    parts = -(-events.count() // rows)
+    return events.repartition(parts, "user_id") if parts > events.sparkSession.sparkContext.defaultParallelism else events
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the derived views over the tables in sf_dir."""
     sql = f"WITH {ctes(name)} SELECT * FROM {name}"
     for t in BASE:
         if re.search(rf"\b{t}\b", sql):
-            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+            table = spark.read.parquet(f"{sf_dir}/{t}.parquet")
+            if t == "events" and "fx_obs" in needed(name):
+                table = by_track(table)
+            table.createOrReplaceTempView(t)
     return spark.sql(sql)
