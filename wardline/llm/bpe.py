@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm.common import read, settle, ship
+from wardline.llm.common import by_few, read, settle, ship
 
 #: Bytes of each of the two generations of chunks and pieces that a task remembers, their longest length, the bytes that an entry
 #: takes besides its text and ids, and about how many chunks are looked up at once, between two looks at the room.
@@ -401,6 +401,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     ignored. There is no shuffle.
     """
     ship(docs.sparkSession)
+    by_few(docs.sparkSession)
 
     def work(batches):
         c = codec(path, pattern)

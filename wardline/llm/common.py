@@ -15,6 +15,8 @@ from wardline.operators.lineage import cut, ready  # noqa: F401
 
 #: ASCII space characters; words of most operators are the runs between them.
 SPACES = r"[ \t-\r]+"
+#: Bytes of rows that a Python worker is handed at once.
+HANDED = 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -36,6 +38,14 @@ def ship(spark: SparkSession) -> None:
     sc._wardline_shipped = True
 
 
+def by_few(spark: SparkSession) -> None:
+    """Have the session hand rows to Python some megabytes at a time, where nothing else is set. A batch is held several times over, in
+    buffers of the executor outside its heap and in the worker, for each task; Spark's own limits are 10,000 rows and 64 MB."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, str(HANDED))
+
+
 def kept(df: DataFrame) -> DataFrame:
     """df written as a table into the shared checkpoint folder and read again, so that it is computed once. The folder is the cluster's
     to clear, as the checkpoints in it are: results that are not yet written may still be read from it."""

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardline.llm.common import block_pairs, bounded, components, cut, join_sized, named, read, settle, ship
+from wardline.llm.common import block_pairs, bounded, by_few, components, cut, join_sized, named, read, settle, ship
 from wardline.llm.forest import stars
 from wardline.llm.substring_dedup import mix
 
@@ -72,6 +72,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: f
     """Rows (doc, d1, d2, f1, f2, shingles, bands array<bigint>, sig binary): d1 and d2 name the row's id and text, f1 and f2 the set
     of shingles; f1 and on are null for texts without words. sig has the first hashes, 16 bits each, and 32 bits of each band."""
     ship(docs.sparkSession)
+    by_few(docs.sparkSession)
     bands, rows = layout(threshold)
     hashes = max(bands * rows, TESTED)
     coef = np.random.default_rng(50).integers(1, 1 << 63, hashes, dtype=np.uint64) * _U(2) + _U(1)
@@ -122,6 +123,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, n: int, threshold: f
 def shingle_sets(docs: DataFrame, text_col: str, n: int) -> DataFrame:
     """Rows (f1, f2, hashes binary): the sets of shingles of texts, as signatures() names them."""
     ship(docs.sparkSession)
+    by_few(docs.sparkSession)
 
     def work(batches):
         for batch in batches:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wardline.llm.common import held_out, read, settle, ship
+from wardline.llm.common import by_few, held_out, read, settle, ship
 
 #: Bytes as they count in n-grams: A-Z as a-z, other ASCII as a space, the rest unchanged.
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)], np.uint8)
@@ -104,6 +104,7 @@ class Filters:
 def gram_counts(labelled: DataFrame) -> DataFrame:
     """Rows (lang, gram, n) over labelled rows (lang, text); a task emits each gram once a language."""
     ship(labelled.sparkSession)
+    by_few(labelled.sparkSession)
 
     def work(batches):
         found: dict[str, list] = {}
@@ -167,6 +168,7 @@ def predict(docs: DataFrame, filters: Filters, text_col: str = "text", rejected:
     """
     spark = docs.sparkSession
     ship(spark)
+    by_few(spark)
     model = spark.sparkContext.broadcast(filters)  # 2^bits slots of 1 to 8 bytes for each SLICE languages
     docs = docs.drop("lang_pred", "score")
 
