@@ -36,6 +36,13 @@ def accept(reads: DataFrame, raw: str = "raw", confidence: str = "confidence", s
     return P.normalised(reads.where(sure(F.col(confidence), F.col(sharpness))), raw).where("plate is not null")
 
 
+def first_texts(reads: DataFrame, order: str = "k", raw: str = "raw", confidence: str = "confidence", sharpness: str = "sharpness") -> DataFrame:
+    """What `first_plates` needs of the reads that `accept` keeps: of each text of a track when it was first read, with its plate, null
+    where it is none. A text that a track repeats is normalised once."""
+    seen = reads.where(sure(F.col(confidence), F.col(sharpness))).groupBy("camera_id", "track_id", raw, "label").agg(F.min(order).alias(order))
+    return P.normalised(seen, raw).drop(raw)
+
+
 def consensus(reads: DataFrame, key: list[str], plate: str, order: str, min_reads: int = 2) -> DataFrame:
     """Rows (key, consensus, reads): the plate voted for character by character, null where a position ties or reads are too few.
 
@@ -69,10 +76,13 @@ def fleet(reads: DataFrame, plate: str = "plate", at: str = "at_s", confidence:
 
 def first_plates(own: DataFrame, fleet: DataFrame, order: str = "k") -> DataFrame:
     """The plate that a track is checked by, for good: the first that is known of it, its own read before the fleet's of the same
-    moment. own, fleet: rows (camera_id, track_id, order, plate, label). Rows (camera_id, track_id, plate, label, from_k, inferred)."""
-    both = own.withColumn("inferred", F.lit(False)).unionByName(fleet.withColumn("inferred", F.lit(True)), allowMissingColumns=True).where("plate is not null")
-    first = both.groupBy("camera_id", "track_id").agg(F.min_by(F.struct("plate", "label", F.col(order).alias("from_k"), "inferred"), F.struct(order, "inferred", "plate")).alias("b"))
-    return first.select("camera_id", "track_id", "b.*")
+    moment. own, fleet: rows (camera_id, track_id, order, plate, label). Rows (camera_id, track_id, plate, label, from_k, inferred).
+
+    Rows without a plate have no place in the order; a filter on the plate would be moved to the reads and normalise each of them again."""
+    both = own.withColumn("inferred", F.lit(False)).unionByName(fleet.withColumn("inferred", F.lit(True)), allowMissingColumns=True)
+    place = F.when(F.col("plate").isNotNull(), F.struct(order, "inferred", "plate"))
+    first = both.groupBy("camera_id", "track_id").agg(F.min_by(F.struct("plate", "label", F.col(order).alias("from_k"), "inferred"), place).alias("b"))
+    return first.where("b is not null").select("camera_id", "track_id", "b.*")
 
 
 def best_reading(reads: DataFrame, agreed: DataFrame, key: list[str], plate: str = "plate", raw: str = "raw", order: str = "k") -> DataFrame:

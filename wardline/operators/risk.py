@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from wardline.model import DEFAULT, Policy
 from wardline.operators import zones as Z
+from wardline.operators.context import TRACK
 
 FACTOR = "struct<name:string,points:int,detail:string>"
 
@@ -46,15 +47,18 @@ def behaviours(ctx: DataFrame, policy: Policy = DEFAULT, ts: str = "ts") -> Data
     return df.withColumn("behaviours", F.filter(F.array(*found), lambda x: x.isNotNull()))
 
 
-def with_findings(rows: DataFrame, findings: DataFrame, order: str = "k") -> DataFrame:
+def with_findings(rows: DataFrame, findings: DataFrame, order: str = "k", by: tuple[str, ...] = TRACK) -> DataFrame:
     """rows of behaviours() with what other checks found about their track after the movement behaviours.
 
     findings: rows (camera_id, track_id, from_k, nth, name, points, detail), of one track a few (a registry check, an identity). Each
     counts from the track's row from_k on, in order of nth; those without a name or points count nowhere.
+
+    by: what tells tracks apart. Rows dealt out by exactly these columns stay where they are, unsorted; a partition's findings are held
+    in memory, so deal rows out by their number.
     """
     f = findings.where("name is not null and points <> 0")
-    f = f.groupBy("camera_id", "track_id").agg(F.array_sort(F.collect_list(F.struct("nth", "from_k", "name", "points", "detail"))).alias("_found"))
-    out = rows.join(f, ["camera_id", "track_id"], "left")
+    f = f.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("nth", "from_k", "name", "points", "detail"))).alias("_found"))
+    out = rows.join(f.hint("shuffle_hash"), list(by), "left")
     here = F.filter(F.coalesce("_found", F.array().cast(f.schema["_found"].dataType)), lambda x: x["from_k"] <= F.col(order))
     more = F.transform(here, lambda x: F.struct(x["name"].alias("name"), x["points"].cast("int").alias("points"), x["detail"].alias("detail")))
     return out.withColumn("behaviours", F.concat("behaviours", more)).drop("_found")

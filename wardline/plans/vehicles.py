@@ -25,10 +25,14 @@ def reads(spark, sf_dir):
     return o.where(P.plausible(F.col("plate")) & (F.col("sharpness") >= 45) & (F.col("confidence") >= 0.12))
 
 
+def attempts(spark, sf_dir):
+    """Every read with its confidence and time."""
+    return view(spark, sf_dir, "fx_ocr").withColumns({"confidence": F.col("ocr_conf_pct") / 100, "at_s": F.floor(F.col("stream_ms") / 1000)})
+
+
 def accepted(spark, sf_dir):
     """Sharp, sure reads of a valid number; plate is that number, with confused characters repaired."""
-    o = view(spark, sf_dir, "fx_ocr").withColumns({"confidence": F.col("ocr_conf_pct") / 100, "at_s": F.floor(F.col("stream_ms") / 1000)})
-    return V.accept(o)
+    return V.accept(attempts(spark, sf_dir))
 
 
 def plate_clean(spark, sf_dir):
