@@ -23,8 +23,10 @@ def time_of_day(is_night: Column) -> Column:
 
 
 def _named(on: Column, name: str, points, detail: Column) -> Column:
+    """An array of the factor where it holds, else an empty one. Arrays are concatenated, not filtered: a filter is interpreted row by row."""
     points = points if isinstance(points, Column) else F.lit(points)
-    return F.when(on, F.struct(F.lit(name).alias("name"), points.cast("int").alias("points"), detail.alias("detail")))
+    factor = F.struct(F.lit(name).alias("name"), points.cast("int").alias("points"), detail.alias("detail"))
+    return F.when(on, F.array(factor)).otherwise(F.array().cast(f"array<{FACTOR}>"))
 
 
 def behaviours(ctx: DataFrame, policy: Policy = DEFAULT, ts: str = "ts") -> DataFrame:
@@ -44,7 +46,7 @@ def behaviours(ctx: DataFrame, policy: Policy = DEFAULT, ts: str = "ts") -> Data
         _named(person & ~tamper & (c("hr") >= p.camera_ratio) & (c("growth") >= p.camera_growth), "APPROACHING CAMERA", p.camera_points, F.format_string("apparent size growing %.0f%%/s", c("growth") * 100)),
     ]
     df = ctx.withColumn("night", night(c(ts), p))
-    return df.withColumn("behaviours", F.filter(F.array(*found), lambda x: x.isNotNull()))
+    return df.withColumn("behaviours", F.concat(*found))
 
 
 def with_findings(rows: DataFrame, findings: DataFrame, order: str = "k", by: tuple[str, ...] = TRACK) -> DataFrame:
@@ -82,11 +84,11 @@ def risk(rows: DataFrame, policy: Policy = DEFAULT, confidence: str = "confidenc
         F.when(c("zone").isNull(), "outside any zone").otherwise(F.concat(F.lit("presence inside "), c("zone"))).alias("detail"),
     )
     sure = F.greatest(F.lit(-p.confidence_cap), F.least(F.lit(p.confidence_cap), F.bround((c(confidence) - p.pivot) * p.gain, 0))).cast("int")
-    extra = F.filter(F.array(
+    extra = [
         _named(sure != 0, "DETECTION CONFIDENCE", sure, F.format_string("model confidence %.0f%%", c(confidence) * 100)),
         _named(c("night"), "NIGHT-TIME", p.night_bonus, F.lit("night window")),
-    ), lambda x: x.isNotNull())
-    df = rows.withColumn("factors", F.concat(F.array(zone), extra, "behaviours"))
+    ]
+    df = rows.withColumn("factors", F.concat(F.array(zone), *extra, "behaviours"))
     df = df.withColumn("score", F.greatest(F.lit(0), F.least(F.lit(100), F.aggregate("factors", F.lit(0), lambda a, x: a + x["points"]))))
     up = F.transform(F.filter(F.slice("factors", 2, 100), lambda x: x["points"] > 0), lambda x: F.lower(x["name"]))
     base = F.when(c("zone").isNull(), "Camera integrity threat detected").otherwise(F.concat(F.initcap("zone_kind"), F.lit("-zone entry detected")))
